@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat_format, line_dedup, url_rules
+from millrace.llm import chat_format, cover_tree, decontaminate, language_id, line_dedup, near_dedup, packing, quality, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
     "op2_chat_format": chat_format.query,
+    "op3_cover_tree_top_k": cover_tree.query,
+    "op4_packing": packing.query,
+    "op5_near_dedup": near_dedup.query,
+    "op6_quality": quality.query,
+    "op8_decontaminate": decontaminate.query,
+    "op9_language_id": language_id.query,
+    "op9_language_id_pages": language_id.query_pages,
     "op10_url_filters": url_rules.query,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.ORACLE,
     "op2_chat_format": chat_format.ORACLE,
+    "op3_cover_tree_top_k": cover_tree.ORACLE,
     "op10_url_filters": url_rules.ORACLE,
 }
