@@ -42,7 +42,7 @@ from millrace.llm.common import free_name, reliable_checkpoint, table
 SAMPLE, MAX_LANGUAGES, BUCKETS = 12_000, 64, 1 << 15
 TEMPER, MOST_TRIGRAMS = 0.25, 400  # a text speaks as loud as at most so many independent trigrams
 HOST_WEIGHT, PARENT_WEIGHT, EVIDENCE_WEIGHT = 20.0, 50.0, 1.0
-MISFIT, SPREAD = 1.5, 6.0  # nats a trigram below the language's own mean; allowance for short texts, over the root of their length
+MISFIT, SPREAD = 3.5, 6.0  # nats a trigram below the language's own mean; allowance for short texts, over the root of their length
 BROADCAST_KEYS = 20_000
 UNKNOWN = "und"
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat_format, cover_tree, decontaminate, language_id, line_dedup, near_dedup, packing, quality, url_rules
+from millrace.llm import chat_format, cover_tree, decontaminate, language_id, line_dedup, near_dedup, packing, quality, suffix_dedup, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_packing": packing.query,
     "op5_near_dedup": near_dedup.query,
     "op6_quality": quality.query,
+    "op7_suffix_array_dedup": suffix_dedup.query,
     "op8_decontaminate": decontaminate.query,
     "op9_language_id": language_id.query,
     "op9_language_id_pages": language_id.query_pages,
