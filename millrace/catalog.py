@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from millrace.plans import aggregates, joins, marts, ml, projections, quality, scalars, sinks, sources, streams, text, windows  # noqa: F401
+from millrace.registry import ENTRIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-FLAGSHIP = "agg_revenue_hour_zone"
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+FLAGSHIP = "agg_1_revenue_hour_zone"
+QUERIES = dict(ENTRIES)
+ORACLES = {name: e.sql for name, e in ENTRIES.items() if e.sql}
