@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 SEQUENCE = 1024
 END_ID = 0
 GROUP_PIECES = 16384
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 PIECES = "doc_id long, row_mark long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -45,41 +45,62 @@ class WordEncoder:
     """Token ids (little-endian 32-bit, as bytes) of whole texts.
 
     The byte-level pattern never joins text across a blank that stands before a
-    non-blank, so such a text is the sum of its blank-led words and each distinct
-    word is tokenised once. Texts with a blank before white space go to the
-    tokenizer whole.
+    non-blank, so such a text is the sum of its blank-led words and a distinct
+    word is tokenised once: the new words of a batch together, told apart by the
+    tokens that begin with a blank. Texts with a blank before white space go to
+    the tokenizer whole. Two generations of words are remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.together = re.compile(r" \s")
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.leads[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.together = re.compile(" \\s|[\x1c-\x1f\x85]")
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of blank + word for words that are new."""
+        for lo in range(0, len(words), 4096):
+            some = words[lo : lo + 4096]
+            ids = self._ids(" " + " ".join(some))
+            cuts = np.flatnonzero(self.leads[ids])
+            if len(cuts) == len(some) and cuts[0] == 0:
+                raw, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+                at = 0
+                for word, end in zip(some, ends, strict=True):
+                    self.young[word] = raw[at:end]
+                    at = end
+            else:
+                for word in some:
+                    self.young[word] = self._ids(" " + word).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif self.together.search(text):
-                out.append(self._whole([text])[0])
-            else:
-                first, *rest = text.split(" ")
-                words = [" " + w for w in rest]
-                words.insert(0, first)
-                try:
-                    out.append(b"".join([self.cache[w] for w in words]))
-                except KeyError:
-                    if len(self.cache) > CACHE_WORDS:
-                        self.cache.clear()
-                    new = [w for w in dict.fromkeys(words) if w not in self.cache]
-                    self.cache.update(zip(new, self._whole(new), strict=True))
-                    out.append(b"".join([self.cache[w] for w in words]))
-        return out
+        parted = [None if self.together.search(text) else text.split(" ") for text in texts]
+        wanted: set[str] = set()
+        for words in parted:
+            if words:
+                wanted.update(words[1:])
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        new = wanted.difference(self.young)
+        kept = new.intersection(self.old)
+        self.young.update((w, self.old[w]) for w in kept)
+        new -= kept
+        if "" in new:
+            new.discard("")
+            self.young[""] = self._ids(" ").tobytes()
+        self._learn(list(new))
+        known = self.young
+        starts = self.tokenizer.encode_batch_fast([text if words is None else words[0] for text, words in zip(texts, parted, strict=True)], add_special_tokens=False)
+        heads = [np.asarray(e.ids, dtype="<u4").tobytes() for e in starts]
+        return [head + b"".join([known[w] for w in (words or [])[1:]]) for head, words in zip(heads, parted, strict=True)]
 
 
 def tokenized_pieces(docs: DataFrame, *, path: str, doc: str = "doc_id", sequence: int = SEQUENCE) -> DataFrame:
