@@ -1,0 +1 @@
+"""Column builders and table functions."""

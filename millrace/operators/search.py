@@ -11,10 +11,10 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.relational import keep_first, keyset_page, union_all
+from millrace.operators.relational import keep_first, keyset_page
 
 #: Words without weight in a search: fixed values.
 STOP_WORDS = ("de", "la", "el", "los", "las", "y", "en", "a", "del", "por", "para", "con", "un", "una")
@@ -83,13 +83,18 @@ def headline(text: Column, words: Sequence[str], most: int = 60, before: int = 2
 
 
 def facet_counts(df: DataFrame, facets: dict[str, tuple[str, int]]) -> DataFrame:
-    """facet, name, n: the most frequent values of each column, and the total."""
-    parts = [
-        df.groupBy(F.col(column).alias("name")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(k).select(F.lit(facet).alias("facet"), "name", "n")
-        for facet, (column, k) in facets.items()
-    ]
-    total = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("facet"), F.lit(None).cast("string").alias("name"), "n")
-    return union_all([*parts, total])
+    """facet, name, n: the most frequent values of each column, and the total.
+
+    One scan and one shuffle for all of them: a row offers its value to every facet.
+    """
+    offered = [F.struct(F.lit(facet).alias("facet"), F.col(column).cast("string").alias("name")) for facet, (column, _) in facets.items()]
+    offered.append(F.struct(F.lit("total").alias("facet"), F.lit(None).cast("string").alias("name")))
+    counted = df.select(F.inline(F.array(*offered))).groupBy("facet", "name").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counted.withColumn("nth", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), F.asc_nulls_last("name"))))
+    most = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for facet, (_, k) in facets.items() for x in (facet, k))), F.col("facet")), F.lit(1))
+    found = ranked.filter(F.col("nth") <= most).drop("nth")
+    empty = df.sparkSession.createDataFrame([("total", None, 0)], "facet string, name string, n long")
+    return found.unionByName(empty).groupBy("facet", "name").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -99,6 +104,7 @@ class Search:
     keys: tuple[str, ...]
     text: tuple[str, ...]
     facets: dict[str, tuple[str, int]] = field(default_factory=dict)
+    unique: bool = False  # no two rows share a key, so that nothing need be shuffled to keep one
 
     def matching(self, df: DataFrame, wanted: BooleanQuery, *filters: Column) -> DataFrame:
         """One row a key: the first by text columns of those that match in any text column."""
@@ -107,7 +113,7 @@ class Search:
         hits = [c for c in (wanted.matches(tokens(F.coalesce(F.col(t), F.lit("")))) for t in self.text) if c is not None]
         if hits:
             df = df.filter(reduce(lambda a, b: a | b, hits))
-        return keep_first(df, self.keys, [F.asc_nulls_last(t) for t in self.text])
+        return df if self.unique else keep_first(df, self.keys, [F.asc_nulls_last(t) for t in self.text])
 
     def page(self, df: DataFrame, wanted: BooleanQuery, *filters: Column, size: int = 20, after: Sequence | None = None) -> DataFrame:
         return keyset_page(self.matching(df, wanted, *filters), self.keys, size, after)

@@ -1,0 +1 @@
+"""The named queries, a module a family."""

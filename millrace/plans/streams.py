@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import exact_sum
@@ -10,7 +10,9 @@ from millrace.registry import Tables, query
 from millrace.session import shared_folder
 from millrace.streaming import flows
 
-N = F.count(F.lit(1))
+
+def rows() -> Column:
+    return F.count(F.lit(1))
 
 
 def events(t: Tables, delay: str = "5 seconds") -> DataFrame:
@@ -25,13 +27,13 @@ def bucketed(size: str, keys: str, aggregates: str, where: str = "") -> str:
 
 @query("str_3_tumble_sum", "STR-1", "STR-3", "STR-14", "STR-16", sql=bucketed("5 minutes", "user_id,", "count(*)::BIGINT AS trips, sum(value::DECIMAL(18,4))::DOUBLE AS revenue"))
 def tumble_sum(t: Tables) -> DataFrame:
-    return flows.materialize(flows.tumbling(events(t), "ts", "5 minutes", ["user_id"], N.alias("trips"), exact_sum("value").alias("revenue")))
+    return flows.materialize(flows.tumbling(events(t), "ts", "5 minutes", ["user_id"], rows().alias("trips"), exact_sum("value").alias("revenue")))
 
 
 @query("str_4_tumble_count", "STR-4", "STR-7", "STR-8", sql=bucketed("15 minutes", "event_type,", "count(*)::BIGINT AS n"))
 def tumble_count(t: Tables) -> DataFrame:
     """Event time in place of arrival time, so that the result can be repeated."""
-    return flows.materialize(flows.tumbling(events(t), "ts", "15 minutes", ["event_type"], N.alias("n")))
+    return flows.materialize(flows.tumbling(events(t), "ts", "15 minutes", ["event_type"], rows().alias("n")))
 
 
 @query("str_5_tumble_global", "STR-5", sql=bucketed("1 hour", "", "sum(value::DECIMAL(18,4))::DOUBLE AS tips"))
@@ -41,12 +43,12 @@ def tumble_global(t: Tables) -> DataFrame:
 
 @query("str_6_hourly", "STR-2", "STR-6", "STR-9", "STR-10", sql=bucketed("1 hour", "user_id, event_type,", "round(avg(value), 6)::DOUBLE AS mean, count(*)::BIGINT AS n"))
 def hourly(t: Tables) -> DataFrame:
-    return flows.materialize(flows.tumbling(events(t, "5 minutes"), "ts", "1 hour", ["user_id", "event_type"], F.round(F.avg("value"), 6).alias("mean"), N.alias("n")))
+    return flows.materialize(flows.tumbling(events(t, "5 minutes"), "ts", "1 hour", ["user_id", "event_type"], F.round(F.avg("value"), 6).alias("mean"), rows().alias("n")))
 
 
 @query("str_6_daily", "STR-6", sql=bucketed("1 day", "user_id, event_type,", "round(avg(value), 6)::DOUBLE AS mean, count(*)::BIGINT AS n"))
 def daily(t: Tables) -> DataFrame:
-    return flows.materialize(flows.tumbling(events(t, "5 minutes"), "ts", "1 day", ["user_id", "event_type"], F.round(F.avg("value"), 6).alias("mean"), N.alias("n")))
+    return flows.materialize(flows.tumbling(events(t, "5 minutes"), "ts", "1 day", ["user_id", "event_type"], F.round(F.avg("value"), 6).alias("mean"), rows().alias("n")))
 
 
 @query(
@@ -57,19 +59,19 @@ s AS (SELECT user_id, ts, sum(n) OVER (PARTITION BY user_id ORDER BY ts) AS sess
 SELECT min(ts) AS window_start, max(ts) + INTERVAL 5 MINUTE AS window_end, user_id, count(*)::BIGINT AS trips FROM s GROUP BY user_id, session""",
 )
 def session_windows(t: Tables) -> DataFrame:
-    return flows.materialize(flows.session(events(t), "ts", "5 minutes", ["user_id"], N.alias("trips")))
+    return flows.materialize(flows.session(events(t), "ts", "5 minutes", ["user_id"], rows().alias("trips")))
 
 
 @query("str_13_append_closed", "STR-13", "STR-19")
 def append_closed(t: Tables) -> DataFrame:
     """Append mode gives a window once, when the watermark has passed its end; the open tail is withheld."""
-    return flows.materialize(flows.tumbling(events(t), "ts", "5 minutes", ["user_id"], N.alias("trips")), "append")
+    return flows.materialize(flows.tumbling(events(t), "ts", "5 minutes", ["user_id"], rows().alias("trips")), "append")
 
 
 @query("str_7_update_upsert", "STR-7", "SNK-7", sql=bucketed("1 hour", "event_type,", "count(*)::BIGINT AS n"))
 def update_upsert(t: Tables) -> DataFrame:
     """Changed groups of each micro-batch, merged by key."""
-    counted = flows.tumbling(events(t), "ts", "1 hour", ["event_type"], N.alias("n"))
+    counted = flows.tumbling(events(t), "ts", "1 hour", ["event_type"], rows().alias("n"))
     return flows.materialize(counted, "update", ["window_start", "window_end", "event_type"])
 
 
@@ -96,7 +98,7 @@ def fan_out(t: Tables) -> DataFrame:
     stamped = events(t).select("event_id", "event_type", F.unix_millis("ts").alias("ms"))
     sinks = {"raw": lambda b: b, "clicks": lambda b: b.filter("event_type = 'click'")}
     flows.run_once(stamped, lambda batch, _: flows.fan_out(batch, sinks, folder), "append", checkpoint)
-    counted = [t.spark.read.parquet(f"{folder}/{n}").agg(N.alias("n")).select(F.lit(n).alias("sink"), "n") for n in sinks]
+    counted = [t.spark.read.parquet(f"{folder}/{n}").agg(rows().alias("n")).select(F.lit(n).alias("sink"), "n") for n in sinks]
     return counted[0].union(counted[1])
 
 
@@ -104,15 +106,15 @@ def fan_out(t: Tables) -> DataFrame:
 def dedupe(t: Tables) -> DataFrame:
     """Publishing the same records again changes nothing."""
     once = events(t, "1 hour").select("user_id", "event_type", "ts")
-    return flows.materialize(flows.dedupe_stream(once.union(once), ["user_id", "event_type", "ts"]), "append").agg(N.alias("n"))
+    return flows.materialize(flows.dedupe_stream(once.union(once), ["user_id", "event_type", "ts"]), "append").agg(rows().alias("n"))
 
 
 @query("str_sliding", "STR-SLIDE")
 def sliding(t: Tables) -> DataFrame:
-    return flows.materialize(flows.tumbling(events(t), "ts", "10 minutes", ["event_type"], N.alias("n"), slide="5 minutes"))
+    return flows.materialize(flows.tumbling(events(t), "ts", "10 minutes", ["event_type"], rows().alias("n"), slide="5 minutes"))
 
 
 @query("sup_9_row_consumer", "SUP-9", "SUP-15", sql="SELECT count(*)::BIGINT AS inserted FROM events")
 def row_consumer(t: Tables) -> DataFrame:
     """A consumer that inserts what arrives, a micro-batch at a time."""
-    return flows.materialize(events(t).select("event_id"), "append").agg(N.alias("inserted"))
+    return flows.materialize(events(t).select("event_id"), "append").agg(rows().alias("inserted"))

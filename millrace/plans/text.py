@@ -11,7 +11,7 @@ from millrace.operators.relational import keep_first
 from millrace.operators.search import BooleanQuery, Search, facet_counts, headline
 from millrace.registry import Tables, query
 
-GAZETTE = Search(keys=("doc_id",), text=("text", "source"), facets={"section": ("lang", 10), "organisation": ("source", 15)})
+GAZETTE = Search(keys=("doc_id",), text=("text", "source"), facets={"section": ("lang", 10), "organisation": ("source", 15)}, unique=True)
 HAS = "len(list_filter(regexp_extract_all(lower({c}), '([\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}-]*)', 1), lambda w: starts_with(w, '{t}'))) > 0"
 
 

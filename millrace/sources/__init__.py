@@ -1,0 +1 @@
+"""Readers, schemas and sinks."""

@@ -1,0 +1 @@
+"""Event-time windows, stream joins and keyed sinks."""
