@@ -19,7 +19,8 @@ class that agrees to the left makes a maximal repeat with all its occurrences.
 Each occurrence but the first of its class is covered from its left extension to
 the end of the common prefix.
 
-*Scale.* Equal neighbourhoods within a batch are one leaf with a list of
+*Scale.* Equal texts have equal suffixes throughout; the array keeps those of the
+first such document, and each later one is a single repeat from end to end. Equal neighbourhoods within a batch are one leaf with a list of
 occurrences, and equal seeds of a batch are counted before they are shuffled, so
 a passage in a third of all documents is a row a batch and not a row a document.
 A partition is worked off in chunks of whole seeds. Texts are shuffled once
@@ -41,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.common import hash128
+
 LENGTH, SEED = 100, 24
 REACH = LENGTH - SEED  # how far left of a synchronising position its windows start
 CONTEXT = REACH + LENGTH
@@ -324,6 +327,14 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(kept, pa.binary()), pa.array(runs, span_type)], names=["doc_id", "n_bytes", "kept", "removed"])
 
 
+def _later_copies(keyed: DataFrame) -> DataFrame:
+    """d, m and end of the texts that a smaller document repeats as a whole: each is one repeat from end to end."""
+    texts = keyed.select("did", "mark", F.octet_length("text").cast("long").alias("end"), *(h.alias(n) for h, n in zip(hash128(F.col("text")), ("h1", "h2"), strict=True))).filter(F.col("end") >= LENGTH)
+    place = F.struct("did", "mark")
+    several = texts.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").drop("last")
+    return texts.join(several, ["h1", "h2"]).filter(place != F.col("first")).select(F.col("did").alias("d"), F.col("mark").alias("m"), "end").distinct()
+
+
 def remove_repeats(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, kept (binary) and removed (array of byte spans) for every row of ``docs``."""
     keyed = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64("text").bitwiseAND(0xFFFF).alias("mark"), F.col("text"))
@@ -332,11 +343,13 @@ def remove_repeats(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     kind = F.col("packed").bitwiseAND(3)
     wanted = counted.filter((kind == REPEATED) | ((kind == ALONE) & (F.col("n") > 1)))
     unpacked = wanted.select(F.col("did").alias("d"), F.shiftright("packed", 34).alias("m"), F.shiftright("packed", 2).bitwiseAND(0xFFFFFFFF).alias("place"))
-    places = unpacked.groupBy("d", "m").agg(F.collect_list("place").alias("places"))
+    copies = _later_copies(keyed)
+    places = unpacked.groupBy("d", "m").agg(F.collect_list("place").alias("places")).join(copies, ["d", "m"], "left_anti")
     same = (F.col("did") == F.col("d")) & (F.col("mark") == F.col("m"))
     met = keyed.join(places, same).select("did", "mark", "text", "places")
     leaves = met.mapInArrow(_neighbourhoods, "key long, context binary, occurrences binary")
     covered = leaves.repartition("key").sortWithinPartitions("key").mapInArrow(_scan_array, "did long, mark long, begin long, end long")
+    covered = covered.unionByName(copies.select(F.col("d").alias("did"), F.col("m").alias("mark"), F.lit(0).cast("long").alias("begin"), "end"))
     spans = covered.groupBy(F.col("did").alias("d"), F.col("mark").alias("m")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     out = keyed.join(spans, same, "left").select("did", "text", "spans")
     stripped = out.mapInArrow(_strip, "doc_id long, n_bytes long, kept binary, removed array<struct<begin:long,end:long>>")
