@@ -10,13 +10,14 @@ propose candidates, which are verified with the exact similarity of the texts.
 
 Scale. Equal texts are folded first (by a 128-bit key, partial aggregation), so
 copies never meet each other. In a bucket, all pairs are verified if they are at
-most ``PAIRS_A_ROW`` a row; in a larger one a pivot is compared with all members
-that are not yet known to belong to its class, round by round, and what remains
-undecided after ``STAR_ROUNDS`` is verified pair by pair. So no link that the
-bands propose between different classes goes unverified, and a bucket of n near
-copies costs about n comparisons. A pivot's comparisons are split over chunks.
-Classes are connected components by alternating large-star and small-star
-steps; their edges live in Spark throughout, every step is checkpointed.
+most ``PAIRS_A_ROW`` a row, and in all buckets once no more pairs than rows are
+left. In a larger bucket a pivot (first the text with the most company) is compared with the members not yet known to be
+of its class, round by round, and what is undecided after ``STAR_ROUNDS`` is
+verified pair by pair. So no link that the bands propose between different
+classes goes unverified, and a bucket of n near copies costs about n comparisons
+a round. Comparisons are dealt in blocks. Classes are connected
+components by alternating large-star and small-star steps; their edges live in
+Spark throughout, and every step is checkpointed.
 
 Defined results: equality and shingles are of lower-cased words split at white
 space; texts of one to four words are a single shingle; null and empty texts are
@@ -41,39 +42,57 @@ from millrace.llm.shingles import mixed, normalized, probability_jaccard, text_k
 BANDS, ROWS = 24, 6
 COMPONENTS = BANDS * ROWS
 SIMILARITY = 0.8
-PAIRS_A_ROW, STAR_ROUNDS, CHUNK = 4, 6, 512
+PAIRS_A_ROW, STAR_ROUNDS, CHUNK = 4, 4, 512
+GROUP = 128  # sets that advance together
+BLOCK_PAIRS = 2048
 _ROUND = 0xD1342543DE82EF95
 _BAND = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
 
 
-def prob_minhash(shingles: np.ndarray, weights: np.ndarray, components: int = COMPONENTS) -> np.ndarray:
-    """The signature: for each component the shingle of the earliest arrival."""
-    earliest, kept = np.full(components, np.inf), np.zeros(components, np.uint64)
-    alive, rate, time = shingles, weights.astype(float), np.zeros(len(shingles))
+def prob_minhash(sets: list[tuple[np.ndarray, np.ndarray]], components: int = COMPONENTS) -> np.ndarray:
+    """Signatures of sets (distinct shingles, weights): for each component the shingle of the earliest arrival.
+
+    All sets advance together; sets of few shingles take several arrivals at a time.
+    """
+    out = np.zeros((len(sets), components), np.uint64)
+    by_size = sorted(range(len(sets)), key=lambda i: len(sets[i][0]))
+    at = 0
+    while at < len(by_size):
+        least = max(1, len(sets[by_size[at]][0]))
+        group = [i for i in by_size[at : at + GROUP] if len(sets[i][0]) <= 2 * least]
+        out[group] = _advance([sets[i] for i in group], components, max(1, 2 * components // least))
+        at += len(group)
+    return out
+
+
+def _advance(sets: list[tuple[np.ndarray, np.ndarray]], components: int, ahead: int) -> np.ndarray:
+    sizes = [len(s) for s, _ in sets]
+    owner, alive, rate = np.repeat(np.arange(len(sets)), sizes), np.concatenate([s for s, _ in sets]), np.concatenate([w for _, w in sets]).astype(float)
+    time, limit = np.zeros(len(alive)), np.full(len(sets), np.inf)
+    earliest, kept = np.full(len(sets) * components, np.inf), np.zeros(len(sets) * components, np.uint64)
     step = 0
     while len(alive):
-        step += 1
-        draw = mixed(alive + np.uint64(step * _ROUND % 2**64))
-        time = time - np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / rate
-        running = time < earliest.max()
-        alive, rate, time, draw = alive[running], rate[running], time[running], draw[running]
-        place = (mixed(draw) % np.uint64(components)).astype(np.int64)
-        late_first = np.argsort(-time, kind="stable")
-        first, who = np.full(components, np.inf), np.zeros(components, np.uint64)
-        first[place[late_first]] = time[late_first]  # of equal places the last, so the earliest, stays
-        who[place[late_first]] = alive[late_first]
-        better = first < earliest
-        earliest[better], kept[better] = first[better], who[better]
-        running = time < earliest.max()
-        alive, rate, time = alive[running], rate[running], time[running]
-    return kept
-
-
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    rows = signature.reshape(BANDS, ROWS)
-    key = _BAND.copy()
+        steps = np.array([(step + k) * _ROUND % 2**64 for k in range(1, ahead + 1)], np.uint64)
+        step += ahead
+        draw = mixed(alive[:, None] + steps)
+        times = time[:, None] + np.cumsum(-np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53), axis=1) / rate[:, None]
+        place = owner[:, None] * components + (mixed(draw) % np.uint64(components)).astype(np.int64)
+        row, column = np.nonzero(times < earliest[place])
+        new, where = times[row, column], place[row, column]
+        late_first = np.argsort(-new, kind="stable")  # of equal places the last, so the earliest, stays
+        earliest[where[late_first]] = new[late_first]
+        kept[where[late_first]] = alive[row[late_first]]
+        limit = earliest.reshape(len(sets), components).max(axis=1)
+        running = times[:, -1] < limit[owner]
+        owner, alive, rate, time = owner[running], alive[running], rate[running], times[running, -1]
+    return kept.reshape(len(sets), components)
+
+
+def band_keys(signatures: np.ndarray) -> np.ndarray:
+    rows = signatures.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(_BAND, rows.shape[:2])
     for k in range(ROWS):
-        key = mixed(key + rows[:, k])
+        key = mixed(key + rows[:, :, k])
     return key.view(np.int64)
 
 
@@ -85,37 +104,41 @@ def signatures(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                keys, bands = [], []
-                for text in part.column(3).to_pylist():
-                    norm = normalized(text)
-                    key = text_key(norm)
-                    keys.append(key)
-                    if norm and key not in seen:
-                        if len(seen) > 20_000:
-                            seen.clear()
-                        seen[key] = band_keys(prob_minhash(*weighted_shingles(norm)))
-                    bands.append(seen[key] if norm else None)
+                norms = [normalized(t) for t in part.column(3).to_pylist()]
+                keys = [text_key(n) for n in norms]
+                new = {k: n for k, n in zip(keys, norms, strict=True) if n and k not in seen}
+                if len(seen) > 20_000:
+                    seen, new = {}, {k: n for k, n in zip(keys, norms, strict=True) if n}
+                if new:
+                    seen.update(zip(new, band_keys(prob_minhash([weighted_shingles(n) for n in new.values()])), strict=True))
+                bands = [seen[k] if n else None for k, n in zip(keys, norms, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "doc_id", "mark", "key", "bands"])
 
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     return read.mapInArrow(sign, "row long, doc_id long, mark long, key binary, bands array<long>")
 
 
-def _similar(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one chunk of one pivot: the members similar to it."""
-    pivot = weighted_shingles(normalized(pdf.loc[pdf["is_pivot"], "text"].iloc[0]))
-    members = pdf.loc[~pdf["is_pivot"]]
-    hit = [probability_jaccard(*pivot, *weighted_shingles(normalized(t))) >= SIMILARITY for t in members["text"]]
-    return members.loc[hit, ["pivot", "node"]].rename(columns={"pivot": "a", "node": "b"})
+def _similar(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    """Of one block of pairs: those whose texts are similar enough."""
+    sets = {node: weighted_shingles(normalized(text)) for node, text in zip(texts["node"], texts["text"], strict=True)}
+    hit = [probability_jaccard(*sets[a], *sets[b]) >= SIMILARITY for a, b in zip(pairs["a"], pairs["b"], strict=True)]
+    return pairs.loc[hit, ["a", "b"]]
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
-    most = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    chunks = max(1, -(-most // CHUNK))
-    dealt = pairs.select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.pmod(F.xxhash64("b"), F.lit(chunks)).alias("chunk"))
-    wanted = dealt.withColumn("is_pivot", F.lit(False)).unionByName(dealt.select("pivot", F.col("pivot").alias("node"), "chunk").distinct().withColumn("is_pivot", F.lit(True)))
-    return wanted.join(texts, "node").groupBy("pivot", "chunk").applyInPandas(_similar, "a long, b long")
+    """The pairs (a, b) whose texts are similar enough.
+
+    Pairs are dealt by hashes of both ends, so a block holds each text once
+    however many of its pairs need it, and a pivot's pairs spread over blocks.
+    """
+    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    side = max(1, round(((counts["all"] or 0) / BLOCK_PAIRS) ** 0.5))
+    other = max(side, -(-(counts["most"] or 0) // CHUNK))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    dealt = pairs.select(part("a", side).alias("ga"), part("b", other).alias("gb"), "a", "b")
+    wanted = dealt.select("ga", "gb", F.explode(F.array("a", "b")).alias("node")).distinct()
+    held = wanted.join(texts, "node").select(F.col("ga").alias("ta"), F.col("gb").alias("tb"), "node", "text")
+    return held.groupBy("ta", "tb").cogroup(dealt.groupBy("ga", "gb")).applyInPandas(_similar, "a long, b long")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -140,10 +163,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
-def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return buckets.withColumn("label", F.col("node"))
-    return buckets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+def _relabelled(held: DataFrame, links: DataFrame) -> DataFrame:
+    """node and label after one round of stars (a, b): what a star links takes its least label.
+
+    Labels only tell which pairs need no comparison; they may lag behind the classes.
+    """
+    labels = held.select("node", "label").distinct()
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+    stars = links.join(of("b"), "b").join(of("a"), "a").groupBy("a").agg(F.min(F.least("label_a", "label_b")).alias("label"))
+    taken = links.join(stars, "a").select(F.col("b").alias("node"), "label").unionByName(stars.withColumnRenamed("a", "node"))
+    return labels.unionByName(taken).groupBy("node").agg(F.min("label").alias("label"))
+
+
+def _crowds(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """node and crowd: how many rows its buckets hold. The text that the others are copies of stands out."""
+    return rows.select("band", "node").join(sizes.select("band", "n"), "band").groupBy("node").agg(F.sum("n").alias("crowd"))
 
 
 def similar_links(representatives: DataFrame, texts_of) -> DataFrame:
@@ -153,35 +187,38 @@ def similar_links(representatives: DataFrame, texts_of) -> DataFrame:
     """
     spread = representatives.select("node", F.explode("bands").alias("band"))
     shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    buckets = reliable_checkpoint(spread.join(shared, "band"))
-    texts = reliable_checkpoint(texts_of(buckets.select("node").distinct()))
-    links = tested = labels = None
+    held = reliable_checkpoint(spread.join(shared, "band").withColumn("label", F.col("node")))
+    texts = reliable_checkpoint(texts_of(held.select("node").distinct()))
+    n_rows = held.count()
+    links = tested = None
     for step in range(STAR_ROUNDS + 1):
-        held = _labelled(buckets, labels)
         groups = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
         sizes = groups.groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("n2"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        whole = (F.col("n") * F.col("n") - F.col("n2")) / 2 <= PAIRS_A_ROW * F.col("n")
-        if step == STAR_ROUNDS:
-            whole = F.lit(True)
-        plan = sizes.select("band", whole.alias("whole"))
-        open_rows = reliable_checkpoint(held.join(plan, "band"))
-        pivots = open_rows.filter("not whole").groupBy("band").agg(F.min(F.struct(F.xxhash64(F.lit(step), "node").alias("h"), F.col("node"), F.col("label"))).alias("p"))
-        star = open_rows.filter("not whole").join(pivots, "band").filter(F.col("label") != F.col("p.label")).select(F.col("p.node").alias("a"), F.col("node").alias("b"))
+        sizes = reliable_checkpoint(sizes.select("band", "n", ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs")))
+        all_now = step == STAR_ROUNDS or (sizes.agg(F.sum("pairs")).first()[0] or 0) <= n_rows
+        whole = F.lit(True) if all_now else F.col("pairs") <= PAIRS_A_ROW * F.col("n")
+        open_rows = held.join(sizes.select("band", whole.alias("whole")), "band")
         few = open_rows.filter("whole").select("band", F.col("node").alias("a"), F.col("label").alias("la"))
         others = open_rows.filter("whole").select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = few.join(others, "band").filter("a < b and la <> lb").select("a", "b").unionByName(star).distinct()
+        pairs = few.join(others, "band").filter("a < b and la <> lb").select("a", "b")
+        if not all_now:
+            rest = open_rows.filter("not whole").drop("whole")
+            ranked = rest.join(_crowds(rest, sizes), "node") if step == 0 else rest.withColumn("crowd", F.lit(0))
+            pivots = ranked.groupBy("band").agg(F.max(F.struct(F.col("crowd"), F.xxhash64(F.lit(step), "node").alias("h"), F.col("node"), F.col("label"))).alias("p"))
+            star = rest.join(pivots, "band").filter(F.col("label") != F.col("p.label"))
+            pairs = pairs.unionByName(star.select(F.col("p.node").alias("a"), F.col("node").alias("b")))
+        pairs = pairs.distinct()
         if tested is not None:
-            known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
         pairs = reliable_checkpoint(pairs)
         found = reliable_checkpoint(_verify(pairs, texts))
         links = found if links is None else links.unionByName(found)
+        if all_now:
+            return links
         tested = pairs if tested is None else tested.unionByName(pairs)
-        rest = reliable_checkpoint(open_rows.filter("not whole").select("band", "node"))
-        if rest.isEmpty():
-            break
-        buckets = rest
-        labels = reliable_checkpoint(connected_components(links))
+        held = reliable_checkpoint(rest.drop("label").join(_relabelled(rest, found), "node"))
+        if held.isEmpty():
+            return links
     return links
 
 
