@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 SEQUENCE = 1024
 END_ID = 0
 GROUP_PIECES = 16384
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 PIECES = "doc_id long, row_mark long, start long, length long, doc_tokens long, ids binary"
 
 
@@ -103,11 +103,21 @@ class WordEncoder:
         return [head + b"".join([known[w] for w in (words or [])[1:]]) for head, words in zip(heads, parted, strict=True)]
 
 
+_ENCODERS: dict[str, WordEncoder] = {}
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """One encoder a worker process: what it has learned serves the process's later tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
 def tokenized_pieces(docs: DataFrame, *, path: str, doc: str = "doc_id", sequence: int = SEQUENCE) -> DataFrame:
     """Pieces of at most ``sequence`` ids with their ids, one after the other for each document."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = WordEncoder(path), np.asarray([END_ID], dtype="<u4").tobytes()
+        encode, end = word_encoder(path), np.asarray([END_ID], dtype="<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
