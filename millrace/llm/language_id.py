@@ -49,10 +49,9 @@ UNKNOWN = "und"
 
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte trigrams of the lower-cased texts, letters and single blanks only, and each text's count."""
-    raw = np.frombuffer("\0\0".join([*(t.lower() for t in texts), ""]).encode("utf-8", "surrogatepass"), np.uint8)
-    ends = np.flatnonzero((raw[:-1] == 0) & (raw[1:] == 0)) if len(raw) > 1 else np.zeros(0, int)
-    if len(ends) != len(texts):  # texts with zero bytes
-        return _trigrams([t.replace("\0", " ") for t in texts])
+    parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    raw = np.frombuffer(b"".join(p + b"\0\0" for p in parts), np.uint8)
+    ends = np.cumsum([len(p) + 2 for p in parts]) - 2
     letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
     kept = letter | (raw == 0)
     kept[1:] |= letter[:-1]  # the byte after a letter stands for the gap
