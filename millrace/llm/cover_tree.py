@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import hash128
 
-DATA_BLOCK, QUERY_BLOCK, LEAF, BASE = 8192, 2048, 64, 1.6
+DATA_BLOCK, QUERY_BLOCK, LEAF, BASE = 1024, 1024, 32, 1.6
 CODE_BITS = 14  # room for a row's number in a block, at the low end of a sort key
 EXACT = 2**48
 
