@@ -14,9 +14,15 @@ Evidence that a row lacks (null or empty) adds nothing. A row is rejected
 (language ``und``) if its text has no letters, or fits even the likeliest
 language far worse than that language's own texts do.
 
-Trigram models are fitted on a documented sample: about ``SAMPLE`` rows a run
-chosen by a hash, whole texts, labelled by their declared language; the counts
-that reach the driver are at most MAX_LANGUAGES x BUCKETS. Priors and evidence
+Trigram models are fitted on a documented sample a language: all rows with
+letters that declare it, or about ``SAMPLE`` of them chosen by a hash if there
+are more, whole texts. Every language of ``MIN_TRIGRAMS`` trigrams has a model,
+however rare it is; the counts that reach the driver are at most BUCKETS a
+language. The ``MAX_LANGUAGES`` largest have evidence and priors of their own; the
+others share one class in these, which speaks with the likeliest of them by text
+and declared language. A row whose declared language has too little text for a
+model is not rejected for that: unless it fits another as well as that language's
+own texts do, it keeps its declared language, with confidence 0. Priors and evidence
 tables are grouped aggregations over all rows (partial sums before the shuffle,
 so one host with a third of the rows is a row a task); they are joined back by
 broadcast only below ``BROADCAST_KEYS`` keys, else by a shuffled join whose hot
@@ -24,7 +30,8 @@ side adaptive execution splits. Texts never travel: the scores do.
 
 Defined results: null or empty text has likelihood one everywhere and is
 rejected; repeated rows are judged one by one; without any declared language no
-model can be fitted and every row is rejected; an empty table gives no rows.
+model can be fitted and every row is rejected, and if all have too little text the
+declared language is taken; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,16 +41,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import free_name, reliable_checkpoint, table
 
-SAMPLE, MAX_LANGUAGES, BUCKETS = 12_000, 64, 1 << 15
+SAMPLE, MAX_LANGUAGES, MIN_TRIGRAMS, BUCKETS = 12_000, 64, 200, 1 << 15  # SAMPLE rows a language
 TEMPER, MOST_TRIGRAMS = 0.25, 400  # a text speaks as loud as at most so many independent trigrams
 HOST_WEIGHT, PARENT_WEIGHT, EVIDENCE_WEIGHT = 20.0, 50.0, 1.0
 MISFIT, SPREAD = 3.5, 6.0  # nats a trigram below the language's own mean; allowance for short texts, over the root of their length
+DECLARED_WEIGHT = 3.0  # nats for the declared one among the languages beyond the largest
 BROADCAST_KEYS = 20_000
+LETTER = r"[A-Za-z]|[^\x00-\x7f]"
 UNKNOWN = "und"
 
 
@@ -66,13 +76,16 @@ def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class TrigramModels:
-    """Log probabilities of hashed trigrams a language, and how well its own texts fit."""
+    """Log probabilities of hashed trigrams a language, and how well its own texts fit; the first ``head`` are the largest."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray):
-        self.languages = languages
-        p = (counts + 0.05) / (counts + 0.05).sum(1, keepdims=True)
-        self.log_p = np.ascontiguousarray(np.log(p).T.astype(np.float32))
-        self.own = (p * np.log(p)).sum(1)
+    def __init__(self, languages: list[str], counts: np.ndarray, head: int | None = None):
+        self.languages, self.head = languages, len(languages) if head is None else head
+        self.log_p = np.empty((counts.shape[1], len(languages)), np.float32)
+        self.own = np.zeros(len(languages))
+        for j, row in enumerate(counts):
+            p = (row + 0.05) / (row + 0.05).sum()
+            self.log_p[:, j] = np.log(p)
+            self.own[j] = (p * np.log(p)).sum()
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Mean log likelihood a trigram (texts x languages) and the number of trigrams."""
@@ -93,11 +106,10 @@ def primary_tag(tag: Column) -> Column:
 
 
 def fit_models(rows: DataFrame, *, sample: int = SAMPLE) -> TrigramModels:
-    """``rows`` has id, text, declared."""
-    declared = rows.filter(F.col("declared").isNotNull())
-    n = declared.count()
-    every = max(1, -(-n // sample))
-    chosen = declared.filter(F.pmod(F.xxhash64(F.lit(41), "id", F.length("text")), F.lit(every)) == 0)
+    """``rows`` has id, text, declared; ``sample`` bounds the rows a language."""
+    declared = rows.filter(F.col("declared").isNotNull() & F.col("text").rlike(LETTER)).select("id", "text", "declared")
+    every = declared.groupBy("declared").agg(F.ceil(F.count("*") / sample).alias("every"))
+    chosen = declared.join(F.broadcast(every), "declared").filter(F.pmod(F.xxhash64(F.lit(41), "id", F.length("text")), F.col("every")) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -111,12 +123,15 @@ def fit_models(rows: DataFrame, *, sample: int = SAMPLE) -> TrigramModels:
 
     counted = chosen.select("text", "declared").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     counted = reliable_checkpoint(counted)
-    largest = counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in largest if r["n"] >= 200)
-    counts = np.zeros((len(languages), BUCKETS))
-    for r in counted.filter(F.col("lang").isin(languages)).toPandas().itertuples(index=False):
-        counts[languages.index(r.lang), r.bucket] = r.n
-    return TrigramModels(languages, counts)
+    sizes = {r["lang"]: r["n"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    largest = sorted((lang for lang, n in sizes.items() if n >= MIN_TRIGRAMS), key=lambda lang: (-sizes[lang], lang))
+    languages = sorted(largest[:MAX_LANGUAGES]) + sorted(largest[MAX_LANGUAGES:])
+    counts = np.zeros((len(languages), BUCKETS), np.float32)
+    if languages:
+        held = counted.filter(F.col("lang").isin(languages)).toArrow()
+        row = pc.index_in(held.column("lang"), value_set=pa.array(languages)).to_numpy()
+        counts[row, held.column("bucket").to_numpy()] = held.column("n").to_numpy()
+    return TrigramModels(languages, counts, min(len(languages), MAX_LANGUAGES))
 
 
 def _normalized(values: Column) -> Column:
@@ -142,10 +157,12 @@ def identify(rows: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     """
     rows = rows.withColumn("declared", primary_tag(F.col("declared")))
     models = fit_models(rows, sample=sample)
-    languages = models.languages
-    n = len(languages)
+    languages, head = models.languages, models.head
+    n = head + (len(languages) > head)  # classes: the largest languages, and one for all others
+    place = {lang: j for j, lang in enumerate(languages)}
     if not n:
-        return rows.select("id", F.xxhash64("text").alias("mark"), F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(0.0).alias("fit"))
+        spoken = F.col("declared").isNotNull() & F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
+        return rows.select("id", F.xxhash64("text").alias("mark"), F.when(spoken, F.col("declared")).otherwise(UNKNOWN).alias("lang"), F.lit(0.0).alias("confidence"), spoken.alias("accepted"), F.lit(0.0).alias("fit"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,13 +170,24 @@ def identify(rows: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
                 part = batch.slice(lo, 512)
                 means, counts = models.score([t or "" for t in part.column(part.schema.get_field_index("text")).to_pylist()])
                 loud = means * (np.minimum(counts, MOST_TRIGRAMS) * TEMPER)[:, None]
-                best = means.argmax(1)
-                fit = np.where(counts > 0, means[np.arange(len(best)), best] - models.own[best], 0.0)
+                own = np.array([place.get(d, -1 if d is None else -2) for d in part.column(part.schema.get_field_index("declared")).to_pylist()], np.int64)
+                best, every = means.argmax(1), np.arange(len(means))
+                fit = np.where(counts > 0, means[every, best] - models.own[best], 0.0)
+                rest: list[str | None] = [None] * len(means)
+                if n > head:
+                    weighed = loud[:, head:].copy()
+                    said = np.flatnonzero(own >= head)
+                    weighed[said, own[said] - head] += DECLARED_WEIGHT
+                    at = head + weighed.argmax(1)
+                    rest, loud = [languages[j] for j in at], np.column_stack([loud[:, :head], loud[every, at]])
                 keys = [part.column(part.schema.get_field_index(c)) for c in ("id", "mark", "declared", "suffix", "host", "parent")]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(list(loud), pa.list_(pa.float64())), pa.array(counts, pa.int64()), pa.array(fit)], names=["id", "mark", "declared", "suffix", "host", "parent", "loud", "n", "fit"])
+                yield pa.RecordBatch.from_arrays(
+                    [*keys, pa.array(list(loud), pa.list_(pa.float64())), pa.array(counts, pa.int64()), pa.array(fit), pa.array(rest, pa.string()), pa.array(own == -2)],
+                    names=["id", "mark", "declared", "suffix", "host", "parent", "loud", "n", "fit", "rest", "unmodelled"],
+                )
 
     keyed = rows.select("id", F.xxhash64("text").alias("mark"), *(F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("declared", "suffix", "host", "parent")), "text")
-    scored = keyed.mapInArrow(score, "id long, mark long, declared string, suffix string, host string, parent string, loud array<double>, n long, fit double")
+    scored = keyed.mapInArrow(score, "id long, mark long, declared string, suffix string, host string, parent string, loud array<double>, n long, fit double, rest string, unmodelled boolean")
     scored = reliable_checkpoint(scored.withColumn("soft", _normalized(F.col("loud"))))
 
     def summed(key: str, name: str) -> DataFrame:
@@ -191,14 +219,17 @@ def identify(rows: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     posterior = F.col("loud")
     for key in ("declared", "suffix", "host"):
         posterior = _added(posterior, F.coalesce(f"log_{key}", F.transform(base, lambda p: F.log(p)) if key == "host" else none))
-    names = F.array(*map(F.lit, languages))
+    names = F.array(*map(F.lit, languages[:head]), *[F.col("rest")] * (n - head))
     judged = fused.withColumn("posterior", _normalized(posterior)).withColumn("confidence", F.array_max("posterior"))
-    accepted = (F.col("n") > 0) & (F.col("fit") > -(MISFIT + SPREAD / F.sqrt("n")))
+    spread = SPREAD / F.sqrt(F.greatest("n", F.lit(1)))
+    by_tag = (F.col("n") > 0) & F.col("unmodelled") & (F.col("fit") <= -spread)
+    accepted = (F.col("n") > 0) & (F.col("unmodelled") | (F.col("fit") > -(MISFIT + spread)))
+    likeliest = F.get(names, F.array_position("posterior", F.col("confidence")).cast("int") - 1)
     return judged.select(
         "id",
         "mark",
-        F.when(accepted, F.get(names, F.array_position("posterior", F.col("confidence")).cast("int") - 1)).otherwise(UNKNOWN).alias("lang"),
-        F.round("confidence", 6).alias("confidence"),
+        F.when(by_tag, F.col("declared")).when(accepted, likeliest).otherwise(UNKNOWN).alias("lang"),
+        F.when(by_tag, 0.0).otherwise(F.round("confidence", 6)).alias("confidence"),
         accepted.alias("accepted"),
         F.round("fit", 6).alias("fit"),
     )

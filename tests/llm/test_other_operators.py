@@ -254,6 +254,28 @@ def test_language_priors_and_declared_language_decide_unclear_texts(spark):
     assert not got[202].accepted and not got[203].accepted
 
 
+GREEK, DUTCH, GERMAN = "το ποτάμι και η πέτρα στο φως του πρωινού ", "de rivier en het licht van de ochtend zijn niet de steen ", "der fluss und das licht am morgen ist nicht der stein "
+
+
+def test_rare_languages_have_models_whatever_the_size_of_the_table(spark):
+    rows = [(i, "the river and the stone of the morning light " * 5, "en", "h") for i in range(900)]
+    rows += [(1000 + i, GERMAN * 5, "de", "h") for i in range(300)]
+    rare = [(2000 + i, t * 5, lang, "h") for i, (t, lang) in enumerate([(GREEK, "el"), (DUTCH, "nl")] * 3)]
+    docs = spark.createDataFrame(rows + rare, "doc_id long, text string, lang string, source string")
+    got = {r.id: r.lang for r in language_id.identify(language_id.document_evidence(docs), sample=20).collect()}
+    assert got == {r[0]: r[2] for r in rows + rare}
+
+
+def test_languages_beyond_the_largest_are_identified_and_short_ones_are_not_rejected(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    rows = [(1000 * j + i, t * 5, lang, lang) for j, (t, lang, n) in enumerate([("the river and the stone of the morning light ", "en", 40), (GERMAN, "de", 40), (DUTCH, "nl", 9), (GREEK, "el", 9)]) for i in range(n)]
+    docs = spark.createDataFrame([*rows, (9000, GREEK * 5, None, None), (9001, "მდინარე და ქვა", "ka", None), (9002, "123", "ka", None)], "doc_id long, text string, lang string, source string")
+    got = {r.id: r.lang for r in language_id.identify(language_id.document_evidence(docs)).collect()}
+    assert got == {r[0]: r[2] for r in rows} | {9000: "el", 9001: "ka", 9002: "und"}
+    alone = language_id.identify(language_id.document_evidence(docs.filter("doc_id > 9000"))).collect()
+    assert {r.id: (r.lang, r.accepted) for r in alone} == {9001: ("ka", True), 9002: ("und", False)}
+
+
 # --- URL rules --------------------------------------------------------------------------------------
 
 
