@@ -1,15 +1,22 @@
 """Benchmark decontamination by spaced seeds.
 
 Texts become lower-case words (runs of letters and digits), each word a 64-bit
-hash. A seed is a fixed mask over ``SPAN`` words: the hash covers the positions
-that the mask selects and ignores the others, so a leak with some words replaced
-still meets. Documents are hashed under every mask at every position and joined
-with the seeds of the test items.
+hash. A seed is a fixed mask over a few words: the hash covers the positions that
+the mask selects and ignores the others, so a leak with some words replaced still
+meets. Documents are hashed under every mask at every position and joined with the
+seeds of the test items. A leak is
 
-Each hit is verified where it lies: both word sequences are aligned on the hit's
-diagonal and extended to both sides as far as the score (``MATCH`` a word that
-agrees, ``MISS`` one that does not) still improves. A leak is an overlap of at
-least ``MIN_WORDS`` words, or the whole item, of which ``MIN_SHARE`` agree.
+* a passage of at least ``MIN_WORDS`` words that starts and ends with words that
+  agree, or
+* the whole item,
+
+aligned without gaps, of which ``MIN_SHARE`` of the words agree. ``MASKS`` hit every
+placement of a fifth of replaced words in 13 to 25 words (the tests enumerate them);
+a longer leak divides into such lengths, one of which has no larger share replaced.
+
+The first hit of a document and item on each diagonal is verified over the whole
+diagonal: of all passages on it between two runs of agreeing words, and the whole
+item where it fits, the one with most agreeing words is the overlap.
 
 Plan: documents are read once and never shuffled. Seeds are broadcast in blocks
 of at most ``BLOCK_SEEDS`` rows; a larger benchmark is worked off block by block,
@@ -17,7 +24,7 @@ each a scan of its own. Verified hits are combined by (doc_id, item_id) with par
 aggregation, so a passage in a third of all documents makes a row a document.
 
 Defined results: null or empty texts hold no leak, and items of fewer than
-``SPAN`` words take no part; rows with equal doc_id are told apart by text;
+``MIN_WORDS`` words take no part; rows with equal doc_id are told apart by text;
 repeated rows give one result row; extra columns are ignored; an empty table on
 either side gives an empty result.
 """
@@ -31,11 +38,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import free_name
 
-#: Selected positions of the seeds; each spans SPAN words and selects eight.
-MASKS = ("111010010111", "110110110101", "101101101101")
-SPAN = 12
-REACH = 64
-MATCH, MISS = 1, -3
+#: Selected positions of the seeds.
+MASKS = ("111011", "11111")
 MIN_WORDS, MIN_SHARE = 13, 0.8
 BLOCK_SEEDS = 1_000_000
 
@@ -46,10 +50,13 @@ def word_hashes(text: Column) -> Column:
 
 
 def _seeds_at(words: str, at: str) -> Column:
-    """One struct a mask: its number and the hash of the words it selects from ``at`` on."""
+    """One struct a mask that ends within ``words``: its number and the hash of the words it selects from ``at`` on."""
     return F.array(
         *(
-            F.struct(F.lit(n).alias("mask"), F.xxhash64(F.lit(n), *(F.get(F.col(words), F.col(at) + k) for k, bit in enumerate(mask) if bit == "1")).alias("seed"))
+            F.when(
+                F.col(at) + len(mask) <= F.size(words),
+                F.struct(F.lit(n).alias("mask"), F.xxhash64(F.lit(n), *(F.get(F.col(words), F.col(at) + k) for k, bit in enumerate(mask) if bit == "1")).alias("seed")),
+            )
             for n, mask in enumerate(MASKS)
         )
     )
@@ -57,52 +64,62 @@ def _seeds_at(words: str, at: str) -> Column:
 
 def _spread(df: DataFrame, words: str, at: str) -> DataFrame:
     """A row for each position and mask; outer generators keep the words computed once."""
-    starts = F.when(F.size(words) >= SPAN, F.sequence(F.lit(0), F.size(words) - SPAN))
+    span = min(map(len, MASKS))
+    starts = F.when(F.size(words) >= span, F.sequence(F.lit(0), F.size(words) - span))
     placed = df.withColumn(at, F.explode_outer(starts)).filter(F.col(at).isNotNull())
-    return placed.withColumn("s", F.explode_outer(_seeds_at(words, at))).select(*placed.columns, "s.mask", "s.seed")
+    return placed.withColumn("s", F.explode_outer(_seeds_at(words, at))).filter("s is not null").select(*placed.columns, "s.mask", "s.seed")
 
 
-def _extend(first: Column, steps: Column, direction: int) -> Column:
-    """The best extension from item position ``first`` on: struct with its length and agreeing words."""
-    walked = F.aggregate(
-        F.when(steps > 0, F.sequence(F.lit(0), steps - 1)).otherwise(F.array().cast("array<int>")),
-        F.struct(*(F.lit(0).alias(n) for n in ("score", "hits", "best", "length", "agree"))),
-        lambda acc, k: _step(acc, k, F.get(F.col("item_words"), first + direction * k) == F.get(F.col("words"), first + direction * k + F.col("diagonal"))),
-    )
-    return F.struct(walked["length"].alias("length"), walked["agree"].alias("agree"))
-
-
-def _step(acc: Column, k: Column, same: Column) -> Column:
-    score = acc["score"] + F.when(same, MATCH).otherwise(MISS)
-    hits = acc["hits"] + F.when(same, 1).otherwise(0)
-    better = score > acc["best"]
-    return F.struct(
-        score.alias("score"),
-        hits.alias("hits"),
-        F.greatest(score, acc["best"]).alias("best"),
-        F.when(better, k + 1).otherwise(acc["length"]).alias("length"),
-        F.when(better, hits).otherwise(acc["agree"]).alias("agree"),
-    )
+def _once(value: Column) -> Column:
+    """``value`` behind a generator, so that filters and lambdas do not compute it again."""
+    return F.explode_outer(F.array(value))
+
+
+def _earlier_hit(k: Column, at: Column) -> Column:
+    """Whether a mask agrees at ``k`` of ``same``, before the hit's own position ``at`` or by an earlier mask there."""
+    found = F.lit(False)
+    for n, mask in enumerate(MASKS):
+        agrees = (k < at) | (F.col("mask") > n)
+        for i, bit in enumerate(mask):
+            if bit == "1":
+                agrees &= F.coalesce(F.get(F.col("same"), k + i), F.lit(False))
+        found |= agrees
+    return found
+
+
+def _best(same: Column, agreed: Column) -> Column:
+    """The passage with most agreeing words: struct of matched and overlap words and, negative, its place; null if none is a leak.
+
+    ``agreed`` counts the agreeing words before each place of ``same``.
+    """
+    n = F.size(same)
+    at = lambda i: F.coalesce(F.get(same, i), F.lit(False))
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: at(i) & ~at(i - 1))
+    ends = F.filter(F.sequence(F.lit(1), n), lambda j: at(j - 1) & ~at(j))
+    passage = lambda i, j: F.struct((F.get(agreed, j) - F.get(agreed, i)).alias("matched_words"), (j - i).alias("overlap_words"), (-i).alias("before"))
+    enough = lambda i, j: F.get(agreed, j) - F.get(agreed, i) >= MIN_SHARE * (j - i)
+    passages = F.flatten(F.transform(starts, lambda i: F.transform(F.filter(ends, lambda j: (j - i >= MIN_WORDS) & enough(i, j)), lambda j: passage(i, j))))
+    whole = F.when((n == F.size("item_words")) & enough(F.lit(0), n), passage(F.lit(0), n))
+    return F.greatest(F.array_max(passages), whole)
 
 
 def _verified(hits: DataFrame) -> DataFrame:
-    j, d = F.col("item_at"), F.col("doc_at") - F.col("item_at")
-    inside = F.size(F.filter(F.sequence(F.lit(0), F.lit(SPAN - 1)), lambda k: F.get(F.col("item_words"), j + k) == F.get(F.col("words"), F.col("doc_at") + k)))
-    placed = hits.withColumns({"diagonal": d, "inside": inside})
-    right = F.least(F.lit(REACH), F.size("item_words") - j - SPAN, F.size("words") - F.col("doc_at") - SPAN)
-    left = F.least(F.lit(REACH), j, F.col("doc_at"))
-    grown = placed.withColumns({"r": _extend(j + SPAN, right, 1), "l": _extend(j - 1, left, -1)})
-    length = F.col("l.length") + SPAN + F.col("r.length")
-    agree = F.col("l.agree") + F.col("inside") + F.col("r.agree")
-    found = grown.withColumns({"overlap_words": length, "matched_words": agree, "first_word": F.col("doc_at") - F.col("l.length")})
-    long_enough = (F.col("overlap_words") >= MIN_WORDS) | (F.col("overlap_words") == F.size("item_words"))
-    return found.filter(long_enough & (F.col("matched_words") >= MIN_SHARE * F.col("overlap_words")))
+    d = F.col("doc_at") - F.col("item_at")
+    first, last = F.greatest(F.lit(0), -d), F.least(F.size("item_words"), F.size("words") - d)
+    same = F.transform(F.sequence(first, last - 1), lambda p: F.get(F.col("item_words"), p) == F.get(F.col("words"), p + d))
+    placed = hits.withColumn("same", _once(same))
+    at = F.col("item_at") - first
+    leading = placed.filter(~F.exists(F.sequence(F.lit(0), at), lambda k: _earlier_hit(k, at)))
+    agreed = F.aggregate("same", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x.cast("int"))))
+    counted = leading.withColumn("agreed", _once(agreed))
+    found = counted.withColumn("b", _once(_best(F.col("same"), F.col("agreed")))).filter("b is not null")
+    return found.withColumns({"matched_words": F.col("b.matched_words"), "overlap_words": F.col("b.overlap_words"), "first_word": d + first - F.col("b.before")})
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """doc_id, text_mark, item_id, matched_words, overlap_words, first_word: a row for each document and item."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") >= SPAN)
-    n_seeds = items.agg(F.sum(F.size("item_words") - SPAN + 1)).first()[0] or 0
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") >= MIN_WORDS)
+    n_seeds = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
     blocks = max(1, -(-n_seeds * len(MASKS) // BLOCK_SEEDS))
     read = docs.select(F.col(doc).alias("doc_id"), F.xxhash64("text").alias("text_mark"), word_hashes(F.col("text")).alias("words"))
     spread = _spread(read, "words", "doc_at")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 
@@ -228,6 +229,26 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, benchmark).collect()} == {(i, i) for i in items}
 
 
+def test_masks_hit_every_placement_of_a_fifth_of_replaced_words():
+    selected = [(len(m), sum(1 << i for i, bit in enumerate(m) if bit == "1")) for m in decontaminate.MASKS]
+    for n in range(decontaminate.MIN_WORDS, 2 * decontaminate.MIN_WORDS):
+        placed = [bits << at for span, bits in selected for at in range(n - span + 1)]
+        for where in itertools.combinations(range(n), n // 5):
+            replaced = sum(1 << i for i in where)
+            assert any(not p & replaced for p in placed), (n, where)
+
+
+def test_every_placement_of_replaced_words_is_found(spark):
+    items, texts = {n: prose(n, 700 + n).split() for n in (13, 14, 15, 16)}, []
+    for n, words in items.items():
+        for where in itertools.combinations(range(n), n // 5):
+            texts.append((n, len(where), " ".join(["before it", *("swap" if i in where else w for i, w in enumerate(words)), "after it"])))
+    docs = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(texts)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.matched_words, r.overlap_words) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert {k: v[0] for k, v in found.items()} == {(i, n): n - k for i, (n, k, _) in enumerate(texts)}
+
+
 # --- language ID -----------------------------------------------------------------------------------
 
 
