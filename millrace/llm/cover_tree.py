@@ -160,7 +160,8 @@ def top_k(vectors: DataFrame, *, is_query, k: int = 10, n_vectors: int | None =
     """query_id, rank, vec_id, score for the rows of ``vectors`` (vec_id, q) that ``is_query`` holds for."""
     n = vectors.count() if n_vectors is None else n_vectors
     data_blocks, query_blocks = max(1, -(-n // DATA_BLOCK) * 5 // 4), 1
-    queries = vectors.filter(is_query).dropDuplicates(["vec_id"])
+    vectors = vectors.dropDuplicates(["vec_id", "q"])
+    queries = vectors.filter(is_query)
     query_blocks = max(1, -(-queries.count() // QUERY_BLOCK) * 5 // 4)
     h1, h2 = hash128(F.col("q"))
     same = Window.partitionBy("h1", "h2").orderBy("vec_id")

@@ -72,6 +72,19 @@ def test_top_k_matches_brute_force(spark):
     assert cover_tree.top_k(cover_tree.quantized(df.filter("false")), is_query=F.lit(True)).count() == 0
 
 
+def test_repeated_rows_count_once(spark, duck):
+    r = np.random.default_rng(6)
+    vectors = [(i, [float(x) for x in np.float32(r.normal(size=8))]) for i in range(300)]
+    vectors += [(1000 + i, [9.0] * 8) for i in range(30)]  # one vector under many ids,
+    vectors += [(1000, [9.0] * 8)] * 40  # one of them in more than k + 1 rows
+    vectors += [(7, [5.0] * 8)] * 3 + [(100, [-9.0] * 8)] * 2  # and ids with two vectors, one of them a query
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = cover_tree.top_k(cover_tree.quantized(df), is_query=F.col("vec_id") % 100 == 0)
+    rows = ", ".join(f"({i}, {v}::FLOAT[])" for i, v in vectors)
+    want = duck.sql(ORACLES["op3_cover_tree_top_k"].replace("FROM embeddings", f"FROM (VALUES {rows}) AS t(vec_id, embedding)")).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_dual_tree_prunes_and_is_exact():
     r = np.random.default_rng(3)
     centres = r.normal(size=(30, 8)) * 3000
