@@ -23,8 +23,9 @@ of at most ``BLOCK_SEEDS`` rows; a larger benchmark is worked off block by block
 each a scan of its own. Verified hits are combined by (doc_id, item_id) with partial
 aggregation, so a passage in a third of all documents makes a row a document.
 
-Defined results: null or empty texts hold no leak, and items of fewer than
-``MIN_WORDS`` words take no part; rows with equal doc_id are told apart by text;
+Defined results: null or empty texts hold no leak, and items of fewer
+words than the shortest mask take no part, those below ``MIN_WORDS`` are found
+whole if copied word by word, and with replaced words where a mask hits; rows with equal doc_id are told apart by text;
 repeated rows give one result row; extra columns are ignored; an empty table on
 either side gives an empty result.
 """
@@ -118,7 +119,7 @@ def _verified(hits: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """doc_id, text_mark, item_id, matched_words, overlap_words, first_word: a row for each document and item."""
-    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") >= MIN_WORDS)
+    items = benchmark.select("item_id", word_hashes(F.col("text")).alias("item_words")).filter(F.size("item_words") >= min(map(len, MASKS)))
     n_seeds = items.agg(F.sum(F.size("item_words"))).first()[0] or 0
     blocks = max(1, -(-n_seeds * len(MASKS) // BLOCK_SEEDS))
     read = docs.select(F.col(doc).alias("doc_id"), F.xxhash64("text").alias("text_mark"), word_hashes(F.col("text")).alias("words"))

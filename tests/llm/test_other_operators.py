@@ -262,6 +262,14 @@ def test_every_placement_of_replaced_words_is_found(spark):
     assert {k: v[0] for k, v in found.items()} == {(i, n): n - k for i, (n, k, _) in enumerate(texts)}
 
 
+def test_short_items_are_found_whole(spark):
+    items = {n: prose(n, 500 + n) for n in range(5, 13)}
+    docs = spark.createDataFrame([(i, f"before it {t} after it") for i, t in items.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r.doc_id, r.item_id, r.matched_words, r.overlap_words, r.first_word) for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert found == {(n, n, n, n, 2) for n in items}
+
+
 # --- language ID -----------------------------------------------------------------------------------
 
 
