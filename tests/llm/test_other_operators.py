@@ -270,6 +270,13 @@ def test_short_items_are_found_whole(spark):
     assert found == {(n, n, n, n, 2) for n in items}
 
 
+def test_overlaps_are_reported_in_full(spark):
+    long = prose(300, 77)
+    docs = spark.createDataFrame([(1, f"before it {long} after it")], "doc_id long, text string")
+    (r,) = decontaminate.leaks(docs, spark.createDataFrame([(1, long)], "item_id long, text string")).collect()
+    assert (r.matched_words, r.overlap_words, r.first_word) == (300, 300, 2)
+
+
 # --- language ID -----------------------------------------------------------------------------------
 
 
