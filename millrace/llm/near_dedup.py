@@ -9,15 +9,20 @@ equal to the sets' probability Jaccard similarity. Bands of ``ROWS`` components
 propose candidates, which are verified with the exact similarity of the texts.
 
 Scale. Equal texts are folded first (by a 128-bit key, partial aggregation), so
-copies never meet each other. In a bucket, all pairs are verified if they are at
-most ``PAIRS_A_ROW`` a row, and in all buckets once no more pairs than rows are
-left. In a larger bucket a pivot (first the text with the most company) is compared with the members not yet known to be
-of its class, round by round, and what is undecided after ``STAR_ROUNDS`` is
-verified pair by pair. So no link that the bands propose between different
-classes goes unverified, and a bucket of n near copies costs about n comparisons
-a round. Comparisons are dealt in blocks. Classes are connected
-components by alternating large-star and small-star steps; their edges live in
-Spark throughout, and every step is checkpointed.
+copies never meet each other. Buckets of at most ``SMALL`` texts are verified pair
+by pair. In a larger bucket a pivot, the text with the most company, is compared
+with all members, and what it links is one class. Of the pairs left there, those
+are verified that can be similar at all. A shingle is rare if at most ``RARE``
+texts of these buckets have it; a rare shingle lists the pairs that share it. Any
+other pair shares common shingles only, and its similarity is at most
+1 / (1/P + 1/Q - 1), P and Q being the shares of the two texts that such shingles
+can make up. The bound is exact and linear to prepare, and rules out variants that
+differ in places of their own, the bulk of any large group. So no link that the
+bands propose goes unverified, and no group is compared all with all. Comparisons
+are dealt in blocks. Classes are connected components by alternating large-star
+and small-star steps; their edges live in Spark throughout, and every step is
+checkpointed. The number of jobs depends on the depth of the link graph, not on
+the size of the groups.
 
 Defined results: equality and shingles are of lower-cased words split at white
 space; texts of one to four words are a single shingle; null and empty texts are
@@ -42,7 +47,8 @@ from millrace.llm.shingles import mixed, normalized, probability_jaccard, text_k
 BANDS, ROWS = 24, 6
 COMPONENTS = BANDS * ROWS
 SIMILARITY = 0.8
-PAIRS_A_ROW, STAR_ROUNDS, CHUNK = 4, 4, 512
+SMALL, RARE, CHUNK = 9, 8, 512
+SLACK = 1e-9  # of rounding in the bounds
 GROUP = 128  # sets that advance together
 BLOCK_PAIRS = 2048
 _ROUND = 0xD1342543DE82EF95
@@ -163,67 +169,110 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
 
 
-def _relabelled(held: DataFrame, links: DataFrame) -> DataFrame:
-    """node and label after one round of stars (a, b): what a star links takes its least label.
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """node, x, w: the distinct shingles of each text and how often they occur."""
 
-    Labels only tell which pairs need no comparison; they may lag behind the classes.
-    """
-    labels = held.select("node", "label").distinct()
-    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-    stars = links.join(of("b"), "b").join(of("a"), "a").groupBy("a").agg(F.min(F.least("label_a", "label_b")).alias("label"))
-    taken = links.join(stars, "a").select(F.col("b").alias("node"), "label").unionByName(stars.withColumnRenamed("a", "node"))
-    return labels.unionByName(taken).groupBy("node").agg(F.min("label").alias("label"))
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                sets = [weighted_shingles(normalized(t)) for t in part.column(1).to_pylist()]
+                nodes = np.repeat(part.column(0).to_numpy(), [len(s) for s, _ in sets])
+                x, w = (np.concatenate([s[i] for s in sets]) if sets else np.zeros(0) for i in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(x.astype(np.uint64).view(np.int64)), pa.array(w.astype(np.int64))], names=["node", "x", "w"])
+
+    return texts.select("node", "text").mapInArrow(spread, "node long, x long, w long")
+
+
+def _set_sizes(texts: DataFrame) -> DataFrame:
+    """node, total (weight of its shingles) and extra (what repeats add to it)."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [weighted_shingles(normalized(t)) for t in batch.column(1).to_pylist()]
+            total = [int(w.sum()) for _, w in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total, pa.int64()), pa.array([t - len(s) for t, (s, _) in zip(total, sets, strict=True)], pa.int64())], names=["node", "total", "extra"])
+
+    return texts.select("node", "text").mapInArrow(measure, "node long, total long, extra long")
 
 
-def _crowds(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """node and crowd: how many rows its buckets hold. The text that the others are copies of stands out."""
-    return rows.select("band", "node").join(sizes.select("band", "n"), "band").groupBy("node").agg(F.sum("n").alias("crowd"))
+def _within_reach(rare_a=0, rare_b=0):
+    """Whether a and b can be similar: shares of common shingles, and of the rare ones that both hold."""
 
+    def share(own: str, other: str, rare):
+        most = F.least(F.col(f"{own}.common"), F.col(f"{other}.common") - F.col(f"{other}.common_extra") + F.col(f"{own}.extra"))
+        return F.least(F.lit(1.0), (most + rare) / F.col(f"{own}.total"))
 
-def similar_links(representatives: DataFrame, texts_of) -> DataFrame:
-    """Verified links (a, b) between the nodes of ``representatives`` (node, bands, ...).
+    p, q = share("a", "b", rare_a), share("b", "a", rare_b)
+    return (p > 0) & (q > 0) & (1 / p + 1 / q <= 1 / SIMILARITY + 1 + SLACK)
+
+
+def _pairs_within_reach(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``rows`` (band, node, label, main) with different labels that share a band and can be similar."""
+    own = texts.join(rows.select("node").distinct(), "node", "left_semi")
+    spread = _shingle_rows(own)
+    rare = spread.groupBy("x").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
+    held = reliable_checkpoint(spread.join(rare, "x"))
+    lost = held.groupBy("node").agg(F.sum("w").alias("rare"), F.sum(F.col("w") - 1).alias("rare_extra"), F.sum(F.when(F.col("n") == 1, F.col("w")).otherwise(0)).alias("alone"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    sized = _set_sizes(own).join(lost, "node", "left").filter(F.col("total") - zero("alone") >= SIMILARITY * F.col("total") - SLACK)
+    sized = reliable_checkpoint(sized.select("node", "total", "extra", (F.col("total") - zero("rare")).alias("common"), (F.col("extra") - zero("rare_extra")).alias("common_extra")))
+    labels = rows.select("node", "label").distinct()
+    known = sized.join(labels, "node")
+
+    shared = held.filter("n > 1").join(sized.select("node"), "node", "left_semi")
+    met = shared.select("x", F.col("node").alias("a"), F.col("w").alias("wa")).join(shared.select("x", F.col("node").alias("b"), F.col("w").alias("wb")), "x").filter("a < b")
+    summed = met.groupBy("a", "b").agg(F.sum("wa").alias("wa"), F.sum("wb").alias("wb")).withColumnsRenamed({"a": "na", "b": "nb"})
+    by_rare = summed.join(known.alias("a"), F.col("na") == F.col("a.node")).join(known.alias("b"), F.col("nb") == F.col("b.node")).filter(F.col("a.label") != F.col("b.label"))
+    by_rare = by_rare.filter(_within_reach(F.col("wa"), F.col("wb"))).select(F.col("na").alias("a"), F.col("nb").alias("b"))
+
+    likely = rows.join(sized.filter(F.col("common") >= SIMILARITY * F.col("total") - SLACK), "node")
+    main = F.col("b.label") == F.col("b.main")
+    by_common = likely.filter("label <> main").alias("a").join(likely.alias("b"), F.col("a.band") == F.col("b.band"))
+    by_common = by_common.filter((F.col("a.label") != F.col("b.label")) & (main | (F.col("a.node") < F.col("b.node"))) & _within_reach())
+    ends = (F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    return by_common.select(*ends).distinct().unionByName(by_rare).distinct()
+
+
+def similar_links(representatives: DataFrame, texts_of) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between the nodes of ``representatives`` (node, bands, ...), and node, label of their components.
 
     ``texts_of(nodes)`` gives node, text for the nodes that share a bucket.
     """
     spread = representatives.select("node", F.explode("bands").alias("band"))
-    shared = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    held = reliable_checkpoint(spread.join(shared, "band").withColumn("label", F.col("node")))
+    sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    held = reliable_checkpoint(spread.join(sizes, "band"))
     texts = reliable_checkpoint(texts_of(held.select("node").distinct()))
-    n_rows = held.count()
-    links = tested = None
-    for step in range(STAR_ROUNDS + 1):
-        groups = held.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
-        sizes = groups.groupBy("band").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("n2"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        sizes = reliable_checkpoint(sizes.select("band", "n", ((F.col("n") * F.col("n") - F.col("n2")) / 2).alias("pairs")))
-        all_now = step == STAR_ROUNDS or (sizes.agg(F.sum("pairs")).first()[0] or 0) <= n_rows
-        whole = F.lit(True) if all_now else F.col("pairs") <= PAIRS_A_ROW * F.col("n")
-        open_rows = held.join(sizes.select("band", whole.alias("whole")), "band")
-        few = open_rows.filter("whole").select("band", F.col("node").alias("a"), F.col("label").alias("la"))
-        others = open_rows.filter("whole").select("band", F.col("node").alias("b"), F.col("label").alias("lb"))
-        pairs = few.join(others, "band").filter("a < b and la <> lb").select("a", "b")
-        if not all_now:
-            rest = open_rows.filter("not whole").drop("whole")
-            ranked = rest.join(_crowds(rest, sizes), "node") if step == 0 else rest.withColumn("crowd", F.lit(0))
-            pivots = ranked.groupBy("band").agg(F.max(F.struct(F.col("crowd"), F.xxhash64(F.lit(step), "node").alias("h"), F.col("node"), F.col("label"))).alias("p"))
-            star = rest.join(pivots, "band").filter(F.col("label") != F.col("p.label"))
-            pairs = pairs.unionByName(star.select(F.col("p.node").alias("a"), F.col("node").alias("b")))
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-        pairs = reliable_checkpoint(pairs)
-        found = reliable_checkpoint(_verify(pairs, texts))
-        links = found if links is None else links.unionByName(found)
-        if all_now:
-            return links
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        held = reliable_checkpoint(rest.drop("label").join(_relabelled(rest, found), "node"))
-        if held.isEmpty():
-            return links
-    return links
+    few, many = held.filter(F.col("n") <= SMALL), held.filter(F.col("n") > SMALL)
+    close = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").filter("a < b").select("a", "b")
+    crowds = many.groupBy("node").agg(F.sum("n").alias("crowd"))  # the text that the others are copies of stands out
+    pivots = many.join(crowds, "node").groupBy("band").agg(F.max(F.struct("crowd", F.xxhash64("node").alias("h"), "node")).alias("p"))
+    star = many.join(pivots, "band").select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).filter("a <> b")
+    links = reliable_checkpoint(_verify(reliable_checkpoint(close.unionByName(star).distinct()), texts))
+    labels = reliable_checkpoint(connected_components(links))
+
+    wide = many.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+    sides = wide.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
+    mixed_bands = sides.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("band", F.col("m.label").alias("main"))
+    undecided = reliable_checkpoint(wide.join(mixed_bands, "band"))
+    if undecided.isEmpty():
+        return links, labels
+    more = reliable_checkpoint(_verify(reliable_checkpoint(_pairs_within_reach(undecided, texts)), texts))
+    of = undecided.select("node", "label").distinct()
+    between = more.join(of.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(of.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    merged = connected_components(between.select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    every = labels.unionByName(more.select(F.explode(F.array("a", "b")).alias("node")).withColumn("label", F.col("node")))
+    every = every.groupBy("node").agg(F.min("label").alias("label"))  # a node without a link so far is its own label
+    renamed = every.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left")
+    return links.unionByName(more), reliable_checkpoint(renamed.select("node", F.coalesce("to", "label").alias("label")))
 
 
 def near_duplicate_classes(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
-    """row, doc_id, mark, class_id, class_size and is_kept for every row of ``docs``."""
+    """row, doc_id, mark, class_id, class_size, n_links and is_kept for every row of ``docs``.
+
+    ``n_links`` counts the verified links between the row's text and different texts; pairs whose
+    texts had a common class already were not compared.
+    """
     signed = reliable_checkpoint(signatures(docs, doc))
     folded = signed.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.min(F.struct("row", "doc_id", "mark", "bands")).alias("r"))
     representatives = reliable_checkpoint(folded.select("key", F.col("r.row").alias("node"), F.col("r.doc_id").alias("doc_id"), F.col("r.mark").alias("mark"), F.col("r.bands").alias("bands")))
@@ -234,21 +283,22 @@ def near_duplicate_classes(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame
         met = read.join(handles, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m")))
         return met.select("node", "text").dropDuplicates(["node"])
 
-    labels = connected_components(similar_links(representatives, texts_of))
-    named = representatives.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("class"))
-    members = signed.join(named, "key", "left").select("row", "doc_id", "mark", F.coalesce("class", F.col("row")).alias("class"))
+    links, labels = similar_links(representatives, texts_of)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    named = representatives.select("key", "node").join(labels, "node", "left").join(degree, "node", "left").select("key", "n_links", F.coalesce("label", "node").alias("class"))
+    members = signed.join(named, "key", "left").select("row", "doc_id", "mark", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class", F.col("row")).alias("class"))
     members = reliable_checkpoint(members)
     names = members.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"))
-    return members.join(names, "class").select("row", "doc_id", "mark", "class_id", "class_size", (F.col("row") == F.col("first.row")).alias("is_kept"))
+    return members.join(names, "class").select("row", "doc_id", "mark", "class_id", "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("is_kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """One document of each class: the one with the smallest id."""
-    mark, nth = free_name(docs, "text_mark"), free_name(docs, "nth_copy")
+    mark, nth, kept_id, kept_mark = (free_name(docs, c) for c in ("text_mark", "nth_copy", "kept_id", "kept_mark"))
     classes = reliable_checkpoint(near_duplicate_classes(docs, doc=doc))
-    kept = classes.filter("is_kept").select(F.col("doc_id").alias("kept_id"), F.col("mark").alias("kept_mark"))
+    kept = classes.filter("is_kept").select(F.col("doc_id").alias(kept_id), F.col("mark").alias(kept_mark))
     keyed = docs.withColumn(mark, F.xxhash64("text"))
-    once = keyed.join(kept, F.col(doc).cast("long").eqNullSafe(F.col("kept_id")) & (F.col(mark) == F.col("kept_mark")), "left_semi")
+    once = keyed.join(kept, F.col(doc).cast("long").eqNullSafe(F.col(kept_id)) & (F.col(mark) == F.col(kept_mark)), "left_semi")
     if classes.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         return once.select(*docs.columns)
     # rows that repeat id and text cannot be told apart by them: the first one stays
@@ -259,4 +309,4 @@ def drop_near_duplicates(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_duplicate_classes(docs).select("doc_id", "class_id", "class_size", "is_kept")
+    return near_duplicate_classes(docs).select("doc_id", "class_id", "class_size", "n_links", "is_kept")

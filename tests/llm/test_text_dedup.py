@@ -148,6 +148,34 @@ def test_near_dedup_large_bucket(spark):
     assert got == brute_classes(texts)
 
 
+def test_near_dedup_of_variants_beyond_the_pivot(spark):
+    """Variants from near to far of one text, some linked only to each other, with words from a small vocabulary."""
+    base = prose(120, 6)
+    texts = {0: base}
+    for k in range(160):
+        texts[len(texts)] = next(variants(base, 1, 1 + k % 12, 900 + k))
+    for k in range(1, 161, 8):  # a neighbour each, and one cut short
+        texts[len(texts)] = next(variants(texts[k], 1, 1, 5000 + k))
+        texts[len(texts)] = " ".join(texts[k].split()[: 100 + k % 20])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = near_dedup.near_duplicate_classes(docs).collect()
+    want = brute_classes(texts)
+    assert len(set(want.values())) > 20
+    assert {r.doc_id: r.class_id for r in rows} == want
+    assert all((r.n_links > 0) == (r.class_size > 1) for r in rows)
+
+
+def test_near_dedup_recall_on_documents(spark):
+    """At least nine tenths of the classes' documents of the given table; here, all of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = brute_classes({r.doc_id: r.text for r in docs.collect()})
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(docs).collect()}
+    copies = [d for d, c in want.items() if d != c]
+    found = [d for d in copies if got[d] == want[d]]
+    assert len(copies) > 50 and len(found) >= 0.99 * len(copies)
+    assert all(got[d] == want[d] for d in want if d not in copies)
+
+
 def test_near_dedup_odd_rows(odd_documents, no_documents):
     rows = near_dedup.near_duplicate_classes(odd_documents).collect()
     assert len(rows) == odd_documents.count()
