@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -126,8 +127,25 @@ def tokens_of(texts):
 def test_word_encoder_equals_the_tokenizer():
     texts = ["", "a", " a", "a ", "  a", "a  b\n c", "x\n\n y", "don't you'll 12 3,4 é ñ", "a\tb \tc", "\n", "   ", "nul\u0000 x", "a\u0085 b \x1c c", "日本語 \U0001f600 ok", "<|endoftext|> a<|endoftext|>b", prose(500, 1)]
     encode = packing.WordEncoder(packing.tokenizer_path())
-    for _ in range(2):
-        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [x[:-1].tolist() for x in tokens_of(texts)]
+    for again in range(3):
+        if again == 2:
+            encode._forget()
+            texts = texts[::-1]
+        ids, totals = encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(totals)[:-1])] == [x.tolist() for x in tokens_of(texts)]
+    ids, totals = encode(pa.array([*texts, None, "b c"]).slice(3, len(texts) - 1))
+    assert ids.tolist() == np.concatenate(tokens_of([*texts[3:], "", "b c"])).tolist()
+
+
+def test_packing_groups_are_bounded_by_pieces(spark, monkeypatch):
+    """Three very long documents make many pieces, and so several groups."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    docs = spark.createDataFrame([(i, prose(60_000, i)) for i in range(3)], "doc_id long, text string")
+    rows = packing.packed_documents(docs).collect()
+    groups = [r.sequence_id >> 32 for r in rows]
+    assert len(rows) > 300 and len(set(groups)) >= 6
+    assert max(groups.count(g) for g in set(groups)) < 100
+    check_packing({i: prose(60_000, i) for i in range(3)}, rows)
 
 
 def check_packing(source, rows):
