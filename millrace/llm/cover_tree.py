@@ -1,20 +1,27 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Queries and data are each dealt into blocks of bounded size. For every pair of
-blocks one task builds a cover tree over the data block and one over the query
-block and walks both together: a pair of nodes is skipped if no vector of the
-one can reach, with any query of the other, that query group's worst k-th score.
-The bound comes from centres and covering radii,
+Vectors are dealt to the nearest of up to ``PIVOTS`` sampled vectors, and within a
+pivot to blocks of bounded size by a hash, so a block is a region of space and a
+dense region is several blocks. A block is known by its pivot (the centre), its
+covering radius and its longest vector. Each block of queries first meets the data
+block with the best bound; that gives every query a k-th score, and then it meets
+only the data blocks whose bound reaches the worst of these. For a pair of blocks
+one task builds a cover tree over either side and walks both together: a pair of
+nodes is skipped if no vector of the one can reach, with any query of the other,
+that query group's worst k-th score. The bound comes from centres and covering
+radii,
 
     <q, p> <= <cq, cp> + rq |cp| + rp |cq| + rq rp
     <q, p> <= (|q|max^2 + |p|max^2 - max(0, |cq - cp| - rq - rp)^2) / 2,
 
-whichever is smaller. Leaves meet in one matrix product. A window merges the
+whichever is smaller. Leaves meet in one matrix product. A node whose points
+keep so far apart that a cover would need a centre for nearly each of them stays a
+leaf: its children could not be told apart by any bound. A window merges the
 blocks' best k a query; it limits rows before its shuffle.
 
 Vectors that occur many times are folded first: of equal vectors only the k + 1
 smallest ids can be among anyone's k best (one of them may be the query), so the
-others cannot change a result. Scores are exact: products stay below 2**48 in
+others cannot change a result. Scores are exact: products stay below 2**46 in
 double arithmetic, larger components are scored with Python integers.
 
 Defined results: vectors that are null or hold null or non-finite components,
@@ -26,16 +33,23 @@ clipped; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import hash128
+from millrace.llm.common import hash128, reliable_checkpoint
 
-DATA_BLOCK, QUERY_BLOCK, LEAF, BASE = 1024, 1024, 32, 1.6
-CODE_BITS = 14  # room for a row's number in a block, at the low end of a sort key
-EXACT = 2**48
+DATA_BLOCK, QUERY_BLOCK, LEAF, BASE = 8192, 1024, 64, 1.6
+PIVOTS = 256
+FEW_CENTRES = 16  # after so many, a cover must hold a quarter of the points, or its node stays a leaf
+CODE_BITS = 16  # room for a row's number in a block, at the low end of a sort key
+COLUMNS = 2048  # of a leaf, scored at once
+EXACT = 2**46
+NONE = -(2**63)  # no k-th score yet
 
 
 class CoverTree:
@@ -75,21 +89,29 @@ class CoverTree:
                 self.children[parent].append(node)
             if len(points) <= LEAF or radius == 0:
                 continue
-            reach, rest, far = radius / BASE, points, distance
+            reach, rest, far, children = radius / BASE, points, distance, []
             while len(rest):
                 near = far <= reach
-                todo.append((rest[near], centre, far[near], node))
+                children.append((rest[near], centre, far[near], node))
                 rest = rest[~near]
+                if len(children) == FEW_CENTRES and 4 * len(rest) > 3 * len(points):
+                    children = []
+                    break
                 if len(rest):
                     centre = int(rest[0])
                     far = self._distance(centre, rest)
+            todo += children
         return 0
 
 
-def dual_tree_top_k(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, dict]:
-    """Sort keys and row numbers of each query's best k; ``data_ids`` ascend. Also counts of the work done."""
+def dual_tree_top_k(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
+    """Sort keys and scores of each query's best k; ``data_ids`` ascend. Also counts of the work done.
+
+    Scores below a query's ``floor`` need not be found.
+    """
     nothing = np.iinfo(np.int64).min
     best = np.full((len(queries), k), nothing, np.int64)
+    least = np.full(len(queries), nothing, np.int64) if floor is None else floor << CODE_BITS
     code = (1 << CODE_BITS) - 1 - np.arange(len(data), dtype=np.int64)
     q, p = CoverTree(queries), CoverTree(data)
     work = {"leaf_pairs": 0, "pruned": 0}
@@ -105,21 +127,21 @@ def dual_tree_top_k(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray
     while todo:
         most, a, b = todo.pop()
         rows = q.points[a]
-        worst = int(best[rows, k - 1].min())
+        worst = int(np.maximum(best[rows, k - 1], least[rows]).min())
         if worst != nothing and most + 1e-6 * abs(most) + 1 < worst >> CODE_BITS:
             work["pruned"] += 1
             continue
         kids_a, kids_b = q.children[a], p.children[b]
         if not kids_a and not kids_b:
             work["leaf_pairs"] += 1
-            cols = p.points[b]
-            keys = (np.rint(queries[rows] @ data[cols].T).astype(np.int64) << CODE_BITS) + code[cols]
-            keys[query_ids[rows][:, None] == data_ids[cols][None, :]] = nothing
-            both = np.concatenate([best[rows], keys], axis=1)
-            if both.shape[1] > k:
-                both = -np.partition(-np.maximum(both, nothing + 1), k - 1, axis=1)[:, :k]
-            best[rows] = -np.sort(-np.maximum(both, nothing + 1), axis=1)[:, :k]
-            best[best == nothing + 1] = nothing
+            for lo in range(0, len(p.points[b]), COLUMNS):
+                cols = p.points[b][lo : lo + COLUMNS]
+                keys = (np.rint(queries[rows] @ data[cols].T).astype(np.int64) << CODE_BITS) + code[cols]
+                keys[(query_ids[rows][:, None] == data_ids[cols][None, :]) | (keys < least[rows][:, None])] = nothing
+                both = np.concatenate([best[rows], keys], axis=1)
+                if both.shape[1] > k:
+                    both = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                best[rows] = np.sort(both, axis=1)[:, ::-1]
         elif kids_b and (not kids_a or p.radius[b] >= q.radius[a]):
             todo += sorted((bound(a, c), a, c) for c in kids_b)
         else:
@@ -135,11 +157,15 @@ def _block_top_k(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFram
         a, b = (np.stack(x["q"].to_list()).reshape(len(x), -1) for x in (left, right))
         top = max(int(np.abs(a.astype(object)).max()) if a.size else 0, int(np.abs(b.astype(object)).max()) if b.size else 0)
         if top * top * max(1, a.shape[1]) < EXACT:
-            best, scores, _ = dual_tree_top_k(a.astype(np.float64), lids, b.astype(np.float64), rids, k)
-            filled = best != np.iinfo(np.int64).min
-            rows, _ = np.nonzero(filled)
-            columns = (1 << CODE_BITS) - 1 - (best[filled] & ((1 << CODE_BITS) - 1))
-            return pd.DataFrame({"query_id": lids[rows], "vec_id": rids[columns], "score": scores[filled]})
+            parts, reach = [], 1 << CODE_BITS
+            floor = np.clip(left["floor"].to_numpy(), -EXACT, EXACT)
+            for lo in range(0, len(b), reach):
+                own = rids[lo : lo + reach]
+                best, scores, _ = dual_tree_top_k(a.astype(np.float64), lids, b[lo : lo + reach].astype(np.float64), own, k, floor)
+                filled = best != np.iinfo(np.int64).min
+                rows, _ = np.nonzero(filled)
+                parts.append(pd.DataFrame({"query_id": lids[rows], "vec_id": own[reach - 1 - (best[filled] & (reach - 1))], "score": scores[filled]}))
+            return pd.concat(parts)
         for i, v in enumerate(a.astype(object)):
             scored = sorted((-int(s), int(r)) for s, r in zip(b.astype(object) @ v, rids, strict=True) if r != lids[i])[:k]
             for s, r in scored:
@@ -156,24 +182,84 @@ def quantized(vectors: DataFrame) -> DataFrame:
     return kept.select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024).cast("long")).alias("q"))
 
 
-def top_k(vectors: DataFrame, *, is_query, k: int = 10, n_vectors: int | None = None) -> DataFrame:
+def _dealt(vectors: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
+    """``vectors`` (vec_id, q, is_query) with dim, pivot (-1: none of that length), distance from it and norm."""
+    by_length = {n: [i for i, p in enumerate(pivots) if len(p) == n] for n in {len(p) for p in pivots}}
+    centres = {n: np.stack([pivots[i] for i in own]) for n, own in by_length.items()}
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            values, ends = lists.values.to_numpy().astype(float)[ends[0] : ends[-1]], ends - ends[0]
+            size = np.diff(ends)
+            pivot, distance, norm = np.full(len(size), -1, np.int64), np.zeros(len(size)), np.zeros(len(size))
+            for n in np.unique(size).tolist():
+                rows = np.flatnonzero(size == n)
+                x = values[ends[rows][:, None] + np.arange(n)]
+                norm[rows] = np.sqrt((x * x).sum(1))
+                if n in centres:
+                    c = centres[n]
+                    near = ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
+                    pivot[rows] = np.array(by_length[n])[near]
+                    distance[rows] = np.sqrt(((x - c[near]) ** 2).sum(1))
+            more = (pa.array(size), pa.array(pivot), pa.array(distance), pa.array(norm))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=["vec_id", "q", "is_query", "dim", "pivot", "distance", "norm"])
+
+    return vectors.mapInArrow(nearest, "vec_id long, q array<long>, is_query boolean, dim long, pivot long, distance double, norm double")
+
+
+def _in_blocks(dealt: DataFrame, size: int, salt: int) -> tuple[DataFrame, DataFrame]:
+    """``dealt`` with ``block``, about ``size`` rows each, and a row for each block: dim, pivot, block, radius, longest."""
+    counts = dealt.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) * 5 / (4 * size)).alias("blocks"))
+    own = dealt.join(counts, ["dim", "pivot"]).withColumn("block", F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.col("blocks"))).drop("blocks")
+    return own, own.groupBy("dim", "pivot", "block").agg(F.max("distance").alias("radius"), F.max("norm").alias("longest"))
+
+
+def _bounded_pairs(queries: DataFrame, data: DataFrame, pivots: list[np.ndarray]) -> DataFrame:
+    """dim, qp, qb, dp, db and the bound on any score between a block of queries and a block of data."""
+    spark = queries.sparkSession
+    near = [(i, j, float(a @ b), float(np.sqrt(a @ a)), float(np.sqrt(b @ b))) for i, a in enumerate(pivots) for j, b in enumerate(pivots) if len(a) == len(b)]
+    centres = spark.createDataFrame(near, "qp long, dp long, dot double, nq double, nd double")
+    left = queries.select("dim", F.col("pivot").alias("qp"), F.col("block").alias("qb"), F.col("radius").alias("rq"), F.col("longest").alias("lq"))
+    right = data.select("dim", F.col("pivot").alias("dp"), F.col("block").alias("db"), F.col("radius").alias("rd"), F.col("longest").alias("ld"))
+    met = left.join(right, "dim").join(centres, ["qp", "dp"], "left")
+    apart = F.greatest(F.lit(0.0), F.sqrt(F.greatest(F.lit(0.0), F.expr("nq * nq + nd * nd - 2 * dot"))) - F.expr("rq + rd"))
+    bound = F.least(F.expr("dot + rq * nd + rd * nq + rq * rd"), (F.expr("lq * lq + ld * ld") - apart * apart) / 2)
+    bound = F.coalesce(F.when(F.col("dot").isNotNull(), bound), F.expr("lq * ld"))
+    return met.select("dim", "qp", "qb", "dp", "db", (bound + 1e-6 * F.abs(bound) + 1).alias("bound"))
+
+
+def top_k(vectors: DataFrame, *, is_query, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score for the rows of ``vectors`` (vec_id, q) that ``is_query`` holds for."""
-    n = vectors.count() if n_vectors is None else n_vectors
-    data_blocks, query_blocks = max(1, -(-n // DATA_BLOCK) * 5 // 4), 1
-    vectors = vectors.dropDuplicates(["vec_id", "q"])
-    queries = vectors.filter(is_query)
-    query_blocks = max(1, -(-queries.count() // QUERY_BLOCK) * 5 // 4)
+    vectors = reliable_checkpoint(vectors.dropDuplicates(["vec_id", "q"]).withColumn("is_query", F.coalesce(is_query, F.lit(False))))
+    n_pivots = min(PIVOTS, -(-vectors.count() // DATA_BLOCK))
+    pivots = [np.array(r["q"], float) for r in vectors.select("q", F.xxhash64(F.lit(3), "q").alias("h")).distinct().orderBy("h", "q").limit(n_pivots).collect()]
+    dealt = reliable_checkpoint(_dealt(vectors, pivots))
     h1, h2 = hash128(F.col("q"))
     same = Window.partitionBy("h1", "h2").orderBy("vec_id")
-    folded = vectors.withColumns({"h1": h1, "h2": h2}).withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).select("vec_id", "q")
-    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("vec_id", "q", F.size("q").alias("dim"), deal(query_blocks, 1).alias("qb"), every(data_blocks).alias("db"))
-    right = folded.select("vec_id", "q", F.size("q").alias("dim"), deal(data_blocks, 2).alias("db"), every(query_blocks).alias("qb"))
-    met = left.groupBy("qb", "db", "dim").cogroup(right.groupBy("qb", "db", "dim"))
-    found = met.applyInPandas(lambda a, b: _block_top_k(a, b, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    folded = dealt.withColumns({"h1": h1, "h2": h2}).withColumn("nth", F.row_number().over(same)).filter(F.col("nth") <= k + 1).drop("h1", "h2", "nth")
+    queries, query_blocks = _in_blocks(dealt.filter("is_query"), QUERY_BLOCK, 1)
+    data, data_blocks = _in_blocks(folded, DATA_BLOCK, 2)
+    queries = queries.select("dim", F.col("pivot").alias("qp"), F.col("block").alias("qb"), "vec_id", "q")
+    data = data.select("dim", F.col("pivot").alias("dp"), F.col("block").alias("db"), "vec_id", "q")
+    pairs = reliable_checkpoint(_bounded_pairs(query_blocks, data_blocks, pivots))
+    best_first = Window.partitionBy("dim", "qp", "qb").orderBy(F.desc("bound"), "dp", "db")
+    pairs = pairs.withColumn("nth", F.row_number().over(best_first))
+    key, order = ["dim", "qp", "qb", "dp", "db"], Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    ranked = lambda found: found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def met(pairs: DataFrame, queries: DataFrame) -> DataFrame:
+        left = pairs.select(*key).join(queries, ["dim", "qp", "qb"]).groupBy(*key)
+        right = pairs.select(*key).join(data, ["dim", "dp", "db"]).select(*(F.col(c).alias(f"{c}_") for c in key), "vec_id", "q")
+        return ranked(left.cogroup(right.groupBy(*(f"{c}_" for c in key))).applyInPandas(lambda a, b: _block_top_k(a, b, k), "query_id long, vec_id long, score long"))
+
+    first = reliable_checkpoint(met(pairs.filter("nth = 1"), queries.withColumn("floor", F.lit(NONE))))
+    kth = first.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("kth"))
+    floored = reliable_checkpoint(queries.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("kth", F.lit(NONE))).drop("kth"))
+    worst = floored.groupBy("dim", "qp", "qb").agg(F.min("floor").alias("worst"))
+    rest = pairs.filter("nth > 1").join(worst, ["dim", "qp", "qb"]).filter((F.col("worst") == NONE) | (F.col("bound") >= F.col("worst")))
+    return ranked(first.drop("rank").unionByName(met(rest, floored).drop("rank")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

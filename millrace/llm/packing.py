@@ -106,7 +106,7 @@ class WordEncoder:
 
     def _units_of(self, words: pa.Array) -> np.ndarray:
         coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         new = [w for w in distinct if w not in self.known]
         if "" in new:
             new.remove("")

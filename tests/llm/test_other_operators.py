@@ -86,6 +86,25 @@ def test_repeated_rows_count_once(spark, duck):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_top_k_over_many_blocks(spark, monkeypatch):
+    """Clustered vectors, ties and a repeated row in the top ten: equal to brute force, and most pairs of blocks are ruled out."""
+    monkeypatch.setattr(cover_tree, "DATA_BLOCK", 64)
+    monkeypatch.setattr(cover_tree, "QUERY_BLOCK", 8)
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(20, 6)) * 8
+    vectors = [(i, [float(x) for x in np.float32(centres[i // 7 % 20] + r.normal(size=6) * 0.05)]) for i in range(2000)]
+    vectors += [(3000, vectors[0][1])] * 12 + [(3001 + i, vectors[1][1]) for i in range(15)]
+    df = cover_tree.quantized(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"))
+    met = []
+    block_top_k = cover_tree._bounded_pairs
+    monkeypatch.setattr(cover_tree, "_bounded_pairs", lambda *a: met.append(block_top_k(*a)) or met[-1])
+    got = cover_tree.top_k(df, is_query=F.col("vec_id") % 100 == 0)
+    assert sorted(map(tuple, got.collect())) == [(q, n, i, s) for q, n, i, s in brute_top(vectors)]
+    pairs = met[0].collect()
+    score = {r.query_id: r.score for r in got.filter("rank = 10").collect()}
+    assert len(pairs) > 100 and sum(p.bound >= min(score.values()) for p in pairs) < len(pairs) / 2
+
+
 def test_dual_tree_prunes_and_is_exact():
     r = np.random.default_rng(3)
     centres = r.normal(size=(30, 8)) * 3000
