@@ -50,6 +50,8 @@ CONTEXT = REACH + LENGTH
 SLICE_BYTES, CHUNK_ROWS = 1 << 20, 150_000
 LEFT_PAD, RIGHT_PAD = 0xFF, 0xFE  # bytes that UTF-8 never uses
 ALONE, REPEATED, WITNESS = 0, 1, 2
+MARK_BITS = 30  # of a text's hash, in a shuffled key: a handle only, texts are told apart by the whole hash
+OCCURRENCE = np.dtype([("did", "<i8"), ("mark", "<i8"), ("at", "<i4")])
 NO_ID = -(2**63)
 
 _RNG = np.random.default_rng(77)
@@ -121,7 +123,7 @@ def _texts(column) -> list[bytes]:
 
 
 def _find_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, did, packed (mark, position, kind) of the synchronising positions of (did, mark, text)."""
+    """key, did, packed (m, position, kind) of the synchronising positions of (did, m, text)."""
     for batch in batches:
         dids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
         texts = _texts(batch.column(2))
@@ -138,7 +140,7 @@ def _find_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, row, place = np.concatenate(keys).view(np.int64), np.concatenate(rows), np.concatenate(places)
         same, index, count = np.unique(key, return_inverse=True, return_counts=True)
         many = count[index] > 1
-        packed = (marks[row] << 34) | (place << 2) | np.where(many, REPEATED, ALONE)
+        packed = (marks[row] << 33) | (place << 2) | np.where(many, REPEATED, ALONE)
         spread = (dids[row] * np.int64(0x2545F4914F6CDD1D)) ^ place  # known to be repeated: any partition will do
         witnesses = same[count > 1]
         yield pa.RecordBatch.from_arrays(
@@ -148,15 +150,18 @@ def _find_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, context and occurrences (did, mark and place) of the wanted positions of (did, mark, text, places)."""
+    """key, context and occurrences of the wanted positions of (did, mark, text, places, copies); copies are marks to leave out."""
     offsets = np.arange(-REACH, LENGTH)
     for batch in batches:
         dids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
         texts, places = _texts(batch.column(2)), batch.column(3).to_pylist()
         leaves: dict[bytes, list[bytes]] = {}
-        for did, mark, text, wanted in zip(dids.tolist(), marks.tolist(), texts, places, strict=True):
+        for did, mark, text, wanted, copies in zip(dids.tolist(), marks.tolist(), texts, places, batch.column(4).to_pylist(), strict=True):
+            if copies and mark in copies:
+                continue
             raw = np.frombuffer(text, np.uint8)
             at = np.unique(np.asarray(wanted, np.int64))
+            at = at[at < len(raw)]
             for lo in range(0, len(at), 4096):
                 some = at[lo : lo + 4096]
                 index = some[:, None] + offsets
@@ -164,9 +169,11 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 context[index < 0] = LEFT_PAD
                 context[index >= len(raw)] = RIGHT_PAD
                 blob = context.tobytes()
-                who = np.stack([np.full(len(some), did), (mark << 32) | some], axis=1).tobytes()
+                who = np.zeros(len(some), OCCURRENCE)
+                who["did"], who["mark"], who["at"] = did, mark, some
+                size, who = OCCURRENCE.itemsize, who.tobytes()
                 for i in range(len(some)):
-                    leaves.setdefault(blob[i * CONTEXT : (i + 1) * CONTEXT], []).append(who[16 * i : 16 * i + 16])
+                    leaves.setdefault(blob[i * CONTEXT : (i + 1) * CONTEXT], []).append(who[size * i : size * i + size])
         contexts = list(leaves)
         matrix = np.frombuffer(b"".join(contexts), np.uint8).reshape(-1, CONTEXT)
         key = np.zeros(len(contexts), np.uint64)
@@ -201,19 +208,18 @@ def _nearest_earlier(common: list[int], rank: list[int], best: list[int], order:
         stack.append((rank[i], shared))
 
 
-def covered_by_repeats(keys: np.ndarray, context: np.ndarray, owner: np.ndarray, did: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covered_by_repeats(keys: np.ndarray, context: np.ndarray, owner: np.ndarray, did: np.ndarray, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Occurrences (by number) and the byte spans that maximal repeats cover in them.
 
-    Leaves have a seed key and a context; occurrence i belongs to leaf owner[i].
-    ``place`` holds the text mark above its lowest 32 bits, the position.
+    Leaves have a seed key and a context; occurrence i, at position at[i] of the text
+    that did[i] and mark[i] name, belongs to leaf owner[i].
     """
     left, right = context[:, REACH - 1 :: -1] if REACH else context[:, :0], context[:, REACH:]
-    at = place & 0xFFFFFFFF
     has_left = (left != LEFT_PAD).argmin(axis=1)
     has_left = np.where((left != LEFT_PAD).all(axis=1), REACH, has_left)
     has_right = np.where((right != RIGHT_PAD).all(axis=1), LENGTH, (right != RIGHT_PAD).argmin(axis=1))
-    by_place = np.lexsort((place, did))
-    new = np.concatenate([[True], (np.diff(did[by_place]) != 0) | (np.diff(place[by_place]) != 0)])
+    by_place = np.lexsort((at, mark, did))
+    new = np.append(True, np.any([x[by_place][1:] != x[by_place][:-1] for x in (did, mark, at)], axis=0))
     rank_of = np.empty(len(did), np.int64)
     rank_of[by_place] = np.cumsum(new)
     by_leaf = np.lexsort((rank_of, owner))
@@ -290,10 +296,11 @@ def _scan_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = table.column(0).to_numpy()
         context = np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint8).reshape(-1, CONTEXT)
         lists = table.column(2).to_pylist()
-        flat = np.frombuffer(b"".join(lists), np.int64).reshape(-1, 2)
-        owner = np.repeat(np.arange(len(lists)), [len(x) // 16 for x in lists])
-        hit, begin, end = covered_by_repeats(keys, context, owner, flat[:, 0], flat[:, 1])
-        yield pa.RecordBatch.from_arrays([pa.array(flat[hit, 0]), pa.array(flat[hit, 1] >> 32), pa.array(begin), pa.array(end)], names=["did", "mark", "begin", "end"])
+        flat = np.frombuffer(b"".join(lists), OCCURRENCE)
+        did, mark, at = (flat[c].astype(np.int64) for c in ("did", "mark", "at"))
+        owner = np.repeat(np.arange(len(lists)), [len(x) // OCCURRENCE.itemsize for x in lists])
+        hit, begin, end = covered_by_repeats(keys, context, owner, did, mark, at)
+        yield pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(mark[hit]), pa.array(begin), pa.array(end)], names=["did", "mark", "begin", "end"])
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -310,13 +317,13 @@ def _scan_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The kept bytes and the maximal removed runs of (doc_id, text, spans)."""
+    """The kept bytes and the maximal removed runs of (doc_id, text, spans, mark)."""
     span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         texts, kept, runs = _texts(batch.column(1)), [], []
-        for text, spans in zip(texts, batch.column(2).to_pylist(), strict=True):
+        for text, spans, mark in zip(texts, batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             merged: list[list[int]] = []
-            for s in sorted((x["begin"], x["end"]) for x in spans or ()):
+            for s in sorted((x["begin"], x["end"]) for x in spans or () if x["mark"] == mark):
                 if merged and s[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], s[1])
                 else:
@@ -337,21 +344,24 @@ def _later_copies(keyed: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """doc_id, n_bytes, kept (binary) and removed (array of byte spans) for every row of ``docs``."""
-    keyed = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64("text").bitwiseAND(0xFFFF).alias("mark"), F.col("text"))
-    seeds = keyed.mapInArrow(_find_seeds, "key long, did long, packed long")
+    read = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64("text").alias("mark"), F.col("text"))
+    handle_of = lambda mark: F.col(mark).bitwiseAND((1 << MARK_BITS) - 1)
+    keyed = read.withColumn("m", handle_of("mark"))
+    seeds = keyed.select("did", "m", "text").mapInArrow(_find_seeds, "key long, did long, packed long")
     counted = seeds.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key")))
     kind = F.col("packed").bitwiseAND(3)
     wanted = counted.filter((kind == REPEATED) | ((kind == ALONE) & (F.col("n") > 1)))
-    unpacked = wanted.select(F.col("did").alias("d"), F.shiftright("packed", 34).alias("m"), F.shiftright("packed", 2).bitwiseAND(0xFFFFFFFF).alias("place"))
-    copies = _later_copies(keyed)
-    places = unpacked.groupBy("d", "m").agg(F.collect_list("place").alias("places")).join(copies, ["d", "m"], "left_anti")
-    same = (F.col("did") == F.col("d")) & (F.col("mark") == F.col("m"))
-    met = keyed.join(places, same).select("did", "mark", "text", "places")
+    unpacked = wanted.select(F.col("did").alias("d"), F.shiftright("packed", 33).alias("h"), F.shiftright("packed", 2).bitwiseAND(0x7FFFFFFF).alias("place"))
+    copies = _later_copies(read)
+    left_out = copies.groupBy("d", handle_of("m").alias("h")).agg(F.collect_set("m").alias("copies"))
+    places = unpacked.groupBy("d", "h").agg(F.collect_list("place").alias("places")).join(left_out, ["d", "h"], "left")
+    same = (F.col("did") == F.col("d")) & (F.col("m") == F.col("h"))
+    met = keyed.join(places, same).select("did", "mark", "text", "places", "copies")
     leaves = met.mapInArrow(_neighbourhoods, "key long, context binary, occurrences binary")
     covered = leaves.repartition("key").sortWithinPartitions("key").mapInArrow(_scan_array, "did long, mark long, begin long, end long")
     covered = covered.unionByName(copies.select(F.col("d").alias("did"), F.col("m").alias("mark"), F.lit(0).cast("long").alias("begin"), "end"))
-    spans = covered.groupBy(F.col("did").alias("d"), F.col("mark").alias("m")).agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    out = keyed.join(spans, same, "left").select("did", "text", "spans")
+    spans = covered.groupBy(F.col("did").alias("d"), handle_of("mark").alias("h")).agg(F.collect_list(F.struct("mark", "begin", "end")).alias("spans"))
+    out = keyed.join(spans, same, "left").select("did", "text", "spans", "mark")
     stripped = out.mapInArrow(_strip, "doc_id long, n_bytes long, kept binary, removed array<struct<begin:long,end:long>>")
     return stripped.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
