@@ -5,9 +5,11 @@ literal tokens that any URL it matches must hold. One grouped aggregation counts
 how often those literals occur in the URLs; each rule is then filed under its
 rarest one. A URL looks up its own tokens and runs only the expressions found.
 
-The lookup table is part of the plan (a map literal of at most ``MAX_RULES``
-rules, a configured bound), so judging is one narrow projection: no join, no
-shuffle, and a host that owns a third of the URLs costs what any other costs.
+Up to ``MAX_RULES`` rules the lookup table is part of the plan (a map literal), so
+judging is one narrow projection: no join, no shuffle, and a host that owns a third
+of the URLs costs what any other costs. More rules are a table: the tokens of each
+distinct URL join it, the candidates' expressions run behind the join, and the best
+rule of a URL is joined back (adaptive execution splits a frequent token or URL).
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and the default verdict; repeated rows are judged one by one; an empty table
@@ -23,6 +25,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import free_names
+
 MAX_RULES = 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
@@ -107,8 +111,12 @@ def index_by_rarest(rules: Sequence[Rule], counts: dict[str, int]) -> dict[str,
 
 def judge(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule and verdict; these replace columns of the same name."""
-    if not rules or len(rules) > MAX_RULES:
-        raise ValueError(f"between 1 and {MAX_RULES} rules")
+    if not rules:
+        raise ValueError("at least one rule")
+    source = F.col(url)
+    out = pages.withColumns({"host": host_of(source), "path": path_of(source)}) if url not in ("host", "path") else pages
+    if len(rules) > MAX_RULES:
+        return _judge_by_join(out, rules, default)
     index = index_by_rarest(rules, literal_counts(pages, rules, url))
 
     def literal(r: Rule) -> Column:
@@ -122,8 +130,6 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", default:
 
     filed = F.create_map(*(x for token, own in sorted(index.items()) for x in (F.lit(token), F.array(*map(literal, own)))))
     keys = F.array(*(F.lit(t) for t in sorted(index)))
-    source = F.col(url)
-    out = pages.withColumns({"host": host_of(source), "path": path_of(source)}) if url not in ("host", "path") else pages
     subject = F.concat("host", "path")
     fetched = F.array_intersect(F.split(subject, TOKEN_GAP), keys)
     candidates = F.flatten(F.transform(fetched, lambda t: F.try_element_at(filed, t)))
@@ -132,6 +138,25 @@ def judge(pages: DataFrame, rules: Sequence[Rule], *, url: str = "url", default:
     return out.withColumns({"rule": best["label"], "verdict": F.coalesce(best["verdict"], F.lit(default))})
 
 
+def _judge_by_join(out: DataFrame, rules: Sequence[Rule], default: str) -> DataFrame:
+    """``out`` (with host and path) judged by a table of rules."""
+    spark, (subject, found) = out.sparkSession, free_names(out, "subject", "found")
+    if not all(r.literals for r in rules):
+        raise ValueError("a rule needs a literal token")
+    keyed = out.withColumn(subject, F.concat("host", "path"))
+    urls = keyed.select(F.col(subject).alias("u")).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    tokens = urls.select("u", "n", F.explode(F.array_distinct(F.split("u", TOKEN_GAP))).alias("token"))
+    rows = [(i, int(r.label is not None), r.length, r.label, r.verdict, r.pattern) for i, r in enumerate(rules)]
+    table = spark.createDataFrame(rows, "id long, explicit int, length int, label string, verdict string, pattern string")
+    literals = spark.createDataFrame([(i, t) for i, r in enumerate(rules) for t in set(r.literals)], "id long, token string")
+    counts = tokens.join(literals.select("token").distinct(), "token").groupBy("token").agg(F.sum("n").alias("n"))
+    rarest = literals.join(counts, "token", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token"))["token"].alias("token"))
+    candidates = tokens.select("u", "token").join(rarest.join(table, "id"), "token").filter(F.regexp_like("u", F.col("pattern")))
+    best = candidates.groupBy("u").agg(F.max(F.struct("explicit", "length", "label", "verdict", "pattern")).alias(found)).withColumnRenamed("u", subject)
+    kept = [c for c in out.columns if c not in ("rule", "verdict")]
+    return keyed.join(best, subject, "left").select(*kept, F.col(found)["label"].alias("rule"), F.coalesce(F.col(found)["verdict"], F.lit(default)).alias("verdict"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     from millrace.llm.common import table
 
