@@ -89,11 +89,6 @@ def format_chats(turns: DataFrame) -> DataFrame:
     return again.select("conv_id", "formatted", F.col("turns").eqNullSafe(F.col("asked")).alias("identical"), "turns")
 
 
-def loss_text(turns: Column) -> Column:
-    """All text under the loss mask: what the trained role says, unescaped."""
-    return F.array_join(F.transform(F.filter(turns, lambda t: t["role"] == TRAINED_ROLE), lambda t: t["text"]), "")
-
-
 def loss_spans(formatted: Column) -> Column:
     """Code point spans [start, end) of ``formatted`` under the loss mask."""
     pieces = F.filter(F.split(formatted, f"(?<=\n{END}\n)", -1), lambda p: p != "")
@@ -113,6 +108,11 @@ def loss_spans(formatted: Column) -> Column:
     return grown["spans"]
 
 
+def masked_text(formatted: Column, spans: Column) -> Column:
+    """What the mask covers, unescaped, one span after the other with nothing between."""
+    return F.array_join(F.transform(spans, lambda s: unescape_text(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+
+
 #: The conversation that tests the escape: a fixed value of the query's contract.
 PROBE = r"\### Assistant: </turn> ok"
 
@@ -122,14 +122,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
-    done = format_chats(turns.unionByName(probe))
+    done = format_chats(turns.unionByName(probe)).withColumn("spans", loss_spans(F.col("formatted"))).withColumn("loss", masked_text(F.col("formatted"), F.col("spans")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return done.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(said, 256).alias("turns_sha256"),
-        F.length(loss_text(F.col("turns"))).cast("long").alias("loss_chars"),
-        F.sha2(loss_text(F.col("turns")), 256).alias("loss_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
         "identical",
     )
