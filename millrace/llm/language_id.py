@@ -3,7 +3,8 @@
 For every language l the log posterior is the sum of
 
 * the text's log likelihood under a byte-trigram model of l, tempered, since
-  neighbouring trigrams are not independent,
+  neighbouring trigrams are not independent: the mean a trigram, over the whole
+  text, counts like at most ``MOST_TRIGRAMS`` * ``TEMPER`` independent ones,
 * log P(declared markup language | l) and log P(address suffix | l), both from
   smoothed grouped counts over all rows,
 * the log prior of l at the row's host, smoothed hierarchically:
@@ -45,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free_name, reliable_checkpoint, table
+from millrace.llm.common import free_names, reliable_checkpoint, table
 
 SAMPLE, MAX_LANGUAGES, MIN_TRIGRAMS, BUCKETS = 12_000, 64, 200, 1 << 15  # SAMPLE rows a language
 TEMPER, MOST_TRIGRAMS = 0.25, 400  # a text speaks as loud as at most so many independent trigrams
@@ -145,8 +146,8 @@ def _added(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + F.coalesce(y, F.lit(0.0)))
 
 
-def _sized_join(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    small = right.count() <= BROADCAST_KEYS
+def _sized_join(left: DataFrame, right: DataFrame, on: str, size: int) -> DataFrame:
+    small = size <= BROADCAST_KEYS
     return left.join(F.broadcast(right) if small else right, on, "left")
 
 
@@ -202,10 +203,12 @@ def identify(rows: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
         n_all = F.aggregate(counts, F.lit(0.0), lambda a, v: a + v)
         return F.zip_with(counts, towards, lambda c, t: (c + weight * t) / (n_all + weight))
 
-    def likelihood(key: str) -> DataFrame:
-        """log P(key | l), smoothed; a value never seen under l keeps a small share."""
-        logs = F.transform(F.arrays_zip(F.col("c"), F.array(*(F.lit(float(v)) for v in whole))), lambda x: F.log((x["c"] + EVIDENCE_WEIGHT) / (x["1"] + 10 * EVIDENCE_WEIGHT)))
-        return summed(key, "c").select(key, logs.alias(f"log_{key}"))
+    def likelihood(key: str) -> tuple[DataFrame, int]:
+        """log P(key | l), smoothed over all values that occur, so that it adds up to one; and their number."""
+        counts = reliable_checkpoint(summed(key, "c"))
+        values, *held = counts.agg(F.count(F.lit(1)), *(F.sum(F.get("c", F.lit(i))) for i in range(n))).first()
+        out_of = F.array(*(F.lit((v or 0.0) + values * EVIDENCE_WEIGHT) for v in held))
+        return counts.select(key, F.zip_with("c", out_of, lambda c, t: F.log((c + EVIDENCE_WEIGHT) / t)).alias(f"log_{key}")), values
 
     parents = summed("parent", "pc").select("parent", smoothed(F.col("pc"), base, PARENT_WEIGHT).alias("pp"))
     hosts = scored.filter(F.col("host").isNotNull()).groupBy("host").agg(F.min("parent").alias("parent")).join(summed("host", "hc"), "host", "left").join(parents, "parent", "left")
@@ -214,8 +217,8 @@ def identify(rows: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
     priors = hosts.select("host", F.transform(smoothed(F.coalesce("hc", none), towards, HOST_WEIGHT), lambda p: F.log(p)).alias("log_host"))
 
     fused = scored
-    for key, right in (("declared", likelihood("declared")), ("suffix", likelihood("suffix")), ("host", priors)):
-        fused = _sized_join(fused, right, key)
+    for key, (right, size) in (("declared", likelihood("declared")), ("suffix", likelihood("suffix")), ("host", (priors, priors.count()))):
+        fused = _sized_join(fused, right, key, size)
     posterior = F.col("loud")
     for key in ("declared", "suffix", "host"):
         posterior = _added(posterior, F.coalesce(f"log_{key}", F.transform(base, lambda p: F.log(p)) if key == "host" else none))
@@ -260,10 +263,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without the rejected ones; ``lang`` becomes the identified language."""
-    mark, found = free_name(docs, "text_mark"), free_name(docs, "found_lang")
-    judged = identify(document_evidence(docs)).filter("accepted").groupBy("id", "mark").agg(F.min("lang").alias(found))
+    mark, found, own_id, own_mark = free_names(docs, "text_mark", "found_lang", "id", "mark")
+    judged = identify(document_evidence(docs)).filter("accepted").groupBy("id", "mark").agg(F.min("lang").alias("lang")).toDF(own_id, own_mark, found)
     keyed = docs.withColumn(mark, F.xxhash64("text"))
-    kept = keyed.join(judged, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col(mark) == F.col("mark")))
+    kept = keyed.join(judged, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(mark) == F.col(own_mark)))
     return kept.withColumn("lang", F.col(found)).select(*docs.columns)
 
 
