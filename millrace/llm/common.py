@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +18,14 @@ def reliable_checkpoint(df: DataFrame, *, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` with files that outlive any executor.
 
     The folder is the one the session names in ``spark.checkpoint.dir``. Only
-    where that is unset (single-machine tests) a local folder is chosen.
+    where that is unset and the master is local (tests) a local folder is chosen.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-ckpt-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-ckpt-"))
     return df.checkpoint(eager=eager)
 
 
@@ -31,6 +34,11 @@ def hash128(*columns: Column) -> tuple[Column, Column]:
     return F.xxhash64(*columns), F.xxhash64(F.lit(0x5DEECE66D), *reversed(columns))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``free_name`` of each."""
+    return [free_name(df, w) for w in wanted]
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores until no input column has that name."""
     taken = {c.lower() for c in df.columns}

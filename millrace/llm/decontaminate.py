@@ -37,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free_name
+from millrace.llm.common import free_names
 
 #: Selected positions of the seeds.
 MASKS = ("111011", "11111")
@@ -140,10 +140,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id") -> Data
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """``docs`` without the documents that hold a leak."""
-    mark = free_name(docs, "text_mark_of_row")
-    bad = leaks(docs, benchmark, doc=doc).select(F.col("doc_id").alias("d"), F.col("text_mark").alias("m")).distinct()
+    mark, d, m = free_names(docs, "text_mark_of_row", "d", "m")
+    bad = leaks(docs, benchmark, doc=doc).select(F.col("doc_id").alias(d), F.col("text_mark").alias(m)).distinct()
     keyed = docs.withColumn(mark, F.xxhash64("text"))
-    return keyed.join(bad, F.col(doc).eqNullSafe(F.col("d")) & (F.col(mark) == F.col("m")), "left_anti").drop(mark)
+    return keyed.join(bad, F.col(doc).eqNullSafe(F.col(d)) & (F.col(mark) == F.col(m)), "left_anti").drop(mark)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

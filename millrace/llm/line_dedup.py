@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free_name, hash128
+from millrace.llm.common import free_names, hash128
 
 WINDOW = 3
 
@@ -56,16 +56,15 @@ def covered_lines(docs: DataFrame, doc: str, mark: str) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     """``docs`` with ``text`` stripped of repeated windows, plus n_lines and n_removed."""
-    mark, rows, gone = (free_name(docs, n) for n in ("text_mark", "n_lines", "n_removed"))
+    mark, rows, gone, d, m, covered = free_names(docs, "text_mark", "n_lines", "n_removed", "d", "m", "covered")
     keyed = docs.withColumn(mark, F.xxhash64("text"))
-    hit = covered_lines(keyed, doc, mark)
-    out = keyed.join(hit, F.col(doc).eqNullSafe(F.col("d")) & (F.col(mark) == F.col("m")), "left")
+    hit = covered_lines(keyed, doc, mark).toDF(d, m, covered)
+    out = keyed.join(hit, F.col(doc).eqNullSafe(F.col(d)) & (F.col(mark) == F.col(m)), "left")
     lines = lines_of(F.col("text"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("covered"))
-    text = F.when(F.col("covered").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    removed = F.coalesce(F.size(F.col("covered")), F.lit(0))
-    removed = F.when(F.col("covered").isNull(), 0).otherwise(removed)
-    return out.withColumns({rows: F.size(lines).cast("long"), gone: removed.cast("long"), "text": text}).drop(mark, "d", "m", "covered")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(covered))
+    text = F.when(F.col(covered).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    removed = F.when(F.col(covered).isNull(), 0).otherwise(F.size(F.col(covered)))
+    return out.withColumns({rows: F.size(lines).cast("long"), gone: removed.cast("long"), "text": text}).drop(mark, d, m, covered)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
