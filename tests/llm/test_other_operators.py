@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from millrace.llm import chat_format, cover_tree, decontaminate, language_id, packing, quality, url_rules
 from millrace.llm.queries import ORACLES, QUERIES
 from tests.compare import assert_same
+from tests.llm import brute
 from tests.llm.conftest import prose
+from tests.llm.test_text_dedup import brute_classes, brute_lines
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -314,6 +316,27 @@ def test_overlaps_are_reported_in_full(spark):
     assert (r.matched_words, r.overlap_words, r.first_word) == (300, 300, 2)
 
 
+def test_decontamination_matches_brute_force(spark, sf):
+    """Random edits, cuts and shifts of items, and the given tables."""
+    r = random.Random(17)
+    items = [(i, prose(r.randrange(5, 45), 1200 + i)) for i in range(25)]
+    docs = []
+    for d in range(120):
+        words = r.choice(items)[1].split()
+        lo, hi = (0, len(words)) if len(words) < 13 else sorted(r.sample(range(len(words) + 1), 2))
+        words = words[lo:hi]
+        for _ in range(0 if len(words) < 13 else r.randrange(len(words) // 3 + 1)):
+            words[r.randrange(len(words))] = "swap"
+        docs.append((d, " ".join([prose(r.randrange(1, 30), 1500 + d), *words, prose(r.randrange(1, 30), 1700 + d)])))
+    found = lambda docs, items: {tuple(x) for x in decontaminate.leaks(docs, items).drop("text_mark").collect()}
+    want = brute.leaks(docs, items)
+    assert 30 < len(want) < 115
+    assert found(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")) == want
+    docs, items = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    plain = lambda df, key: [(x[key], x.text) for x in df.collect()]
+    assert found(docs, items) == brute.leaks(plain(docs, "doc_id"), plain(items, "item_id"))
+
+
 # --- language ID -----------------------------------------------------------------------------------
 
 
@@ -330,6 +353,21 @@ def test_language_id(spark, sf, odd_documents, no_documents):
     assert language_id.keep_identified(no_documents).count() == 0
 
 
+@pytest.mark.parametrize("table", ["documents", "pages"])
+def test_language_id_matches_brute_force(spark, sf, odd_documents, table):
+    rows = spark.read.parquet(f"{sf}/{table}.parquet")
+    if table == "documents":
+        evidence = language_id.document_evidence(rows).unionByName(language_id.document_evidence(odd_documents.filter("doc_id > 3")).withColumn("id", F.col("id") + 10**6))
+    else:
+        odd = spark.createDataFrame([(10**6, None, None), (10**6 + 1, "", ""), (10**6 + 2, "http://a.example.de/x", None), (10**6 + 3, None, "<p>words without an address</p>")], "page_id long, url string, html string")
+        evidence = language_id.page_evidence(rows.select("page_id", "url", "html").unionByName(odd))
+    own = [r.asDict() for r in evidence.collect()]
+    want = {r["id"]: x for r, x in zip(own, brute.languages(own), strict=True)}
+    got = {r.id: (r.lang, r.confidence) for r in language_id.identify(evidence).collect()}
+    assert got.keys() == want.keys() and len(got) == len(own)
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-4 for k in want)
+
+
 def test_language_priors_and_declared_language_decide_unclear_texts(spark):
     rows = [(i, "the river and the stone of the morning light " * 5, "en", f"h{i % 3}") for i in range(60)]
     rows += [(100 + i, "der fluss und das licht am morgen ist nicht der stein " * 5, "de", f"g{i % 3}") for i in range(60)]
@@ -389,6 +427,20 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.filter("false"), url_rules.CONTRACT_RULES).count() == 0
 
 
+def test_rules_beyond_the_map(spark, monkeypatch):
+    """A table of rules gives what the map gives, other columns pass."""
+    r = random.Random(4)
+    hosts = ["a.example.com", "example.net", "casino.x.org", "free-bets.net", "b.org", "my.adult.com", "com"]
+    urls = [(i, f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'es'])}/{r.randrange(10)}?q", "clash") for i in range(400)] + [(900, None, "x"), (901, "", "x")]
+    pages = spark.createDataFrame(urls, "page_id long, url string, subject string")
+    rules = url_rules.CONTRACT_RULES + url_rules.CATEGORY_RULES
+    want = url_rules.judge(pages, rules)
+    rows = list(map(tuple, want.collect()))
+    monkeypatch.setattr(url_rules, "MAX_RULES", 3)
+    got = url_rules.judge(pages, rules)
+    assert got.columns == want.columns and sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(rows, key=str)
+
+
 def test_rules_are_filed_under_their_rarest_literal():
     filed = url_rules.index_by_rarest(url_rules.CONTRACT_RULES, {"com": 9, "en": 3, "example": 1, "net": 5, "de": 6, "org": 1, "es": 2})
     assert {t: sorted(r.label for r in rules) for t, rules in filed.items()} == {"en": ["com/en/"], "example": ["example.com/en/7", "example.net/de/8"], "net": ["net/de/"], "org": ["org/es/"]}
@@ -414,6 +466,54 @@ def test_pipeline_equals_its_stages_and_keeps_clean_documents(spark, sf, tmp_pat
     assert key(corpus_pipeline.run(spark, sf)) == key(docs)
 
 
+def test_pipeline_matches_brute_force(spark, sf, tmp_path):
+    """Every stage's rows, from plain versions of the operators."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    kept: dict[int, str | None] = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        if name == "language_id":
+            own = [r.asDict() for r in language_id.document_evidence(docs).collect()]
+            want = {r["id"]: r["text"] for r, (lang, _) in zip(own, brute.languages(own), strict=True) if lang != language_id.UNKNOWN}
+        elif name == "line_dedup":
+            lines = brute_lines([(d, t or "") for d, t in kept.items()])
+            want = {d: t for (d, _), (t, gone) in lines.items() if not gone or t.strip(" ")}
+        elif name == "near_dedup":
+            classes = brute_classes(kept)
+            want = {d: t for d, t in kept.items() if classes[d] == d}
+        elif name == "decontaminate":
+            bad = {d for d, *_ in brute.leaks(list(kept.items()), items)}
+            want = {d: t for d, t in kept.items() if d not in bad}
+        else:
+            check_packing(before, stage(spark, docs, sf).collect())
+            break
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        kept = {r.doc_id: r.text for r in docs.collect()}
+        assert kept == want, name
+        assert docs.count() == len(kept)
+
+
+def test_stages_with_every_helper_name_as_a_column(spark, sf):
+    """Columns of the documents may bear any name that the operators use inside."""
+    import corpus_pipeline
+
+    names = "d m h n id mark covered kept_id kept_mark nth_copy text_mark text_mark_of_row found_lang n_lines n_removed node band label class row a b x w did place places spans subject found declared host parent suffix seed words s group _group key bands".split()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    docs = docs.select("*", *(F.lit(i).alias(n) for i, n in enumerate(names)))
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = stage(spark, docs, sf), stage(spark, plain, sf)
+        if name != "packing":
+            assert got.columns == docs.columns
+        assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in want.select("doc_id").collect())
+    vectors = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(120)], "vec_id long, embedding array<float>").select("*", *(F.lit(i).alias(n) for i, n in enumerate([*names, "q", "rank", "score"])))
+    assert cover_tree.top_k(cover_tree.quantized(vectors), is_query=F.col("vec_id") % 100 == 0).count() == 20
+
+
 def test_pipeline_on_odd_rows(spark, sf, odd_documents, no_documents):
     import corpus_pipeline
 

@@ -89,6 +89,22 @@ def test_suffix_dedup_many_variants_of_a_passage(spark):
     assert repeats_of(spark, texts) == brute_repeats([(d, t.encode()) for d, t in texts.items()])
 
 
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark, monkeypatch):
+    """Different texts under one id and under null ids, with handles that nearly always collide."""
+    monkeypatch.setattr(suffix_dedup, "MARK_BITS", 2)
+    passage = prose(25, 31)
+    texts = [prose(12, 4000 + i) + (passage if i % 7 == 0 else "") + prose(5, 5000 + i) for i in range(140)]
+    texts += [texts[3], texts[7], "tiny", "  "]  # copies of whole texts
+    rows = [(None if i % 2 else i % 3, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    mark = {r.text: r.mark for r in docs.selectExpr("text", "xxhash64(text) AS mark").collect()}
+    known = sorted({(suffix_dedup.NO_ID if d is None else d, mark[t], t) for d, t in rows})
+    place = {(d, t): n for n, (d, _, t) in enumerate(known)}
+    want = brute_repeats([(n, t.encode()) for n, (_, _, t) in enumerate(known)])
+    got = sorted((r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == sorted(want[place[suffix_dedup.NO_ID if d is None else d, t]] for d, t in rows)
+
+
 def test_suffix_dedup_odd_rows(odd_documents, no_documents):
     rows = suffix_dedup.remove_repeats(odd_documents).collect()
     assert len(rows) == odd_documents.count()
