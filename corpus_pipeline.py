@@ -18,12 +18,19 @@ def _sized(docs: DataFrame) -> DataFrame:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language go; ``lang`` becomes the identified one."""
+    """Documents in no known language go; ``lang`` becomes the identified one.
+
+    Null and empty texts are in none; repeated rows are judged one by one; an empty table stays empty.
+    """
     return language_id.keep_identified(docs)
 
 
 def strip_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line windows go, and documents of which nothing is left."""
+    """Repeated line windows go, and documents of which nothing is left.
+
+    Null text becomes empty text; of equal windows the first in (doc_id, position) order stays, rows
+    equal in id and text are one document; an empty table stays empty.
+    """
     stripped = line_dedup.dedup_lines(docs)
     kept, removed = stripped.columns[: len(docs.columns)], stripped.columns[-1]
     left = stripped.filter((F.col(removed) == 0) | (F.trim("text") != ""))
@@ -31,16 +38,29 @@ def strip_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one with the smallest id."""
+    """One document of each class of near duplicates stays: the one with the smallest id.
+
+    Null and empty texts are each alone; null ids come last; of rows equal in id and text one stays;
+    an empty table stays empty.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    Null and empty texts hold none; repeated rows go or stay together; without documents or items
+    nothing goes.
+    """
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, placed in sequences of 1,024 tokens.
+
+    Null text is empty text, a piece that holds the end id; repeated rows are packed one by one; an
+    empty table gives no rows.
+    """
     return packing.packed_documents(docs)
 
 
