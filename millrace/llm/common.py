@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ def reliable_checkpoint(df: DataFrame, *, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def release_memory() -> None:
+    """Give what this worker has freed back to the system: it lives on, beside the workers of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def hash128(*columns: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes: wrong matches need both to collide."""
     return F.xxhash64(*columns), F.xxhash64(F.lit(0x5DEECE66D), *reversed(columns))

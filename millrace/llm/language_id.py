@@ -46,7 +46,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free_names, reliable_checkpoint, table
+from millrace.llm.common import free_names, release_memory, reliable_checkpoint, table
 
 SAMPLE, MAX_LANGUAGES, MIN_TRIGRAMS, BUCKETS = 12_000, 64, 200, 1 << 15  # SAMPLE rows a language
 TEMPER, MOST_TRIGRAMS = 0.25, 400  # a text speaks as loud as at most so many independent trigrams
@@ -115,9 +115,12 @@ def fit_models(rows: DataFrame, *, sample: int = SAMPLE) -> TrigramModels:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, group in pd.DataFrame({"t": batch.column(0).to_pylist(), "l": batch.column(1).to_pylist()}).groupby("l"):
-                tri, _ = _trigrams([t or "" for t in group["t"]])
-                sums[lang] = sums.get(lang, 0) + np.bincount(tri, minlength=BUCKETS)
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                for lang, group in pd.DataFrame({"t": part.column(0).to_pylist(), "l": part.column(1).to_pylist()}).groupby("l"):
+                    tri, _ = _trigrams([t or "" for t in group["t"]])
+                    sums[lang] = sums.get(lang, 0) + np.bincount(tri, minlength=BUCKETS)
+        release_memory()
         for lang, s in sums.items():
             held = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(held)), pa.array(held), pa.array(s[held])], names=["lang", "bucket", "n"])
@@ -186,6 +189,7 @@ def identify(rows: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
                     [*keys, pa.array(list(loud), pa.list_(pa.float64())), pa.array(counts, pa.int64()), pa.array(fit), pa.array(rest, pa.string()), pa.array(own == -2)],
                     names=["id", "mark", "declared", "suffix", "host", "parent", "loud", "n", "fit", "rest", "unmodelled"],
                 )
+        release_memory()
 
     keyed = rows.select("id", F.xxhash64("text").alias("mark"), *(F.when(F.col(c) != "", F.col(c)).alias(c) for c in ("declared", "suffix", "host", "parent")), "text")
     scored = keyed.mapInArrow(score, "id long, mark long, declared string, suffix string, host string, parent string, loud array<double>, n long, fit double, rest string, unmodelled boolean")

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import free_name, reliable_checkpoint, table
+from millrace.llm.common import free_name, release_memory, reliable_checkpoint, table
 from millrace.llm.shingles import mixed, normalized, probability_jaccard, text_key, weighted_shingles
 
 BANDS, ROWS = 24, 6
@@ -119,6 +119,7 @@ def signatures(docs: DataFrame, doc: str = "doc_id") -> DataFrame:
                     seen.update(zip(new, band_keys(prob_minhash([weighted_shingles(n) for n in new.values()])), strict=True))
                 bands = [seen[k] if n else None for k, n in zip(keys, norms, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["row", "doc_id", "mark", "key", "bands"])
+        release_memory()
 
     read = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     return read.mapInArrow(sign, "row long, doc_id long, mark long, key binary, bands array<long>")
@@ -180,6 +181,7 @@ def _shingle_rows(texts: DataFrame) -> DataFrame:
                 nodes = np.repeat(part.column(0).to_numpy(), [len(s) for s, _ in sets])
                 x, w = (np.concatenate([s[i] for s in sets]) if sets else np.zeros(0) for i in range(2))
                 yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(x.astype(np.uint64).view(np.int64)), pa.array(w.astype(np.int64))], names=["node", "x", "w"])
+        release_memory()
 
     return texts.select("node", "text").mapInArrow(spread, "node long, x long, w long")
 

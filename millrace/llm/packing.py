@@ -30,12 +30,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import reliable_checkpoint
+from millrace.llm.common import release_memory, reliable_checkpoint
 
 SEQUENCE = 1024
 END_ID = 0
 GROUP_PIECES = 16384
-CACHE_WORDS, SLICE_BYTES = 1_000_000, 8 << 20
+CACHE_WORDS, SLICE_BYTES = 500_000, 4 << 20
 PIECE_COLUMNS = ["doc_id", "row_mark", "start", "length", "doc_tokens", "ids_crc32", "ids"]
 #: A blank before white space, and what the tokenizer's pattern and this one may tell apart.
 TOGETHER = r" [\s\x0b\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[\x1c-\x1f\x{85}]"
@@ -185,6 +185,7 @@ def tokenized_pieces(docs: DataFrame, *, path: str, doc: str = "doc_id", sequenc
                 if with_ids:
                     columns.append(pa.array([bytes(raw[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=PIECE_COLUMNS[: len(columns)])
+            release_memory()
 
     read = docs.select(F.col(doc).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_mark"), F.col("text"))
     return read.mapInArrow(cut, ", ".join(f"{c} {'binary' if c == 'ids' else 'long'}" for c in PIECE_COLUMNS[: 6 + with_ids]))
