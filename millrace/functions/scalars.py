@@ -74,13 +74,16 @@ def from_iso_utc(text: Column) -> Column:
 
 #: Spanish month names in calendar order: fixed values of the date format.
 SPANISH_MONTHS = ("enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre")
+#: Another spelling that texts use, with its month's number.
+SPANISH_MONTH_VARIANTS = {"setiembre": 9}
 
 
 def spanish_date(text: Column) -> Column:
     """ISO date text of the first "5 de enero de 2024" in ``text``; null if there is none."""
-    pattern = rf"(?i)(\d{{1,2}})\s+de\s+({'|'.join(SPANISH_MONTHS)})\s+de\s+(\d{{4}})"
+    pattern = rf"(?i)(\d{{1,2}})\s+de\s+({'|'.join((*SPANISH_MONTHS, *SPANISH_MONTH_VARIANTS))})\s+de\s+(\d{{4}})"
     part = lambda n: F.regexp_extract(text, pattern, n)
-    month = F.array_position(F.array(*map(F.lit, SPANISH_MONTHS)), F.lower(part(2)))
+    numbers = {name: n for n, name in enumerate(SPANISH_MONTHS, start=1)} | SPANISH_MONTH_VARIANTS
+    month = coded(F.lower(part(2)), numbers)
     return F.when(part(1) != "", F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0")))
 
 
@@ -94,25 +97,33 @@ def initcap_words(text: Column) -> Column:
 
 
 #: Words that stay lower case inside a title: fixed values.
-SMALL_WORDS = ("de", "del", "la", "las", "los", "y", "e", "en")
+SMALL_WORDS = ("de", "del", "la", "las", "los", "y", "el", "en")
 
 
 def section_title(title: Column) -> Column:
-    """Strip a Roman numbering ("III.- "), then title case except the small words."""
-    bare = F.trim(F.regexp_replace(F.trim(title), r"^[IVXLCDM]+\s*[.\-–]+\s*[-–]?\s*", ""))
+    """Strip Roman numberings ("III.- ", "IV. II."), then title case except the small words.
+
+    Null, empty and all-numbering titles come back as they are.
+    """
+    bare = F.trim(F.regexp_replace(title, r"^(?:[IVXLC]+[.\-]+\s*)+", ""))
 
     def cased(word: Column, i: Column) -> Column:
         low = F.lower(word)
         return F.when((i > 0) & low.isin(*SMALL_WORDS), low).otherwise(F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, F.length(low))))
 
-    return F.array_join(F.transform(F.split(bare, r"\s+"), cased), " ")
+    return F.when(bare == "", title).otherwise(F.array_join(F.transform(F.split(bare, r"\s+"), cased), " "))
+
+
+#: Letters of the respacing rules, and words that extraction glues to the one before: fixed values.
+SMALL_LETTERS, CAPITALS = "a-záéíóúüñ", "A-ZÁÉÍÓÚÜÑ"
+GLUED_WORDS = ("de", "del", "la", "las", "los")
 
 
 def respaced(text: Column) -> Column:
-    """Put back spaces lost in extraction: after sentence ends, between cases, around numbers; in this order."""
-    out = F.regexp_replace(text, r"([.,;:])(\p{L})", "$1 $2")
-    out = F.regexp_replace(out, r"(\p{Ll})(\p{Lu})", "$1 $2")
-    return F.regexp_replace(out, r"(\p{L})(\d)", "$1 $2")
+    """Put back spaces lost in extraction: between cases, after a leading Roman number, before glued small words; in this order."""
+    out = F.regexp_replace(text, rf"([{SMALL_LETTERS}])([{CAPITALS}])", "$1 $2")
+    out = F.regexp_replace(out, r"^([IVXLC]+\.)(\S)", "$1 $2")
+    return F.regexp_replace(out, rf"(?U)([{SMALL_LETTERS}]{{2}})({'|'.join(GLUED_WORDS)})\b", "$1 $2")
 
 
 def delimited(text: Column, separator: str) -> Column:

@@ -104,14 +104,27 @@ def either_key_join(left: DataFrame, right: DataFrame, key: str, candidates: Seq
 # --- merges without a transactional table -------------------------------------------
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` replace those of equal key; the last write wins."""
-    return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new)
+def without_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key does not occur in ``other``; null equals null."""
+    named = other.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).distinct()
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)))
+    return df.join(named, same, "left_anti")
+
+
+def last_written(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row a key: the greatest by ``order``, then by the other columns, so that it does not depend on arrival."""
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    return keep_first(df, keys, [F.desc_nulls_last(c) for c in (*order, *rest)] or [F.lit(0)])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``new`` replace those of equal key; of several with one key the last by ``order`` counts."""
+    return without_keys(old, new, keys).unionByName(last_written(new, keys, order))
 
 
 def insert_only(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Only rows of ``new`` whose key is not there yet, each once."""
-    return old.unionByName(new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti"))
+    return old.unionByName(without_keys(last_written(new, keys), old, keys))
 
 
 def replace_interval(old: DataFrame, new: DataFrame, column: str, start: Column, end: Column) -> DataFrame:
@@ -131,6 +144,20 @@ def history(df: DataFrame, keys: Sequence[str], valid_from: str) -> DataFrame:
     return df.withColumn("valid_to", following).withColumn("is_current", F.col("valid_to").isNull())
 
 
+def scd2_merge(old: DataFrame, new: DataFrame, keys: Sequence[str], at: Column) -> DataFrame:
+    """A full load ``new`` merged into versions ``old`` (columns of ``new``, valid_from, valid_to).
+
+    A current version whose key is gone or whose values differ ends at ``at``; changed and new keys
+    get a version from ``at`` on. The same load again changes nothing.
+    """
+    columns = new.columns
+    current, past = old.filter("valid_to is null"), old.filter("valid_to is not null")
+    ended = without_keys(current, new, columns).withColumn("valid_to", at)
+    kept = without_keys(current, ended, columns)
+    added = without_keys(last_written(new, keys), kept, columns).withColumn("valid_from", at).withColumn("valid_to", F.lit(None).cast(old.schema["valid_to"].dataType))
+    return past.unionByName(ended).unionByName(kept).unionByName(added)
+
+
 # --- completion metrics ---------------------------------------------------------------
 
 

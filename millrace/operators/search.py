@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.scalars import coded
 from millrace.operators.relational import keep_first, keyset_page
 
 #: Words without weight in a search: fixed values.
@@ -90,9 +91,11 @@ def facet_counts(df: DataFrame, facets: dict[str, tuple[str, int]]) -> DataFrame
     offered = [F.struct(F.lit(facet).alias("facet"), F.col(column).cast("string").alias("name")) for facet, (column, _) in facets.items()]
     offered.append(F.struct(F.lit("total").alias("facet"), F.lit(None).cast("string").alias("name")))
     counted = df.select(F.inline(F.array(*offered))).groupBy("facet", "name").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counted.withColumn("nth", F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), F.asc_nulls_last("name"))))
-    most = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for facet, (_, k) in facets.items() for x in (facet, k))), F.col("facet")), F.lit(1))
-    found = ranked.filter(F.col("nth") <= most).drop("nth")
+    most = max([1, *(k for _, k in facets.values())])
+    best = Window.partitionBy("facet").orderBy(F.desc("n"), F.asc_nulls_last("name"))
+    ranked = counted.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= most)  # a literal, so that each task keeps few rows before the shuffle
+    own = coded("facet", {facet: k for facet, (_, k) in facets.items()} | {"total": 1})
+    found = ranked.filter(F.col("nth") <= own).drop("nth")
     empty = df.sparkSession.createDataFrame([("total", None, 0)], "facet string, name string, n long")
     return found.unionByName(empty).groupBy("facet", "name").agg(F.sum("n").alias("n"))
 

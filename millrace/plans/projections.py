@@ -111,7 +111,10 @@ def in_subquery(t: Tables) -> DataFrame:
 
 @query("flt_7_not_in_subquery", "FLT-7", sql="SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def not_in_subquery(t: Tables) -> DataFrame:
-    return t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """NOT IN, not an anti join: one null among the orders' customers empties the result."""
+    t.customer.createOrReplaceTempView("millrace_customer")
+    t.orders.createOrReplaceTempView("millrace_orders")
+    return t.spark.sql("SELECT c_custkey FROM millrace_customer WHERE c_custkey NOT IN (SELECT o_custkey FROM millrace_orders)")
 
 
 @query("flt_8_valid_range", "FLT-8", sql="SELECT event_id, value FROM events WHERE value >= 0 AND value < 10000")

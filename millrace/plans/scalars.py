@@ -121,25 +121,37 @@ def json_odd_key(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.get_json_object(record, "$.@id").alias("id"))
 
 
-@query("fn_initcap", "FN-STRING")
+@query("fn_initcap", "FN-STRING", sql=r"""SELECT p_partkey, array_to_string(list_transform(regexp_extract_all(lower(p_name || '-' || p_brand || ' o''x'), '([\p{L}\p{N}]+|[^\p{L}\p{N}]+)', 1), lambda x: upper(x[1]) || x[2:]), '') AS title FROM part""")
 def initcap(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", S.initcap_words(F.col("p_name")).alias("title"))
+    return t.part.select("p_partkey", S.initcap_words(F.concat("p_name", F.lit("-"), "p_brand", F.lit(" o'x"))).alias("title"))
 
 
-@query("udf_4_section_title", "UDF-4", "TXT-13")
+@query(
+    "udf_4_section_title",
+    "UDF-4",
+    "TXT-13",
+    sql=r"""WITH s AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'IV. ' WHEN 1 THEN 'III.- ' WHEN 2 THEN 'II. IX.-' ELSE '' END
+    || CASE p_partkey % 5 WHEN 4 THEN 'III.' ELSE upper(p_name) || ' DE LA  ' || upper(p_type) || ' E Y EL AGUA' END AS raw FROM part),
+  b AS (SELECT *, trim(regexp_replace(raw, '^([IVXLC]+[.\-]+\s*)+', '')) AS bare FROM s)
+SELECT p_partkey, CASE WHEN bare = '' THEN raw ELSE array_to_string(list_transform(string_split_regex(bare, '\s+'),
+  lambda w, i: CASE WHEN i > 1 AND lower(w) IN ('de','del','la','las','los','y','el','en') THEN lower(w) ELSE upper(lower(w)[1]) || lower(w)[2:] END), ' ') END AS title FROM b""",
+)
 def section_title(t: Tables) -> DataFrame:
-    roman = F.concat(F.get(F.array(F.lit("IV. "), F.lit("III.- "), F.lit("")), (F.col("p_partkey") % 3).cast("int")), F.upper("p_name"), F.lit(" DE LA "), F.upper("p_type"))
-    return t.part.select("p_partkey", S.section_title(roman).alias("title"))
+    numbering = F.get(F.array(*map(F.lit, ("IV. ", "III.- ", "II. IX.-", "", ""))), (F.col("p_partkey") % 5).cast("int"))
+    named = F.concat(F.upper("p_name"), F.lit(" DE LA  "), F.upper("p_type"), F.lit(" E Y EL AGUA"))
+    raw = F.concat(numbering, F.when(F.col("p_partkey") % 5 == 4, "III.").otherwise(named))
+    return t.part.select("p_partkey", S.section_title(raw).alias("title"))
 
 
 @query("sup_3_date_in_title", "SUP-3", "FN-DATE", sql="SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
 def date_in_title(t: Tables) -> DataFrame:
     """A Spanish long date found in a title."""
-    months = F.array(*map(F.lit, S.SPANISH_MONTHS))
+    months = F.array(*(F.when(F.col("o_orderkey") % 2 == 0, "setiembre").otherwise(m) if m == "septiembre" else F.lit(m) for m in S.SPANISH_MONTHS))
     title = F.concat(F.lit("Boletin del "), F.day("o_orderdate").cast("string"), F.lit(" de "), F.get(months, F.month("o_orderdate") - 1), F.lit(" de "), F.year("o_orderdate").cast("string"))
     return t.orders.select("o_orderkey", S.spanish_date(title).alias("iso"))
 
 
-@query("sup_6_respaced", "SUP-6", sql="SELECT c_custkey, 'Total. ' || c_mktsegment AS text FROM customer")
+@query("sup_6_respaced", "SUP-6", sql="""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'III. Otras ' || c_mktsegment WHEN 1 THEN 'Cabildo Insular de ' || c_mktsegment ELSE 'Administración Local 3,b ley5 ' || c_mktsegment END AS text FROM customer""")
 def respaced(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", S.respaced(F.concat(F.lit("Total."), F.col("c_mktsegment"))).alias("text"))
+    glued = F.get(F.array(*map(F.lit, ("III.Otras ", "Cabildo Insularde ", "AdministraciónLocal 3,b ley5 "))), (F.col("c_custkey") % 3).cast("int"))
+    return t.customer.select("c_custkey", S.respaced(F.concat(glued, F.col("c_mktsegment"))).alias("text"))

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import row_id
 from millrace.operators import relational as R
+from millrace.operators.relational import last_written
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
-from millrace.sources.sinks import merge_into, monthly, write_parquet
+from millrace.sources.sinks import evaluated_once, insert_through_staging, merge_into, monthly, write_parquet
 
 
-@query("snk_1_overwrite", "SNK-1", "SNK-3", "SNK-14", "SNK-17", sql="SELECT n_nationkey, n_name FROM nation")
+@query("snk_1_overwrite", "SNK-1", "SNK-3", "SNK-17", sql="SELECT n_nationkey, n_name FROM nation")
 def overwrite(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "sink")
     for _ in range(2):
@@ -41,13 +42,15 @@ def insert_only(t: Tables) -> DataFrame:
     return t.spark.read.parquet(folder)
 
 
-@query("snk_5_upsert", "SNK-5", "SNK-7", "SNK-11", sql="SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'second' ELSE 'first' END AS written FROM customer UNION ALL SELECT 0, 'second'")
+@query("snk_5_upsert", "SNK-5", "SNK-7", "SNK-11", sql="SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'second' ELSE 'first' END AS written FROM customer UNION ALL SELECT -2, 'second' UNION ALL SELECT NULL, 'second'")
 def upsert(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "sink")
     merge_into(folder, t.customer.select("c_custkey", F.lit("first").alias("written")), "upsert", ["c_custkey"])
-    new = t.customer.filter("c_custkey % 2 = 0").select("c_custkey").union(t.spark.range(1).toDF("c_custkey")).withColumn("written", F.lit("second"))
+    new = t.customer.filter("c_custkey % 2 = 0").select("c_custkey").union(t.spark.range(-2, -1).toDF("c_custkey")).union(t.spark.sql("SELECT CAST(NULL AS LONG)")).withColumn("written", F.lit("second"))
+    early = new.withColumn("written", F.lit("replaced within the batch"))
+    batch = new.withColumn("at", F.lit(2)).union(early.withColumn("at", F.lit(1)))
     for _ in range(2):
-        merge_into(folder, new, "upsert", ["c_custkey"])
+        merge_into(folder, last_written(batch, ["c_custkey"], ["at"]).drop("at"), "upsert", ["c_custkey"])
     return t.spark.read.parquet(folder)
 
 
@@ -63,7 +66,7 @@ def time_interval(t: Tables) -> DataFrame:
     return t.spark.read.parquet(folder)
 
 
-@query("snk_11_delete_insert", "SNK-11", "SNK-13", sql="SELECT l_orderkey, l_linenumber, 'old' AS version FROM lineitem WHERE l_orderkey % 5 <> 0 UNION ALL SELECT l_orderkey, 1, 'new' FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1")
+@query("snk_11_delete_insert", "SNK-11", sql="SELECT l_orderkey, l_linenumber, 'old' AS version FROM lineitem WHERE l_orderkey % 5 <> 0 UNION ALL SELECT l_orderkey, 1, 'new' FROM lineitem WHERE l_orderkey % 5 = 0 AND l_linenumber = 1")
 def delete_insert(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "sink")
     merge_into(folder, t.lineitem.filter("l_orderkey % 5 <> 0 or l_linenumber = 1").select("l_orderkey", "l_linenumber", F.lit("old").alias("version")), "replace")
@@ -86,7 +89,7 @@ def messages(t: Tables) -> DataFrame:
     return as_messages(t.events.select("event_id", "event_type"), F.col("event_id"))
 
 
-@query("snk_19_parallel_chunks", "SNK-19", "SNK-20", sql="SELECT count(*)::BIGINT AS n FROM lineitem")
+@query("snk_19_parallel_chunks", "SNK-19", sql="SELECT count(*)::BIGINT AS n FROM lineitem")
 def parallel_chunks(t: Tables) -> DataFrame:
     """One task a partition writes its own files of bounded size."""
     folder = shared_folder(t.spark, "sink")
@@ -94,7 +97,56 @@ def parallel_chunks(t: Tables) -> DataFrame:
     return t.spark.read.parquet(folder).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("snk_13_scd2_merge", "SNK-13", sql="SELECT o_custkey, count(*)::BIGINT AS versions, count(*) FILTER (WHERE valid_to IS NULL)::BIGINT AS current FROM (SELECT o_custkey, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS valid_to FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders)) GROUP BY 1")
+LOAD_1, LOAD_2 = "2024-01-01", "2024-02-01"
+
+
+@query(
+    "snk_13_scd2_merge",
+    "SNK-13",
+    sql=f"""WITH a AS (SELECT c_custkey AS k, c_mktsegment AS seg FROM customer WHERE c_custkey % 7 <> 0),
+b AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'X' || c_mktsegment ELSE c_mktsegment END AS seg FROM customer WHERE c_custkey % 5 <> 0)
+SELECT a.k AS c_custkey, a.seg AS c_mktsegment, TIMESTAMP '{LOAD_1}' AS valid_from, CASE WHEN b.k IS NULL OR a.seg <> b.seg THEN TIMESTAMP '{LOAD_2}' END AS valid_to FROM a LEFT JOIN b USING (k)
+UNION ALL SELECT b.k, b.seg, TIMESTAMP '{LOAD_2}', NULL FROM b LEFT JOIN a USING (k) WHERE a.k IS NULL OR a.seg <> b.seg""",
+)
 def scd2_merge(t: Tables) -> DataFrame:
+    """Two full loads, each merged twice: changed, new and vanished keys; a rerun changes nothing."""
+    folder = shared_folder(t.spark, "sink")
+    first = t.customer.filter("c_custkey % 7 <> 0").select("c_custkey", "c_mktsegment")
+    renamed = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("X"), F.col("c_mktsegment"))).otherwise(F.col("c_mktsegment"))
+    second = t.customer.filter("c_custkey % 5 <> 0").select("c_custkey", renamed.alias("c_mktsegment"))
+    for load, day in ((first, LOAD_1), (first, LOAD_1), (second, LOAD_2), (second, LOAD_2)):
+        merge_into(folder, load, "scd2", ["c_custkey"], at=F.lit(day).cast("timestamp_ntz"))
+    return t.spark.read.parquet(folder)
+
+
+@query("snk_4_inserted_counts", "SNK-4", sql="SELECT * FROM (SELECT 1 AS load, count(*)::BIGINT AS inserted FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT 2, count(*)::BIGINT FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 3, 0::BIGINT)")
+def inserted_counts(t: Tables) -> DataFrame:
+    """What each load inserts through its staging table."""
+    folder = shared_folder(t.spark, "sink")
+    loads = [t.orders.filter("o_orderkey % 3 <> 0"), t.orders, t.orders.union(t.orders)]
+    counts = [(n, insert_through_staging(folder, load.select("o_orderkey", "o_orderstatus"), ["o_orderkey"])) for n, load in enumerate(loads, start=1)]
+    return t.spark.createDataFrame(counts, "load int, inserted long")
+
+
+@query("snk_14_saved_tables", "SNK-14", sql="SELECT o_orderstatus, count(*)::BIGINT AS n FROM orders WHERE o_totalprice > 50000 GROUP BY 1")
+def saved_tables(t: Tables) -> DataFrame:
+    """A view over a source, a table created from it, a query of that table."""
+    t.orders.createOrReplaceTempView("millrace_orders")
+    t.spark.sql("CREATE OR REPLACE TEMP VIEW millrace_large AS SELECT * FROM millrace_orders WHERE o_totalprice > 50000")
+    t.spark.sql("DROP TABLE IF EXISTS millrace_large_by_status")
+    folder = shared_folder(t.spark, "ctas")
+    t.spark.sql(f"CREATE TABLE millrace_large_by_status USING parquet LOCATION '{folder}' AS SELECT o_orderstatus, count(*) AS n FROM millrace_large GROUP BY o_orderstatus")
+    return t.spark.table("millrace_large_by_status")
+
+
+@query("snk_20_single_evaluation", "SNK-20", sql="SELECT count(*)::BIGINT AS n FROM orders")
+def single_evaluation(t: Tables) -> DataFrame:
+    """Random row names meet themselves only if both sides of a join read one evaluation."""
+    named = evaluated_once(t.orders.select(F.uuid().alias("name")), shared_folder(t.spark, "once"))
+    return named.join(named.withColumnRenamed("name", "other"), F.col("name") == F.col("other")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("snk_13_history", "SNK-13", sql="SELECT o_custkey, count(*)::BIGINT AS versions, count(*) FILTER (WHERE valid_to IS NULL)::BIGINT AS current FROM (SELECT o_custkey, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate) AS valid_to FROM (SELECT DISTINCT o_custkey, o_orderdate FROM orders)) GROUP BY 1")
+def versions_of(t: Tables) -> DataFrame:
     versions = R.history(t.orders.select("o_custkey", "o_orderdate").distinct(), ["o_custkey"], "o_orderdate")
     return versions.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("versions"), F.count_if("is_current").alias("current"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.operators.relational import small_side
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
 from millrace.sources import files, paged, schema, topics
@@ -45,11 +46,11 @@ def partition_tree(t: Tables) -> DataFrame:
     return found.select("o_orderkey", "year", "status")
 
 
-@query("src_8_tsv_positions", "SRC-8", "SRC-9", sql="SELECT event_id, user_id AS actor, value AS goldstein, 'T' || event_type AS code, -2.5::DOUBLE AS tone, 450 AS word_count FROM events")
+@query("src_8_tsv_positions", "SRC-8", "SRC-9", sql="SELECT event_id, user_id AS actor, value AS goldstein, 'T' || event_type AS code, -1.75::DOUBLE AS tone, 312 AS word_count FROM events")
 def tsv_positions(t: Tables) -> DataFrame:
     """Lines without header or quotes; blank and short ones drop out, empty fields are null."""
     s = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    line = F.concat_ws("\t", s("event_id"), F.lit(""), s("user_id"), F.concat(F.lit("T"), F.col("event_type")), s("value"), F.lit("-2.5,3.1,5.6,1.2,0.8,0.3,450"))
+    line = F.concat_ws("\t", s("event_id"), F.lit(""), s("user_id"), F.concat(F.lit("T"), F.col("event_type")), s("value"), F.lit("-1.75,2.25,4,6.25,19.5,0.5,312"))
     lines = t.events.select(line.alias("value")).union(t.spark.createDataFrame([("",), ("1\t2",)], "value string"))
     wide = files.tsv_by_position(lines, {"event_id": (0, "long"), "none": (1, "int"), "actor": (2, "long"), "code": (3, "string"), "goldstein": (4, "double"), "raw": (5, "string")})
     tone = files.split_tone(F.col("raw"))
@@ -90,7 +91,7 @@ def lookup_table(t: Tables) -> DataFrame:
     from millrace.streaming.flows import lookup_join
 
     rides = t.events.select("event_id", (F.col("user_id") % 30).alias("zone_id"))
-    return lookup_join(rides, F.broadcast(t.nation.select("n_nationkey", F.col("n_name").alias("zone"))), F.col("zone_id") == F.col("n_nationkey")).select("event_id", "zone")
+    return lookup_join(rides, small_side(t.nation.select("n_nationkey", F.col("n_name").alias("zone"))), F.col("zone_id") == F.col("n_nationkey")).select("event_id", "zone")
 
 
 @query("src_17_json_documents", "SRC-17", sql="SELECT c_mktsegment AS brand, round(avg(c_acctbal), 2)::DOUBLE AS avg_price FROM customer GROUP BY 1")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import exact_sum
+from millrace.functions.scalars import delimited, exact_sum
+from millrace.operators.relational import small_side
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
 from millrace.streaming import flows
@@ -30,9 +31,8 @@ def tumble_sum(t: Tables) -> DataFrame:
     return flows.materialize(flows.tumbling(events(t), "ts", "5 minutes", ["user_id"], rows().alias("trips"), exact_sum("value").alias("revenue")))
 
 
-@query("str_4_tumble_count", "STR-4", "STR-7", "STR-8", sql=bucketed("15 minutes", "event_type,", "count(*)::BIGINT AS n"))
+@query("str_4_tumble_count", "STR-4", sql=bucketed("15 minutes", "event_type,", "count(*)::BIGINT AS n"))
 def tumble_count(t: Tables) -> DataFrame:
-    """Event time in place of arrival time, so that the result can be repeated."""
     return flows.materialize(flows.tumbling(events(t), "ts", "15 minutes", ["event_type"], rows().alias("n")))
 
 
@@ -41,7 +41,7 @@ def tumble_global(t: Tables) -> DataFrame:
     return flows.materialize(flows.tumbling(events(t), "ts", "1 hour", [], exact_sum("value").alias("tips")))
 
 
-@query("str_6_hourly", "STR-2", "STR-6", "STR-9", "STR-10", sql=bucketed("1 hour", "user_id, event_type,", "round(avg(value), 6)::DOUBLE AS mean, count(*)::BIGINT AS n"))
+@query("str_6_hourly", "STR-2", "STR-6", sql=bucketed("1 hour", "user_id, event_type,", "round(avg(value), 6)::DOUBLE AS mean, count(*)::BIGINT AS n"))
 def hourly(t: Tables) -> DataFrame:
     return flows.materialize(flows.tumbling(events(t, "5 minutes"), "ts", "1 hour", ["user_id", "event_type"], F.round(F.avg("value"), 6).alias("mean"), rows().alias("n")))
 
@@ -62,13 +62,13 @@ def session_windows(t: Tables) -> DataFrame:
     return flows.materialize(flows.session(events(t), "ts", "5 minutes", ["user_id"], rows().alias("trips")))
 
 
-@query("str_13_append_closed", "STR-13", "STR-19")
+@query("str_13_append_closed", "STR-13", "STR-19", sql=f"SELECT * FROM ({bucketed('5 minutes', 'user_id,', 'count(*)::BIGINT AS trips')}) WHERE window_end <= (SELECT max(ts) - INTERVAL 5 SECOND FROM events)")
 def append_closed(t: Tables) -> DataFrame:
     """Append mode gives a window once, when the watermark has passed its end; the open tail is withheld."""
     return flows.materialize(flows.tumbling(events(t), "ts", "5 minutes", ["user_id"], rows().alias("trips")), "append")
 
 
-@query("str_7_update_upsert", "STR-7", "SNK-7", sql=bucketed("1 hour", "event_type,", "count(*)::BIGINT AS n"))
+@query("str_7_update_upsert", "SNK-7", sql=bucketed("1 hour", "event_type,", "count(*)::BIGINT AS n"))
 def update_upsert(t: Tables) -> DataFrame:
     """Changed groups of each micro-batch, merged by key."""
     counted = flows.tumbling(events(t), "ts", "1 hour", ["event_type"], rows().alias("n"))
@@ -85,7 +85,7 @@ def interval_join(t: Tables) -> DataFrame:
 
 @query("str_17_lookup_join", "STR-17", "JOIN-14", "SRC-16", sql="SELECT event_id, a.n_name AS pickup, b.n_name AS dropoff FROM events JOIN nation a ON user_id % 30 = a.n_nationkey JOIN nation b ON event_id % 27 = b.n_nationkey")
 def lookups(t: Tables) -> DataFrame:
-    zone = lambda name: F.broadcast(t.nation.select(F.col("n_nationkey").alias(f"{name}_key"), F.col("n_name").alias(name)))
+    zone = lambda name: small_side(t.nation.select(F.col("n_nationkey").alias(f"{name}_key"), F.col("n_name").alias(name)))
     rides = events(t).select("event_id", (F.col("user_id") % 30).alias("p"), (F.col("event_id") % 27).alias("d"))
     named = flows.lookup_join(flows.lookup_join(rides, zone("pickup"), F.col("p") == F.col("pickup_key")), zone("dropoff"), F.col("d") == F.col("dropoff_key"))
     return flows.materialize(named.select("event_id", "pickup", "dropoff"), "append")
@@ -97,7 +97,7 @@ def fan_out(t: Tables) -> DataFrame:
     folder, checkpoint = shared_folder(t.spark, "fan"), shared_folder(t.spark, "stream")
     stamped = events(t).select("event_id", "event_type", F.unix_millis("ts").alias("ms"))
     sinks = {"raw": lambda b: b, "clicks": lambda b: b.filter("event_type = 'click'")}
-    flows.run_once(stamped, lambda batch, _: flows.fan_out(batch, sinks, folder), "append", checkpoint)
+    flows.run_once(stamped, lambda batch, n: flows.fan_out(batch, n, sinks, folder), "append", checkpoint)
     counted = [t.spark.read.parquet(f"{folder}/{n}").agg(rows().alias("n")).select(F.lit(n).alias("sink"), "n") for n in sinks]
     return counted[0].union(counted[1])
 
@@ -109,7 +109,12 @@ def dedupe(t: Tables) -> DataFrame:
     return flows.materialize(flows.dedupe_stream(once.union(once), ["user_id", "event_type", "ts"]), "append").agg(rows().alias("n"))
 
 
-@query("str_sliding", "STR-SLIDE")
+@query(
+    "str_sliding",
+    "STR-SLIDE",
+    sql="""SELECT window_start, window_start + INTERVAL 10 MINUTE AS window_end, event_type, count(*)::BIGINT AS n
+FROM (SELECT unnest([time_bucket(INTERVAL 5 MINUTE, ts), time_bucket(INTERVAL 5 MINUTE, ts) - INTERVAL 5 MINUTE]) AS window_start, event_type FROM events) GROUP BY ALL""",
+)
 def sliding(t: Tables) -> DataFrame:
     return flows.materialize(flows.tumbling(events(t), "ts", "10 minutes", ["event_type"], rows().alias("n"), slide="5 minutes"))
 
@@ -118,3 +123,49 @@ def sliding(t: Tables) -> DataFrame:
 def row_consumer(t: Tables) -> DataFrame:
     """A consumer that inserts what arrives, a micro-batch at a time."""
     return flows.materialize(events(t).select("event_id"), "append").agg(rows().alias("inserted"))
+
+
+def arrivals(t: Tables) -> DataFrame:
+    """The stream with its time of arrival in place of the event's."""
+    raw = flows.file_stream(t.spark, t.path("events")).drop("ts")
+    return flows.arrival_time(raw, "ts").withWatermark("ts", "0 seconds")
+
+
+def over_all_windows(windows: DataFrame, keys: list[str], *totals: Column) -> DataFrame:
+    """When rows arrive differs from run to run; what all windows add up to does not."""
+    return windows.groupBy(*keys).agg(F.bool_and(F.col("window_end") > F.col("window_start")).alias("bounded"), *totals)
+
+
+@query("str_7_arrival_counts", "STR-7", sql="SELECT user_id, event_type, true AS bounded, count(*)::BIGINT AS n, round(avg(value), 6)::DOUBLE AS mean FROM events GROUP BY ALL")
+def arrival_counts(t: Tables) -> DataFrame:
+    """Processing-time windows of 15 minutes by two keys: rows and mean."""
+    windows = flows.materialize(flows.tumbling(arrivals(t), "ts", "15 minutes", ["user_id", "event_type"], rows().alias("n"), F.sum("value").alias("total")))
+    return over_all_windows(windows, ["user_id", "event_type"], F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"))
+
+
+@query("str_8_arrival_attention", "STR-8", sql="SELECT event_id, true AS bounded, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def arrival_attention(t: Tables) -> DataFrame:
+    """Processing-time windows of 15 minutes by event."""
+    windows = flows.materialize(flows.tumbling(arrivals(t), "ts", "15 minutes", ["event_id"], rows().alias("n")))
+    return over_all_windows(windows, ["event_id"], F.sum("n").alias("n"))
+
+
+@query("str_9_arrival_trend", "STR-9", "STR-10", sql="SELECT user_id, true AS bounded, round(avg(value), 6)::DOUBLE AS mean, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def arrival_trend(t: Tables) -> DataFrame:
+    """Processing-time windows of an hour by actor: mean and rows."""
+    windows = flows.materialize(flows.tumbling(arrivals(t), "ts", "1 hour", ["user_id"], F.sum("value").alias("total"), rows().alias("n")))
+    return over_all_windows(windows, ["user_id"], F.round(F.sum("total") / F.sum("n"), 6).alias("mean"), F.sum("n").alias("n"))
+
+
+@query(
+    "str_11_tone_by_theme",
+    "STR-11",
+    sql="""SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' AS window_end, theme, round(avg(value), 6)::DOUBLE AS avg_tone
+FROM (SELECT ts, value, unnest(CASE WHEN event_id % 4 = 0 THEN [event_type] WHEN event_id % 4 = 1 THEN [event_type, 'user ' || user_id % 3] WHEN event_id % 4 = 2 THEN ['all'] ELSE [] END) AS theme FROM events) GROUP BY ALL""",
+)
+def tone_by_theme(t: Tables) -> DataFrame:
+    """A delimited list of themes is exploded in the stream; an hour's mean tone of each."""
+    turn = F.col("event_id") % 4
+    listed = F.when(turn == 0, F.concat("event_type", F.lit("; "))).when(turn == 1, F.concat("event_type", F.lit("; user "), (F.col("user_id") % 3).cast("string"))).when(turn == 2, ";all; ;")
+    exploded = events(t).withColumn("theme", F.explode(delimited(listed, ";")))
+    return flows.materialize(flows.tumbling(exploded, "ts", "1 hour", ["theme"], F.round(F.avg("value"), 6).alias("avg_tone")))

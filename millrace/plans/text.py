@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import markup
 from millrace.functions.scalars import trailing_number
-from millrace.operators.relational import keep_first
+from millrace.operators.relational import keep_first, small_side
 from millrace.operators.search import BooleanQuery, Search, facet_counts, headline
 from millrace.registry import Tables, query
 
@@ -110,7 +110,7 @@ def as_markdown(t: Tables) -> DataFrame:
 @query("txt_11_breadcrumb", "TXT-11", sql="SELECT n_nationkey, r_name AS section, CASE WHEN n_nationkey % 2 = 0 THEN 'Sub' END AS subsection, n_name AS organization FROM nation JOIN region ON n_regionkey = r_regionkey")
 def breadcrumbs(t: Tables) -> DataFrame:
     middle = F.when(F.col("n_nationkey") % 2 == 0, F.lit(" > Sub > ")).otherwise(F.lit(" > "))
-    trail = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat("r_name", middle, "n_name").alias("trail"))
+    trail = t.nation.join(small_side(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat("r_name", middle, "n_name").alias("trail"))
     return trail.select("n_nationkey", markup.breadcrumb(F.col("trail")).alias("b")).select("n_nationkey", "b.section", "b.subsection", "b.organization")
 
 
@@ -135,33 +135,44 @@ def facet_catalogue(t: Tables) -> DataFrame:
     return facet_counts(t.documents, {"section": ("lang", 1000)})
 
 
-#: Object keys and what they stand for: fixed patterns, tried in order.
+#: Object keys and what they stand for: fixed values.
 OBJECT_KEYS = (
-    ("document", r"^archive/(\d{4})/(\d+)/(\d+)\.html$"),
-    ("issue", r"^archive/(\d{4})/(\d+)/index\.html$"),
-    ("year", r"^archive/(\d{4})/index\.html$"),
-    ("archive", r"^archive/index\.html$"),
+    ("archive", r"^archive/archive\.html\.gz$"),
+    ("year", r"^years/(\d{4})\.html\.gz$"),
+    ("issue", r"^issues/(\d{4})-(\d{3})\.html\.gz$"),
+    ("document", r"^documents/(\d{4})/(\d{3})/(\d{3})\.html\.gz$"),
 )
+KEYED_ORDERS = """SELECT o_orderkey % 6 AS kind, year(o_orderdate)::INT AS y, (o_orderkey % 1000)::INT AS k,
+  CASE o_orderkey % 6 WHEN 0 THEN 'documents/' || year(o_orderdate) || '/' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '/007.html.gz'
+    WHEN 1 THEN 'issues/' || year(o_orderdate) || '-' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '.html.gz'
+    WHEN 2 THEN 'years/' || year(o_orderdate) || '.html.gz' WHEN 3 THEN 'archive/archive.html.gz' WHEN 4 THEN 'issues/' || year(o_orderdate) || '-1.html.gz' ELSE 'tmp/' || o_orderkey END AS object_key FROM orders"""
+ENTITY = "CASE kind WHEN 0 THEN 'document' WHEN 1 THEN 'issue' WHEN 2 THEN 'year' WHEN 3 THEN 'archive' END"
 
 
-@query("sup_5_object_keys", "SUP-5", sql="""SELECT object_key, CASE kind WHEN 0 THEN 'document' WHEN 1 THEN 'issue' WHEN 2 THEN 'year' WHEN 3 THEN 'archive' END AS entity,
-  CASE WHEN kind < 3 THEN y END AS year, CASE WHEN kind < 2 THEN k END AS issue, CASE WHEN kind = 0 THEN 1 END AS disposition
-FROM (SELECT o_orderkey % 5 AS kind, year(o_orderdate)::INT AS y, o_orderkey::INT AS k,
-  CASE o_orderkey % 5 WHEN 0 THEN 'archive/' || year(o_orderdate) || '/' || o_orderkey || '/1.html' WHEN 1 THEN 'archive/' || year(o_orderdate) || '/' || o_orderkey || '/index.html'
-    WHEN 2 THEN 'archive/' || year(o_orderdate) || '/index.html' WHEN 3 THEN 'archive/index.html' ELSE 'tmp/' || o_orderkey END AS object_key FROM orders)""")
-def object_keys(t: Tables) -> DataFrame:
-    s = lambda c: F.col(c).cast("string")
-    kind, year = F.col("o_orderkey") % 5, F.year("o_orderdate").cast("string")
+def keyed_orders(t: Tables) -> DataFrame:
+    kind, year, issue = F.col("o_orderkey") % 6, F.year("o_orderdate").cast("string"), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0")
     key = (
-        F.when(kind == 0, F.concat(F.lit("archive/"), year, F.lit("/"), s("o_orderkey"), F.lit("/1.html")))
-        .when(kind == 1, F.concat(F.lit("archive/"), year, F.lit("/"), s("o_orderkey"), F.lit("/index.html")))
-        .when(kind == 2, F.concat(F.lit("archive/"), year, F.lit("/index.html")))
-        .when(kind == 3, "archive/index.html")
-        .otherwise(F.concat(F.lit("tmp/"), s("o_orderkey")))
+        F.when(kind == 0, F.concat(F.lit("documents/"), year, F.lit("/"), issue, F.lit("/007.html.gz")))
+        .when(kind == 1, F.concat(F.lit("issues/"), year, F.lit("-"), issue, F.lit(".html.gz")))
+        .when(kind == 2, F.concat(F.lit("years/"), year, F.lit(".html.gz")))
+        .when(kind == 3, "archive/archive.html.gz")
+        .when(kind == 4, F.concat(F.lit("issues/"), year, F.lit("-1.html.gz")))
+        .otherwise(F.concat(F.lit("tmp/"), F.col("o_orderkey").cast("string")))
     )
     return classified(t.orders.select(key.alias("object_key")))
 
 
+@query("sup_5_object_keys", "SUP-5", sql=f"SELECT object_key, {ENTITY} AS entity, CASE WHEN kind < 3 THEN y END AS year, CASE WHEN kind < 2 THEN k END AS issue, CASE WHEN kind = 0 THEN 7 END AS disposition FROM ({KEYED_ORDERS})")
+def object_keys(t: Tables) -> DataFrame:
+    return keyed_orders(t)
+
+
+@query("sup_5_key_totals", "SUP-5", sql=f"SELECT coalesce({ENTITY}, 'unmatched') AS entity, count(*)::BIGINT AS n FROM ({KEYED_ORDERS}) GROUP BY 1")
+def key_totals(t: Tables) -> DataFrame:
+    """How many keys stand for what, the unmatched ones too."""
+    return keyed_orders(t).groupBy(F.coalesce("entity", F.lit("unmatched")).alias("entity")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def classified(objects: DataFrame) -> DataFrame:
     """object_key with entity, year, issue and disposition; unmatched keys have none."""
     key, entity = F.col("object_key"), F

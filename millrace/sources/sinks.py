@@ -35,44 +35,88 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def _paths(spark: SparkSession, path: str):
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash between the two moves of ``rewrite``: put the former table back."""
+    fs, of = _paths(spark, path)
+    if not fs.exists(of(path)) and fs.exists(of(f"{path}.former")):
+        fs.rename(of(f"{path}.former"), of(path))
+
+
 def rewrite(df: DataFrame, path: str) -> None:
-    """Replace what is at ``path`` by ``df``, which may read from there: write beside it, then swap the folders."""
+    """Replace what is at ``path`` by ``df``, which may read from there.
+
+    The new table is written beside the old one, which is moved aside before the new one takes its
+    place and deleted last: at every moment one of them is whole, and ``recover`` finds it.
+    """
     spark = df.sparkSession
     df.write.mode("overwrite").parquet(f"{path}.next")
-    paths = spark._jvm.org.apache.hadoop.fs.Path
-    fs = paths(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(paths(path), True)
-    if not fs.rename(paths(f"{path}.next"), paths(path)):
+    fs, of = _paths(spark, path)
+    fs.delete(of(f"{path}.former"), True)
+    if fs.exists(of(path)) and not fs.rename(of(path), of(f"{path}.former")):
+        raise OSError(f"could not move {path}")
+    if not fs.rename(of(f"{path}.next"), of(path)):
         raise OSError(f"could not move {path}.next")
+    fs.delete(of(f"{path}.former"), True)
+    spark.catalog.refreshByPath(path)
+
+
+def insert_through_staging(path: str, new: DataFrame, keys: Sequence[str]) -> int:
+    """Insert rows whose key is not at ``path`` yet; how many.
+
+    They are staged first, so that the count and the append read the same rows; the staging table is dropped.
+    """
+    spark, staging = new.sparkSession, f"{path}.staging"
+    recover(spark, path)
+    first = R.last_written(new, keys)
+    added = R.without_keys(first, spark.read.parquet(path), keys) if exists(spark, path) else first
+    added.write.mode("overwrite").parquet(staging)
+    staged = spark.read.schema(new.schema).parquet(staging)
+    staged.write.mode("append").parquet(path)
+    inserted = staged.count()
+    fs, of = _paths(spark, staging)
+    fs.delete(of(staging), True)
     spark.catalog.refreshByPath(path)
+    return inserted
 
 
-def merge_into(path: str, new: DataFrame, strategy: str, keys: Sequence[str] = (), **interval) -> None:
+def merge_into(path: str, new: DataFrame, strategy: str, keys: Sequence[str] = (), *, order: Sequence[str] = (), **interval) -> None:
     """Bring ``new`` into the Parquet table at ``path``.
 
-    Strategies: replace, append, upsert (last write wins), insert_only,
-    delete_insert (by the first key) and time_interval (column, start, end).
-    A single writer is assumed.
+    Strategies: replace, append, upsert (the last by ``order`` wins), insert_only, delete_insert (by the
+    first key), time_interval (column, start, end) and scd2 (at). Keys compare null-safe. A single
+    writer is assumed.
     """
     spark = new.sparkSession
+    recover(spark, path)
     if strategy == "append":
         new.write.mode("append").parquet(path)
-        return
-    if strategy == "replace" or not exists(spark, path):
-        first = new.dropDuplicates(list(keys)) if strategy == "insert_only" else new
-        rewrite(first, path)
-        return
-    old = spark.read.parquet(path)
-    if strategy == "insert_only":  # only the new rows are written
-        added = new.dropDuplicates(list(keys)).join(old.select(*keys), list(keys), "left_anti")
-        added.write.mode("append").parquet(path)
-        return
-    merged = {
-        "upsert": lambda: R.upsert(old, new, keys),
-        "delete_insert": lambda: R.delete_insert(old, new, keys[0]),
-        "time_interval": lambda: R.replace_interval(old, new, interval["column"], interval["start"], interval["end"]),
-    }[strategy]()
-    rewrite(merged, path)
+    elif strategy == "insert_only":
+        insert_through_staging(path, new, keys)
+    elif strategy == "scd2":
+        versions = new.withColumn("valid_from", interval["at"]).withColumn("valid_to", interval["at"])
+        old = spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], versions.schema)
+        rewrite(R.scd2_merge(old, new, keys, interval["at"]), path)
+    elif strategy == "replace" or not exists(spark, path):
+        rewrite(R.last_written(new, keys, order) if strategy == "upsert" else new, path)
+    else:
+        old = spark.read.parquet(path)
+        merged = {
+            "upsert": lambda: R.upsert(old, new, keys, order),
+            "delete_insert": lambda: R.delete_insert(old, new, keys[0]),
+            "time_interval": lambda: R.replace_interval(old, new, interval["column"], interval["start"], interval["end"]),
+        }[strategy]()
+        rewrite(merged, path)
+
+
+def evaluated_once(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as a table below ``folder``: every later use reads what was computed once, even where it is random."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def monthly(df: DataFrame, ts: str, first: str, last: str) -> DataFrame:

@@ -73,25 +73,40 @@ def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: s
     job.awaitTermination()
 
 
+def write_batch(batch: DataFrame, batch_id: int, folder: str) -> None:
+    """A micro-batch as a folder of its id: written again, it replaces itself."""
+    batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+
+def read_batches(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """All micro-batches below ``folder``."""
+    return spark.read.schema(schema).parquet(folder).select(*schema.names)
+
+
 def materialize(stream: DataFrame, mode: str = "complete", keys: Sequence[str] | None = None) -> DataFrame:
     """The stream's result as a table in the shared folder.
 
-    complete rewrites it, append adds, update merges by ``keys``, so that a batch
-    written twice changes nothing.
+    complete rewrites it, append gives each batch a folder, update merges by ``keys``: a batch written
+    twice changes nothing.
     """
     spark = stream.sparkSession
     target, checkpoint = shared_folder(spark, "sink"), shared_folder(spark, "stream")
-    strategy = {"complete": "replace", "append": "append", "update": "upsert"}[mode]
-    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(target)
+    empty = spark.createDataFrame([], stream.schema)
+    if mode == "append":
+        write_batch(empty, -1, target)
+        run_once(stream, lambda batch, n: write_batch(batch, n, target), mode, checkpoint)
+        return read_batches(spark, target, stream.schema)
+    empty.write.parquet(target)
+    strategy = {"complete": "replace", "update": "upsert"}[mode]
     run_once(stream, lambda batch, _: merge_into(target, batch, strategy, keys or ()), mode, checkpoint)
     return spark.read.schema(stream.schema).parquet(target)
 
 
-def fan_out(batch: DataFrame, sinks: dict[str, Callable[[DataFrame], DataFrame]], folder: str) -> None:
+def fan_out(batch: DataFrame, batch_id: int, sinks: dict[str, Callable[[DataFrame], DataFrame]], folder: str) -> None:
     """Several outputs of one micro-batch that share its source: the batch is computed once."""
     batch.persist()
     try:
         for name, derive in sinks.items():
-            derive(batch).write.mode("append").parquet(f"{folder}/{name}")
+            write_batch(derive(batch), batch_id, f"{folder}/{name}")
     finally:
         batch.unpersist()
