@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from millrace.operators.relational import small_side
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
-from millrace.sources import files, paged, schema, topics
+from millrace.sources import files, log, paged, schema, topics
+from millrace.streaming import flows
 
 TEXT_TYPES = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
 
@@ -57,17 +58,107 @@ def tsv_positions(t: Tables) -> DataFrame:
     return wide.filter("none is null").select("event_id", "actor", "goldstein", "code", tone["tone"].alias("tone"), tone["word_count"].alias("word_count"))
 
 
+def _published(t: Tables, *parts: str, timestamp=None, partition=None) -> str:
+    """A topic with the events of each condition, a publication each."""
+    path = shared_folder(t.spark, "topic")
+    for n, part in enumerate(parts):
+        _publish_more(t, path, n, part, timestamp, partition)
+    return path
+
+
+def _publish_more(t: Tables, path: str, n: int, part: str, timestamp=None, partition=None) -> None:
+    chosen = t.events.filter(part)
+    messages = topics.as_messages(chosen.select("event_id", "user_id", "event_type"), F.col("event_id"))
+    if timestamp is not None or partition is not None:
+        messages = chosen.select("ts", "user_id", F.col("event_id").cast("string").alias("key"), F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value"))
+    log.publish(messages, path, n, timestamp=timestamp, partition=partition)
+
+
+EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType())])
+
+
 @query("src_11_topic_json", "SRC-11", "SNK-18", sql="SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <> 0")
 def topic_json(t: Tables) -> DataFrame:
-    """Records as a topic holds them; every tenth is broken and ignored."""
+    """A JSON topic as a stream, from its start; every tenth record is broken and ignored."""
+    path = shared_folder(t.spark, "topic")
     messages = topics.as_messages(t.events.select("event_id", "user_id", "event_type"), F.col("event_id"))
     broken = F.when(F.col("key").cast("long") % 10 == 0, F.lit('{"event_id": oops')).otherwise(F.col("value"))
-    wire = messages.select(broken.cast("binary").alias("value"))
-    return topics.json_records(wire, T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType())]))
-
-
-@query("src_12_topic_options", "SRC-12", "SRC-13", "SRC-14", sql="""SELECT * FROM (VALUES ('earliest','startingOffsets','earliest'),('latest','startingOffsets','latest'),('bounded','endingOffsets','latest'),('stamp','startingTimestamp','1700000000000'),('until','endingTimestamp','1700000000001')) v(mode, option, value)""")
+    log.publish(messages.withColumn("value", broken), path, 0)
+    raw = log.stream(t.spark, path, log.bounds(t.spark, path, "earliest"))
+    return flows.materialize(topics.json_records(raw, EVENT), "append")
+
+
+@query("src_12_topic_latest", "SRC-12", sql="SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 = 0")
+def topic_latest(t: Tables) -> DataFrame:
+    """A stream that starts at the end sees only what is published afterwards."""
+    path = _published(t, "event_id % 3 <> 0")
+    start = log.bounds(t.spark, path, "latest")
+    _publish_more(t, path, 1, "event_id % 3 = 0")
+    return flows.materialize(topics.json_records(log.stream(t.spark, path, start), EVENT), "append")
+
+
+@query("src_13_topic_bounded", "SRC-13", sql="SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 <> 0")
+def topic_bounded(t: Tables) -> DataFrame:
+    """A read up to the end as it was; what comes later stays out."""
+    path = _published(t, "event_id % 3 = 1", "event_id % 3 = 2")
+    end = log.bounds(t.spark, path, "latest")
+    _publish_more(t, path, 2, "event_id % 3 = 0")
+    return topics.json_records(log.read(t.spark, path, log.bounds(t.spark, path, "earliest"), end), EVENT)
+
+
+@query("src_14_topic_from_time", "SRC-14", sql="SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-08 12:00:00' AND ts < TIMESTAMP '2024-01-20'")
+def topic_from_time(t: Tables) -> DataFrame:
+    """From one time on, up to another."""
+    path = _published(t, "true", timestamp=F.col("ts"))
+    at = lambda stamp: log.bounds(t.spark, path, "timestamp", timestamp=stamp)
+    return topics.json_records(log.read(t.spark, path, at("2024-01-08 12:00:00"), at("2024-01-20")), EVENT)
+
+
+@query(
+    "src_14_topic_from_offsets",
+    "SRC-14",
+    sql="""SELECT part AS partition, n AS "offset", event_id FROM (SELECT (user_id % 3)::INT AS part, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id::VARCHAR) - 1 AS n,
+  count(*) OVER (PARTITION BY user_id % 3) AS total FROM events) WHERE (part = 0 AND n >= 10) OR (part = 2 AND n < total)""",
+)
+def topic_from_offsets(t: Tables) -> DataFrame:
+    """Given offsets: one partition from its eleventh record, one from its end, one (not named) from its start."""
+    path = _published(t, "true", timestamp=F.col("ts"), partition=F.col("user_id") % 3)
+    start = log.bounds(t.spark, path, "offsets", offsets={0: 10, 1: log.LATEST})
+    found = log.read(t.spark, path, start)
+    return found.select("partition", "offset", F.get_json_object(F.col("value").cast("string"), "$.event_id").cast("long").alias("event_id"))
+
+
+@query("src_14_topic_group", "SRC-14", sql="SELECT 1 AS read, count(*)::BIGINT AS n FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT 2, count(*)::BIGINT FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 3, 0::BIGINT")
+def topic_group(t: Tables) -> DataFrame:
+    """A group resumes after what it has committed."""
+    path, counts = _published(t, "event_id % 3 <> 0"), []
+    for turn in (1, 2, 3):
+        start, end = log.bounds(t.spark, path, "group", group="readers"), log.bounds(t.spark, path, "latest")
+        counts.append((turn, log.read(t.spark, path, start, end).count()))
+        log.commit(t.spark, path, "readers", end)
+        if turn == 1:
+            _publish_more(t, path, 1, "event_id % 3 = 0")
+    return t.spark.createDataFrame(counts, "read int, n long")
+
+
+@query("snk_18_publish", "SNK-18", sql="SELECT user_id || ':' || event_type || ':' || (epoch_us(ts) // 1000) AS key, event_id FROM events")
+def publish(t: Tables) -> DataFrame:
+    """A stream published under a composite key, each micro-batch a publication; a replay changes nothing."""
+    path, checkpoint = shared_folder(t.spark, "topic"), shared_folder(t.spark, "stream")
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.unix_millis(F.col("ts").cast("timestamp")).cast("string"))
+    messages = flows.file_stream(t.spark, t.path("events")).select(key.alias("key"), F.to_json(F.struct("event_id")).alias("value"))
+
+    def twice(batch: DataFrame, n: int) -> None:
+        for _ in range(2):
+            log.publish(batch, path, n)
+
+    flows.run_once(messages, twice, "append", checkpoint)
+    return log.records(t.spark, path).select("key", F.get_json_object(F.col("value").cast("string"), "$.event_id").cast("long").alias("event_id"))
+
+
+@query("src_12_connector_options", "SRC-12", "SRC-13", "SRC-14", sql="""SELECT * FROM (VALUES ('earliest','startingOffsets','earliest'),('latest','startingOffsets','latest'),('bounded','endingOffsets','latest'),('stamp','startingTimestamp','1700000000000'),('until','endingTimestamp','1700000000001')) v(mode, option, value)""")
 def topic_options(t: Tables) -> DataFrame:
+    """What the same modes are called by Spark's own connector."""
     rows = [
         *(("earliest", *kv) for kv in topics.start_options("earliest").items()),
         *(("latest", *kv) for kv in topics.start_options("latest").items()),
@@ -143,6 +234,68 @@ def paged_api(t: Tables) -> DataFrame:
     return paged.indicator_rows(bodies).select("indicator_code", "country_iso3", "year", "value")
 
 
+def fake_offsets(offset: int) -> str:
+    """A canned search result: 23 works, 5 from the offset on."""
+    import json
+
+    return json.dumps({"numFound": 23, "docs": [{"key": f"W{n}", "year": 1900 + n} for n in range(offset, min(offset + 5, 23))]})
+
+
+def fake_list(page: int) -> str:
+    """Four pages of three rides, then an empty one."""
+    import json
+
+    return json.dumps([{"id": 3 * page + n} for n in range(3)] if page <= 4 else [])
+
+
+@query("src_21_offset_paging", "SRC-21", sql="SELECT 'W' || n AS key, (1900 + n)::INT AS year FROM range(23) r(n)")
+def offset_paging(t: Tables) -> DataFrame:
+    """Offsets up to the total that the first answer reports, a partition each."""
+    bodies = paged.read_pages(t.spark, "millrace.plans.sources:fake_offsets", limit=5, total="numFound")
+    return bodies.select(F.inline(F.from_json(F.get_json_object("body", "$.docs"), "array<struct<key:string,year:int>>")))
+
+
+@query("src_21_until_empty", "SRC-21", sql="SELECT (n // 3 + 1)::INT AS page, (n + 3)::INT AS id FROM range(12) r(n)")
+def until_empty(t: Tables) -> DataFrame:
+    """Numbered pages up to the first empty one."""
+    bodies = paged.read_pages(t.spark, "millrace.plans.sources:fake_list")
+    return bodies.select("page", F.inline(F.from_json("body", "array<struct<id:int>>")))
+
+
+CODE_SEED = "SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 5 THEN '  ' ELSE ' ' || lower(left(n_name, 2)) || ' ' END AS iso2, CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE lower(left(n_name, 3)) END AS iso3 FROM nation"
+
+
+@query(
+    "src_26_code_map",
+    "SRC-26",
+    sql=f"""WITH m AS (SELECT upper(trim(iso2)) AS iso2, arg_max(upper(trim(iso3)), n_nationkey) AS iso3 FROM ({CODE_SEED}) WHERE trim(iso2) <> '' AND trim(coalesce(iso3, '')) <> '' GROUP BY 1)
+SELECT s_suppkey, iso3 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN m ON upper(left(n_name, 2)) = iso2""",
+)
+def mapped_codes(t: Tables) -> DataFrame:
+    """Codes mapped by a seed file's table; blanks drop out, of equal codes the last counts."""
+    key = F.col("n_nationkey")
+    seed = t.nation.select(
+        "n_nationkey",
+        F.when(key % 6 == 5, "  ").otherwise(F.concat(F.lit(" "), F.lower(F.left("n_name", F.lit(2))), F.lit(" "))).alias("iso2"),
+        F.when(key % 7 != 3, F.lower(F.left("n_name", F.lit(3)))).alias("iso3"),
+    )
+    codes = schema.code_map(seed, "iso2", "iso3", order="n_nationkey")
+    named = t.supplier.join(small_side(t.nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    return named.select("s_suppkey", F.upper(F.left("n_name", F.lit(2))).alias("iso2")).join(small_side(codes), "iso2").select("s_suppkey", "iso3")
+
+
+@query(
+    "sup_15_polled_totals",
+    "SUP-15",
+    sql="""WITH l AS (SELECT n_name AS country, c_acctbal AS value, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS nth FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT country, count(*)::BIGINT AS polled, count(*) FILTER (WHERE value > 0)::BIGINT AS published, count(*) FILTER (WHERE NOT coalesce(value > 0, false))::BIGINT AS skipped FROM l WHERE nth <= 8 GROUP BY 1""",
+)
+def polled_totals(t: Tables) -> DataFrame:
+    """Of each country the first locations up to a cap; what was published and what was skipped."""
+    located = t.customer.join(small_side(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"), F.col("c_acctbal").alias("value"))
+    return paged.poll_totals(located, "country", "c_custkey", F.col("value") > 0, cap=8)
+
+
 @query("src_28_slots", "SRC-28", sql="SELECT unnest(generate_series(TIMESTAMP '2024-01-01 22:00:00', TIMESTAMP '2024-01-02 03:00:00', INTERVAL 15 MINUTE)) AS slot")
 def slots(t: Tables) -> DataFrame:
     return files.slots(t.spark, "2024-01-01 22:00:00", "2024-01-02 03:00:00").select(F.col("slot").cast("timestamp_ntz").alias("slot"))

@@ -119,7 +119,7 @@ def sliding(t: Tables) -> DataFrame:
     return flows.materialize(flows.tumbling(events(t), "ts", "10 minutes", ["event_type"], rows().alias("n"), slide="5 minutes"))
 
 
-@query("sup_9_row_consumer", "SUP-9", "SUP-15", sql="SELECT count(*)::BIGINT AS inserted FROM events")
+@query("sup_9_row_consumer", "SUP-9", sql="SELECT count(*)::BIGINT AS inserted FROM events")
 def row_consumer(t: Tables) -> DataFrame:
     """A consumer that inserts what arrives, a micro-batch at a time."""
     return flows.materialize(events(t).select("event_id"), "append").agg(rows().alias("inserted"))

@@ -1,0 +1,113 @@
+"""A topic as a folder of Parquet files: numbered partitions, offsets, times, keys and values.
+
+It has a message broker's start and end modes without a connector, on any file
+system that Spark reads. A publication is a folder of its batch id, so that a
+replayed batch replaces itself and keeps its offsets. Bounds are one number a
+partition; everything else stays in the plan.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions.scalars import coded
+from millrace.sources.sinks import exists_any
+
+RECORD = "batch long, partition int, offset long, timestamp timestamp_ntz, key string, value binary"
+#: Stand-ins for a partition's ends among given offsets, as brokers write them.
+EARLIEST, LATEST = -2, -1
+MOST_PARTITIONS = 10_000
+
+Bounds = dict[int, int]
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECORD).parquet(f"{path}/batch-*")
+
+
+def _ends(spark: SparkSession, path: str, before: int | None = None) -> dict[int, tuple[int, int]]:
+    """First and next offset of each partition (a documented, bounded number of rows)."""
+    if not exists_any(spark, f"{path}/batch-*"):
+        return {}
+    found = records(spark, path)
+    if before is not None:
+        found = found.filter(F.col("batch") < before)
+    rows = found.groupBy("partition").agg(F.min("offset").alias("lo"), (F.max("offset") + 1).alias("hi")).limit(MOST_PARTITIONS + 1).collect()
+    if len(rows) > MOST_PARTITIONS:
+        raise ValueError(f"more than {MOST_PARTITIONS} partitions")
+    return {r["partition"]: (r["lo"], r["hi"]) for r in rows}
+
+
+def publish(messages: DataFrame, path: str, batch_id: int, *, partitions: int = 4, timestamp: Column | None = None, partition: Column | None = None) -> None:
+    """Append key and value of ``messages``; batch ids ascend, and a batch published again replaces itself.
+
+    Equal keys share a partition. In a partition records are in order of time, key and value.
+    """
+    spark = messages.sparkSession
+    base = coded("partition", {p: hi for p, (_, hi) in _ends(spark, path, batch_id).items()} or {-1: 0}, 0)
+    placed = messages.select(
+        F.lit(batch_id).cast("long").alias("batch"),
+        (F.pmod(F.xxhash64("key"), F.lit(partitions)) if partition is None else partition).cast("int").alias("partition"),
+        (F.localtimestamp() if timestamp is None else timestamp).cast("timestamp_ntz").alias("timestamp"),
+        F.col("key").cast("string").alias("key"),
+        F.col("value").cast("binary").alias("value"),
+    )
+    order = Window.partitionBy("partition").orderBy("timestamp", "key", "value")
+    numbered = placed.withColumn("offset", F.row_number().over(order) - 1 + base)
+    numbered.select("batch", "partition", F.col("offset").cast("long").alias("offset"), "timestamp", "key", "value").write.mode("overwrite").parquet(f"{path}/batch-{batch_id:09d}")
+
+
+def bounds(spark: SparkSession, path: str, mode: str, *, timestamp: str | None = None, offsets: Mapping[int, int] | None = None, group: str | None = None) -> Bounds:
+    """The offset a partition at which a mode starts or ends, as of now.
+
+    earliest, latest; timestamp: the first record from then on, else the end; offsets: the given ones,
+    partitions without one from their start; group: what the group has committed, else the start.
+    """
+    ends = _ends(spark, path)
+    if mode == "earliest":
+        return {p: lo for p, (lo, _) in ends.items()}
+    if mode == "latest":
+        return {p: hi for p, (_, hi) in ends.items()}
+    if mode == "timestamp" and timestamp:
+        later = records(spark, path).filter(F.col("timestamp") >= F.lit(timestamp).cast("timestamp_ntz"))
+        first = {r["partition"]: r["o"] for r in later.groupBy("partition").agg(F.min("offset").alias("o")).collect()}
+        return {p: first.get(p, hi) for p, (_, hi) in ends.items()}
+    if mode == "group" and group:
+        offsets = committed(spark, path, group)
+    if mode in ("offsets", "group") and offsets is not None:
+        named = lambda o, lo, hi: {EARLIEST: lo, LATEST: hi}.get(o, o)
+        return {p: named(offsets.get(p, EARLIEST), lo, hi) for p, (lo, hi) in ends.items()}
+    raise ValueError(f"unknown or incomplete mode: {mode}")
+
+
+def within(df: DataFrame, start: Bounds, end: Bounds | None = None) -> DataFrame:
+    """Records from ``start`` on and before ``end``; partitions that came later count from their start, and not before an end."""
+    if start:
+        df = df.filter(F.col("offset") >= coded("partition", start, 0))
+    if end is not None:
+        df = df.filter(F.col("offset") < coded("partition", end or {-1: 0}, 0))
+    return df
+
+
+def read(spark: SparkSession, path: str, start: Bounds, end: Bounds | None = None) -> DataFrame:
+    """A bounded read: up to ``end``, or to what is there now."""
+    return within(records(spark, path), start, bounds(spark, path, "latest") if end is None else end)
+
+
+def stream(spark: SparkSession, path: str, start: Bounds, end: Bounds | None = None) -> DataFrame:
+    """The same as a stream; its checkpoint is the group that a restart resumes."""
+    return within(spark.readStream.schema(RECORD).parquet(f"{path}/batch-*"), start, end)
+
+
+def commit(spark: SparkSession, path: str, group: str, offsets: Bounds) -> None:
+    rows = [(p, o) for p, o in offsets.items()]
+    spark.createDataFrame(rows, "partition int, offset long").coalesce(1).write.mode("overwrite").parquet(f"{path}/group-{group}")
+
+
+def committed(spark: SparkSession, path: str, group: str) -> Bounds:
+    if not exists_any(spark, f"{path}/group-{group}"):
+        return {}
+    return {r["partition"]: r["offset"] for r in spark.read.parquet(f"{path}/group-{group}").collect()}

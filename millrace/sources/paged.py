@@ -10,7 +10,7 @@ import importlib
 import json
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -27,18 +27,38 @@ def _function(path: str) -> Callable[[int], str]:
 
 
 class _PagedReader(DataSourceReader):
+    """A partition a page where the number of pages is known or told by the first one; else one partition that reads on."""
+
     def __init__(self, options):
-        self.fetch, self.pages = options["fetch"], int(options["pages"])
+        self.fetch, self.until = options["fetch"], options.get("until", "pages")
+        self.pages, self.limit, self.total = int(options.get("pages", 0)), int(options.get("limit", 1)), options.get("total", "")
 
     def partitions(self):
-        return [_Page(n) for n in range(1, self.pages + 1)]
+        if self.until == "total":
+            reported = json.loads(_function(self.fetch)(0))
+            for name in self.total.split("."):
+                reported = reported[name]
+            return [_Page(n * self.limit) for n in range(page_count(int(reported), self.limit))]
+        return [_Page(n) for n in range(1, self.pages + 1)] if self.until == "pages" else [_Page(1)]
 
     def read(self, partition: _Page) -> Iterator[tuple]:
-        yield (partition.number, _function(self.fetch)(partition.number))
+        fetch, page = _function(self.fetch), partition.number
+        body = fetch(page)
+        if self.until != "empty":
+            yield (page, body)
+            return
+        while json.loads(body):
+            yield (page, body)
+            page += 1
+            body = fetch(page)
 
 
 class PagedSource(DataSource):
-    """format("paged_api") with options fetch (module:function) and pages."""
+    """format("paged_api") with options fetch (module:function) and until:
+
+    pages: that many, numbered from 1; total: offsets by ``limit`` up to the number that the first
+    page has at the path ``total``; empty: from page 1 to the first empty list.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -51,9 +71,11 @@ class PagedSource(DataSource):
         return _PagedReader(self.options)
 
 
-def read_pages(spark: SparkSession, fetch: str, pages: int) -> DataFrame:
+def read_pages(spark: SparkSession, fetch: str, pages: int | None = None, *, limit: int = 1, total: str | None = None) -> DataFrame:
+    """page (or offset) and body: ``pages`` of them, or by offsets up to ``total``, or until one is empty."""
     spark.dataSource.register(PagedSource)
-    return spark.read.format("paged_api").options(fetch=fetch, pages=str(pages)).load()
+    until = "pages" if pages is not None else "total" if total else "empty"
+    return spark.read.format("paged_api").options(fetch=fetch, until=until, pages=str(pages or 0), limit=str(limit), total=total or "").load()
 
 
 def page_count(found: int, size: int) -> int:
@@ -61,23 +83,17 @@ def page_count(found: int, size: int) -> int:
     return -(-found // size)
 
 
-def until_empty(fetch: Callable[[int], str], start: int = 1) -> Iterator[list]:
-    """Driver-side paging for APIs that tell their end only by an empty page."""
-    page = start
-    while rows := json.loads(fetch(page)):
-        yield rows
-        page += 1
-
-
 INDICATOR = "array<struct<indicator:struct<id:string>,countryiso3code:string,country:struct<value:string>,date:string,value:double,unit:string,obs_status:string>>"
 
 
 def indicator_rows(bodies: DataFrame) -> DataFrame:
     """Typed rows of [meta, records] pages.
 
-    A page of one element is an error of an archived indicator and gives none;
-    records without a country code or with a bad year are skipped.
+    A page of one element is an error of an archived indicator and gives none; more than one page
+    raises, as the others would be missed; records without a country code or with a bad year are skipped.
     """
+    more = F.coalesce(F.get_json_object("body", "$[0].pages").try_cast("int"), F.lit(1)) > 1
+    bodies = bodies.withColumn("body", F.when(more, F.raise_error(F.lit("more than one page of records"))).otherwise(F.col("body")))
     meta_ok = F.get_json_object("body", "$[1]").isNotNull()
     records = bodies.filter(meta_ok).select(F.explode(F.from_json(F.get_json_object("body", "$[1]"), INDICATOR)).alias("r"))
     rows = records.select(
@@ -90,3 +106,11 @@ def indicator_rows(bodies: DataFrame) -> DataFrame:
         F.nullif(F.col("r.obs_status"), F.lit("")).alias("obs_status"),
     )
     return rows.filter((F.coalesce("country_iso3", F.lit("")) != "") & F.col("year").isNotNull())
+
+
+def poll_totals(locations: DataFrame, country: str, order: str, valid: Column, *, cap: int) -> DataFrame:
+    """country, polled, published and skipped: the first ``cap`` locations of each country by ``order``."""
+    nth = F.row_number().over(Window.partitionBy(country).orderBy(order))
+    polled = locations.withColumn("_nth", nth).filter(F.col("_nth") <= cap)
+    good = F.coalesce(valid, F.lit(False))
+    return polled.groupBy(country).agg(F.count(F.lit(1)).alias("polled"), F.count_if(good).alias("published"), F.count_if(~good).alias("skipped"))

@@ -100,3 +100,16 @@ def lenient_json(df: DataFrame, column: str, schema: T.StructType) -> DataFrame:
     marked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
     parsed = df.select(F.from_json(column, marked, {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
     return parsed.filter(F.col("r").isNotNull() & F.col("r._corrupt").isNull()).select(*(F.col(f"r.`{f.name}`") for f in schema))
+
+
+def code_map(seed: DataFrame, code: str, name: str, *, order: str) -> DataFrame:
+    """``code`` and ``name`` in upper case without blanks around; rows without either drop out, of equal codes the last by ``order`` stays.
+
+    A seed that leaves nothing raises.
+    """
+    tidy = lambda c: F.upper(F.trim(F.col(c)))
+    filled = seed.select(tidy(code).alias(code), tidy(name).alias(name), F.col(order).alias("_order")).filter((F.col(code) != "") & (F.col(name) != ""))
+    codes = filled.groupBy(code).agg(F.max_by(name, F.struct("_order", name)).alias(name))
+    if codes.isEmpty():
+        raise ValueError(f"no {code} with a {name}")
+    return codes

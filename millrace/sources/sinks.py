@@ -35,6 +35,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def exists_any(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path pattern matches anything."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
+
+
 def _paths(spark: SparkSession, path: str):
     of = spark._jvm.org.apache.hadoop.fs.Path
     return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of

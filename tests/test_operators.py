@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import io
+import json
 import zipfile
 
 import pytest
@@ -16,7 +17,7 @@ from millrace.functions import scalars as S
 from millrace.operators import checks as C
 from millrace.operators import relational as R
 from millrace.operators.search import BooleanQuery
-from millrace.sources import files, paged, schema, topics
+from millrace.sources import files, log, paged, schema, sinks, topics
 from millrace.streaming import flows
 
 
@@ -184,9 +185,50 @@ def test_indicator_pages(spark):
     assert [(r.indicator_code, r.country_iso3, r.year, r.value, r.obs_status) for r in row] == [("I", "ESP", 2020, None, None)]
 
 
-def test_paging_until_empty():
-    pages = {1: "[1, 2]", 2: "[3]", 3: "[]"}
-    assert list(paged.until_empty(pages.__getitem__)) == [[1, 2], [3]]
+def test_a_second_page_of_records_raises(spark):
+    many = spark.createDataFrame([(1, json.dumps([{"page": 1, "pages": 2}, []]))], "page int, body string")
+    with pytest.raises(Exception, match="more than one page"):
+        paged.indicator_rows(many).collect()
+
+
+def test_code_map_of_blanks_raises(spark):
+    with pytest.raises(ValueError, match="iso2"):
+        schema.code_map(spark.createDataFrame([(1, " ", "x"), (2, "es", None)], "n int, iso2 string, iso3 string"), "iso2", "iso3", order="n")
+
+
+def test_log_bounds(spark, tmp_path):
+    path = f"file://{tmp_path}/topic"
+    assert log.bounds(spark, path, "latest") == {}
+    messages = spark.createDataFrame([(f"k{i}", f"v{i}", f"2024-01-01 00:00:{i:02d}") for i in range(20)], "key string, value string, at string")
+    at, own = F.col("at").cast("timestamp_ntz"), F.substring("key", 2, 2).cast("int") % 2
+    for batch, low in ((0, 0), (1, 10), (1, 10)):
+        log.publish(messages.filter(F.substring("key", 2, 2).cast("int").between(low, low + 9)), path, batch, timestamp=at, partition=own)
+    assert log.records(spark, path).count() == 20
+    assert log.bounds(spark, path, "earliest") == {0: 0, 1: 0} and log.bounds(spark, path, "latest") == {0: 10, 1: 10}
+    assert log.bounds(spark, path, "timestamp", timestamp="2024-01-01 00:00:07") == {0: 4, 1: 3}
+    assert log.bounds(spark, path, "timestamp", timestamp="2025-01-01") == {0: 10, 1: 10}
+    assert log.bounds(spark, path, "offsets", offsets={0: log.LATEST, 1: 4}) == {0: 10, 1: 4}
+    assert log.bounds(spark, path, "group", group="g") == {0: 0, 1: 0}
+    log.commit(spark, path, "g", {0: 3, 1: 5})
+    assert log.read(spark, path, log.bounds(spark, path, "group", group="g")).count() == 7 + 5
+    with pytest.raises(ValueError, match="incomplete"):
+        log.bounds(spark, path, "timestamp")
+
+
+def test_rewrite_recovers(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    sinks.rewrite(spark.range(3), path)
+    (tmp_path / "table").rename(tmp_path / "table.former")  # a crash between the two moves
+    sinks.merge_into(path, spark.range(3, 5), "append")
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_merge_keys_compare_null_safe(spark):
+    old = spark.createDataFrame([(None, "a", 1)], "k int, v string, at int")
+    new = spark.createDataFrame([(None, "c", 3), (None, "b", 2), (4, "x", 1), (4, "y", 2)], "k int, v string, at int")
+    once = R.upsert(old, new, ["k"], ["at"])
+    assert sorted(map(tuple, once.collect()), key=str) == [(4, "y", 2), (None, "c", 3)]
+    assert R.insert_only(R.insert_only(old, new, ["k"]), new, ["k"]).count() == 2
 
 
 def test_start_modes():
