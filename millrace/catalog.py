@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import aggregates, joins, marts, ml, projections, quality, scalars, sinks, sources, streams, text, windows  # noqa: F401
+from millrace.plans import aggregates, gazette, joins, marts, ml, projections, quality, scalars, sinks, sources, streams, text, windows  # noqa: F401
 from millrace.registry import ENTRIES
 
 FLAGSHIP = "agg_1_revenue_hour_zone"

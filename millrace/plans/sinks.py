@@ -10,7 +10,7 @@ from millrace.operators import relational as R
 from millrace.operators.relational import last_written
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
-from millrace.sources.sinks import evaluated_once, insert_through_staging, merge_into, monthly, write_parquet
+from millrace.sources.sinks import evaluated_once, insert_through_staging, merge_into, monthly, put_object, write_parquet
 
 
 @query("snk_1_overwrite", "SNK-1", "SNK-3", "SNK-17", sql="SELECT n_nationkey, n_name FROM nation")
@@ -150,3 +150,28 @@ def single_evaluation(t: Tables) -> DataFrame:
 def versions_of(t: Tables) -> DataFrame:
     versions = R.history(t.orders.select("o_custkey", "o_orderdate").distinct(), ["o_custkey"], "o_orderdate")
     return versions.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("versions"), F.count_if("is_current").alias("current"))
+
+
+@query("sup_8_atomic_put", "SUP-8", sql="SELECT 'second' AS value")
+def atomic_put(t: Tables) -> DataFrame:
+    """An object put twice: readers see the whole old or the whole new one, and no part is left."""
+    folder = shared_folder(t.spark, "objects")
+    for content in (b"first, and longer", b"second"):
+        put_object(t.spark, f"{folder}/object.txt", content)
+    return t.spark.read.text(folder)
+
+
+@query(
+    "sup_1_catalogue",
+    "SUP-1",
+    sql="SELECT 'status=' || o_orderstatus AS partition, count(*)::BIGINT AS total_rows, true AS in_definition FROM orders GROUP BY 1",
+)
+def catalogue(t: Tables) -> DataFrame:
+    """A saved table's partitions as the catalogue lists them, their rows, and whether its stored definition names the key."""
+    name, folder = "millrace_orders_by_status", shared_folder(t.spark, "table")
+    t.spark.sql(f"DROP TABLE IF EXISTS {name}")
+    t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status")).write.partitionBy("status").option("path", folder).saveAsTable(name)
+    listed = t.spark.sql(f"SHOW PARTITIONS {name}")
+    counted = t.spark.table(name).groupBy(F.concat(F.lit("status="), F.col("status")).alias("partition")).agg(F.count(F.lit(1)).alias("total_rows"))
+    definition = t.spark.sql(f"SHOW CREATE TABLE {name}").first()[0]
+    return listed.join(counted, "partition", "left").withColumn("in_definition", F.lit("PARTITIONED BY (status)" in definition))

@@ -10,6 +10,7 @@ from millrace.operators.relational import small_side
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
 from millrace.sources import files, log, paged, schema, topics
+from millrace.sources.sinks import put_object
 from millrace.streaming import flows
 
 TEXT_TYPES = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
@@ -187,12 +188,33 @@ def lookup_table(t: Tables) -> DataFrame:
 
 @query("src_17_json_documents", "SRC-17", sql="SELECT c_mktsegment AS brand, round(avg(c_acctbal), 2)::DOUBLE AS avg_price FROM customer GROUP BY 1")
 def json_documents(t: Tables) -> DataFrame:
+    """Files that each hold one array of objects over many lines; types are found in the data."""
     folder = shared_folder(t.spark, "json")
-    t.customer.select("c_mktsegment", "c_acctbal").write.json(folder)
-    read = t.spark.read.schema("c_mktsegment string, c_acctbal double").json(folder)
+    listed = t.customer.groupBy("c_mktsegment").agg(F.collect_list(F.struct("c_mktsegment", "c_acctbal")).alias("own"))
+    arrays = listed.select(F.replace(F.to_json("own"), F.lit("},{"), F.lit("},\n {")).alias("value"), F.col("c_mktsegment").alias("file"))
+    arrays.write.partitionBy("file").text(folder)
+    read = files.json_documents(t.spark, folder)
     return read.groupBy(F.col("c_mktsegment").alias("brand")).agg(F.round(F.avg("c_acctbal"), 2).alias("avg_price"))
 
 
+@query("src_10_zip_members", "SRC-10", sql="SELECT 'region_' || r_regionkey || '.csv' AS member, n_nationkey || ',' || n_name AS line FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'odd.bin', 'bad ' || chr(65533)")
+def zip_members(t: Tables) -> DataFrame:
+    """Lines of all members of ZIP files; what is not UTF-8 is replaced."""
+    import io
+    import zipfile
+
+    folder = shared_folder(t.spark, "zip")
+    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("line")).collect()
+    members = {f"region_{k}.csv": "\n".join(r["line"] for r in rows if r["r_regionkey"] == k).encode() for k in {r["r_regionkey"] for r in rows}} | {"odd.bin": b"bad \xff"}
+    for n, some in enumerate((sorted(members)[::2], sorted(members)[1::2])):
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as z:
+            for name in some:
+                z.writestr(name, members[name])
+        put_object(t.spark, f"{folder}/{n}.zip", packed.getvalue())
+    return files.zip_members(t.spark, folder).select("member", F.explode(F.split("text", "\n")).alias("line"))
+
+
 @query("src_18_csv_to_parquet", "SRC-18", "SNK-1", sql="SELECT s_suppkey::BIGINT AS s_suppkey, s_name FROM supplier")
 def csv_to_parquet(t: Tables) -> DataFrame:
     from millrace.sources.sinks import write_parquet

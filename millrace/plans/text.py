@@ -39,7 +39,14 @@ def boolean_search(t: Tables) -> DataFrame:
     return GAZETTE.matching(t.documents, BooleanQuery(groups=(("than", "of ther"),), exclude=("thi",))).select("doc_id")
 
 
-@query("txt_5_headline", "TXT-5")
+@query(
+    "txt_5_headline",
+    "TXT-5",
+    sql=r"""WITH w AS (SELECT doc_id, string_split_regex(trim(text), '\s+') AS parts FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, parts, list_position(list_transform(parts, lambda x: regexp_matches(x, '(?i)^\W*(?:than)')), true) AS hit FROM w)
+SELECT doc_id, array_to_string(list_transform(list_slice(parts, greatest(hit - 20, 1), greatest(hit - 20, 1) + 59),
+  lambda x: CASE WHEN regexp_matches(x, '(?i)^\W*(?:than)') THEN regexp_replace(x, '([\p{L}\p{N}-]+)', '<mark>\1</mark>', 'g') ELSE x END), ' ') AS excerpt FROM h WHERE hit > 0""",
+)
 def headlines(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", headline(F.col("text"), ["than"]).alias("excerpt")).filter("excerpt is not null")
 
@@ -72,6 +79,13 @@ def listing(t: Tables) -> DataFrame:
     return t.lineitem.filter("l_orderkey = 7").select("l_linenumber", "l_partkey").orderBy("l_linenumber")
 
 
+@query("txt_7_sitemap", "TXT-7", sql="SELECT '/bulletins/' || year(o_orderdate) || '/' || month(o_orderdate) AS loc, max(o_orderdate)::DATE AS lastmod, count(*)::BIGINT AS entries FROM orders GROUP BY 1")
+def sitemap(t: Tables) -> DataFrame:
+    """A site map: a location for each bulletin, when it last changed, how much it holds."""
+    loc = F.concat_ws("/", F.lit("/bulletins"), F.year("o_orderdate").cast("string"), F.month("o_orderdate").cast("string"))
+    return t.orders.groupBy(loc.alias("loc")).agg(F.to_date(F.max("o_orderdate")).alias("lastmod"), F.count(F.lit(1)).alias("entries"))
+
+
 LINKS = """SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"[^>]*>', 1)) AS href FROM pages"""
 
 
@@ -81,7 +95,14 @@ def anchors(t: Tables) -> DataFrame:
     return found.groupBy("page_id", "href").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("txt_8_first_link_per_key", "TXT-8")
+@query(
+    "txt_8_first_link_per_key",
+    "TXT-8",
+    sql="""WITH a AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"[^>]*>', 1) AS hrefs, regexp_extract_all(html, '<a href="[^"]*"[^>]*>([^<]*)', 1) AS labels FROM pages),
+l AS (SELECT page_id, url, unnest(range(1, len(hrefs) + 1)) AS pos, unnest(hrefs) AS href, unnest(labels) AS label FROM a),
+k AS (SELECT *, lower(left(trim(label), 1)) AS initial, row_number() OVER (PARTITION BY page_id, lower(left(trim(label), 1)) ORDER BY pos) AS nth FROM l WHERE trim(label) <> '')
+SELECT page_id, initial, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || href ELSE href END AS href FROM k WHERE nth = 1""",
+)
 def first_link(t: Tables) -> DataFrame:
     """Absolute links; of each initial letter the first on the page."""
     found = t.pages.select("page_id", F.posexplode(markup.anchors(F.col("html"), F.col("url"))).alias("pos", "a"))
@@ -95,18 +116,6 @@ def filtered_links(t: Tables) -> DataFrame:
     return found.filter(F.col("label").startswith("t")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("txt_10_layouts", "TXT-10", "SRC-27", sql="SELECT page_id, CASE WHEN html LIKE '%<article%' THEN 'article' WHEN html LIKE '%<table%' THEN 'table' WHEN html LIKE '%.pdf%' THEN 'pdf' ELSE 'unknown' END AS layout FROM pages")
-def layouts(t: Tables) -> DataFrame:
-    """Which parser a page needs, by markers in its markup."""
-    has = lambda s: F.col("html").contains(s)
-    return t.pages.select("page_id", F.when(has("<article"), "article").when(has("<table"), "table").when(has(".pdf"), "pdf").otherwise("unknown").alias("layout"))
-
-
-@query("txt_11_markdown", "TXT-11")
-def as_markdown(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", markup.markdown(F.col("html")).alias("body"))
-
-
 @query("txt_11_breadcrumb", "TXT-11", sql="SELECT n_nationkey, r_name AS section, CASE WHEN n_nationkey % 2 = 0 THEN 'Sub' END AS subsection, n_name AS organization FROM nation JOIN region ON n_regionkey = r_regionkey")
 def breadcrumbs(t: Tables) -> DataFrame:
     middle = F.when(F.col("n_nationkey") % 2 == 0, F.lit(" > Sub > ")).otherwise(F.lit(" > "))
@@ -187,9 +196,3 @@ def classified(objects: DataFrame) -> DataFrame:
         return out
 
     return objects.select("object_key", entity.alias("entity"), part(1).alias("year"), part(2).alias("issue"), part(3).alias("disposition"))
-
-
-@query("sup_7_line_parser", "SUP-7", sql="""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) SELECT doc_id, count(*)::BIGINT AS n_lines FROM l WHERE trim(line) <> '' GROUP BY 1""")
-def line_parser(t: Tables) -> DataFrame:
-    lines = t.documents.select("doc_id", F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-    return lines.filter(F.trim("line") != "").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"))

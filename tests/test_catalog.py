@@ -24,7 +24,7 @@ def test_flagship_is_registered():
 
 
 #: Executable ids of the inventory that no query can show here: they need a service or library that is not there.
-OUTSIDE = {"UDF-10", "TXT-14", "SUP-8", "SUP-16", "SUP-17", "SRC-10"}
+OUTSIDE = {"UDF-10", "SUP-16", "SUP-17"}
 
 
 def test_inventory_is_covered():
