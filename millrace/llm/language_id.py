@@ -61,13 +61,13 @@ UNKNOWN = "und"
 def _trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashed byte trigrams of the lower-cased texts, letters and single blanks only, and each text's count."""
     parts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
-    raw = np.frombuffer(b"".join(p + b"\0\0" for p in parts), np.uint8)
-    ends = np.cumsum([len(p) + 2 for p in parts]) - 2
+    raw = np.frombuffer(b"".join(b"\0" + p + b"\0" for p in parts), np.uint8)  # a gap before and after each text
+    ends = np.cumsum([len(p) + 2 for p in parts])
     letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
     kept = letter | (raw == 0)
     kept[1:] |= letter[:-1]  # the byte after a letter stands for the gap
     symbols = np.where(letter, raw, 32).astype(np.int64)[kept]
-    owner = np.searchsorted(ends, np.flatnonzero(kept))
+    owner = np.searchsorted(ends, np.flatnonzero(kept), side="right")
     if len(symbols) < 3:
         return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
     same = (owner[2:] == owner[:-2]) & (symbols[1:-1] != 32)

@@ -50,7 +50,7 @@ def leaks(docs: list[tuple], items: list[tuple]) -> set[tuple]:
 
 def _trigrams(text: str | None) -> list[int]:
     """Hashed trigrams of the bytes of lower-cased letters and single gaps, none with a gap in the middle."""
-    symbols, gap = [], False
+    symbols, gap = [32], False
     for b in (text or "").lower().encode() + b"\0":
         if 97 <= b <= 122 or b >= 128:
             symbols.append(b)
