@@ -20,9 +20,12 @@ Each occurrence but the first of its class is covered from its left extension to
 the end of the common prefix.
 
 *Scale.* Equal texts have equal suffixes throughout; the array keeps those of the
-first such document, and each later one is a single repeat from end to end. Equal neighbourhoods within a batch are one leaf with a list of
-occurrences, and equal seeds of a batch are counted before they are shuffled, so
-a passage in a third of all documents is a row a batch and not a row a document.
+first such document, and each later one is a single repeat from end to end. Of
+equal neighbourhoods within a batch the first becomes a leaf; the later ones are
+repeats as far as the neighbourhood reaches, and leave the array as merged spans.
+Equal seeds of a batch are counted before they are shuffled. So the inside of a
+passage in a third of all documents is a row a batch and not a row a document; its
+two ends, whose neighbourhoods differ, remain a row a document.
 A partition is worked off in chunks of whole seeds. Texts are shuffled once
 (both joins use the same exchange); what a document gathers, its positions and
 spans, is bounded by its own length.
@@ -39,6 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +55,6 @@ SLICE_BYTES, CHUNK_ROWS = 1 << 20, 150_000
 LEFT_PAD, RIGHT_PAD = 0xFF, 0xFE  # bytes that UTF-8 never uses
 ALONE, REPEATED, WITNESS = 0, 1, 2
 MARK_BITS = 30  # of a text's hash, in a shuffled key: a handle only, texts are told apart by the whole hash
-OCCURRENCE = np.dtype([("did", "<i8"), ("mark", "<i8"), ("at", "<i4")])
 NO_ID = -(2**63)
 
 _RNG = np.random.default_rng(77)
@@ -149,13 +152,38 @@ def _find_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _room(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes of text each context has before and from its position on."""
+    left, right = context[:, REACH - 1 :: -1] != LEFT_PAD, context[:, REACH:] != RIGHT_PAD
+    return np.where(left.all(axis=1), REACH, left.argmin(axis=1)), np.where(right.all(axis=1), LENGTH, right.argmin(axis=1))
+
+
+def _merged(did: np.ndarray, mark: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of the same text that touch or overlap, made one."""
+    if not len(did):
+        return did, mark, begin, end
+    order = np.lexsort((begin, mark, did))
+    did, mark, begin, end = did[order], mark[order], begin[order], end[order]
+    text = np.cumsum(np.append(0, (did[1:] != did[:-1]) | (mark[1:] != mark[:-1])))
+    apart = int(end.max()) + 2
+    upto = np.maximum.accumulate(end + text * apart)
+    new = np.append(True, begin[1:] + text[1:] * apart > upto[:-1])
+    starts = np.flatnonzero(new)
+    return did[new], mark[new], begin[new], np.maximum.reduceat(end, starts)
+
+
 def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, context and occurrences of the wanted positions of (did, mark, text, places, copies); copies are marks to leave out."""
+    """The wanted positions of (did, mark, text, places, copies), but for copies: marks to leave out.
+
+    A row is a position (key, context, did, mark, begin), or, without a context, a covered span: of equal
+    contexts in a batch only the first goes on, the later ones are covered as far as the context reaches.
+    """
     offsets = np.arange(-REACH, LENGTH)
     for batch in batches:
         dids, marks = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(2))
         texts, places = _texts(batch.column(2)), batch.column(3).to_pylist()
-        leaves: dict[bytes, list[bytes]] = {}
+        leaves: dict[bytes, int] = {}
+        found: list[tuple[np.ndarray, int, int, np.ndarray]] = []
         for did, mark, text, wanted, copies in zip(dids.tolist(), marks.tolist(), texts, places, batch.column(4).to_pylist(), strict=True):
             if copies and mark in copies:
                 continue
@@ -169,17 +197,33 @@ def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 context[index < 0] = LEFT_PAD
                 context[index >= len(raw)] = RIGHT_PAD
                 blob = context.tobytes()
-                who = np.zeros(len(some), OCCURRENCE)
-                who["did"], who["mark"], who["at"] = did, mark, some
-                size, who = OCCURRENCE.itemsize, who.tobytes()
-                for i in range(len(some)):
-                    leaves.setdefault(blob[i * CONTEXT : (i + 1) * CONTEXT], []).append(who[size * i : size * i + size])
-        contexts = list(leaves)
-        matrix = np.frombuffer(b"".join(contexts), np.uint8).reshape(-1, CONTEXT)
-        key = np.zeros(len(contexts), np.uint64)
+                own = [leaves.setdefault(blob[i * CONTEXT : (i + 1) * CONTEXT], len(leaves)) for i in range(len(some))]
+                found.append((np.array(own, np.int64), did, mark, some))
+        if not found:
+            continue
+        leaf, at = (np.concatenate([f[i] for f in found]) for i in (0, 3))
+        did, mark = (np.repeat([f[i] for f in found], [len(f[0]) for f in found]) for i in (1, 2))
+        matrix = np.frombuffer(b"".join(leaves), np.uint8).reshape(-1, CONTEXT)
+        order = np.lexsort((at, mark, did, leaf))
+        first = order[np.append(True, np.diff(leaf[order]) != 0)]  # by leaf
+        head = first[leaf]
+        later = (did != did[head]) | (mark != mark[head]) | (at != at[head])
+        before, after = _room(matrix)
+        later &= (before + after >= LENGTH)[leaf]
+        span_did, span_mark, begin, end = _merged(did[later], mark[later], at[later] - before[leaf[later]], at[later] + after[leaf[later]])
+        key = np.zeros(len(leaves), np.uint64)
         for k in range(SEED):
             key = (key ^ _BYTE[matrix[:, REACH + k]]) * np.uint64(_BASE)
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(contexts, pa.binary()), pa.array([b"".join(v) for v in leaves.values()], pa.binary())], names=["key", "context", "occurrences"])
+        spread = (span_did * np.int64(0x2545F4914F6CDD1D)) ^ begin
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([key.view(np.int64), spread])),
+                pa.array([*leaves, *[None] * len(spread)], pa.binary()),
+                *(pa.array(np.concatenate([own[first], spans])) for own, spans in ((did, span_did), (mark, span_mark), (at, begin))),
+                pa.array(np.concatenate([np.full(len(first), -1, np.int64), end])),
+            ],
+            names=["key", "context", "did", "mark", "begin", "end"],
+        )
 
 
 def _sorted_rows(matrix: np.ndarray) -> np.ndarray:
@@ -208,31 +252,17 @@ def _nearest_earlier(common: list[int], rank: list[int], best: list[int], order:
         stack.append((rank[i], shared))
 
 
-def covered_by_repeats(keys: np.ndarray, context: np.ndarray, owner: np.ndarray, did: np.ndarray, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Occurrences (by number) and the byte spans that maximal repeats cover in them.
+def covered_by_repeats(keys: np.ndarray, context: np.ndarray, did: np.ndarray, mark: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaves (by number) and the byte spans that maximal repeats cover in them.
 
-    Leaves have a seed key and a context; occurrence i, at position at[i] of the text
-    that did[i] and mark[i] name, belongs to leaf owner[i].
+    A leaf has a seed key and a context; it is position ``at`` of the text that ``did`` and ``mark`` name.
     """
     left, right = context[:, REACH - 1 :: -1] if REACH else context[:, :0], context[:, REACH:]
-    has_left = (left != LEFT_PAD).argmin(axis=1)
-    has_left = np.where((left != LEFT_PAD).all(axis=1), REACH, has_left)
-    has_right = np.where((right != RIGHT_PAD).all(axis=1), LENGTH, (right != RIGHT_PAD).argmin(axis=1))
+    has_left, has_right = _room(context)
     by_place = np.lexsort((at, mark, did))
     new = np.append(True, np.any([x[by_place][1:] != x[by_place][:-1] for x in (did, mark, at)], axis=0))
-    rank_of = np.empty(len(did), np.int64)
-    rank_of[by_place] = np.cumsum(new)
-    by_leaf = np.lexsort((rank_of, owner))
-    leaf_start = np.searchsorted(owner[by_leaf], np.arange(len(keys)))
-    first = by_leaf[leaf_start]
-    rank = rank_of[first]
-
-    # occurrences of one leaf beyond its first: all of their neighbourhood is a repeat
-    later = np.flatnonzero(rank_of > rank[owner])
-    whole = owner[later]
-    hits, begins, ends = [later], [at[later] - has_left[whole]], [at[later] + has_right[whole]]
-    fits = has_left[whole] + has_right[whole] >= LENGTH
-    hits[0], begins[0], ends[0] = later[fits], begins[0][fits], ends[0][fits]
+    rank = np.empty(len(did), np.int64)
+    rank[by_place] = np.cumsum(new)
 
     with_key = np.concatenate([keys.astype(">i8").view(np.uint8).reshape(-1, 8), right], axis=1)
     array = _sorted_rows(with_key)
@@ -278,29 +308,29 @@ def covered_by_repeats(keys: np.ndarray, context: np.ndarray, owner: np.ndarray,
         if common > stack[-1][0]:
             stack.append((common, lo))
 
-    if found:
-        leaf, shared, least = np.array(found, np.int64).T
-        hits.append(first[leaf])
-        begins.append(at[first[leaf]] - shared)
-        ends.append(at[first[leaf]] - least + LENGTH)
-    return np.concatenate(hits), np.concatenate(begins), np.concatenate(ends)
+    leaf, shared, least = np.array(found, np.int64).reshape(-1, 3).T
+    return leaf, at[leaf] - shared, at[leaf] - least + LENGTH
 
 
 def _scan_array(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """did, mark, begin, end of what repeats cover; rows arrive sorted by key."""
 
+    names = ["did", "mark", "begin", "end"]
+
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         if not table.num_rows:
             return
         table = table.combine_chunks()
-        keys = table.column(0).to_numpy()
-        context = np.frombuffer(b"".join(table.column(1).to_pylist()), np.uint8).reshape(-1, CONTEXT)
-        lists = table.column(2).to_pylist()
-        flat = np.frombuffer(b"".join(lists), OCCURRENCE)
-        did, mark, at = (flat[c].astype(np.int64) for c in ("did", "mark", "at"))
-        owner = np.repeat(np.arange(len(lists)), [len(x) // OCCURRENCE.itemsize for x in lists])
-        hit, begin, end = covered_by_repeats(keys, context, owner, did, mark, at)
-        yield pa.RecordBatch.from_arrays([pa.array(did[hit]), pa.array(mark[hit]), pa.array(begin), pa.array(end)], names=["did", "mark", "begin", "end"])
+        is_span = table.column("context").is_null()
+        for part in table.filter(is_span).select(names).to_batches():
+            yield part
+        table = table.filter(pc.invert(is_span))
+        if not table.num_rows:
+            return
+        keys, did, mark, at = (table.column(c).to_numpy() for c in ("key", "did", "mark", "begin"))
+        context = np.frombuffer(b"".join(table.column("context").to_pylist()), np.uint8).reshape(-1, CONTEXT)
+        hit, begin, end = covered_by_repeats(keys, context, did, mark, at)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _merged(did[hit], mark[hit], begin, end)], names=names)
 
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -357,7 +387,7 @@ def remove_repeats(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     places = unpacked.groupBy("d", "h").agg(F.collect_list("place").alias("places")).join(left_out, ["d", "h"], "left")
     same = (F.col("did") == F.col("d")) & (F.col("m") == F.col("h"))
     met = keyed.join(places, same).select("did", "mark", "text", "places", "copies")
-    leaves = met.mapInArrow(_neighbourhoods, "key long, context binary, occurrences binary")
+    leaves = met.mapInArrow(_neighbourhoods, "key long, context binary, did long, mark long, begin long, end long")
     covered = leaves.repartition("key").sortWithinPartitions("key").mapInArrow(_scan_array, "did long, mark long, begin long, end long")
     covered = covered.unionByName(copies.select(F.col("d").alias("did"), F.col("m").alias("mark"), F.lit(0).cast("long").alias("begin"), "end"))
     spans = covered.groupBy(F.col("did").alias("d"), handle_of("mark").alias("h")).agg(F.collect_list(F.struct("mark", "begin", "end")).alias("spans"))
