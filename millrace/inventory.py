@@ -8,11 +8,8 @@ from millrace.registry import ENTRIES
 #: Ids that no query shows, and where they are instead.
 ELSEWHERE = {
     "DQ-11": "the tests themselves: given rows, expected rows",
-    "SRC-10": "`sources.files.zip_members`, tested on a written archive",
-    "SUP-8": "Spark's output committer and `sources.sinks.rewrite`",
     "SUP-16": "orchestration, outside the engine",
     "SUP-17": "uploads, outside the engine",
-    "TXT-14": "PDF layout, outside the engine",
     "UDF-10": "calls to a model service, outside the engine",
 }
 

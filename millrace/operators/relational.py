@@ -106,7 +106,7 @@ def either_key_join(left: DataFrame, right: DataFrame, key: str, candidates: Seq
 
 def without_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose key does not occur in ``other``; null equals null."""
-    named = other.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).distinct()
+    named = other.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))
     same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)))
     return df.join(named, same, "left_anti")
 

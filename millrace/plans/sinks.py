@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import row_id
 from millrace.operators import relational as R
-from millrace.operators.relational import last_written
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
 from millrace.sources.sinks import evaluated_once, insert_through_staging, merge_into, monthly, put_object, write_parquet
@@ -45,13 +44,13 @@ def insert_only(t: Tables) -> DataFrame:
 @query("snk_5_upsert", "SNK-5", "SNK-7", "SNK-11", sql="SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'second' ELSE 'first' END AS written FROM customer UNION ALL SELECT -2, 'second' UNION ALL SELECT NULL, 'second'")
 def upsert(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "sink")
-    merge_into(folder, t.customer.select("c_custkey", F.lit("first").alias("written")), "upsert", ["c_custkey"])
+    merge_into(folder, t.customer.select("c_custkey", F.lit("first").alias("written"), F.lit(0).alias("at")), "replace")
     new = t.customer.filter("c_custkey % 2 = 0").select("c_custkey").union(t.spark.range(-2, -1).toDF("c_custkey")).union(t.spark.sql("SELECT CAST(NULL AS LONG)")).withColumn("written", F.lit("second"))
     early = new.withColumn("written", F.lit("replaced within the batch"))
     batch = new.withColumn("at", F.lit(2)).union(early.withColumn("at", F.lit(1)))
     for _ in range(2):
-        merge_into(folder, last_written(batch, ["c_custkey"], ["at"]).drop("at"), "upsert", ["c_custkey"])
-    return t.spark.read.parquet(folder)
+        merge_into(folder, batch, "upsert", ["c_custkey"], order=["at"])
+    return t.spark.read.parquet(folder).drop("at")
 
 
 @query("snk_10_time_interval", "SNK-10", sql="SELECT o_orderkey, o_orderdate, o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AS rerun FROM orders")
