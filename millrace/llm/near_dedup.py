@@ -291,6 +291,7 @@ def near_duplicate_classes(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame
     members = signed.join(named, "key", "left").select("row", "doc_id", "mark", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class", F.col("row")).alias("class"))
     members = reliable_checkpoint(members)
     names = members.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"), F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))).alias("first"))
+    names = reliable_checkpoint(names)  # apart from the join, so that adaptive execution can split a large class there
     return members.join(names, "class").select("row", "doc_id", "mark", "class_id", "class_size", "n_links", (F.col("row") == F.col("first.row")).alias("is_kept"))
 
 
