@@ -242,13 +242,15 @@ def similar_links(representatives: DataFrame, texts_of) -> tuple[DataFrame, Data
     ``texts_of(nodes)`` gives node, text for the nodes that share a bucket.
     """
     spread = representatives.select("node", F.explode("bands").alias("band"))
-    sizes = spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # counts and pivots are checkpointed apart from their joins, so that adaptive execution can split a frequent band there
+    sizes = reliable_checkpoint(spread.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     held = reliable_checkpoint(spread.join(sizes, "band"))
     texts = reliable_checkpoint(texts_of(held.select("node").distinct()))
     few, many = held.filter(F.col("n") <= SMALL), held.filter(F.col("n") > SMALL)
     close = few.select("band", F.col("node").alias("a")).join(few.select("band", F.col("node").alias("b")), "band").filter("a < b").select("a", "b")
     crowds = many.groupBy("node").agg(F.sum("n").alias("crowd"))  # the text that the others are copies of stands out
     pivots = many.join(crowds, "node").groupBy("band").agg(F.max(F.struct("crowd", F.xxhash64("node").alias("h"), "node")).alias("p"))
+    pivots = reliable_checkpoint(pivots)
     star = many.join(pivots, "band").select(F.least("p.node", "node").alias("a"), F.greatest("p.node", "node").alias("b")).filter("a <> b")
     links = reliable_checkpoint(_verify(reliable_checkpoint(close.unionByName(star).distinct()), texts))
     labels = reliable_checkpoint(connected_components(links))
@@ -256,6 +258,7 @@ def similar_links(representatives: DataFrame, texts_of) -> tuple[DataFrame, Data
     wide = many.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
     sides = wide.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
     mixed_bands = sides.groupBy("band").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("band", F.col("m.label").alias("main"))
+    mixed_bands = reliable_checkpoint(mixed_bands)
     undecided = reliable_checkpoint(wide.join(mixed_bands, "band"))
     if undecided.isEmpty():
         return links, labels
