@@ -74,7 +74,14 @@ def audit(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
     return both.select(*keys, status.alias("status")).filter(F.col("status").isNotNull())
 
 
+def row_failures(df: DataFrame, offends: dict[str, Column]) -> DataFrame:
+    """check and failures of conditions on single rows of one table: one scan for all of them."""
+    counted = df.agg(*(F.count_if(F.coalesce(c, F.lit(False))).alias(f"n{i}") for i, c in enumerate(offends.values())))
+    named = [F.struct(F.lit(name).alias("check"), F.col(f"n{i}").alias("failures")) for i, name in enumerate(offends)]
+    return counted.select(F.inline(F.array(*named)))
+
+
 def summary(checks: dict[str, DataFrame]) -> DataFrame:
-    """check and failures, a row for each named check."""
+    """check and failures, a row for each named check; a scan each, for checks that need more than a row."""
     counts = [df.agg(F.count(F.lit(1)).alias("failures")).select(F.lit(name).alias("check"), "failures") for name, df in checks.items()]
     return reduce(DataFrame.union, counts)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +28,19 @@ UNION ALL SELECT 'positive', (SELECT count(*) FROM lineitem WHERE l_discount <=
 UNION ALL SELECT 'non_negative', (SELECT count(*) FROM customer WHERE c_acctbal < 0)::BIGINT""",
 )
 def generic(t: Tables) -> DataFrame:
-    return C.summary(
+    by_row = [
+        C.row_failures(t.events, {"not_null": F.col("value").isNull(), "accepted_values": ~F.col("event_type").isin("click", "view", "purchase")}),
+        C.row_failures(t.lineitem, {"positive": F.col("l_discount") <= 0}),
+        C.row_failures(t.customer, {"non_negative": F.col("c_acctbal") < 0}),
+    ]
+    whole = C.summary(
         {
-            "not_null": C.not_null(t.events, "value"),
             "unique": C.unique(t.orders, "o_custkey"),
-            "accepted_values": C.accepted_values(t.events, "event_type", ("click", "view", "purchase")),
             "relationships": C.relationships(t.lineitem, "l_suppkey", t.supplier.filter("s_acctbal > 0"), "s_suppkey"),
             "unique_combination": C.unique(t.lineitem, "l_orderkey", "l_linenumber"),
-            "positive": C.positive(t.lineitem, "l_discount"),
-            "non_negative": C.non_negative(t.customer, "c_acctbal"),
         }
     )
+    return reduce(DataFrame.union, by_row, whole)
 
 
 @query("dq_4_orphans", "DQ-4", sql="SELECT DISTINCT l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
