@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,8 +30,16 @@ def build_session(name: str = "millrace", *, master: str | None = None, shuffle_
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that every executor sees: below ``spark.checkpoint.dir`` where that is set."""
+    """A fresh folder that every executor sees: below ``spark.checkpoint.dir`` where that is set.
+
+    Else below the context's checkpoint folder; a local folder only under a local master.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not root and chosen.isDefined():
+        root = chosen.get()
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return f"{root}/{purpose}-{uuid.uuid4().hex}"
