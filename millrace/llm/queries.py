@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat_format, cover_tree, decontaminate, language_id, line_dedup, near_dedup, packing, quality, suffix_dedup, url_rules
+from millrace.llm import chat_format, cover_tree, decontaminate, language_id, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, url_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op9_language_id_pages": language_id.query_pages,
     "op10_url_filters": url_rules.query,
+    "op13_substring_dedup": substring_dedup.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op2_chat_format": chat_format.ORACLE,
     "op3_cover_tree_top_k": cover_tree.ORACLE,
     "op10_url_filters": url_rules.ORACLE,
+    "op13_substring_dedup": substring_dedup.ORACLE,
 }
