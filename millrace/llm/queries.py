@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat_format, cover_tree, decontaminate, language_id, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, url_rules
+from millrace.llm import chat_format, cover_tree, decontaminate, language_id, line_dedup, near_dedup, packing, quality, substring_dedup, suffix_dedup, url_rules, vector_codes, whitening
 
 QUERIES = {
     "op1_line_dedup": line_dedup.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op9_language_id_pages": language_id.query_pages,
     "op10_url_filters": url_rules.query,
+    "op11_whitening": whitening.query,
+    "op12_vector_codes": vector_codes.query,
     "op13_substring_dedup": substring_dedup.query,
 }
 
@@ -24,5 +26,6 @@ ORACLES = {
     "op2_chat_format": chat_format.ORACLE,
     "op3_cover_tree_top_k": cover_tree.ORACLE,
     "op10_url_filters": url_rules.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
     "op13_substring_dedup": substring_dedup.ORACLE,
 }
