@@ -13,16 +13,16 @@ hash; those that occur once in the corpus are dropped.
 *Extension.* A match is extended to both sides of its anchor over all documents at once.
 Where two neighbourhoods agree as a whole, the later document is covered from end to end
 and goes no further. The first document of each different neighbourhood is extended word
-by word: j words before the anchor and the rest after it, for every j that the
-neighbourhood allows. Documents that agree so far form a class, and all but those with its
+by word, unless all documents with its anchor agree with it: j words before the anchor and
+the rest after it, for every j that the neighbourhood allows. Documents that agree so far form a class, and all but those with its
 smallest doc_id are covered there. Covered spans that touch are merged: the removed runs
 are the longest that repeats of at least WINDOW words cover.
 
 *Scale.* Nothing is compared in pairs and no group is held in memory: a class is a run of
 sorted rows of which only the first is remembered. What repeats within a batch is settled
-there: seeds that occur twice in it are known to be repeated and are dealt out at random
-beside one witness, and of equal neighbourhoods or classes only the smallest document's
-goes on. So a passage in a third of all documents is a row a batch, not a row a document.
+there: of equal neighbourhoods or classes only the smallest document's goes on, and anchors
+with several neighbourhoods are known to be open and are dealt out at random beside one
+witness. So a passage in a third of all documents is a row a batch, not a row a document.
 The texts are shuffled once; both joins read the same exchange. Words are compared by
 64-bit hashes, neighbourhoods and classes by two independent ones.
 
@@ -170,6 +170,13 @@ def _first_in_run(keys: list[np.ndarray], did: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
+def _diverse(key: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """For rows sorted by key and context: whether the row's key has several contexts."""
+    new = np.append(True, np.diff(key) != 0)
+    other = ~new & np.append(False, np.diff(context) != 0)
+    return np.logical_or.reduceat(other, np.flatnonzero(new))[np.cumsum(new) - 1]
+
+
 def _packed(m: np.ndarray, place: np.ndarray, count: np.ndarray, kind: np.ndarray) -> np.ndarray:
     parts = [(m, PLACE_BITS + COUNT_BITS + KIND_BITS), (place, COUNT_BITS + KIND_BITS), (count, KIND_BITS), (kind, 0)]
     return sum((x.astype(np.uint64) << np.uint64(by)) for x, by in parts).view(np.int64)
@@ -201,10 +208,9 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         key, context, did, m, place, count = (c[np.lexsort((columns[2], columns[1], columns[0]))] for c in columns)
         later = did > did[_first_in_run([key, context], did)]
         spans = _merged(did[later], m[later], place[later], place[later] + count[later] - 1 + WINDOW)
-        same_key = np.append(np.diff(key) == 0, False)
-        many = same_key | np.append(False, same_key[:-1])
+        key, context, did, m, place, count = (c[~later] for c in (key, context, did, m, place, count))
+        many = _diverse(key, context)
         witnesses = np.unique(key[many])
-        key, context, did, m, place, count, many = (c[~later] for c in (key, context, did, m, place, count, many))
         zeros, none = np.zeros_like(spans[0]), np.zeros_like(witnesses)
         yield pa.RecordBatch.from_arrays(
             [
@@ -217,26 +223,50 @@ def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _settled(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Of whole runs of a key: what an earlier document covers, and a row for each neighbourhood of a key that has several."""
+    key, context, did, packed = rows
+    m, place, count, kind = _unpacked(packed)
+    several, alone = _diverse(key, context), kind == ALONE
+    seen = np.append(True, np.diff(key) != 0)
+    several |= np.logical_or.reduceat(~alone, np.flatnonzero(seen))[np.cumsum(seen) - 1]
+    key, context, did, packed, m, place, count, several = (c[alone] for c in (key, context, did, packed, m, place, count, several))
+    if not len(key):
+        return [key, context, did, packed]
+    later = did > did[_first_in_run([key, context], did)]
+    spans, on = _merged(did[later], m[later], place[later], place[later] + count[later] - 1 + WINDOW), several & ~later
+    zeros = np.zeros_like(spans[0])
+    new = [spans[2], spans[3], spans[0], _packed(spans[1], zeros, zeros, np.full_like(zeros, SPAN))]
+    return [np.concatenate([c[on], x]) for c, x in zip((key, context, did, packed), new, strict=True)]
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: spans, what is known to be repeated, and seeds that another row holds too."""
-    held: pa.RecordBatch | None = None
-    before: int | None = None
+    """Rows sorted by key, context and did: spans, what was dealt out at random, and ``_settled`` runs.
+
+    The rows of a key that is not dealt out are at most a few a batch of documents.
+    """
+    names = ["key", "context", "did", "packed"]
+    held: list[list[np.ndarray]] = []
 
-    def kept(batch: pa.RecordBatch, after: int | None) -> pa.RecordBatch:
-        key, packed = _numbers(batch, "key", "packed")
-        same = np.concatenate([[before is not None and key[0] == before], np.diff(key) == 0, [after is not None and key[-1] == after]])
-        kind = packed & ((1 << KIND_BITS) - 1)
-        return batch.filter(pa.array((kind == REPEATED) | (kind == SPAN) | ((kind == ALONE) & (same[:-1] | same[1:]))))
+    def made(rows: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names=names)
 
     for batch in batches:
-        if not batch.num_rows:
+        rows = _numbers(batch, *names)
+        kind = rows[3] & ((1 << KIND_BITS) - 1)
+        dealt = (kind == REPEATED) | (kind == SPAN)
+        yield made([c[dealt] for c in rows])
+        rows = [c[~dealt] for c in rows]
+        if not len(rows[0]):
             continue
-        if held is not None:
-            yield kept(held, batch.column(0)[0].as_py())
-            before = held.column(0)[-1].as_py()
-        held = batch
-    if held is not None:
-        yield kept(held, None)
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last run may go on
+        if cut or (held and held[0][0][0] != rows[0][0]):
+            whole = [np.concatenate(c) for c in zip(*held, [c[:cut] for c in rows], strict=True)]
+            yield made(_settled(whole))
+            held = []
+        held.append([c[cut:] for c in rows])
+    if held:
+        yield made(_settled([np.concatenate(c) for c in zip(*held, strict=True)]))
 
 
 _SPAN_NAMES = ["did", "m", "begin", "end"]
@@ -355,7 +385,7 @@ def remove_repeats(docs: DataFrame, *, doc: str = "doc_id") -> DataFrame:
     keyed = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(NO_ID)).alias("did"), mark.alias("m"), F.col("text"))
     anchors = keyed.mapInArrow(_find_anchors, "key long, context long, did long, packed long")
     kind = F.col("packed").bitwiseAND((1 << KIND_BITS) - 1)
-    by_seed = _dealt(anchors, F.when(kind.isin(ALONE, WITNESS), F.col("key")).otherwise(F.xxhash64("did", "key")), "key")
+    by_seed = _dealt(anchors, F.when(kind.isin(ALONE, WITNESS), F.col("key")).otherwise(F.xxhash64("did", "key")), "key", "context", "did")
     shared = by_seed.mapInArrow(_shared, anchors.schema)
     neighbourhoods = _dealt(shared, ["key", "context"], "key", "context", "did")
     reached = neighbourhoods.mapInArrow(_agreeing, "did long, m long, begin long, end long")
