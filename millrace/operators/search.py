@@ -1,7 +1,8 @@
 """Text search: query builder, boolean match, headline, facets, paged search.
 
-There is no stemmer here: a token matches a term by prefix, on lower-cased words
-with accents kept and a short stop list removed.
+Here every text is read and a token matches a term by prefix, on lower-cased words with
+accents kept and a short stop list removed; ``postings`` answers the same queries from an
+index, with or without stems.
 """
 
 from __future__ import annotations
@@ -21,10 +22,14 @@ from millrace.operators.relational import keep_first, keyset_page
 STOP_WORDS = ("de", "la", "el", "los", "las", "y", "en", "a", "del", "por", "para", "con", "un", "una")
 
 
+def words(text: Column) -> Column:
+    """All words of the text, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}-]*)"), F.lit(1))
+
+
 def tokens(*texts: Column) -> Column:
     """The searchable words of the texts."""
-    words = F.regexp_extract_all(F.lower(F.concat_ws(" ", *texts)), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}-]*)"), F.lit(1))
-    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    return F.filter(words(F.concat_ws(" ", *texts)), lambda w: ~w.isin(*STOP_WORDS))
 
 
 def terms(text: str) -> list[str]:
@@ -109,13 +114,16 @@ class Search:
     facets: dict[str, tuple[str, int]] = field(default_factory=dict)
     unique: bool = False  # no two rows share a key, so that nothing need be shuffled to keep one
 
+    def text_matches(self, df: DataFrame, wanted: BooleanQuery) -> DataFrame:
+        """The rows of which one text column matches; all of them if the query is empty."""
+        hits = [c for c in (wanted.matches(tokens(F.coalesce(F.col(t), F.lit("")))) for t in self.text) if c is not None]
+        return df.filter(reduce(lambda a, b: a | b, hits)) if hits else df
+
     def matching(self, df: DataFrame, wanted: BooleanQuery, *filters: Column) -> DataFrame:
         """One row a key: the first by text columns of those that match in any text column."""
         for f in filters:
             df = df.filter(f)
-        hits = [c for c in (wanted.matches(tokens(F.coalesce(F.col(t), F.lit("")))) for t in self.text) if c is not None]
-        if hits:
-            df = df.filter(reduce(lambda a, b: a | b, hits))
+        df = self.text_matches(df, wanted)
         return df if self.unique else keep_first(df, self.keys, [F.asc_nulls_last(t) for t in self.text])
 
     def page(self, df: DataFrame, wanted: BooleanQuery, *filters: Column, size: int = 20, after: Sequence | None = None) -> DataFrame:

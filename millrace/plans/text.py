@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from millrace.functions import markup
 from millrace.functions.scalars import trailing_number
+from millrace.operators.postings import IndexedSearch, TrigramIndex, WordIndex
 from millrace.operators.relational import keep_first, small_side
 from millrace.operators.search import BooleanQuery, Search, facet_counts, headline
 from millrace.registry import Tables, query
+from millrace.session import shared_folder
 
 GAZETTE = Search(keys=("doc_id",), text=("text", "source"), facets={"section": ("lang", 10), "organisation": ("source", 15)}, unique=True)
 HAS = "len(list_filter(regexp_extract_all(lower({c}), '([\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}-]*)', 1), lambda w: starts_with(w, '{t}'))) > 0"
@@ -19,12 +21,16 @@ def _has(term: str, column: str = "coalesce(text, '')") -> str:
     return HAS.format(c=column, t=term)
 
 
+PREFIXES = f"({_has('than')} AND {_has('ere')}) OR ({_has('than', 'source')} AND {_has('ere', 'source')})"
+MIXED = f"(({_has('than')} OR ({_has('of')} AND {_has('ther')})) AND NOT {_has('thi')}) OR (({_has('than', 'source')} OR ({_has('of', 'source')} AND {_has('ther', 'source')})) AND NOT {_has('thi', 'source')})"
+
+
 @query(
     "txt_1_prefix_search",
     "TXT-1",
     "TXT-3",
     "TXT-4",
-    sql=f"SELECT doc_id FROM documents WHERE ({_has('than')} AND {_has('ere')}) OR ({_has('than', 'source')} AND {_has('ere', 'source')})",
+    sql=f"SELECT doc_id FROM documents WHERE {PREFIXES}",
 )
 def prefix_search(t: Tables) -> DataFrame:
     return GAZETTE.matching(t.documents, BooleanQuery.of_words("than, ere!")).select("doc_id")
@@ -33,12 +39,64 @@ def prefix_search(t: Tables) -> DataFrame:
 @query(
     "txt_2_boolean_search",
     "TXT-2",
-    sql=f"SELECT doc_id FROM documents WHERE (({_has('than')} OR ({_has('of')} AND {_has('ther')})) AND NOT {_has('thi')}) OR (({_has('than', 'source')} OR ({_has('of', 'source')} AND {_has('ther', 'source')})) AND NOT {_has('thi', 'source')})",
+    sql=f"SELECT doc_id FROM documents WHERE {MIXED}",
 )
 def boolean_search(t: Tables) -> DataFrame:
     return GAZETTE.matching(t.documents, BooleanQuery(groups=(("than", "of ther"),), exclude=("thi",))).select("doc_id")
 
 
+def word_index(t: Tables, *, stemmed: bool = False) -> WordIndex:
+    """Postings of the documents' text and source, written once to the shared folder."""
+    return WordIndex(t.spark, shared_folder(t.spark, "words"), "doc_id", ("text", "source"), stemmed).build(t.documents)
+
+
+def indexed_gazette(t: Tables, *, stemmed: bool = False) -> IndexedSearch:
+    return IndexedSearch(GAZETTE.keys, GAZETTE.text, GAZETTE.facets, GAZETTE.unique, word_index(t, stemmed=stemmed))
+
+
+@query("txt_1_indexed_search", "TXT-1", "TXT-4", sql=f"SELECT doc_id FROM documents WHERE {PREFIXES}")
+def indexed_search(t: Tables) -> DataFrame:
+    """The prefix search, answered by postings: only the terms' pages are read."""
+    return indexed_gazette(t).matching(t.documents, BooleanQuery.of_words("than, ere!")).select("doc_id")
+
+
+@query("txt_2_indexed_boolean", "TXT-2", sql=f"SELECT doc_id FROM documents WHERE {MIXED}")
+def indexed_boolean(t: Tables) -> DataFrame:
+    """Lists intersected, united and taken away by key."""
+    return indexed_gazette(t).matching(t.documents, BooleanQuery(groups=(("than", "of ther"),), exclude=("thi",))).select("doc_id")
+
+
+@query(
+    "txt_1_indexed_phrase",
+    "TXT-1",
+    sql=r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '([\p{L}\p{N}][\p{L}\p{N}-]*)', 1) AS ws FROM documents),
+p AS (SELECT doc_id, list_filter(range(0, len(ws)), lambda i: ws[i + 1] = 'of' AND ws[i + 2] = 'the') AS starts FROM w)
+SELECT doc_id, list_min(starts)::INT AS place FROM p WHERE len(starts) > 0""",
+)
+def indexed_phrase(t: Tables) -> DataFrame:
+    """Words side by side, by their positions; the first place in each text."""
+    return word_index(t).phrase("of the").filter("field = 'text'").select(F.col("key").alias("doc_id"), F.col("first").alias("place"))
+
+
+#: The words of the given documents whose stems begin with those of "aradas" and "coesos": fixed values.
+STEMMED = """arado aradoado aradoar aradoas aradobo aradoci aradociñ aradoción aradoco aradodo aradoes aradoez aradoga aradoie aradoja aradoll aradomente
+aradomi aradoos aradoque aradora aradorr aradota aradoue aradoñ aradoó coes coesado coesar coesas coesbo coesci coesción coesco coesdo coeses
+coesesostaco coesez coesga coesie coesja coesll coesmente coesmi coesos coesosdomente coesque coesquegaí coesra coesrr coesta coesí
+coesíadoque coesñ coesó""".split()
+
+
+@query(
+    "txt_3_stemmed_search",
+    "TXT-3",
+    sql=f"""WITH stemmed(word) AS (VALUES {', '.join(f"('{w}')" for w in STEMMED)}),
+found AS (SELECT doc_id, unnest(regexp_extract_all(lower(concat_ws(' ', text, source)), '([\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}-]*)', 1)) AS word FROM documents)
+SELECT DISTINCT doc_id FROM found JOIN stemmed USING (word)""",
+)
+def stemmed_search(t: Tables) -> DataFrame:
+    """Words and queries are compared by their Spanish stems, by prefix."""
+    return indexed_gazette(t, stemmed=True).matching(t.documents, BooleanQuery(groups=(("aradas", "coesos"),))).select("doc_id")
+
+
 @query(
     "txt_5_headline",
     "TXT-5",
@@ -56,19 +114,39 @@ def search_page(t: Tables) -> DataFrame:
     return GAZETTE.page(t.documents, BooleanQuery.of_words("than"), F.col("lang").isin("en", "de"), size=20, after=(150,)).select("doc_id", "lang")
 
 
-@query(
-    "txt_6_search_facets",
-    "TXT-6",
-    "AGG-28",
-    sql=f"""WITH f AS (SELECT * FROM documents WHERE {_has('than')})
+FACETS = f"""WITH f AS (SELECT * FROM documents WHERE {_has('than')})
 SELECT * FROM (SELECT 'section' AS facet, lang AS name, count(*)::BIGINT AS n FROM f GROUP BY 2 ORDER BY n DESC, name LIMIT 10)
 UNION ALL SELECT * FROM (SELECT 'organisation', source, count(*)::BIGINT AS n FROM f GROUP BY 2 ORDER BY n DESC, source LIMIT 15)
-UNION ALL SELECT 'total', NULL, count(*)::BIGINT FROM f""",
-)
+UNION ALL SELECT 'total', NULL, count(*)::BIGINT FROM f"""
+PAGE = f"SELECT doc_id, lang FROM documents WHERE {_has('than')} AND lang IN ('en', 'de') AND doc_id < 150 ORDER BY doc_id DESC LIMIT 21"
+
+
+@query("txt_6_search_facets", "TXT-6", "AGG-28", sql=FACETS)
 def search_facets(t: Tables) -> DataFrame:
     return GAZETTE.counts(t.documents, BooleanQuery.of_words("than"))
 
 
+@query("txt_6_indexed_facets", "TXT-6", "AGG-28", sql=FACETS)
+def indexed_facets(t: Tables) -> DataFrame:
+    return indexed_gazette(t).counts(t.documents, BooleanQuery.of_words("than"))
+
+
+@query("txt_6_indexed_page", "TXT-6", "TOP-6", sql=PAGE)
+def indexed_page(t: Tables) -> DataFrame:
+    return indexed_gazette(t).page(t.documents, BooleanQuery.of_words("than"), F.col("lang").isin("en", "de"), size=20, after=(150,)).select("doc_id", "lang")
+
+
+@query(
+    "flt_11_trigram_index",
+    "FLT-11",
+    sql="SELECT doc_id, length(text)::BIGINT AS chars FROM documents WHERE (text ILIKE '%THERE%ou%' OR text ILIKE '% ould%' OR text ILIKE '%ción los%') AND text NOT ILIKE '%zz%' AND text NOT ILIKE '%ing wh_n%'",
+)
+def trigram_search(t: Tables) -> DataFrame:
+    """Substrings anywhere in the text: trigrams give the candidates, ILIKE decides."""
+    index = TrigramIndex(t.spark, shared_folder(t.spark, "trigrams"), "doc_id", "text").build(t.documents)
+    return index.matching(t.documents, ["%THERE%ou%", "% ould%", "%ción los%"], ["%zz%", "%ing wh_n%"]).select("doc_id", F.length("text").cast("long").alias("chars"))
+
+
 @query("txt_7_lookup_and_years", "TXT-7", sql="SELECT DISTINCT year(o_orderdate)::INT AS year FROM orders ORDER BY 1 DESC")
 def years(t: Tables) -> DataFrame:
     return t.orders.select(F.year("o_orderdate").alias("year")).distinct().orderBy(F.desc("year"))
