@@ -9,7 +9,7 @@ from millrace.functions.scalars import delimited, exact_sum
 from millrace.operators.relational import small_side
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
-from millrace.streaming import flows
+from millrace.streaming import flows, stateful
 
 
 def rows() -> Column:
@@ -83,6 +83,44 @@ def interval_join(t: Tables) -> DataFrame:
     return flows.materialize(joined.select("click_id", "view_id", "user_id"), "append")
 
 
+@query(
+    "str_15_state_ttl",
+    "STR-15",
+    sql="""WITH e AS (SELECT user_id, event_id, event_type, ts, epoch_us(ts) AS us FROM events WHERE event_type IN ('view', 'click') AND user_id IS NOT NULL),
+s AS (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER w AS view_id, last_value(CASE WHEN event_type = 'view' THEN us END IGNORE NULLS) OVER w AS view_us
+  FROM e WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))
+SELECT user_id, event_id AS click_id, view_id, us - view_us AS age_us FROM s WHERE event_type = 'click' AND us - view_us < 600000000
+  AND us // 1000 < (SELECT max(us) // 1000 - 7200000 FROM e)""",
+)
+def state_ttl(t: Tables) -> DataFrame:
+    """Clicks with their user's last view, which is forgotten after ten minutes; rows arrive up to an hour late in six batches."""
+    rows = t.events.filter("event_type in ('view', 'click')").select("user_id", "event_id", "event_type", "ts")
+    span = rows.agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("lo"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("hi")).first()
+    arrival = F.unix_seconds(F.col("ts").cast("timestamp")) + F.col("event_id") % 7 * 600
+    stream = flows.event_time(stateful.arriving(rows, F.floor((arrival - (span["lo"] or 0)) * 6 / max(1, (span["hi"] or 0) - (span["lo"] or 0) + 3600)), 6), "ts", "2 hours")
+    joined = stateful.state_join(stream, "user_id", "ts", "event_id", F.col("event_type") == "view", 600)
+    with stateful.rocksdb_state(t.spark):
+        done = flows.materialize(joined, "append")
+    return done.select(F.col("key").alias("user_id"), F.col("id").alias("click_id"), F.col("state_id").alias("view_id"), "age_us")
+
+
+@query(
+    "str_13_late_rows",
+    "STR-13",
+    sql="""WITH e AS (SELECT *, event_id % 4 AS slice, time_bucket(INTERVAL 1 HOUR, ts) AS window_start FROM events),
+w AS (SELECT s.slice, (SELECT epoch_ms(max(ts)) - 300000 FROM e WHERE e.slice < s.slice) AS passed FROM (SELECT DISTINCT slice FROM e) s),
+k AS (SELECT e.*, coalesce(epoch_ms(window_start + INTERVAL 1 HOUR) <= passed, false) AS late FROM e JOIN w USING (slice))
+SELECT window_start, event_type, count(*) FILTER (WHERE NOT late)::BIGINT AS on_time, count(*) FILTER (WHERE late)::BIGINT AS late FROM k GROUP BY ALL""",
+)
+def late_rows(t: Tables) -> DataFrame:
+    """Hourly windows of what came in time beside what came after its window was closed; together they are the input."""
+    stream = flows.event_time(stateful.arriving(t.events, F.col("event_id") % 4, 4), "ts", "5 minutes")
+    tagged = stateful.tagged_late(stream, "ts", 3600, int(t.spark.conf.get("spark.sql.shuffle.partitions")))
+    windows, late = stateful.windows_and_late_rows(tagged, ["event_type"])
+    both = windows.select("window_start", "event_type", F.col("n").alias("on_time"), F.lit(0).alias("late")).unionByName(late.select("window_start", "event_type", F.lit(0).alias("on_time"), F.lit(1).alias("late")))
+    return both.groupBy(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type").agg(F.sum("on_time").cast("long").alias("on_time"), F.sum("late").cast("long").alias("late"))
+
+
 @query("str_17_lookup_join", "STR-17", "JOIN-14", "SRC-16", sql="SELECT event_id, a.n_name AS pickup, b.n_name AS dropoff FROM events JOIN nation a ON user_id % 30 = a.n_nationkey JOIN nation b ON event_id % 27 = b.n_nationkey")
 def lookups(t: Tables) -> DataFrame:
     zone = lambda name: small_side(t.nation.select(F.col("n_nationkey").alias(f"{name}_key"), F.col("n_name").alias(name)))
