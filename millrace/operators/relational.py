@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+def null_safe(left: Sequence[Column], right: Sequence[Column]) -> Column:
+    """Equal column by column, where null equals null."""
+    return reduce(lambda a, b: a & b, (x.eqNullSafe(y) for x, y in zip(left, right, strict=True)), F.lit(True))
+
+
 def small_side(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count shows that it is small enough."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -67,29 +72,6 @@ def pivot_codes(df: DataFrame, keys: Sequence[str], code: str, value: str, names
     return wide.select(*keys, *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
 
 
-def indexed(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "index_100") -> DataFrame:
-    """``value`` relative to the key's first in ``order``, which is 100."""
-    base = F.first(value).over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn(name, F.round(F.lit(100.0) * F.col(value) / F.nullif(base, F.lit(0.0)), 2))
-
-
-def carried_forward(df: DataFrame, keys: Sequence[str], order: str, column: str, resets: Column | None = None) -> DataFrame:
-    """The last filled value so far; a reset starts anew."""
-    groups = list(keys)
-    if resets is not None:
-        df = df.withColumn("_part", F.sum(F.when(resets, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy(order)))
-        groups.append("_part")
-    filled = F.last(column, ignorenulls=True).over(Window.partitionBy(*groups).orderBy(order))
-    return df.withColumn(column, filled).drop("_part")
-
-
-def sessions(df: DataFrame, key: str, ts: str, gap_seconds: int) -> DataFrame:
-    """Session number a key: a new one after more than ``gap_seconds`` without a row."""
-    w = Window.partitionBy(key).orderBy(ts)
-    wait = F.col(ts).cast("timestamp").cast("double") - F.lag(F.col(ts).cast("timestamp").cast("double")).over(w)
-    return df.withColumn("_new", F.when(wait > gap_seconds, 1).otherwise(0)).withColumn("session", F.sum("_new").over(w)).drop("_new")
-
-
 def best_matches(df: DataFrame, dictionary: DataFrame, on: str, keys: Sequence[str], priority: str, then: str) -> DataFrame:
     """Left join; of several dictionary rows the best priority (nulls last) wins."""
     return keep_first(df.join(dictionary, on, "left"), keys, [F.asc_nulls_last(priority), F.asc(then)])
@@ -107,8 +89,7 @@ def either_key_join(left: DataFrame, right: DataFrame, key: str, candidates: Seq
 def without_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose key does not occur in ``other``; null equals null."""
     named = other.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)))
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)))
-    return df.join(named, same, "left_anti")
+    return df.join(named, null_safe([F.col(k) for k in keys], [F.col(f"_key{i}") for i in range(len(keys))]), "left_anti")
 
 
 def last_written(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
@@ -133,9 +114,24 @@ def replace_interval(old: DataFrame, new: DataFrame, column: str, start: Column,
     return old.filter(~F.coalesce(inside, F.lit(False))).unionByName(new.filter(inside))
 
 
-def delete_insert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Delete every old row whose key occurs in ``new``, then insert ``new``."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def delete_insert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Delete every old row whose keys occur in ``new``, then insert ``new``; null equals null."""
+    return without_keys(old, new, keys).unionByName(new)
+
+
+def not_in(df: DataFrame, column: str, listed: DataFrame) -> DataFrame:
+    """Rows whose ``column`` is NOT IN the one column of ``listed``, as SQL has it, by a shuffled anti join.
+
+    A null in the list leaves nothing; a null in ``column`` stays only if the list is empty. Both are
+    told by one row of counts, where NOT IN itself would send the whole list to every executor.
+    """
+    named = listed.toDF("_listed")
+    seen = named.agg(F.count(F.lit(1)).alias("n"), F.count("_listed").alias("filled")).first()
+    if not seen["n"]:
+        return df
+    if seen["filled"] < seen["n"]:
+        return df.filter(F.lit(False))
+    return df.filter(F.col(column).isNotNull()).join(named, F.col(column) == F.col("_listed"), "left_anti")
 
 
 def history(df: DataFrame, keys: Sequence[str], valid_from: str) -> DataFrame:

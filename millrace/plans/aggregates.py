@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.scalars import exact_avg, exact_sum, median
 from millrace.operators.relational import completion, pivot_codes, small_side, span_shortfall
+from millrace.operators.selection import exact_quantile
 from millrace.registry import Tables, query
 
 
@@ -97,7 +98,9 @@ def approx_distinct(t: Tables) -> DataFrame:
 
 @query("agg_11_median", "AGG-11", sql="SELECT o_orderpriority AS priority, round(median(o_totalprice), 4)::DOUBLE AS median_price FROM orders GROUP BY 1")
 def medians(t: Tables) -> DataFrame:
-    return t.orders.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.round(median("o_totalprice"), 4).alias("median_price"))
+    """Exact by selection where a group is large."""
+    found = exact_quantile(t.orders.select(F.col("o_orderpriority").alias("priority"), "o_totalprice"), ["priority"], "o_totalprice")
+    return found.select("priority", F.round("quantile", 4).alias("median_price"))
 
 
 @query("agg_11_median_approximate", "AGG-11")
@@ -165,9 +168,9 @@ def daily_then_yearly(t: Tables) -> DataFrame:
     valid = t.events.filter((F.col("value") >= 0) & (F.col("value") < 10000))
     day = valid.groupBy("user_id", "event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).alias("n"))
     above = F.round("mean", 9) > 15
-    return day.groupBy(F.col("event_type").alias("parameter"), F.year("day").alias("year")).agg(
-        F.round(median("mean"), 6).alias("median_of_days"), F.count_if(above).alias("days_above"), F.count_distinct(F.when(above, F.col("user_id"))).alias("users_above"), F.sum("n").alias("samples")
-    )
+    keyed = day.select(F.col("event_type").alias("parameter"), F.year("day").alias("year"), "mean", "n", F.when(above, F.col("user_id")).alias("above"))
+    found = exact_quantile(keyed, ["parameter", "year"], "mean", days_above=F.count("above"), users_above=F.count_distinct("above"), samples=F.sum("n"))
+    return found.select("parameter", "year", F.round("quantile", 6).alias("median_of_days"), "days_above", "users_above", "samples")
 
 
 @query(

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import exact_sum, median, percent
+from millrace.functions.scalars import exact_sum, percent
 from millrace.operators.relational import completion, decode_fragments, history, pivot_codes, small_side
+from millrace.operators.selection import exact_quantile
 from millrace.registry import Tables, query
 
 
@@ -25,7 +26,8 @@ FROM air FULL JOIN eco ON air.country = eco.country AND air.year = eco.year""",
 def country_year(t: Tables) -> DataFrame:
     """Two sources reconciled by country and year; either side may be alone."""
     day = t.events.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg("value").alias("mean"))
-    air = day.groupBy((F.col("user_id") % 25).alias("country"), F.year("day").alias("year")).agg(F.round(median("mean"), 6).alias("pollution"))
+    keyed = day.select((F.col("user_id") % 25).alias("country"), F.year("day").alias("year"), "mean")
+    air = exact_quantile(keyed, ["country", "year"], "mean").select("country", "year", F.round("quantile", 6).alias("pollution"))
     long = t.orders.join(t.customer.select("c_custkey", F.col("c_nationkey").cast("long").alias("country")), F.col("o_custkey") == F.col("c_custkey"))
     long = long.groupBy("country", F.year("o_orderdate").alias("year"), "o_orderstatus").agg(exact_sum("o_totalprice").alias("v"))
     eco = pivot_codes(long, ["country", "year"], "o_orderstatus", "v", {"F": "finished", "O": "open"})

@@ -11,6 +11,7 @@ from pyspark.ml.tuning import TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.selection import exact_quantile
 from millrace.registry import Tables, query
 
 NUMERIC, CODED, LABEL = ["quantity", "price"], ["flag", "status"], "discount"
@@ -76,7 +77,8 @@ UNION ALL SELECT 'price', min(l_extendedprice), max(l_extendedprice), round(avg(
 def feature_info(t: Tables) -> DataFrame:
     df = training_set(t)
     long = df.select(F.explode(F.create_map(*(x for c in NUMERIC for x in (F.lit(c), F.col(c))))).alias("feature", "v"))
-    return long.groupBy("feature").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.round(F.avg("v"), 6).alias("mean"), F.median("v").alias("median"), F.round(F.stddev_samp("v"), 6).alias("deviation"), F.count("v").alias("n"))
+    found = exact_quantile(long, ["feature"], "v", low=F.min("v"), high=F.max("v"), mean=F.round(F.avg("v"), 6), deviation=F.round(F.stddev_samp("v"), 6), n=F.count("v"))
+    return found.withColumnRenamed("quantile", "median")
 
 
 @query("ml_2_4_evaluate", "ML-2", "ML-4")

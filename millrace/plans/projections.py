@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import coded
-from millrace.operators.relational import common_columns, ends, keyset_page, row_before, top, union_all
+from millrace.operators.relational import common_columns, ends, keyset_page, not_in, row_before, top, union_all
 from millrace.registry import Tables, query
 
 DAY = lambda s: F.lit(s).cast("timestamp_ntz")
@@ -112,9 +112,7 @@ def in_subquery(t: Tables) -> DataFrame:
 @query("flt_7_not_in_subquery", "FLT-7", sql="SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def not_in_subquery(t: Tables) -> DataFrame:
     """NOT IN, not an anti join: one null among the orders' customers empties the result."""
-    t.customer.createOrReplaceTempView("millrace_customer")
-    t.orders.createOrReplaceTempView("millrace_orders")
-    return t.spark.sql("SELECT c_custkey FROM millrace_customer WHERE c_custkey NOT IN (SELECT o_custkey FROM millrace_orders)")
+    return not_in(t.customer.select("c_custkey"), "c_custkey", t.orders.select("o_custkey"))
 
 
 @query("flt_8_valid_range", "FLT-8", sql="SELECT event_id, value FROM events WHERE value >= 0 AND value < 10000")

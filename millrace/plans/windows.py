@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import exact_sum
-from millrace.operators.relational import best_matches, carried_forward, indexed, keep_first, sessions, small_side
+from millrace.operators import scans
+from millrace.operators.relational import best_matches, keep_first, small_side
+from millrace.operators.scans import carried_forward, indexed, sessions
 from millrace.registry import Tables, query
 
 
@@ -90,12 +92,8 @@ SELECT user_id, event_id, (sum(CASE WHEN gap > 1.6 * typical THEN 1 ELSE 0 END)
 )
 def gap_segments(t: Tables) -> DataFrame:
     """A new segment after a gap of more than 1.6 times the key's median gap."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    gaps = t.events.select("user_id", "event_id", "ts", us.alias("us")).withColumn("gap", F.col("us") - F.lag("us").over(w))
-    typical = gaps.groupBy("user_id").agg(F.median("gap").alias("typical"))
-    marked = gaps.join(typical, "user_id")
-    return marked.select("user_id", "event_id", F.sum(F.when(F.col("gap") > 1.6 * F.col("typical"), 1).otherwise(0)).over(w).alias("paragraph"))
+    timed = t.events.select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    return scans.gap_segments(timed, "user_id", "us", "event_id", 1.6).select("user_id", "event_id", "paragraph")
 
 
 @query(

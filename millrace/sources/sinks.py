@@ -108,8 +108,8 @@ def insert_through_staging(path: str, new: DataFrame, keys: Sequence[str]) -> in
 def merge_into(path: str, new: DataFrame, strategy: str, keys: Sequence[str] = (), *, order: Sequence[str] = (), **interval) -> None:
     """Bring ``new`` into the Parquet table at ``path``.
 
-    Strategies: replace, append, upsert (the last by ``order`` wins), insert_only, delete_insert (by the
-    first key), time_interval (column, start, end) and scd2 (at). Keys compare null-safe. A single
+    Strategies: replace, append, upsert (the last by ``order`` wins), insert_only, delete_insert,
+    time_interval (column, start, end) and scd2 (at). Keys compare null-safe. A single
     writer is assumed.
     """
     spark = new.sparkSession
@@ -128,7 +128,7 @@ def merge_into(path: str, new: DataFrame, strategy: str, keys: Sequence[str] = (
         old = spark.read.parquet(path)
         merged = {
             "upsert": lambda: R.upsert(old, new, keys, order),
-            "delete_insert": lambda: R.delete_insert(old, new, keys[0]),
+            "delete_insert": lambda: R.delete_insert(old, new, keys),
             "time_interval": lambda: R.replace_interval(old, new, interval["column"], interval["start"], interval["end"]),
         }[strategy]()
         rewrite(merged, path)

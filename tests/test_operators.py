@@ -16,6 +16,7 @@ from millrace.functions import markup
 from millrace.functions import scalars as S
 from millrace.operators import checks as C
 from millrace.operators import relational as R
+from millrace.operators import scans
 from millrace.operators.search import BooleanQuery
 from millrace.sources import files, log, paged, schema, sinks, topics
 from millrace.streaming import flows
@@ -86,7 +87,7 @@ def test_merges_are_idempotent(spark):
         once = merge(old, new, ["k"])
         assertDataFrameEqual(once, spark.createDataFrame(want, old.schema))
         assertDataFrameEqual(merge(once, new, ["k"]), once)
-    assertDataFrameEqual(R.delete_insert(old, new, "k"), spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], old.schema))
+    assertDataFrameEqual(R.delete_insert(old, new, ["k"]), spark.createDataFrame([(1, "a"), (2, "c"), (3, "d")], old.schema))
 
 
 def test_either_key_join_offers_equal_candidates_once(spark):
@@ -107,7 +108,7 @@ def test_decode_fragments(spark):
 def test_sessions_merge_a_gap_of_exactly_the_limit(spark):
     base = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
     rows = [("z", base + dt.timedelta(seconds=s)) for s in (0, 299, 599, 900)]
-    got = R.sessions(spark.createDataFrame(rows, "k string, ts timestamp"), "k", "ts", 300).groupBy("session").count().collect()
+    got = scans.sessions(spark.createDataFrame(rows, "k string, ts timestamp"), "k", "ts", 300).groupBy("session").count().collect()
     assert sorted(r["count"] for r in got) == [1, 3]
     native = flows.session(spark.createDataFrame(rows, "k string, ts timestamp"), "ts", "5 minutes", ["k"], F.count(F.lit(1)).alias("n")).collect()
     assert sorted(r.n for r in native) == [1, 3]
