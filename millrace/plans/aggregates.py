@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from millrace.functions.scalars import exact_avg, exact_sum, median
 from millrace.operators.relational import completion, pivot_codes, small_side, span_shortfall
 from millrace.operators.selection import exact_quantile
+from millrace.operators.sketches import SKETCH_ERROR, distinct_sketches, united_sketches
 from millrace.registry import Tables, query
+from millrace.session import shared_folder
+from millrace.sources.sinks import evaluated_once
 
 
 @query(
@@ -96,6 +99,23 @@ def approx_distinct(t: Tables) -> DataFrame:
     return t.lineitem.agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts_estimate"))
 
 
+@query(
+    "agg_10_daily_sketches",
+    "AGG-10",
+    "AGG-16",
+    sql="""SELECT event_type, year(ts)::INT AS year, count(DISTINCT date_trunc('day', ts))::BIGINT AS days, count(DISTINCT user_id)::BIGINT AS users, true AS close
+FROM events GROUP BY ALL""",
+)
+def daily_sketches(t: Tables) -> DataFrame:
+    """A sketch of the users a day, kept; sketches united a year, without the rows; how near the estimate is to the exact count."""
+    daily = distinct_sketches(t.events.withColumn("day", F.to_date("ts")), ["event_type", "day"], "user_id")
+    kept = evaluated_once(daily, shared_folder(t.spark, "sketches"))
+    yearly = united_sketches(kept.withColumn("year", F.year("day")), ["event_type", "year"], days=F.count(F.lit(1)))
+    exact = t.events.groupBy("event_type", F.year("ts").alias("year")).agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.lit(1.0), 4 * SKETCH_ERROR * F.col("users"))
+    return yearly.join(exact, ["event_type", "year"]).select("event_type", "year", "days", "users", near.alias("close"))
+
+
 @query("agg_11_median", "AGG-11", sql="SELECT o_orderpriority AS priority, round(median(o_totalprice), 4)::DOUBLE AS median_price FROM orders GROUP BY 1")
 def medians(t: Tables) -> DataFrame:
     """Exact by selection where a group is large."""

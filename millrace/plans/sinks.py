@@ -9,7 +9,7 @@ from millrace.functions.scalars import row_id
 from millrace.operators import relational as R
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
-from millrace.sources.sinks import evaluated_once, insert_through_staging, merge_into, monthly, put_object, write_parquet
+from millrace.sources.sinks import evaluated_once, insert_through_staging, merge_into, merge_nested, monthly, put_object, write_clustered, write_parquet
 
 
 @query("snk_1_overwrite", "SNK-1", "SNK-3", "SNK-17", sql="SELECT n_nationkey, n_name FROM nation")
@@ -174,3 +174,45 @@ def catalogue(t: Tables) -> DataFrame:
     counted = t.spark.table(name).groupBy(F.concat(F.lit("status="), F.col("status")).alias("partition")).agg(F.count(F.lit(1)).alias("total_rows"))
     definition = t.spark.sql(f"SHOW CREATE TABLE {name}").first()[0]
     return listed.join(counted, "partition", "left").withColumn("in_definition", F.lit("PARTITIONED BY (status)" in definition))
+
+
+def nested_orders(t: Tables, lines: DataFrame) -> DataFrame:
+    """Orders with their items, each with a list of marks: an odd line has two, an even one none."""
+    line = F.col("l_linenumber")
+    marks = F.when(line % 2 == 1, F.array(line * 10, line * 10 + 1)).otherwise(F.array().cast("array<int>"))
+    items = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct("l_linenumber", "l_partkey", marks.alias("marks")))))
+    return lines.groupBy(F.col("l_orderkey").alias("Order ID")).agg(items.alias("items"))
+
+
+@query(
+    "snk_12_cascaded_merge",
+    "SNK-12",
+    sql="""WITH lines AS (SELECT l_orderkey AS order_id, l_linenumber AS line, l_partkey AS product FROM lineitem WHERE l_orderkey % 3 <> 0
+  UNION ALL SELECT l_orderkey, l_linenumber, l_partkey + 1 FROM lineitem WHERE l_orderkey % 3 = 0 AND l_linenumber <= 2)
+SELECT order_id, line, product, unnest(CASE WHEN line % 2 = 1 THEN [line * 10, line * 10 + 1] ELSE [NULL] END)::INT AS mark FROM lines""",
+)
+def cascaded_merge(t: Tables) -> DataFrame:
+    """All orders are loaded, then a third of them again with fewer and changed items: nothing of the old lists stays."""
+    folder = shared_folder(t.spark, "nested")
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
+    changed = lines.filter("l_orderkey % 3 = 0").withColumn("l_partkey", F.col("l_partkey") + 1)
+    shrunk = changed.withColumn("l_linenumber", F.when(F.col("l_linenumber") <= 2, F.col("l_linenumber")))
+    merge_nested(folder, nested_orders(t, lines), "orders", "load-1", ["Order ID"])
+    paths = merge_nested(folder, nested_orders(t, shrunk), "orders", "load-2", ["Order ID"])
+    orders, items, marks = (t.spark.read.parquet(paths[name]) for name in ("orders", "orders__items", "orders__items__marks"))
+    of_root = items.join(orders.select(F.col("_dlt_id").alias("_root"), "order_id"), F.col("_dlt_root_id") == F.col("_root"))
+    below = marks.select(F.col("_dlt_parent_id").alias("_item"), F.col("value").alias("mark"))
+    return of_root.join(below, F.col("_dlt_id") == F.col("_item"), "left").select("order_id", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("product"), "mark")
+
+
+@query(
+    "snk_15_clustered",
+    "SNK-15",
+    sql="SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_partkey BETWEEN 20 AND 24 OR l_shipdate BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1996-03-08'",
+)
+def clustered(t: Tables) -> DataFrame:
+    """A table clustered by three columns at once; filters on any of them skip most of it."""
+    folder = shared_folder(t.spark, "clustered")
+    write_clustered(t.lineitem, folder, ["l_partkey", "l_suppkey", "l_shipdate"], 16, rows_a_group=2_000)
+    table, day = t.spark.read.parquet(folder), lambda s: F.lit(s).cast("timestamp_ntz")
+    return table.filter(F.col("l_partkey").between(20, 24) | F.col("l_shipdate").between(day("1996-03-01"), day("1996-03-08"))).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from millrace.operators.relational import small_side
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
-from millrace.sources import files, log, paged, schema, topics
+from millrace.sources import avro, files, log, paged, schema, topics
 from millrace.sources.sinks import put_object
 from millrace.streaming import flows
 
@@ -177,6 +177,30 @@ def registry_header(t: Tables) -> DataFrame:
     return wire.select("event_id", topics.registry_header(F.col("value")).alias("h")).select("event_id", "h.magic", "h.schema_id", F.col("h.payload").cast("string").alias("payload"))
 
 
+RIDE_1 = """{"type": "record", "name": "Ride", "namespace": "rides", "fields": [
+  {"name": "event_id", "type": "long"}, {"name": "kind", "type": "string"}, {"name": "user_id", "type": "int"},
+  {"name": "amount", "type": ["null", "float"]}, {"name": "dropped", "type": {"type": "array", "items": "string"}}]}"""
+RIDE_2 = """{"type": "record", "name": "Ride", "namespace": "rides", "fields": [
+  {"name": "user_id", "type": "long"}, {"name": "event_id", "type": "long"}, {"name": "event_type", "type": "string", "aliases": ["kind"]},
+  {"name": "amount", "type": ["double", "null"]}, {"name": "note", "type": "string", "default": "none"},
+  {"name": "stamp", "type": {"type": "long", "logicalType": "timestamp-micros"}, "default": -1}]}"""
+
+
+@query(
+    "src_15_avro_records",
+    "SRC-15",
+    sql="""SELECT user_id, event_id, event_type, CASE WHEN event_id % 2 = 0 THEN round(value)::FLOAT::DOUBLE ELSE value END AS amount,
+  CASE WHEN event_id % 2 = 0 THEN 'none' ELSE 'é' || props END AS note, CASE WHEN event_id % 2 = 0 THEN -1 ELSE epoch_us(ts) END AS stamp FROM events""",
+)
+def avro_records(t: Tables) -> DataFrame:
+    """Messages of two schema versions on one topic, read by the newer one: renamed, widened, added and dropped fields."""
+    old, new = t.events.filter("event_id % 2 = 0"), t.events.filter("event_id % 2 <> 0")
+    old = old.select("event_id", F.col("event_type").alias("kind"), F.col("user_id").cast("int").alias("user_id"), F.round("value").cast("float").alias("amount"), F.array("event_type", "props").alias("dropped"))
+    new = new.select("user_id", "event_id", "event_type", F.col("value").alias("amount"), F.concat(F.lit("é"), "props").alias("note"), F.unix_micros(F.col("ts").cast("timestamp")).alias("stamp"))
+    topic = avro.avro_messages(old, RIDE_1, 7).unionByName(avro.avro_messages(new, RIDE_2, 300))
+    return avro.avro_records(topic, {7: RIDE_1, 300: RIDE_2}, RIDE_2)
+
+
 @query("src_16_lookup_table", "SRC-16", "JOIN-14", sql="SELECT event_id, n_name AS zone FROM events JOIN nation ON user_id % 30 = n_nationkey")
 def lookup_table(t: Tables) -> DataFrame:
     """A dimension read once and broadcast; rows without a match drop out."""

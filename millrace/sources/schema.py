@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,21 +39,25 @@ def flattened(df: DataFrame, separator: str = "__") -> DataFrame:
 
 
 def parent_and_children(df: DataFrame, table: str, load_id: str, keys: Sequence[str]) -> dict[str, DataFrame]:
-    """Nested documents as a parent table and a child table for each array, linked by generated ids.
+    """Nested documents as a parent table and a child table for each array at any depth, linked by generated ids.
 
-    Ids are hashes of the key columns (and list index), so a repeated load gives the same ids.
+    Ids are hashes of the key columns (and list index), so a repeated load gives the same ids; a child names
+    its parent's id and that of the root it belongs to. A child of an array of arrays has one column, value.
     """
-    flat = flattened(df)
-    arrays = [f for f in flat.schema if isinstance(f.dataType, T.ArrayType)]
     own = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(k).cast("string"), F.lit("\x00")) for k in keys)))
-    rooted = flat.withColumn("_dlt_id", own).withColumn("_dlt_load_id", F.lit(load_id))
-    out = {table: rooted.drop(*(f.name for f in arrays))}
+    rooted = flattened(df).withColumn("_dlt_id", own).withColumn("_dlt_load_id", F.lit(load_id))
+    return _with_children(rooted, table, F.col("_dlt_id"))
+
+
+def _with_children(rows: DataFrame, table: str, root: Column) -> dict[str, DataFrame]:
+    arrays = [f for f in rows.schema if isinstance(f.dataType, T.ArrayType)]
+    out = {table: rows.drop(*(f.name for f in arrays))}
     for f in arrays:
-        child = rooted.select(F.col("_dlt_id").alias("_dlt_parent_id"), F.col("_dlt_id").alias("_dlt_root_id"), F.posexplode(f.name).alias("_dlt_list_idx", "value"))
+        child = rows.select(F.col("_dlt_id").alias("_dlt_parent_id"), root.alias("_dlt_root_id"), F.posexplode(f.name).alias("_dlt_list_idx", "value"))
         child = child.withColumn("_dlt_list_idx", F.col("_dlt_list_idx").cast("long")).withColumn("_dlt_id", F.md5(F.concat_ws("\x1f", "_dlt_parent_id", F.lit(f.name), F.col("_dlt_list_idx").cast("string"))))
         if isinstance(f.dataType.elementType, T.StructType):
             child = flattened(child.select("*", F.col("value.*")).drop("value"))
-        out[f"{table}__{f.name}"] = child
+        out |= _with_children(child, f"{table}__{f.name}", F.col("_dlt_root_id"))
     return out
 
 

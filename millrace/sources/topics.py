@@ -56,12 +56,3 @@ def registry_header(value: Column) -> Column:
     number = F.conv(F.hex(F.substring(value, 2, 4)), 16, 10).cast("int")
     payload = F.substring(value, F.lit(6), F.octet_length(value))
     return F.struct(F.conv(F.hex(F.substring(value, 1, 1)), 16, 10).cast("int").alias("magic"), number.alias("schema_id"), payload.alias("payload"))
-
-
-def avro_records(raw: DataFrame, avro_schema: str) -> DataFrame:
-    """Avro records behind the registry header; a wrong magic byte raises. Needs Spark's Avro module."""
-    from pyspark.sql.avro.functions import from_avro
-
-    split = raw.select(registry_header(F.col("value")).alias("h"))
-    checked = split.select(F.when(F.col("h.magic") == 0, F.col("h.payload")).otherwise(F.raise_error(F.lit("not in the registry's wire format")).cast("binary")).alias("p"))
-    return checked.select(from_avro("p", avro_schema).alias("r")).select("r.*")
