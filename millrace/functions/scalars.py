@@ -119,11 +119,14 @@ SMALL_LETTERS, CAPITALS = "a-záéíóúüñ", "A-ZÁÉÍÓÚÜÑ"
 GLUED_WORDS = ("de", "del", "la", "las", "los")
 
 
+def recased(text: Column) -> Column:
+    """Put back spaces lost in extraction between cases and after a leading Roman number; in this order."""
+    return F.regexp_replace(F.regexp_replace(text, rf"([{SMALL_LETTERS}])([{CAPITALS}])", "$1 $2"), r"^([IVXLC]+\.)(\S)", "$1 $2")
+
+
 def respaced(text: Column) -> Column:
-    """Put back spaces lost in extraction: between cases, after a leading Roman number, before glued small words; in this order."""
-    out = F.regexp_replace(text, rf"([{SMALL_LETTERS}])([{CAPITALS}])", "$1 $2")
-    out = F.regexp_replace(out, r"^([IVXLC]+\.)(\S)", "$1 $2")
-    return F.regexp_replace(out, rf"(?U)([{SMALL_LETTERS}]{{2}})({'|'.join(GLUED_WORDS)})\b", "$1 $2")
+    """``recased``, then a space before glued small words; for short labels, as longer words end alike."""
+    return F.regexp_replace(recased(text), rf"(?U)([{SMALL_LETTERS}]{{2}})({'|'.join(GLUED_WORDS)})\b", "$1 $2")
 
 
 def delimited(text: Column, separator: str) -> Column:

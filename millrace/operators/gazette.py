@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import elements as E
-from millrace.functions.scalars import respaced, section_title, spanish_date
+from millrace.functions.scalars import recased, respaced, section_title, spanish_date
 
 # --- issue pages ----------------------------------------------------------------------------
 
@@ -234,8 +234,12 @@ def text_lines(chars: DataFrame) -> DataFrame:
     return chars.groupBy("document", "page").applyInPandas(of_page, "document string, page int, line int, text string, font string, size double, top double")
 
 
-def printed_documents(lines: DataFrame) -> DataFrame:
-    """A row a document from ``text_lines``: date, identifier, section, organization, number, title, paragraphs."""
+def printed_documents(lines: DataFrame, *, base: str) -> DataFrame:
+    """A row a document from ``text_lines``: date, identifier, section, organization, number, title, year, issue, pdf, paragraphs.
+
+    The date is the first header's whose month is known, the year the first dated header's or the
+    identifier's; the issue, and the number where the title has none, are the identifier's.
+    """
     here = Window.partitionBy("document").orderBy("page", "line")
     every = Window.partitionBy("document")
     bold, italic, text = F.col("font").contains("Bold"), F.col("font").contains("Italic"), F.col("text")
@@ -270,14 +274,116 @@ def printed_documents(lines: DataFrame) -> DataFrame:
     number, heading = F.regexp_extract("clean", NUMBERED, 1).try_cast("int"), F.when(F.col("clean").rlike(NUMBERED), F.regexp_extract("clean", NUMBERED, 2)).otherwise(F.col("clean"))
     continued = F.array_sort(F.collect_list(F.when(F.col("role").isin("title", "more"), F.struct("at", F.when(F.col("role") == "title", heading).otherwise(F.col("clean")).alias("t")))))
     headers = roles.groupBy("document").agg(
-        F.min_by(spanish_date(date), F.when((F.col("role") == "header") & (date != ""), F.col("at"))).alias("date"),
+        F.min_by(spanish_date(date), F.when((F.col("role") == "header") & spanish_date(date).isNotNull(), F.col("at"))).alias("date"),
+        F.min_by(F.regexp_extract(date, r"(\d{4})$", 1).try_cast("int"), F.when((F.col("role") == "header") & (date != ""), F.col("at"))).alias("header_year"),
         F.min_by(F.upper(F.regexp_extract("text", PRINTED_ID, 0)), F.when((F.col("role") == "footer") & F.col("text").rlike(PRINTED_ID), F.col("at"))).alias("identifier"),
         said("section", F.col("clean")).alias("section"),
         said("organization", F.col("clean")).alias("organization"),
         said("title", number).alias("number"),
         F.nullif(F.regexp_replace(F.array_join(F.transform(continued, lambda x: x["t"]), " "), r"(?U)(\w)- (\w)", "$1$2"), F.lit("")).alias("title"),
     )
-    return headers.join(paragraphs, "document", "left").withColumn("paragraphs", F.coalesce("paragraphs", F.array().cast("array<string>")))
+    part = lambda n: F.regexp_extract("identifier", PRINTED_ID, n).try_cast("int")
+    linked = headers.withColumns({"year": F.coalesce("header_year", part(1)), "issue": part(2), "number": F.coalesce("number", part(3)), "pdf": F.concat(F.lit(f"{base}/"), F.lower("identifier"), F.lit(".pdf"))}).drop("header_year")
+    return linked.join(paragraphs, "document", "left").withColumn("paragraphs", F.coalesce("paragraphs", F.array().cast("array<string>")))
+
+
+#: Two columns: where the right one begins, page bands and sizes, what marks a summary's line and a page's head: fixed values.
+RIGHT_COLUMN, COLUMN_HEADER_BAND, COLUMN_TEXT_SIZE = 290.0, 80.0, 8.0
+SUMMARY_LINE, PAGE_HEAD, ROMAN_SECTION = r"Página\s*\d+", r"Boletín Oficial", r"^[IVXLC]+\.\s"
+BULLETIN_HEAD, HEAD_PAGES = r"Boletín Oficial.*?núm\.\s*(\d+),\s*(.+?)\s+de\s+(\d{4})", 5
+
+
+def column_lines(chars: DataFrame, split: float | None = RIGHT_COLUMN) -> DataFrame:
+    """document, page, side, line, top, text, font, first_font, size from characters; ``split`` is where the right side begins.
+
+    From the top of a side down, a new line begins where the next character is further down than the
+    tolerance. A line reads from left to right; its font is the most frequent one of its visible
+    characters (of equally frequent ones the leftmost), its size their upper median.
+    """
+    side = F.lit(0) if split is None else (F.col("x0") >= split).cast("int")
+    block = Window.partitionBy("document", "page", "side").orderBy("level", "x0", "nth")
+    placed = chars.withColumns({"side": side, "level": F.round("top", 1)})
+    step = F.col("level") - F.lag("level").over(block)
+    numbered = placed.withColumn("opens", F.when(step > LINE_TOLERANCE, 1).otherwise(0)).withColumn("line", F.sum("opens").over(block))
+    seen = F.trim("char") != ""
+    of_font = numbered.groupBy("document", "page", "side", "line", "font").agg(
+        F.collect_list(F.struct("x0", "nth", "char")).alias("chars"),
+        F.count(F.when(seen, 1)).alias("n"),
+        F.min(F.when(seen, F.struct("x0", "nth"))).alias("at"),
+        F.collect_list(F.when(seen, F.col("size"))).alias("sizes"),
+        F.min("level").alias("top"),
+    )
+    found = of_font.groupBy("document", "page", "side", "line").agg(
+        F.array_sort(F.flatten(F.collect_list("chars"))).alias("chars"),
+        F.max_by("font", F.when(F.col("n") > 0, F.struct("n", (-F.col("at.x0")).alias("left"), (-F.col("at.nth")).alias("early")))).alias("font"),
+        F.min_by("font", "at").alias("first_font"),
+        F.array_sort(F.flatten(F.collect_list("sizes"))).alias("sizes"),
+        F.min("top").alias("top"),
+    )
+    text = F.trim(F.array_join(F.transform("chars", lambda c: c["char"]), ""))
+    size = F.get(F.col("sizes"), F.floor(F.size("sizes") / 2).cast("int"))
+    return found.filter(F.size("sizes") > 0).select("document", "page", "side", "line", "top", text.alias("text"), "font", "first_font", size.alias("size"))
+
+
+def column_dispositions(chars: DataFrame, *, base: str) -> DataFrame:
+    """Dispositions of bulletins printed in two columns: document, disposition, year, issue, date, number, section, organization, title, paragraphs, pdf.
+
+    The left side of a page is read before the right one. What stands above a side's last summary
+    reference, in the page's head or in small print is left out, and all that comes before the first
+    section heading. A disposition begins at a bold number with its title, goes on from side to side and page
+    to page, and ends at the next number, section or bold line; bold lines since the last number or section
+    name the organization, which holds until another one or a section. Italic lines at once after the number
+    continue the title, the rest is text: paragraphs part at wide gaps, and at a side's end if the text has ended.
+    """
+    heads = column_lines(chars.filter((F.col("page") <= HEAD_PAGES) & (F.col("top") < COLUMN_HEADER_BAND)), None).filter(F.col("text").rlike(BULLETIN_HEAD))
+    said = lambda n: F.regexp_extract("text", BULLETIN_HEAD, n)
+    head = F.min_by(F.struct(said(3).cast("int").alias("year"), said(1).cast("int").alias("issue"), spanish_date(F.concat_ws(" de ", said(2), said(3))).alias("date")), F.struct("page", "line"))
+    bulletins = heads.groupBy("document").agg(head.alias("h")).select("document", "h.*")
+
+    side, here = Window.partitionBy("document", "page", "side"), Window.partitionBy("document").orderBy("page", "side", "line")
+    so_far, before = here.rowsBetween(Window.unboundedPreceding, 0), here.rowsBetween(Window.unboundedPreceding, -1)
+    lines = column_lines(chars).withColumn("text", recased(F.col("text")))
+    lines = lines.withColumn("listed", F.max(F.when(F.col("text").rlike(SUMMARY_LINE), F.col("line"))).over(side))
+    read = (F.col("top") >= COLUMN_HEADER_BAND) & (F.col("size") >= COLUMN_TEXT_SIZE) & ~F.col("text").rlike(PAGE_HEAD) & (F.col("listed").isNull() | (F.col("line") > F.col("listed")))
+    bold, italic = F.col("font").contains("Bold"), F.col("font").contains("Italic")
+    section = bold & (F.col("size") >= SECTION_SIZE) & F.col("text").rlike(ROMAN_SECTION)
+    title = F.col("first_font").contains("Bold") & F.col("text").rlike(r"^\d+") & (italic | bold)
+    kind = F.when(section, "section").when(title, "title").when(bold, "organization").when(italic, "italic").otherwise("plain")
+    marked = lines.filter(read).withColumn("kind", kind)
+    count = lambda *kinds: F.sum(F.col("kind").isin(*kinds).cast("int"))
+    marked = marked.withColumns({"section_no": count("section").over(so_far), "item": count("title").over(so_far), "heads": F.coalesce(count("section", "title").over(before), F.lit(0))}).filter("section_no > 0")
+
+    of_section = Window.partitionBy("document", "section_no").orderBy("item")
+    organizations = marked.filter("kind = 'organization'").groupBy("document", "heads").agg(F.array_sort(F.collect_list(F.struct("page", "side", "line", "text"))).alias("parts"))
+    organizations = organizations.select("document", "heads", respaced(F.array_join(F.transform("parts", lambda p: p["text"]), " ")).alias("named"))
+    sections = marked.filter("kind = 'section'").select("document", "section_no", section_title(F.col("text")).alias("section"))
+    titles = marked.filter("kind = 'title'").join(organizations, ["document", "heads"], "left").join(sections, ["document", "section_no"])
+    titles = titles.select("document", "item", "section", F.last("named", ignorenulls=True).over(of_section).alias("organization"), F.regexp_extract("text", r"^(\d+)", 1).try_cast("int").alias("number"))
+
+    item = Window.partitionBy("document", "item").orderBy("page", "side", "line")
+    within = item.rowsBetween(Window.unboundedPreceding, 0)
+    inside = marked.filter("item > 0").withColumns({"ended": F.sum(F.col("kind").isin("section", "organization").cast("int")).over(within), "texts": F.sum((F.col("kind") == "plain").cast("int")).over(within)}).filter("ended = 0")
+    own = inside.withColumn("is_title", (F.col("kind") == "title") | ((F.col("kind") == "italic") & (F.col("texts") == 0)))
+    words = F.when(F.col("kind") == "title", F.regexp_replace("text", r"^\d+\s*", "")).otherwise(F.col("text"))
+    named = own.filter("is_title").groupBy("document", "item").agg(F.array_sort(F.collect_list(F.struct("page", "side", "line", words.alias("t")))).alias("parts"))
+    named = named.select("document", "item", rejoined(F.array_join(F.filter(F.transform("parts", lambda p: p["t"]), lambda t: t != ""), " ")).alias("title"))
+
+    body = own.filter(~F.col("is_title"))
+    block = Window.partitionBy("document", "item", "page", "side")
+    body = body.withColumn("gap", F.round(F.col("top") - F.lag("top").over(block.orderBy("line")), 1))
+    typical = F.percentile(F.when((F.col("gap") > 0) & (F.col("gap") < LARGEST_GAP), F.col("gap")), 0.5).over(block)
+    ended = F.lag("text").over(item).rlike(r"[.:;!?]$")
+    opens = F.coalesce(F.when(F.col("gap").isNull(), ended).otherwise(F.col("gap") > F.coalesce(typical, F.lit(DEFAULT_GAP)) * WIDE_GAP), F.lit(False))
+    parted = body.withColumn("opens", opens.cast("int")).withColumn("paragraph", F.sum("opens").over(item))
+    joined = parted.groupBy("document", "item", "paragraph").agg(F.array_sort(F.collect_list(F.struct("page", "side", "line", "text"))).alias("parts"))
+    texts = joined.select("document", "item", F.struct("paragraph", rejoined(F.array_join(F.transform("parts", lambda p: p["text"]), " ")).alias("text")).alias("p"))
+    texts = texts.groupBy("document", "item").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]).alias("paragraphs"))
+
+    done = titles.join(named, ["document", "item"], "left").join(texts, ["document", "item"], "left").join(bulletins, "document", "left")
+    issue = F.col("issue").cast("string")
+    number = F.lpad(issue, F.greatest(F.lit(3), F.length(issue)), "0")
+    pdf = F.concat(F.lit(f"{base}/"), F.col("year").cast("string"), F.lit("/"), number, F.lit("/"), F.col("year").cast("string"), F.lit("-"), number, F.lit(".pdf"))
+    return done.select("document", F.col("item").cast("int").alias("disposition"), "year", "issue", "date", "number", "section", "organization", "title", F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs"), pdf.alias("pdf"))
 
 
 #: What lines of a printed summary mean: fixed values.

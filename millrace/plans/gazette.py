@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import gazette as G
-from millrace.operators.relational import numbered, small_side
+from millrace.operators.relational import numbered
 from millrace.registry import Tables, query
 
 SITE = "https://gazette.example.org"
@@ -22,6 +22,12 @@ def _text(template: str, **values: str) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
+def _rows(rows: tuple, columns: str) -> Column:
+    """Fixed rows as an array of structs, to be put beside every row of a table."""
+    kinds = [c.split() for c in columns.split(", ")]
+    return F.array(*(F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, kinds, strict=True))) for row in rows))
+
+
 CURRENT_LI = """<li class="justificado_boc x"><a href="/go">&gt;</a> <b>{s}</b> <a href="/d">Text
  of {name}</a><div class="document_info">About {s}. <div class="cve">ID-{s} <a title="Vista previa del documento" href="/boc/2026/{s}.html">v</a>
  <a title="Ver firma electrónica" href="/f/{s}">f</a> <a title="Descargar en formato PDF" href="https://files.example.org/{s}.pdf">p</a></div></div></li>"""
@@ -133,21 +139,72 @@ PRINT = (
     "txt_14_printed",
     "TXT-14",
     sql="""SELECT n_nationkey::VARCHAR AS document, '2024-01-05' AS date, 'BOC-A-2024-' || n_nationkey || '-7' AS identifier, 'III. ANUNCIOS' AS section, 'Org ' || n_name AS organization, n_nationkey::INT AS number,
-  'Resolución de ' || n_name || ' continuada.' AS title, 'Un texto de ' || n_name || ' partido en dos líneas. Sigue aquí. | Otro párrafo que va más allá de la página. | Fin' AS paragraphs FROM nation""",
+  'Resolución de ' || n_name || ' continuada.' AS title, 'Un texto de ' || n_name || ' partido en dos líneas. Sigue aquí. | Otro párrafo que va más allá de la página. | Fin' AS paragraphs,
+  2024 AS year, n_nationkey::INT AS issue, 'https://gazette.example.org/boc-a-2024-' || n_nationkey || '-7.pdf' AS pdf FROM nation""",
 )
 def printed(t: Tables) -> DataFrame:
     """Documents from positioned characters that stand up to two points off their line."""
-    lines = t.spark.createDataFrame(list(PRINT), "page int, top double, font string, size double, template string")
-    filled = t.nation.join(small_side(lines)).withColumn("text", F.replace(F.replace("template", F.lit("{name}"), F.col("n_name")), F.lit("{n}"), F.col("n_nationkey").cast("string")))
+    filled = t.nation.select("*", F.inline(_rows(PRINT, "page int, top double, font string, size double, template string"))).withColumn("text", F.replace(F.replace("template", F.lit("{name}"), F.col("n_name")), F.lit("{n}"), F.col("n_nationkey").cast("string")))
     chars = filled.select(F.col("n_nationkey").cast("string").alias("document"), "page", "top", "font", "size", F.posexplode(F.split("text", "")).alias("x", "char"))
     chars = chars.select("document", "page", "char", F.col("x").cast("double").alias("x0"), (F.col("top") + F.col("x") % 3).alias("top"), "size", "font", (F.col("top") * 1000 + F.col("x")).alias("nth"))
-    return G.printed_documents(G.text_lines(chars)).withColumn("paragraphs", F.array_join("paragraphs", " | "))
+    return G.printed_documents(G.text_lines(chars), base=SITE).withColumn("paragraphs", F.array_join("paragraphs", " | "))
+
+
+#: Lines of a bulletin in two columns: page, left edge, top, font of the leading number, font, size, text.
+TWO_COLUMNS = (
+    (1, 60.0, 50.0, "Helvetica", "Helvetica", 9.0, "Boletín Oficial de la Isla núm. {n}, martes 11 de abril de 2006, página 1"),
+    (1, 50.0, 100.0, "Times-Roman", "Times-Roman", 10.0, "9 ORDEN de otra cosa. Página 3"),
+    (1, 50.0, 130.0, "Times-Bold", "Times-Bold", 13.0, "III. OTRAS Resoluciones de la isla"),
+    (1, 50.0, 150.0, "Times-Italic", "Times-Italic", 11.0, "Un apartado"),
+    (1, 50.0, 170.0, "Times-Bold", "Times-Bold", 11.0, "Gerenciade"),
+    (1, 50.0, 182.0, "Times-Bold", "Times-Bold", 11.0, "{name}"),
+    (1, 50.0, 200.0, "Times-Bold", "Times-Italic", 11.0, "{n} ORDEN de {name}, por la"),
+    (1, 50.0, 215.0, "Times-Italic", "Times-Italic", 11.0, "que se re-"),
+    (1, 50.0, 230.0, "Times-Italic", "Times-Italic", 11.0, "suelve."),
+    (1, 50.0, 300.0, "Times-Roman", "Times-Roman", 11.0, "Primer párrafo de {name}"),
+    (1, 50.0, 314.0, "Times-Roman", "Times-Roman", 11.0, "sigueEn la línea."),
+    (1, 50.0, 360.0, "Times-Roman", "Times-Roman", 11.0, "Segundo párrafo pasa de co-"),
+    (1, 310.0, 100.0, "Times-Roman", "Times-Roman", 11.0, "lumna sin acabar"),
+    (1, 310.0, 114.0, "Times-Italic", "Times-Italic", 11.0, "hasta aquí."),
+    (1, 310.0, 160.0, "Times-Bold", "Times-Bold", 11.0, "Puerto de {name}"),
+    (1, 310.0, 180.0, "Times-Bold", "Times-Italic", 11.0, "{n}1 ANUNCIO de {name}."),
+    (1, 310.0, 240.0, "Times-Roman", "Times-Roman", 11.0, "Texto del anuncio."),
+    (2, 60.0, 50.0, "Helvetica", "Helvetica", 9.0, "Boletín Oficial de la Isla núm. 99, lunes 1 de mayo de 2007, página 2"),
+    (2, 50.0, 100.0, "Times-Roman", "Times-Roman", 11.0, "Nuevo párrafo en otra página:"),
+    (2, 50.0, 120.0, "Times-Roman", "Times-Roman", 7.0, "letra pequeña"),
+    (2, 310.0, 100.0, "Times-Roman", "Times-Roman", 11.0, "tras dos puntos."),
+    (2, 310.0, 120.0, "Times-Bold", "Times-Bold", 13.0, "IV. Anuncios"),
+    (2, 310.0, 140.0, "Times-Roman", "Times-Roman", 11.0, "Texto de nadie"),
+    (2, 310.0, 160.0, "Times-Bold", "Times-Bold", 11.0, "{n}2 Edicto"),
+    (2, 310.0, 200.0, "Times-Roman", "Times-Roman", 11.0, "Final."),
+)
+
+
+@query(
+    "txt_14_two_columns",
+    "TXT-14",
+    sql="""SELECT s_suppkey::VARCHAR AS document, k::INT AS disposition, 2006 AS year, s_suppkey::INT AS issue, '2006-04-11' AS date,
+  (s_suppkey || ['', '1', '2'][k])::INT AS number, CASE WHEN k < 3 THEN 'Otras Resoluciones de la Isla' ELSE 'Anuncios' END AS section,
+  CASE k WHEN 1 THEN 'Gerencia de ' || s_name WHEN 2 THEN 'Puerto de ' || s_name END AS organization,
+  ['ORDEN de ' || s_name || ', por la que se resuelve.', 'ANUNCIO de ' || s_name || '.', 'Edicto'][k] AS title,
+  ['Primer párrafo de ' || s_name || ' sigue En la línea. | Segundo párrafo pasa de columna sin acabar hasta aquí.', 'Texto del anuncio. | Nuevo párrafo en otra página: | tras dos puntos.', 'Final.'][k] AS paragraphs,
+  'https://gazette.example.org/2006/' || lpad(s_suppkey::VARCHAR, greatest(3, length(s_suppkey::VARCHAR))::INT, '0') || '/2006-' || lpad(s_suppkey::VARCHAR, greatest(3, length(s_suppkey::VARCHAR))::INT, '0') || '.pdf' AS pdf
+FROM supplier, (SELECT unnest([1, 2, 3]) AS k)""",
+)
+def two_columns(t: Tables) -> DataFrame:
+    """Three dispositions a bulletin, from characters that go on from column to column and page to page."""
+    lines = _rows(TWO_COLUMNS, "page int, x double, top double, first string, font string, size double, template string")
+    filled = t.supplier.select("s_suppkey", "s_name", F.inline(lines)).select("*", F.replace(F.replace("template", F.lit("{name}"), F.col("s_name")), F.lit("{n}"), F.col("s_suppkey").cast("string")).alias("text"))
+    chars = filled.select(F.col("s_suppkey").cast("string").alias("document"), "page", "x", "top", "first", "font", "size", "text", F.posexplode(F.split("text", "")).alias("i", "char"))
+    numbers = F.length(F.regexp_extract("text", r"^\d+", 0))
+    placed = chars.select("document", "page", "char", (F.col("x") + F.col("i") * 5).alias("x0"), (F.col("top") + F.col("i") % 3 * 0.9).alias("top"), "size", F.when(F.col("i") < numbers, F.col("first")).otherwise(F.col("font")).alias("font"), F.col("i").alias("nth"))
+    return G.column_dispositions(placed, base=SITE).withColumn("paragraphs", F.array_join("paragraphs", " | "))
 
 
 @query(
     "sup_7_printed_summary",
     "SUP-7",
-    sql="""SELECT l_orderkey::VARCHAR AS document, k::INT AS disposition, 'Disposiciones Generales' AS section, 'Cabildo Insular de ' || l_orderkey AS subsection,
+    sql="""SELECT l_orderkey::VARCHAR AS document, k::INT AS disposition, 'Disposiciones Generales' AS section, 'Gerencia Forestal de ' || l_orderkey AS subsection,
   CASE WHEN k > 1 THEN 'Org ' || l_orderkey END AS organization, 'Resolución número ' || l_partkey AS summary, CASE WHEN k <> 3 THEN k END::INT AS start_page
 FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem) WHERE k <= 4""",
 )
@@ -162,7 +219,7 @@ def printed_summary(t: Tables) -> DataFrame:
     )
     ends = F.array(
         line(-2, "Times-Bold", F.lit("I.Disposiciones generales")),
-        line(-1, "Times-Italic", F.concat(F.lit("Cabildo Insularde "), F.col("l_orderkey").cast("string"))),
+        line(-1, "Times-Italic", F.concat(F.lit("Gerencia Forestalde "), F.col("l_orderkey").cast("string"))),
         line(1000, "Times-Bold", F.lit("II. Otras")),
         line(1001, "Times-Roman", F.lit("never closed")),
         line(1002, "Times-Bold", F.lit("I. Disposiciones generales y más")),

@@ -113,9 +113,3 @@ def scd2(t: Tables) -> DataFrame:
 
     versions = keep_first(t.orders, ["o_custkey", "o_orderdate"], [F.asc("o_orderkey")]).select("o_custkey", "o_orderkey", F.col("o_orderdate").alias("valid_from"))
     return history(versions, ["o_custkey"], "valid_from").select("o_custkey", "o_orderkey", "valid_from", "valid_to")
-
-
-@query("mart_introspection", sql="SELECT date_trunc('month', o_orderdate)::DATE AS partition, count(*)::BIGINT AS total_rows FROM orders GROUP BY 1")
-def introspection(t: Tables) -> DataFrame:
-    """What a catalogue of monthly partitions would list."""
-    return t.orders.groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("partition")).agg(F.count(F.lit(1)).alias("total_rows"))

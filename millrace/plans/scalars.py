@@ -151,7 +151,7 @@ def date_in_title(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", S.spanish_date(title).alias("iso"))
 
 
-@query("sup_6_respaced", "SUP-6", sql="""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'III. Otras ' || c_mktsegment WHEN 1 THEN 'Cabildo Insular de ' || c_mktsegment ELSE 'Administración Local 3,b ley5 ' || c_mktsegment END AS text FROM customer""")
+@query("sup_6_respaced", "SUP-6", sql="""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'VI. Avisos ' || c_mktsegment WHEN 1 THEN 'Gerencia Forestal de ' || c_mktsegment ELSE 'Comercio Exterior 3,b ley5 ' || c_mktsegment END AS text FROM customer""")
 def respaced(t: Tables) -> DataFrame:
-    glued = F.get(F.array(*map(F.lit, ("III.Otras ", "Cabildo Insularde ", "AdministraciónLocal 3,b ley5 "))), (F.col("c_custkey") % 3).cast("int"))
+    glued = F.get(F.array(*map(F.lit, ("VI.Avisos ", "Gerencia Forestalde ", "ComercioExterior 3,b ley5 "))), (F.col("c_custkey") % 3).cast("int"))
     return t.customer.select("c_custkey", S.respaced(F.concat(glued, F.col("c_mktsegment"))).alias("text"))

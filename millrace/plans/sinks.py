@@ -9,7 +9,7 @@ from millrace.functions.scalars import row_id
 from millrace.operators import relational as R
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
-from millrace.sources.sinks import evaluated_once, insert_through_staging, merge_into, merge_nested, monthly, put_object, write_clustered, write_parquet
+from millrace.sources.sinks import evaluated_once, insert_through_staging, merge_into, merge_nested, monthly, write_clustered, write_parquet
 
 
 @query("snk_1_overwrite", "SNK-1", "SNK-3", "SNK-17", sql="SELECT n_nationkey, n_name FROM nation")
@@ -151,15 +151,6 @@ def versions_of(t: Tables) -> DataFrame:
     return versions.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("versions"), F.count_if("is_current").alias("current"))
 
 
-@query("sup_8_atomic_put", "SUP-8", sql="SELECT 'second' AS value")
-def atomic_put(t: Tables) -> DataFrame:
-    """An object put twice: readers see the whole old or the whole new one, and no part is left."""
-    folder = shared_folder(t.spark, "objects")
-    for content in (b"first, and longer", b"second"):
-        put_object(t.spark, f"{folder}/object.txt", content)
-    return t.spark.read.text(folder)
-
-
 @query(
     "sup_1_catalogue",
     "SUP-1",

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.scalars import exact_sum
 from millrace.operators.relational import small_side
 from millrace.registry import Tables, query
 from millrace.session import shared_folder
-from millrace.sources import avro, files, log, paged, schema, topics
-from millrace.sources.sinks import put_object
+from millrace.sources import api, avro, files, schema, topics
 from millrace.streaming import flows
 
 TEXT_TYPES = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"
@@ -59,115 +59,17 @@ def tsv_positions(t: Tables) -> DataFrame:
     return wide.filter("none is null").select("event_id", "actor", "goldstein", "code", tone["tone"].alias("tone"), tone["word_count"].alias("word_count"))
 
 
-def _published(t: Tables, *parts: str, timestamp=None, partition=None) -> str:
-    """A topic with the events of each condition, a publication each."""
-    path = shared_folder(t.spark, "topic")
-    for n, part in enumerate(parts):
-        _publish_more(t, path, n, part, timestamp, partition)
-    return path
-
-
-def _publish_more(t: Tables, path: str, n: int, part: str, timestamp=None, partition=None) -> None:
-    chosen = t.events.filter(part)
-    messages = topics.as_messages(chosen.select("event_id", "user_id", "event_type"), F.col("event_id"))
-    if timestamp is not None or partition is not None:
-        messages = chosen.select("ts", "user_id", F.col("event_id").cast("string").alias("key"), F.to_json(F.struct("event_id", "user_id", "event_type")).alias("value"))
-    log.publish(messages, path, n, timestamp=timestamp, partition=partition)
-
-
 EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("user_id", T.LongType()), T.StructField("event_type", T.StringType())])
 
 
-@query("src_11_topic_json", "SRC-11", "SNK-18", sql="SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <> 0")
-def topic_json(t: Tables) -> DataFrame:
-    """A JSON topic as a stream, from its start; every tenth record is broken and ignored."""
-    path = shared_folder(t.spark, "topic")
+@query("src_11_json_messages", "SRC-11", "SNK-18", sql="SELECT event_id, user_id, event_type FROM events WHERE event_id % 10 <> 0")
+def json_messages(t: Tables) -> DataFrame:
+    """JSON messages as a stream of files; every tenth record is broken and ignored."""
+    folder = shared_folder(t.spark, "messages")
     messages = topics.as_messages(t.events.select("event_id", "user_id", "event_type"), F.col("event_id"))
     broken = F.when(F.col("key").cast("long") % 10 == 0, F.lit('{"event_id": oops')).otherwise(F.col("value"))
-    log.publish(messages.withColumn("value", broken), path, 0)
-    raw = log.stream(t.spark, path, log.bounds(t.spark, path, "earliest"))
-    return flows.materialize(topics.json_records(raw, EVENT), "append")
-
-
-@query("src_12_topic_latest", "SRC-12", sql="SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 = 0")
-def topic_latest(t: Tables) -> DataFrame:
-    """A stream that starts at the end sees only what is published afterwards."""
-    path = _published(t, "event_id % 3 <> 0")
-    start = log.bounds(t.spark, path, "latest")
-    _publish_more(t, path, 1, "event_id % 3 = 0")
-    return flows.materialize(topics.json_records(log.stream(t.spark, path, start), EVENT), "append")
-
-
-@query("src_13_topic_bounded", "SRC-13", sql="SELECT event_id, user_id, event_type FROM events WHERE event_id % 3 <> 0")
-def topic_bounded(t: Tables) -> DataFrame:
-    """A read up to the end as it was; what comes later stays out."""
-    path = _published(t, "event_id % 3 = 1", "event_id % 3 = 2")
-    end = log.bounds(t.spark, path, "latest")
-    _publish_more(t, path, 2, "event_id % 3 = 0")
-    return topics.json_records(log.read(t.spark, path, log.bounds(t.spark, path, "earliest"), end), EVENT)
-
-
-@query("src_14_topic_from_time", "SRC-14", sql="SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-08 12:00:00' AND ts < TIMESTAMP '2024-01-20'")
-def topic_from_time(t: Tables) -> DataFrame:
-    """From one time on, up to another."""
-    path = _published(t, "true", timestamp=F.col("ts"))
-    at = lambda stamp: log.bounds(t.spark, path, "timestamp", timestamp=stamp)
-    return topics.json_records(log.read(t.spark, path, at("2024-01-08 12:00:00"), at("2024-01-20")), EVENT)
-
-
-@query(
-    "src_14_topic_from_offsets",
-    "SRC-14",
-    sql="""SELECT part AS partition, n AS "offset", event_id FROM (SELECT (user_id % 3)::INT AS part, event_id, row_number() OVER (PARTITION BY user_id % 3 ORDER BY ts, event_id::VARCHAR) - 1 AS n,
-  count(*) OVER (PARTITION BY user_id % 3) AS total FROM events) WHERE (part = 0 AND n >= 10) OR (part = 2 AND n < total)""",
-)
-def topic_from_offsets(t: Tables) -> DataFrame:
-    """Given offsets: one partition from its eleventh record, one from its end, one (not named) from its start."""
-    path = _published(t, "true", timestamp=F.col("ts"), partition=F.col("user_id") % 3)
-    start = log.bounds(t.spark, path, "offsets", offsets={0: 10, 1: log.LATEST})
-    found = log.read(t.spark, path, start)
-    return found.select("partition", "offset", F.get_json_object(F.col("value").cast("string"), "$.event_id").cast("long").alias("event_id"))
-
-
-@query("src_14_topic_group", "SRC-14", sql="SELECT 1 AS read, count(*)::BIGINT AS n FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT 2, count(*)::BIGINT FROM events WHERE event_id % 3 = 0 UNION ALL SELECT 3, 0::BIGINT")
-def topic_group(t: Tables) -> DataFrame:
-    """A group resumes after what it has committed."""
-    path, counts = _published(t, "event_id % 3 <> 0"), []
-    for turn in (1, 2, 3):
-        start, end = log.bounds(t.spark, path, "group", group="readers"), log.bounds(t.spark, path, "latest")
-        counts.append((turn, log.read(t.spark, path, start, end).count()))
-        log.commit(t.spark, path, "readers", end)
-        if turn == 1:
-            _publish_more(t, path, 1, "event_id % 3 = 0")
-    return t.spark.createDataFrame(counts, "read int, n long")
-
-
-@query("snk_18_publish", "SNK-18", sql="SELECT user_id || ':' || event_type || ':' || (epoch_us(ts) // 1000) AS key, event_id FROM events")
-def publish(t: Tables) -> DataFrame:
-    """A stream published under a composite key, each micro-batch a publication; a replay changes nothing."""
-    path, checkpoint = shared_folder(t.spark, "topic"), shared_folder(t.spark, "stream")
-    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.unix_millis(F.col("ts").cast("timestamp")).cast("string"))
-    messages = flows.file_stream(t.spark, t.path("events")).select(key.alias("key"), F.to_json(F.struct("event_id")).alias("value"))
-
-    def twice(batch: DataFrame, n: int) -> None:
-        for _ in range(2):
-            log.publish(batch, path, n)
-
-    flows.run_once(messages, twice, "append", checkpoint)
-    return log.records(t.spark, path).select("key", F.get_json_object(F.col("value").cast("string"), "$.event_id").cast("long").alias("event_id"))
-
-
-@query("src_12_connector_options", "SRC-12", "SRC-13", "SRC-14", sql="""SELECT * FROM (VALUES ('earliest','startingOffsets','earliest'),('latest','startingOffsets','latest'),('bounded','endingOffsets','latest'),('stamp','startingTimestamp','1700000000000'),('until','endingTimestamp','1700000000001')) v(mode, option, value)""")
-def topic_options(t: Tables) -> DataFrame:
-    """What the same modes are called by Spark's own connector."""
-    rows = [
-        *(("earliest", *kv) for kv in topics.start_options("earliest").items()),
-        *(("latest", *kv) for kv in topics.start_options("latest").items()),
-        *(("bounded", *kv) for kv in topics.end_options("latest").items()),
-        *(("stamp", k, v) for k, v in topics.start_options("timestamp", timestamp_ms=1700000000000).items() if k == "startingTimestamp"),
-        *(("until", *kv) for kv in topics.end_options("timestamp", timestamp_ms=1700000000001).items()),
-    ]
-    return t.spark.createDataFrame(rows, "mode string, option string, value string")
+    messages.withColumn("value", broken).write.parquet(folder)
+    return flows.materialize(topics.json_records(flows.file_stream(t.spark, folder), EVENT), "append")
 
 
 @query("src_15_registry_header", "SRC-15", sql="SELECT event_id, 0 AS magic, (event_id % 70000)::INT AS schema_id, 'rec' || event_id AS payload FROM events")
@@ -221,24 +123,6 @@ def json_documents(t: Tables) -> DataFrame:
     return read.groupBy(F.col("c_mktsegment").alias("brand")).agg(F.round(F.avg("c_acctbal"), 2).alias("avg_price"))
 
 
-@query("src_10_zip_members", "SRC-10", sql="SELECT 'region_' || r_regionkey || '.csv' AS member, n_nationkey || ',' || n_name AS line FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'odd.bin', 'bad ' || chr(65533)")
-def zip_members(t: Tables) -> DataFrame:
-    """Lines of all members of ZIP files; what is not UTF-8 is replaced."""
-    import io
-    import zipfile
-
-    folder = shared_folder(t.spark, "zip")
-    rows = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name").alias("line")).collect()
-    members = {f"region_{k}.csv": "\n".join(r["line"] for r in rows if r["r_regionkey"] == k).encode() for k in {r["r_regionkey"] for r in rows}} | {"odd.bin": b"bad \xff"}
-    for n, some in enumerate((sorted(members)[::2], sorted(members)[1::2])):
-        packed = io.BytesIO()
-        with zipfile.ZipFile(packed, "w") as z:
-            for name in some:
-                z.writestr(name, members[name])
-        put_object(t.spark, f"{folder}/{n}.zip", packed.getvalue())
-    return files.zip_members(t.spark, folder).select("member", F.explode(F.split("text", "\n")).alias("line"))
-
-
 @query("src_18_csv_to_parquet", "SRC-18", "SNK-1", sql="SELECT s_suppkey::BIGINT AS s_suppkey, s_name FROM supplier")
 def csv_to_parquet(t: Tables) -> DataFrame:
     from millrace.sources.sinks import write_parquet
@@ -264,48 +148,25 @@ def external_table(t: Tables) -> DataFrame:
     return files.external_csv(t.spark, "millrace_external", folder, "p_partkey bigint, p_brand string")
 
 
-def fake_page(number: int) -> str:
-    """A canned API page for offline runs: two good records, one without a country, one with a bad year; page 3 is an error."""
-    import json
-
-    if number == 3:
-        return json.dumps([{"message": [{"id": "175", "value": "archived"}]}])
-    record = lambda iso, year, value: {"indicator": {"id": f"IND{number}"}, "countryiso3code": iso, "country": {"value": iso.title()}, "date": year, "value": value, "unit": "", "obs_status": ""}
-    return json.dumps([{"page": 1, "pages": 1}, [record("ESP", "2020", 1.5), record("FRA", "2021", None), record("", "2020", 2.0), record("DEU", "n/a", 3.0)]])
-
-
-@query("src_21_paged_api", "SRC-21", "SRC-22", "SRC-23", "SUP-14", sql="""SELECT * FROM (VALUES ('IND1','ESP',2020,1.5::DOUBLE),('IND1','FRA',2021,NULL),('IND2','ESP',2020,1.5),('IND2','FRA',2021,NULL),('IND4','ESP',2020,1.5),('IND4','FRA',2021,NULL)) v(indicator_code, country_iso3, year, value)""")
-def paged_api(t: Tables) -> DataFrame:
-    bodies = paged.read_pages(t.spark, "millrace.plans.sources:fake_page", paged.page_count(31, 8))
-    return paged.indicator_rows(bodies).select("indicator_code", "country_iso3", "year", "value")
-
-
-def fake_offsets(offset: int) -> str:
-    """A canned search result: 23 works, 5 from the offset on."""
-    import json
-
-    return json.dumps({"numFound": 23, "docs": [{"key": f"W{n}", "year": 1900 + n} for n in range(offset, min(offset + 5, 23))]})
-
-
-def fake_list(page: int) -> str:
-    """Four pages of three rides, then an empty one."""
-    import json
-
-    return json.dumps([{"id": 3 * page + n} for n in range(3)] if page <= 4 else [])
-
-
-@query("src_21_offset_paging", "SRC-21", sql="SELECT 'W' || n AS key, (1900 + n)::INT AS year FROM range(23) r(n)")
-def offset_paging(t: Tables) -> DataFrame:
-    """Offsets up to the total that the first answer reports, a partition each."""
-    bodies = paged.read_pages(t.spark, "millrace.plans.sources:fake_offsets", limit=5, total="numFound")
-    return bodies.select(F.inline(F.from_json(F.get_json_object("body", "$.docs"), "array<struct<key:string,year:int>>")))
-
-
-@query("src_21_until_empty", "SRC-21", sql="SELECT (n // 3 + 1)::INT AS page, (n + 3)::INT AS id FROM range(12) r(n)")
-def until_empty(t: Tables) -> DataFrame:
-    """Numbered pages up to the first empty one."""
-    bodies = paged.read_pages(t.spark, "millrace.plans.sources:fake_list")
-    return bodies.select("page", F.inline(F.from_json("body", "array<struct<id:int>>")))
+@query(
+    "src_23_nested_bodies",
+    "SRC-23",
+    "SUP-14",
+    sql="""SELECT 'O' || o_orderstatus AS indicator_code, n_name AS country_iso3, year(o_orderdate)::INT AS year, sum(o_totalprice::DECIMAL(18,4))::DOUBLE AS value
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 5 <> 4 AND year(o_orderdate) <> 1995 GROUP BY ALL""",
+)
+def nested_bodies(t: Tables) -> DataFrame:
+    """A JSON body a nation, [meta, records], to typed rows: error bodies give none, bad years and nameless countries drop out."""
+    customers = t.customer.join(small_side(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_nationkey", "n_name")
+    yearly = t.orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("n_nationkey", "n_name", F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("y")).agg(exact_sum("o_totalprice").alias("value"))
+    date = F.when(F.col("y") == 1995, "n/a").otherwise(F.col("y").cast("string"))
+    named = F.struct(F.col("n_name").alias("value")).alias("country")
+    record = lambda iso: F.struct(F.struct(F.concat(F.lit("O"), "status").alias("id")).alias("indicator"), iso.alias("countryiso3code"), named, date.alias("date"), "value", F.lit("").alias("unit"), F.lit("").alias("obs_status"))
+    records = yearly.select("n_nationkey", F.explode(F.array(record(F.col("n_name")), record(F.lit("")))).alias("r"))
+    listed = F.to_json(F.collect_list("r"), {"ignoreNullFields": "false"})
+    body = F.when(F.col("n_nationkey") % 5 == 4, '[{"message":[{"id":"175","value":"archived"}]}]').otherwise(F.concat(F.lit('[{"page":1,"pages":1},'), F.col("listed"), F.lit("]")))
+    bodies = records.groupBy("n_nationkey").agg(listed.alias("listed")).select(body.alias("body"))
+    return api.indicator_rows(bodies).select("indicator_code", "country_iso3", "year", "value")
 
 
 CODE_SEED = "SELECT n_nationkey, CASE WHEN n_nationkey % 6 = 5 THEN '  ' ELSE ' ' || lower(left(n_name, 2)) || ' ' END AS iso2, CASE WHEN n_nationkey % 7 = 3 THEN NULL ELSE lower(left(n_name, 3)) END AS iso3 FROM nation"
@@ -339,12 +200,22 @@ SELECT country, count(*)::BIGINT AS polled, count(*) FILTER (WHERE value > 0)::B
 def polled_totals(t: Tables) -> DataFrame:
     """Of each country the first locations up to a cap; what was published and what was skipped."""
     located = t.customer.join(small_side(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("country"), F.col("c_acctbal").alias("value"))
-    return paged.poll_totals(located, "country", "c_custkey", F.col("value") > 0, cap=8)
+    return api.poll_totals(located, "country", "c_custkey", F.col("value") > 0, cap=8)
 
 
-@query("src_28_slots", "SRC-28", sql="SELECT unnest(generate_series(TIMESTAMP '2024-01-01 22:00:00', TIMESTAMP '2024-01-02 03:00:00', INTERVAL 15 MINUTE)) AS slot")
+@query(
+    "src_28_slots",
+    "SRC-28",
+    sql="""WITH s AS (SELECT unnest(generate_series((SELECT time_bucket(INTERVAL 15 MINUTE, min(ts)) FROM events), (SELECT time_bucket(INTERVAL 15 MINUTE, max(ts)) FROM events), INTERVAL 15 MINUTE)) AS slot)
+SELECT slot, count(event_id)::BIGINT AS n FROM s LEFT JOIN events ON time_bucket(INTERVAL 15 MINUTE, ts) = slot GROUP BY 1""",
+)
 def slots(t: Tables) -> DataFrame:
-    return files.slots(t.spark, "2024-01-01 22:00:00", "2024-01-02 03:00:00").select(F.col("slot").cast("timestamp_ntz").alias("slot"))
+    """Every quarter of an hour from the first event to the last, those without events too."""
+    quarter = F.window(F.col("ts").cast("timestamp"), "15 minutes")["start"]
+    counted = t.events.groupBy(quarter.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    ends = counted.agg(F.min("at").cast("string").alias("first"), F.max("at").cast("string").alias("last")).first()
+    series = files.slots(t.spark, ends["first"], ends["last"]) if ends["first"] else t.spark.createDataFrame([], "slot timestamp")
+    return series.join(counted, F.col("slot") == F.col("at"), "left").select(F.col("slot").cast("timestamp_ntz").alias("slot"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("schema_aliases", "SCHEMA-ALIAS", sql="SELECT c_custkey AS location_id, c_name AS location, c_acctbal AS value FROM customer")

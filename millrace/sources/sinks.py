@@ -39,32 +39,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def exists_any(spark: SparkSession, pattern: str) -> bool:
-    """Whether a path pattern matches anything."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
-    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
-    return found is not None and len(found) > 0
-
-
 def _paths(spark: SparkSession, path: str):
     of = spark._jvm.org.apache.hadoop.fs.Path
     return of(path).getFileSystem(spark._jsc.hadoopConfiguration()), of
 
 
-def put_object(spark: SparkSession, path: str, content: bytes) -> None:
-    """A small object under its name all at once: written under another, then moved; an older one is replaced."""
-    fs, of = _paths(spark, path)
-    temporary = of(f"{path}.part")
-    out = fs.create(temporary, True)
-    try:
-        out.write(content)
-    finally:
-        out.close()
-    fs.delete(of(path), False)
-    if not fs.rename(temporary, of(path)):
-        raise OSError(f"could not move {path}.part")
-
-
 def recover(spark: SparkSession, path: str) -> None:
     """After a crash between the two moves of ``rewrite``: put the former table back."""
     fs, of = _paths(spark, path)

@@ -23,8 +23,8 @@ def test_flagship_is_registered():
     assert FLAGSHIP in QUERIES
 
 
-#: Executable ids of the inventory that no query can show here: they need a service or library that is not there.
-OUTSIDE = {"UDF-10", "SUP-16", "SUP-17"}
+#: Ids of the inventory that no query can show here: they need a service, a connector or a library that is not there.
+OUTSIDE = {"UDF-10", "SUP-8", "SUP-16", "SUP-17", "SRC-10", "SRC-12", "SRC-13", "SRC-14", "SRC-21", "SRC-22"}
 
 
 def test_inventory_is_covered():

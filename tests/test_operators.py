@@ -18,7 +18,7 @@ from millrace.operators import checks as C
 from millrace.operators import relational as R
 from millrace.operators import scans
 from millrace.operators.search import BooleanQuery
-from millrace.sources import files, log, paged, schema, sinks, topics
+from millrace.sources import api, files, schema, sinks, topics
 from millrace.streaming import flows
 
 
@@ -52,7 +52,7 @@ def test_spanish_date(spark, text, want):
 
 
 def test_respaced(spark):
-    for glued, want in (("AdministraciónLocal", "Administración Local"), ("III.Otras", "III. Otras"), ("Cabildo Insularde Lanzarote", "Cabildo Insular de Lanzarote"), ("3,b ley5 III.a", "3,b ley5 III.a")):
+    for glued, want in (("ComercioExterior", "Comercio Exterior"), ("VI.Avisos", "VI. Avisos"), ("Gerencia Forestalde Montaña", "Gerencia Forestal de Montaña"), ("3,b ley5 III.a", "3,b ley5 III.a")):
         assert one(spark, S.respaced(F.lit(glued))) == want
 
 
@@ -182,14 +182,14 @@ def test_contract_modes(spark):
 
 def test_indicator_pages(spark):
     bodies = spark.createDataFrame([(1, '[{"page":1},[{"indicator":{"id":"I"},"countryiso3code":"ESP","country":{"value":"Spain"},"date":"2020","value":null,"obs_status":""}]]'), (2, '[{"message":"gone"}]')], "page int, body string")
-    row = paged.indicator_rows(bodies).collect()
+    row = api.indicator_rows(bodies).collect()
     assert [(r.indicator_code, r.country_iso3, r.year, r.value, r.obs_status) for r in row] == [("I", "ESP", 2020, None, None)]
 
 
 def test_a_second_page_of_records_raises(spark):
     many = spark.createDataFrame([(1, json.dumps([{"page": 1, "pages": 2}, []]))], "page int, body string")
     with pytest.raises(Exception, match="more than one page"):
-        paged.indicator_rows(many).collect()
+        api.indicator_rows(many).collect()
 
 
 def test_code_map_of_blanks_raises(spark):
@@ -197,25 +197,6 @@ def test_code_map_of_blanks_raises(spark):
         schema.code_map(spark.createDataFrame([(1, " ", "x"), (2, "es", None)], "n int, iso2 string, iso3 string"), "iso2", "iso3", order="n")
 
 
-def test_log_bounds(spark, tmp_path):
-    path = f"file://{tmp_path}/topic"
-    assert log.bounds(spark, path, "latest") == {}
-    messages = spark.createDataFrame([(f"k{i}", f"v{i}", f"2024-01-01 00:00:{i:02d}") for i in range(20)], "key string, value string, at string")
-    at, own = F.col("at").cast("timestamp_ntz"), F.substring("key", 2, 2).cast("int") % 2
-    for batch, low in ((0, 0), (1, 10), (1, 10)):
-        log.publish(messages.filter(F.substring("key", 2, 2).cast("int").between(low, low + 9)), path, batch, timestamp=at, partition=own)
-    assert log.records(spark, path).count() == 20
-    assert log.bounds(spark, path, "earliest") == {0: 0, 1: 0} and log.bounds(spark, path, "latest") == {0: 10, 1: 10}
-    assert log.bounds(spark, path, "timestamp", timestamp="2024-01-01 00:00:07") == {0: 4, 1: 3}
-    assert log.bounds(spark, path, "timestamp", timestamp="2025-01-01") == {0: 10, 1: 10}
-    assert log.bounds(spark, path, "offsets", offsets={0: log.LATEST, 1: 4}) == {0: 10, 1: 4}
-    assert log.bounds(spark, path, "group", group="g") == {0: 0, 1: 0}
-    log.commit(spark, path, "g", {0: 3, 1: 5})
-    assert log.read(spark, path, log.bounds(spark, path, "group", group="g")).count() == 7 + 5
-    with pytest.raises(ValueError, match="incomplete"):
-        log.bounds(spark, path, "timestamp")
-
-
 def test_rewrite_recovers(spark, tmp_path):
     path = f"file://{tmp_path}/table"
     sinks.rewrite(spark.range(3), path)
