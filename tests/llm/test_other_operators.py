@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import zlib
 
@@ -248,6 +249,74 @@ def test_quality_held_out(spark, odd_documents, no_documents):
     assert quality.train(no_documents, labels).score(np.zeros((1, quality.N_FEATURES)))[0] == pytest.approx(quality.CUT)
 
 
+def plain_features(text: str) -> list[float]:
+    """The features counted one byte, word and line at a time."""
+    raw = text.encode()
+    if not raw:
+        return [0.0] * quality.N_FEATURES
+    groups = [sum(b in chars for b in raw) / len(raw) for chars in quality.CLASSES.values()] + [sum(b >= 128 for b in raw) / len(raw)]
+    words, lines = text.split(), text.split("\n")
+    n = max(1, len(words))
+    entropy = -sum(raw.count(b) / len(raw) * math.log(raw.count(b) / len(raw)) for b in set(raw))
+    rest = [math.log1p(len(raw)), math.log1p(len(words)), len(raw) / n / 10, max(1, len(set(words))) / n if words else 0.0, len(set(lines)) / len(lines), math.log1p(len(raw) / len(lines)), entropy, sum(w.isupper() for w in words) / n, float(not words)]
+    return groups + [math.sqrt(g) for g in groups] + rest
+
+
+def plain_fit(rows: list[list[float]], good: list[bool], seed: int = 5) -> tuple[list[float], float]:
+    """Weights by gradient descent on the penalised logistic loss of the same pairs, and the quantile of the worths."""
+    n, size = len(rows), len(rows[0])
+    mean = [sum(r[i] for r in rows) / n for i in range(size)]
+    scale = [math.sqrt(sum((r[i] - mean[i]) ** 2 for r in rows) / n) for i in range(size)]
+    z = [[(r[i] - mean[i]) / (scale[i] if scale[i] >= 1e-9 else 1) for i in range(size)] for r in rows]
+    poor, fine = [i for i in range(n) if not good[i]], [i for i in range(n) if good[i]]
+    chosen = np.random.default_rng(seed).choice(np.array(fine), len(poor) * quality.PAIRS_A_POOR).tolist()
+    pairs = [[z[f][i] - z[p][i] for i in range(size)] for f, p in zip(chosen, [p for p in poor for _ in range(quality.PAIRS_A_POOR)], strict=True)]
+    w, step = [0.0] * size, 1 / (quality.RIDGE + sum(sum(x * x for x in d) for d in pairs) / 4)
+    for _ in range(20_000):
+        gradient = [-quality.RIDGE * x for x in w]
+        for d in pairs:
+            miss = 1 / (1 + math.exp(sum(a * b for a, b in zip(d, w, strict=True))))
+            gradient = [g + miss * x for g, x in zip(gradient, d, strict=True)]
+        w = [x + step * g for x, g in zip(w, gradient, strict=True)]
+        if max(map(abs, gradient)) < 1e-7:
+            break
+    worth = sorted(sum(a * b for a, b in zip(r, w, strict=True)) for r in z)
+    place = len(poor) / n * (n - 1)
+    lo, hi = worth[math.floor(place)], worth[math.ceil(place)]
+    return w, lo + (hi - lo) * (place - math.floor(place))
+
+
+def test_quality_features_match_brute_force(odd_documents):
+    texts = [r.text or "" for r in odd_documents.collect() if len(r.text or "") < 6000] + ["A\tB  C! \u00a0 x", "\n\n", "UP up; (x) [y] 'q' ü"]
+    assert np.allclose(quality.features(texts), [plain_features(t) for t in texts], atol=1e-9)
+
+
+def test_quality_fit_matches_brute_force():
+    r = np.random.default_rng(11)
+    good = np.arange(24) % 3 > 0
+    x = r.normal(size=(24, 3)) + good[:, None] * np.array([0.8, 0.0, -0.5])
+    x[:, 2] = np.round(x[:, 2])  # ties
+    model = quality.fit(x, good)
+    weights, threshold = plain_fit(x.tolist(), good.tolist())
+    assert np.allclose(model.weights, weights, atol=1e-6) and abs(model.threshold - threshold) < 1e-6
+    scores = [1 / (1 + math.exp(-(sum((v - m) / s * w for v, m, s, w in zip(row, model.mean, model.scale, weights)) - threshold + math.log(quality.CUT / (1 - quality.CUT))))) for row in x.tolist()]
+    assert np.allclose(model.score(x), scores, atol=1e-6)
+
+
+def test_quality_of_odd_labels(spark):
+    """Ids named twice, null qualities, other values, clashing columns and repeated rows change nothing."""
+    docs = spark.createDataFrame([(i, prose(20 + i, i) if i % 3 else "JUNK!! " * (5 + i)) for i in range(60)], "doc_id long, text string")
+    plain = [(i, int(i % 3 > 0)) for i in range(60)]
+    labels = spark.createDataFrame(plain, "doc_id long, quality int")
+    odd = spark.createDataFrame([*plain, *plain, (3, 1), (None, 1), (4, None), (5, 7), (900, 0)], "doc_id long, quality int").withColumns({"x": F.lit("x"), "text": F.lit("y"), "toxic": F.lit(1)})
+    model, same = quality.train(docs, labels), quality.train(docs.unionByName(docs).withColumns({"x": F.lit(1), "quality": F.lit(9), "held_out": F.lit("h"), "score": F.lit("s")}), odd)
+    assert np.allclose(model.weights, same.weights, atol=1e-9) and abs(model.threshold - same.threshold) < 1e-9
+    twice = quality.scored(docs.unionByName(docs).withColumn("score", F.lit("clash")), model)
+    assert twice.columns == ["doc_id", "held_out", "score", "predicted"] and twice.count() == 120
+    assert twice.select("doc_id", F.round("score", 12)).distinct().count() == 60
+    assert all(r.score == pytest.approx(quality.CUT) for r in quality.scored(docs, quality.train(docs, odd.filter("quality = 1"))).collect())
+
+
 # --- decontamination ---------------------------------------------------------------------------
 
 
