@@ -26,14 +26,14 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def strip_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated line windows go, and documents of which nothing is left.
+    """Repeated line windows go, and documents of which nothing but white space is left.
 
     Null text becomes empty text; of equal windows the first in (doc_id, position) order stays, rows
     equal in id and text are one document; an empty table stays empty.
     """
     stripped = line_dedup.dedup_lines(docs)
     kept, removed = stripped.columns[: len(docs.columns)], stripped.columns[-1]
-    left = stripped.filter((F.col(removed) == 0) | (F.trim("text") != ""))
+    left = stripped.filter((F.col(removed) == 0) | F.col("text").rlike(r"\S"))
     return _sized(left.select(*kept))
 
 
