@@ -549,7 +549,7 @@ def test_pipeline_matches_brute_force(spark, sf, tmp_path):
             want = {r["id"]: r["text"] for r, (lang, _) in zip(own, brute.languages(own), strict=True) if lang != language_id.UNKNOWN}
         elif name == "line_dedup":
             lines = brute_lines([(d, t or "") for d, t in kept.items()])
-            want = {d: t for (d, _), (t, gone) in lines.items() if not gone or t.strip(" ")}
+            want = {d: t for (d, _), (t, gone) in lines.items() if not gone or t.strip(" \t\n\x0b\f\r")}
         elif name == "near_dedup":
             classes = brute_classes(kept)
             want = {d: t for d, t in kept.items() if classes[d] == d}
@@ -583,6 +583,15 @@ def test_stages_with_every_helper_name_as_a_column(spark, sf):
     assert cover_tree.top_k(cover_tree.quantized(vectors), is_query=F.col("vec_id") % 100 == 0).count() == 20
 
 
+def test_documents_of_which_only_breaks_are_left_go(spark):
+    import corpus_pipeline
+
+    lines = "one line\nanother line\na third line"
+    docs = spark.createDataFrame([(1, lines), (2, f"{lines}\n\n \t"), (3, f"{lines}\nmore"), (4, " \n\n"), (5, None)], "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.strip_repeated_lines(spark, docs, "").collect()}
+    assert left == {1: lines, 3: "more", 4: " \n\n", 5: ""}
+
+
 def test_pipeline_on_odd_rows(spark, sf, odd_documents, no_documents):
     import corpus_pipeline
 
