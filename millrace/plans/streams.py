@@ -163,36 +163,41 @@ def row_consumer(t: Tables) -> DataFrame:
     return flows.materialize(events(t).select("event_id"), "append").agg(rows().alias("inserted"))
 
 
-def arrivals(t: Tables) -> DataFrame:
-    """The stream with its time of arrival in place of the event's."""
-    raw = flows.file_stream(t.spark, t.path("events")).drop("ts")
-    return flows.arrival_time(raw, "ts").withWatermark("ts", "0 seconds")
+#: Batches of the arriving stream: four slices, ten minutes apart.
+FIRST_ARRIVAL, ARRIVED = "2024-06-01 00:00:00", "TIMESTAMP '2024-06-01' + INTERVAL 10 MINUTE * (event_id % 4)"
 
 
-def over_all_windows(windows: DataFrame, keys: list[str], *totals: Column) -> DataFrame:
-    """When rows arrive differs from run to run; what all windows add up to does not."""
-    return windows.groupBy(*keys).agg(F.bool_and(F.col("window_end") > F.col("window_start")).alias("bounded"), *totals)
+def arrivals(t: Tables, size: str, keys: list[str], partial: dict[str, Column], totals: dict[str, Column]) -> DataFrame:
+    """Windows over the time at which each of four batches arrives, ten minutes after the one before."""
+    stream = stateful.arriving(t.events.drop("ts"), F.col("event_id") % 4, 4)
+    return flows.by_arrival(stream, lambda n: F.lit(FIRST_ARRIVAL).cast("timestamp") + F.expr(f"interval {10 * n} minutes"), size, keys, partial, totals)
 
 
-@query("str_7_arrival_counts", "STR-7", sql="SELECT user_id, event_type, true AS bounded, count(*)::BIGINT AS n, round(avg(value), 6)::DOUBLE AS mean FROM events GROUP BY ALL")
+def arrived(size: str, keys: str, aggregates: str) -> str:
+    """The batch equivalent in DuckDB."""
+    at = f"time_bucket(INTERVAL '{size}', {ARRIVED})"
+    return f"SELECT {at} AS window_start, {at} + INTERVAL '{size}' AS window_end, {keys}, {aggregates} FROM events GROUP BY ALL"
+
+
+MEAN = F.round(F.sum("total") / F.sum("n"), 6).cast("double")
+
+
+@query("str_7_arrival_counts", "STR-7", sql=arrived("15 minutes", "user_id, event_type", "count(*)::BIGINT AS n, round(sum(value::DECIMAL(18,4))::DOUBLE / count(*), 6) AS mean"))
 def arrival_counts(t: Tables) -> DataFrame:
     """Processing-time windows of 15 minutes by two keys: rows and mean."""
-    windows = flows.materialize(flows.tumbling(arrivals(t), "ts", "15 minutes", ["user_id", "event_type"], rows().alias("n"), F.sum("value").alias("total")))
-    return over_all_windows(windows, ["user_id", "event_type"], F.sum("n").alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"))
+    return arrivals(t, "15 minutes", ["user_id", "event_type"], {"n": rows(), "total": exact_sum("value")}, {"n": F.sum("n"), "mean": MEAN})
 
 
-@query("str_8_arrival_attention", "STR-8", sql="SELECT event_id, true AS bounded, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+@query("str_8_arrival_attention", "STR-8", sql=arrived("15 minutes", "user_id", "count(*)::BIGINT AS n"))
 def arrival_attention(t: Tables) -> DataFrame:
-    """Processing-time windows of 15 minutes by event."""
-    windows = flows.materialize(flows.tumbling(arrivals(t), "ts", "15 minutes", ["event_id"], rows().alias("n")))
-    return over_all_windows(windows, ["event_id"], F.sum("n").alias("n"))
+    """Processing-time windows of 15 minutes by actor: rows."""
+    return arrivals(t, "15 minutes", ["user_id"], {"n": rows()}, {"n": F.sum("n")})
 
 
-@query("str_9_arrival_trend", "STR-9", "STR-10", sql="SELECT user_id, true AS bounded, round(avg(value), 6)::DOUBLE AS mean, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+@query("str_9_arrival_trend", "STR-9", "STR-10", sql=arrived("30 minutes", "user_id", "round(sum(value::DECIMAL(18,4))::DOUBLE / count(*), 6) AS mean, count(*)::BIGINT AS n"))
 def arrival_trend(t: Tables) -> DataFrame:
-    """Processing-time windows of an hour by actor: mean and rows."""
-    windows = flows.materialize(flows.tumbling(arrivals(t), "ts", "1 hour", ["user_id"], F.sum("value").alias("total"), rows().alias("n")))
-    return over_all_windows(windows, ["user_id"], F.round(F.sum("total") / F.sum("n"), 6).alias("mean"), F.sum("n").alias("n"))
+    """Processing-time windows of half an hour by actor: mean and rows."""
+    return arrivals(t, "30 minutes", ["user_id"], {"n": rows(), "total": exact_sum("value")}, {"mean": MEAN, "n": F.sum("n")})
 
 
 @query(

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.session import shared_folder
-from millrace.sources.sinks import merge_into
 
 
 def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -20,11 +19,6 @@ def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def arrival_time(df: DataFrame, name: str = "arrived_at") -> DataFrame:
-    """Processing time as a column; not repeatable, so event time is to be preferred."""
-    return df.withColumn(name, F.current_timestamp())
-
-
 def tumbling(df: DataFrame, ts: str, size: str, keys: Sequence[str], *aggregates: Column, slide: str | None = None) -> DataFrame:
     """window_start, window_end (excluded), keys and aggregates; groups without rows do not appear."""
     w = F.window(ts, size, slide) if slide else F.window(ts, size)
@@ -83,23 +77,67 @@ def read_batches(spark: SparkSession, folder: str, schema) -> DataFrame:
     return spark.read.schema(schema).parquet(folder).select(*schema.names)
 
 
+def last_version(spark: SparkSession, folder: str, schema, keys: Sequence[str]) -> DataFrame:
+    """Of the micro-batches below ``folder`` the latest row of each key; null equals null."""
+    versions = spark.read.schema(f"{schema_ddl(schema)}, batch long").parquet(folder)
+    row = F.max_by(F.struct(*schema.names), "batch").alias("row")
+    return versions.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(row).select("row.*")
+
+
+def schema_ddl(schema) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+
+
+def compact(spark: SparkSession, folder: str, schema, keys: Sequence[str], upto: int) -> None:
+    """Put the batches up to ``upto``, which must not be written again, together as the latest row of each key.
+
+    These rows are added to the batch ``upto`` before the earlier ones go, so a crash in between leaves rows
+    that are there twice and are read once.
+    """
+    versions = spark.read.schema(f"{schema_ddl(schema)}, batch long").parquet(folder).filter(F.col("batch") <= upto)
+    numbers = [r["batch"] for r in versions.select("batch").distinct().collect()]  # a number a folder
+    row = F.max_by(F.struct(*schema.names), "batch").alias("row")
+    versions.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(row).select("row.*").write.mode("append").parquet(f"{folder}/batch={upto}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for n in numbers:
+        if n != upto:
+            files.delete(path(f"{folder}/batch={n}"), True)
+    spark.catalog.refreshByPath(folder)
+
+
 def materialize(stream: DataFrame, mode: str = "complete", keys: Sequence[str] | None = None) -> DataFrame:
-    """The stream's result as a table in the shared folder.
+    """The stream's result as a table in the shared folder, a folder a micro-batch; nothing is rewritten.
 
-    complete rewrites it, append gives each batch a folder, update merges by ``keys``: a batch written
-    twice changes nothing.
+    append reads all batches, update the latest row of each of ``keys``, complete the last batch, which is
+    the whole result: a batch written twice replaces itself and changes nothing.
     """
     spark = stream.sparkSession
     target, checkpoint = shared_folder(spark, "sink"), shared_folder(spark, "stream")
-    empty = spark.createDataFrame([], stream.schema)
+    write_batch(spark.createDataFrame([], stream.schema), -1, target)
+    run_once(stream, lambda batch, n: write_batch(batch, n, target), mode, checkpoint)
     if mode == "append":
-        write_batch(empty, -1, target)
-        run_once(stream, lambda batch, n: write_batch(batch, n, target), mode, checkpoint)
         return read_batches(spark, target, stream.schema)
-    empty.write.parquet(target)
-    strategy = {"complete": "replace", "update": "upsert"}[mode]
-    run_once(stream, lambda batch, _: merge_into(target, batch, strategy, keys or ()), mode, checkpoint)
-    return spark.read.schema(stream.schema).parquet(target)
+    if mode == "update":
+        return last_version(spark, target, stream.schema, keys or ())
+    batches = spark.read.schema(f"{schema_ddl(stream.schema)}, batch long").parquet(target)
+    last = batches.agg(F.max("batch")).first()[0]
+    return batches.filter(F.col("batch") == (-1 if last is None else last)).drop("batch")
+
+
+def by_arrival(stream: DataFrame, at: Callable[[int], Column], size: str, keys: Sequence[str], partial: dict[str, Column], totals: dict[str, Column]) -> DataFrame:
+    """Windows over the time of arrival, which ``at`` gives for a micro-batch: window_start, window_end, keys and ``totals``.
+
+    Each batch is aggregated by itself (``partial``) and the batches on reading (``totals``), so no state is
+    kept, and a batch written again replaces itself with the same time.
+    """
+    spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "arrivals")
+    windows = lambda batch, when: tumbling(batch.withColumn("_at", when.cast("timestamp")), "_at", size, keys, *(c.alias(name) for name, c in partial.items()))
+    empty = windows(spark.createDataFrame([], stream.schema), F.lit(None))
+    write_batch(empty, -1, folder)
+    run_once(stream, lambda batch, n: write_batch(windows(batch, at(n)), n, folder), "append", shared_folder(spark, "stream"))
+    parts = read_batches(spark, folder, empty.schema)
+    return parts.groupBy("window_start", "window_end", *keys).agg(*(c.alias(name) for name, c in totals.items()))
 
 
 def fan_out(batch: DataFrame, batch_id: int, sinks: dict[str, Callable[[DataFrame], DataFrame]], folder: str) -> None:

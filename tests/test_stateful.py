@@ -68,3 +68,30 @@ def test_late_rows_and_windows_add_up(spark):
     assert sorted(r.id for r in side.collect()) == [9, 10, 12]  # in batch 0 nothing is late yet
     assert sorted((r.window_start, r.kind, r.n) for r in windows.collect()) == [(START, "a", 2), (START + dt.timedelta(hours=1), "a", 2), (START + dt.timedelta(hours=2), "a", 3)]
     assert windows.agg(F.sum("n")).first()[0] + side.count() == len(data)
+
+
+def test_updates_are_kept_as_batches_and_put_together(spark, tmp_path):
+    folder = f"file://{tmp_path}/sink"
+    schema = spark.createDataFrame([], "k int, n int").schema
+    for batch, data in enumerate([[(1, 1), (None, 1)], [(1, 2), (2, 2)], [(2, 3)], [(None, 4)]]):
+        flows.write_batch(spark.createDataFrame(data, schema), batch, folder)
+    want = [(1, 2), (2, 3), (None, 4)]
+    read = lambda: sorted(map(tuple, flows.last_version(spark, folder, schema, ["k"]).collect()), key=str)
+    assert read() == want
+    flows.write_batch(spark.createDataFrame([(None, 4)], schema), 3, folder)  # written again
+    flows.compact(spark, folder, schema, ["k"], 2)
+    assert read() == want and sorted(p.name for p in (tmp_path / "sink").iterdir()) == ["batch=2", "batch=3"]
+    flows.compact(spark, folder, schema, ["k"], 2)
+    assert read() == want
+
+
+def test_arrival_windows_add_up_over_batches(spark):
+    df = spark.createDataFrame(rows(60, 5, 3), SCHEMA)
+    stream = stateful.arriving(df, F.col("batch"), 3, files=1)
+    at = lambda n: F.lit("2024-06-01 00:00:00").cast("timestamp") + F.expr(f"interval {10 * n} minutes")
+    done = flows.by_arrival(stream, at, "20 minutes", ["kind"], {"n": F.count(F.lit(1))}, {"n": F.sum("n")}).collect()
+    want = {}
+    for _, _, kind, _, batch in rows(60, 5, 3):
+        key = (dt.datetime(2024, 6, 1) + dt.timedelta(minutes=20 * (batch // 2)), kind)
+        want[key] = want.get(key, 0) + 1
+    assert {(r.window_start, r.kind): r.n for r in done} == want
