@@ -18,8 +18,10 @@ other pair shares common shingles only, and its similarity is at most
 1 / (1/P + 1/Q - 1), P and Q being the shares of the two texts that such shingles
 can make up. The bound is exact and linear to prepare, and rules out variants that
 differ in places of their own, the bulk of any large group. So no link that the
-bands propose goes unverified, and no group is compared all with all. Comparisons
-are dealt in blocks. Classes are connected components by alternating large-star
+bands propose goes unverified. Open: texts that recombine the same few sentences
+have common shingles only and are not ruled out; of such a group most pairs that
+share a band are verified, which grows with its square. Comparisons are dealt in
+blocks. Classes are connected components by alternating large-star
 and small-star steps; their edges live in Spark throughout, and every step is
 checkpointed. The number of jobs depends on the depth of the link graph, not on
 the size of the groups.
