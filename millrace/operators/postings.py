@@ -2,16 +2,20 @@
 
 An index is a Parquet folder whose rows are sorted and range-partitioned by term, so a
 query reads the pages of its own terms: exact terms and prefixes are ranges, which the
-scan compares with the statistics of files, row groups and pages. The key is part of the
-range, so a term in every document is spread over as many files as it needs.
+scan compares with the statistics of files, row groups and pages. A row is the posting list
+of a term in one Arrow batch of documents: a term is written and shuffled once a batch, not
+once a document. The first key is part of the range, so a term in every document is spread
+over as many files as it needs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +36,57 @@ def all_of(conditions: Sequence[Column]) -> Column:
 
 def write_sorted(rows: DataFrame, folder: str, *order: str) -> None:
     """Rows that are partitioned by ranges of ``order``, sorted, in pages small enough to be skipped."""
-    writer = rows.sortWithinPartitions(*order).write.mode("overwrite")
+    writer = rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite")
     writer.option("parquet.block.size", GROUP_BYTES).option("parquet.page.row.count.limit", PAGE_ROWS).parquet(folder)
 
 
-def _placed(field: str) -> Column:
-    """field, term and pos of every word of a column."""
-    return F.transform(words(F.coalesce(F.col(field), F.lit(""))), lambda word, i: F.struct(F.lit(field).alias("field"), word.alias("term"), i.alias("pos")))
+def _lists(batches: Iterator[pa.RecordBatch], fields: Sequence[str], left_out: Sequence[str]) -> Iterator[pa.RecordBatch]:
+    """field, term, first, keys, starts, positions of list columns (one a field) beside the key, a row a term and batch.
+
+    ``positions`` are those of the term in all its documents, one after the other; those of the n-th key
+    begin at ``starts[n]`` and end where the next begin.
+    """
+    for batch in batches:
+        key = batch.column(0)
+        for column, field in zip(batch.columns[1:], fields, strict=True):
+            begin = column.offsets.to_numpy().astype(np.int64)
+            coded = column.values.slice(begin[0], begin[-1] - begin[0]).dictionary_encode()
+            size = np.diff(begin)
+            doc = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(doc)) - np.repeat(begin[:-1] - begin[0], size)
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            if left_out and len(code):
+                kept = ~np.isin(coded.dictionary.to_numpy(zero_copy_only=False).astype(str), list(left_out))[code]
+                code, doc, place = code[kept], doc[kept], place[kept]
+            if not len(code):
+                continue
+            order = np.argsort(code, kind="stable")
+            code, doc, place = code[order], doc[order], place[order]
+            posting = np.flatnonzero(np.append(True, (np.diff(code) != 0) | (np.diff(doc) != 0)))
+            term = np.flatnonzero(np.append(True, np.diff(code[posting]) != 0))  # its first posting
+            ends, token_ends = np.append(term, len(posting)), np.append(posting[term], len(code))
+            held = np.diff(ends)
+            starts = np.insert(posting - np.repeat(posting[term], held), ends[1:], np.diff(token_ends))  # and where the last one ends
+            keys = key.take(pa.array(doc[posting]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([field] * len(term), pa.string()),
+                    coded.dictionary.take(pa.array(code[posting][term])),
+                    keys.take(pa.array(term)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), keys),
+                    pa.ListArray.from_arrays(pa.array((ends + np.arange(len(ends))).astype(np.int32)), pa.array(starts.astype(np.int32))),
+                    pa.ListArray.from_arrays(pa.array(token_ends.astype(np.int32)), pa.array(place.astype(np.int32))),
+                ],
+                names=["field", "term", "first", "keys", "starts", "positions"],
+            )
+
+
+def posting_lists(df: DataFrame, key: str, terms: dict[str, Column], left_out: Sequence[str] = ()) -> DataFrame:
+    """``_lists`` of arrays of terms, one for each field; no shuffle."""
+    read = df.select(F.col(key).alias("key"), *(column.alias(f"terms{n}") for n, column in enumerate(terms.values())))
+    kind, of = read.schema["key"].dataType.simpleString(), read.schema["terms0"].dataType.elementType.simpleString()
+    schema = f"field string, term {of}, first {kind}, keys array<{kind}>, starts array<int>, positions array<int>"
+    return read.mapInArrow(partial(_lists, fields=list(terms), left_out=left_out), schema)
 
 
 @dataclass(frozen=True)
@@ -56,36 +104,38 @@ class WordIndex:
     stemmed: bool = False
 
     def build(self, df: DataFrame) -> WordIndex:
-        """Write the index; one shuffle of words, by ranges, which the grouping keeps."""
-        found = df.select(F.col(self.key).alias("key"), F.inline(F.concat(*map(_placed, self.fields)))).filter(~F.col("term").isin(*STOP_WORDS))
-        ranged = found.repartitionByRange("field", "term", "key")
-        grouped = ranged.groupBy("field", "term", "key").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-        write_sorted(grouped, f"{self.folder}/postings", "field", "term", "key")
+        """Write the index: words are gathered batch by batch, and the lists shuffled once, by ranges."""
+        found = posting_lists(df, self.key, {f: words(F.coalesce(F.col(f), F.lit(""))) for f in self.fields}, STOP_WORDS)
+        write_sorted(found, f"{self.folder}/postings", "field", "term", "first")
         if self.stemmed:
-            write_sorted(stem_table(self.postings()).repartitionByRange("stem", "term"), f"{self.folder}/stems", "stem", "term")
+            write_sorted(stem_table(self.blocks()), f"{self.folder}/stems", "stem", "term")
         return self
 
-    def postings(self) -> DataFrame:
-        return self.spark.read.schema(f"field string, term string, key {self._key_type()}, positions array<int>").parquet(f"{self.folder}/postings")
+    def blocks(self) -> DataFrame:
+        """The lists as they are stored."""
+        return self.spark.read.parquet(f"{self.folder}/postings")
 
-    def _key_type(self) -> str:
-        return self.spark.read.parquet(f"{self.folder}/postings").schema["key"].dataType.simpleString()
+    def postings(self, *where: Column) -> DataFrame:
+        """field, term, key, positions: a row a document, of the lists for which ``where`` holds."""
+        blocks = reduce(DataFrame.filter, where, self.blocks())
+        own = lambda key, n: F.struct(key.alias("key"), F.slice("positions", F.get("starts", n) + 1, F.get("starts", n + 1) - F.get("starts", n)).alias("positions"))
+        return blocks.select("field", "term", F.inline(F.transform("keys", own)))
 
     def stems(self) -> DataFrame:
         return self.spark.read.schema("term string, stem string").parquet(f"{self.folder}/stems")
 
     def lists(self, wanted: Sequence[str]) -> DataFrame:
-        """The postings of every word that starts with one of ``wanted``; t0, t1, ... tell with which.
+        """The lists of every word that starts with one of ``wanted``; t0, t1, ... tell with which.
 
         In a stemmed index both sides are compared by their stems: the words of the stems in range are
         looked up first, then their postings.
         """
         if not self.stemmed:
             hits = [stem_prefix(F.col("term"), w) for w in wanted]
-            return self.postings().filter(any_of(hits)).withColumns({f"t{i}": h for i, h in enumerate(hits)})
+            return self.blocks().filter(any_of(hits)).select("field", "term", "keys", *(h.alias(f"t{i}") for i, h in enumerate(hits)))
         hits = [stem_prefix(F.col("stem"), spanish_stem(w)) for w in wanted]
         chosen = self.stems().filter(any_of(hits)).select("term", *(h.alias(f"t{i}") for i, h in enumerate(hits)))
-        return self.postings().join(small_side(chosen), "term")
+        return self.blocks().select("field", "term", "keys").join(small_side(chosen), "term")
 
     def keys(self, wanted: BooleanQuery, df: DataFrame) -> DataFrame | None:
         """The keys of documents of which one field satisfies ``wanted``; None for an empty query.
@@ -101,7 +151,8 @@ class WordIndex:
             return None
         flag = {w: F.col(f"t{i}") for i, w in enumerate(used)}
         whole = lambda phrase: all_of([flag[w] for w in phrase])
-        met = self.lists(used).groupBy("key", "field").agg(*(F.bool_or(f"t{i}").alias(f"t{i}") for i in range(len(used))))
+        flags = [f"t{i}" for i in range(len(used))]
+        met = self.lists(used).select("field", F.explode("keys").alias("key"), *flags).groupBy("key", "field").agg(*(F.bool_or(t).alias(t) for t in flags))
         excluded = any_of([whole(p) for p in exclude])
         if groups:
             return met.filter(all_of([any_of([whole(p) for p in g]) for g in groups]) & ~excluded).select("key").distinct()
@@ -112,7 +163,7 @@ class WordIndex:
     def phrase(self, text: str) -> DataFrame:
         """key, field and first: where the words of ``text`` stand side by side; stop words match any word."""
         sought = [(w, i) for i, w in enumerate(terms(text)) if w not in STOP_WORDS]
-        lists = self.postings().filter(F.col("term").isin([w for w, _ in sought]))
+        lists = self.postings(F.col("term").isin([w for w, _ in sought]))
         offsets = F
         for word in dict.fromkeys(w for w, _ in sought):
             offsets = offsets.when(F.col("term") == word, F.array(*(F.lit(i) for w, i in sought if w == word)))
@@ -159,7 +210,7 @@ def literal_runs(pattern: str) -> list[str]:
 
 @dataclass(frozen=True)
 class TrigramIndex:
-    """Postings (gram, key) of one text column, for ILIKE with a leading wildcard."""
+    """Lists of the documents that hold a trigram, for ILIKE on one text column with a leading wildcard."""
 
     spark: SparkSession
     folder: str
@@ -167,11 +218,11 @@ class TrigramIndex:
     column: str
 
     def build(self, df: DataFrame) -> TrigramIndex:
-        found = df.select(F.col(self.key).alias("key"), F.explode(grams(F.col(self.column))).alias("gram"))
-        write_sorted(found.repartitionByRange("gram", "key").distinct(), self.folder, "gram", "key")
+        found = posting_lists(df, self.key, {self.column: F.coalesce(grams(F.col(self.column)), F.array().cast("array<bigint>"))})
+        write_sorted(found.select(F.col("term").alias("gram"), "first", "keys"), self.folder, "gram", "first")
         return self
 
-    def postings(self) -> DataFrame:
+    def lists(self) -> DataFrame:
         return self.spark.read.parquet(self.folder)
 
     def _grams_of(self, patterns: Sequence[str]) -> list[list[int]]:
@@ -186,9 +237,11 @@ class TrigramIndex:
         wanted = self._grams_of(patterns)
         if not all(wanted):
             return None
-        held = [F.count_if(F.col("gram").isin(g)) == len(g) for g in wanted]
-        lists = self.postings().filter(F.col("gram").isin(sorted({x for g in wanted for x in g})))
-        return lists.groupBy("key").agg(any_of(held).alias("all")).filter("all").select("key")
+        place = {x: n for n, x in enumerate(sorted({x for g in wanted for x in g}))}
+        bit = [F.when(F.col("gram") == x, 1) for x in place]  # counted a gram, as a key may stand in several lists of one
+        lists = self.lists().filter(F.col("gram").isin(list(place))).select("gram", F.explode("keys").alias("key"))
+        met = lists.groupBy("key").agg(*(F.max(b).alias(f"g{n}") for n, b in enumerate(bit)))
+        return met.filter(any_of([all_of([F.col(f"g{place[x]}").isNotNull() for x in g]) for g in wanted])).select("key")
 
     def matching(self, df: DataFrame, include: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
         """Rows whose column is ILIKE any of ``include`` and none of ``exclude``.
