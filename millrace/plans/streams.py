@@ -129,6 +129,14 @@ def lookups(t: Tables) -> DataFrame:
     return flows.materialize(named.select("event_id", "pickup", "dropoff"), "append")
 
 
+@query("src_16_cached_lookup", "SRC-16", "STR-17", sql="SELECT event_id, n_name AS pickup FROM events JOIN nation ON user_id % 30 = n_nationkey")
+def cached_lookup(t: Tables) -> DataFrame:
+    """Four micro-batches that look their zones up in one snapshot, which would be read again after an hour."""
+    zones = flows.CachedLookup(lambda: t.nation.select("n_nationkey", "n_name"), 3600)
+    rides = stateful.arriving(t.events.select("event_id", "user_id"), F.col("event_id") % 4, 4)
+    return zones.join(rides, lambda batch: batch["user_id"] % 30 == F.col("n_nationkey"), ["event_id", "n_name"]).withColumnRenamed("n_name", "pickup")
+
+
 @query("str_18_pass_through_fan_out", "STR-18", "SNK-8", "SNK-9", sql="SELECT 'raw' AS sink, count(*)::BIGINT AS n FROM events UNION ALL SELECT 'clicks', count(*)::BIGINT FROM events WHERE event_type = 'click'")
 def fan_out(t: Tables) -> DataFrame:
     """One source, two outputs, each micro-batch computed once."""
@@ -179,13 +187,14 @@ def arrived(size: str, keys: str, aggregates: str) -> str:
     return f"SELECT {at} AS window_start, {at} + INTERVAL '{size}' AS window_end, {keys}, {aggregates} FROM events GROUP BY ALL"
 
 
-MEAN = F.round(F.sum("total") / F.sum("n"), 6).cast("double")
+def mean() -> Column:
+    return F.round(F.sum("total") / F.sum("n"), 6).cast("double")
 
 
 @query("str_7_arrival_counts", "STR-7", sql=arrived("15 minutes", "user_id, event_type", "count(*)::BIGINT AS n, round(sum(value::DECIMAL(18,4))::DOUBLE / count(*), 6) AS mean"))
 def arrival_counts(t: Tables) -> DataFrame:
     """Processing-time windows of 15 minutes by two keys: rows and mean."""
-    return arrivals(t, "15 minutes", ["user_id", "event_type"], {"n": rows(), "total": exact_sum("value")}, {"n": F.sum("n"), "mean": MEAN})
+    return arrivals(t, "15 minutes", ["user_id", "event_type"], {"n": rows(), "total": exact_sum("value")}, {"n": F.sum("n"), "mean": mean()})
 
 
 @query("str_8_arrival_attention", "STR-8", sql=arrived("15 minutes", "user_id", "count(*)::BIGINT AS n"))
@@ -197,7 +206,7 @@ def arrival_attention(t: Tables) -> DataFrame:
 @query("str_9_arrival_trend", "STR-9", "STR-10", sql=arrived("30 minutes", "user_id", "round(sum(value::DECIMAL(18,4))::DOUBLE / count(*), 6) AS mean, count(*)::BIGINT AS n"))
 def arrival_trend(t: Tables) -> DataFrame:
     """Processing-time windows of half an hour by actor: mean and rows."""
-    return arrivals(t, "30 minutes", ["user_id"], {"n": rows(), "total": exact_sum("value")}, {"mean": MEAN, "n": F.sum("n")})
+    return arrivals(t, "30 minutes", ["user_id"], {"n": rows(), "total": exact_sum("value")}, {"mean": mean(), "n": F.sum("n")})
 
 
 @query(

@@ -6,12 +6,15 @@ stream's complete result can be compared with the batch's.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.relational import small_side
 from millrace.session import shared_folder
+from millrace.sources.sinks import evaluated_once
 
 
 def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -41,6 +44,35 @@ def lookup_join(stream: DataFrame, dimension: DataFrame, condition: Column) -> D
     return stream.join(dimension, condition, "inner")
 
 
+class CachedLookup:
+    """A lookup table for micro-batches: a snapshot that is read again once it is older than its time to live.
+
+    Within that time changes of the source are not seen and the source is not read; a snapshot is a folder
+    of its own, so a batch that is running keeps the one it began with. ``clock`` gives seconds.
+    """
+
+    def __init__(self, read: Callable[[], DataFrame], ttl_seconds: float, clock: Callable[[], float] = time.monotonic) -> None:
+        self.read, self.ttl, self.clock = read, ttl_seconds, clock
+        self.taken_at, self.snapshot, self.reads = 0.0, None, 0
+
+    def current(self) -> DataFrame:
+        now = self.clock()
+        if self.snapshot is None or now - self.taken_at >= self.ttl:
+            rows = self.read()
+            self.snapshot = evaluated_once(rows, shared_folder(rows.sparkSession, "lookup"))
+            self.taken_at, self.reads = now, self.reads + 1
+        return self.snapshot
+
+    def join(self, stream: DataFrame, condition: Callable[[DataFrame], Column], columns: Sequence[str]) -> DataFrame:
+        """Inner join of each micro-batch with the snapshot of its time; the result is a table in the shared folder."""
+        spark, folder = stream.sparkSession, shared_folder(stream.sparkSession, "looked-up")
+        met = lambda batch: batch.join(small_side(self.current()), condition(batch), "inner").select(*columns)
+        schema = met(spark.createDataFrame([], stream.schema)).schema
+        write_batch(spark.createDataFrame([], schema), -1, folder)
+        run_once(stream, lambda batch, n: write_batch(met(batch), n, folder), "append", shared_folder(spark, "stream"))
+        return read_batches(spark, folder, schema)
+
+
 def interval_join(left: DataFrame, right: DataFrame, key: str, left_ts: str, right_ts: str, reach: str) -> DataFrame:
     """Inner join on the key within ``reach`` either way; state is dropped as the watermarks pass."""
     near = F.col(right_ts).between(F.col(left_ts) - F.expr(f"interval {reach}"), F.col(left_ts) + F.expr(f"interval {reach}"))
