@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,7 +74,7 @@ class _Flattener(HTMLParser):
             outer["_text"].append(text)
             if node["tag"] != "p":
                 outer["_lead"].append(lead)
-            href = resolved(node["href"], self.base) if node["tag"] == "a" else None
+            href = urljoin(self.base, node["href"]) if node["tag"] == "a" and node["href"] else None
             linked = f"[{node['text']}]({href})" if href and node["text"] else node["text"]
             outer["_md"].append("\n" if node["tag"] == "br" else linked if node["tag"] == "a" else node["markdown"])
         return node["tag"]
@@ -86,12 +86,6 @@ class _Flattener(HTMLParser):
         return self.found
 
 
-def resolved(url: str | None, base: str) -> str | None:
-    if not url:
-        return None
-    return url if urlsplit(url).scheme else urljoin(base, url)
-
-
 def elements_of(html: str | None, base: str = "") -> list[dict]:
     parser = _Flattener(base)
     parser.feed((html or "").replace("\0", ""))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,33 +203,8 @@ def rejoined(text: Column) -> Column:
 
 
 def text_lines(chars: DataFrame) -> DataFrame:
-    """document, page, line, text, font, size, top from characters (document, page, char, x0, top, size, font, nth).
-
-    Characters whose tops lie within the tolerance of a line's first one (in order of ``nth``) are that
-    line's, from left to right; its font is the most frequent one, its size the upper median.
-    """
-
-    def of_page(chars: pd.DataFrame) -> pd.DataFrame:
-        chars = chars.sort_values("nth", kind="stable")
-        key, lines = chars["top"].round(1).to_numpy(), []
-        of = np.empty(len(chars), np.int64)
-        for i, top in enumerate(key):
-            near = np.flatnonzero(np.abs(np.array(lines) - top) <= LINE_TOLERANCE) if lines else ()
-            of[i] = near[0] if len(near) else len(lines)
-            if not len(near):
-                lines.append(top)
-        rows = []
-        for n, own in chars.assign(of=of).groupby("of"):
-            text = "".join(own.sort_values("x0", kind="stable")["char"]).strip()
-            seen = own.sort_values("x0", kind="stable")
-            seen = seen[seen["char"].str.strip() != ""]
-            if text:
-                rows.append((lines[n], text, seen["font"].value_counts(sort=False).idxmax(), float(np.sort(seen["size"])[len(seen) // 2])))
-        rows.sort(key=lambda r: r[0])
-        first = chars.iloc[0]
-        return pd.DataFrame([(first["document"], int(first["page"]), i, text, font, size, top) for i, (top, text, font, size) in enumerate(rows)], columns=["document", "page", "line", "text", "font", "size", "top"])
-
-    return chars.groupBy("document", "page").applyInPandas(of_page, "document string, page int, line int, text string, font string, size double, top double")
+    """document, page, line, text, font, size, top of prints in one column, from characters (document, page, char, x0, top, size, font, nth)."""
+    return column_lines(chars, None).select("document", "page", "line", "text", "font", "size", "top")
 
 
 def printed_documents(lines: DataFrame, *, base: str) -> DataFrame:
@@ -393,7 +366,9 @@ PAGE_REFERENCE, ROMAN_HEAD = r"Página\s*(\d+)\s*$", r"^[IVXLC]+\.\s*"
 def printed_summary(lines: DataFrame) -> DataFrame:
     """Dispositions of printed summaries: document, disposition, section, subsection, organization, summary, start_page.
 
-    ``lines`` (document, line, text, font) are read in order. Text gathers until a page reference, or a
+    ``lines`` (document, line, text, font) are read in order. A line that ends in a page reference is one,
+    whatever its font; else a bold line with a Roman number is a section, an italic one without a subsection, any
+    other bold one an organization, and upright ones are text. Text gathers until a page reference, or a
     heading, closes the disposition; what no line closes is left out. A section heading that repeats an
     earlier one (either is the other's beginning) ends the summary.
     """

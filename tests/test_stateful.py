@@ -95,3 +95,19 @@ def test_arrival_windows_add_up_over_batches(spark):
         key = (dt.datetime(2024, 6, 1) + dt.timedelta(minutes=20 * (batch // 2)), kind)
         want[key] = want.get(key, 0) + 1
     assert {(r.window_start, r.kind): r.n for r in done} == want
+
+
+@pytest.mark.parametrize(("ttl", "seen", "reads"), [(100, ["a", "a", "c"], 2), (0, ["a", "b", "c"], 4)])
+def test_lookups_are_read_again_when_their_time_is_over(spark, tmp_path, ttl, seen, reads):
+    """The table changes between batches; the clock says 0, 50 and 120 seconds."""
+    path, times = f"file://{tmp_path}/zones", iter([0, 0, 50, 120])
+    versions = iter(["a", "a", "b", "c"])
+
+    def clock():
+        spark.createDataFrame([(1, next(versions))], "k int, name string").coalesce(1).write.mode("overwrite").parquet(path)
+        return next(times)
+
+    lookup = flows.CachedLookup(lambda: spark.read.schema("k int, name string").parquet(path), ttl, clock)
+    stream = stateful.arriving(spark.createDataFrame([(0, 1), (1, 1), (2, 1), (2, 9)], "id int, zone int"), F.col("id"), 3, files=1)
+    done = lookup.join(stream, lambda batch: batch["zone"] == F.col("k"), ["id", "name"])
+    assert [r.name for r in sorted(done.collect())] == seen and lookup.reads == reads

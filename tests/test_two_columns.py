@@ -39,11 +39,10 @@ def test_lines_are_cut_by_side_and_by_tops(spark):
     assert sorted(r.text for r in whole) == ["a bz", "c"]
 
 
-def test_lines_equal_those_of_single_column_prints(spark):
-    """The same characters by gaps and by the tolerance of a line's first one, where lines are further apart than that."""
+def test_single_column_prints_are_one_side(spark):
+    """Lines go across the page where it has no sides."""
     chars = spark.createDataFrame(typeset((1, 50.0, 100.0, "A", 9.0, "one line"), (1, 50.0, 112.0, "B", 8.0, "and  another"), (2, 50.0, 90.0, "A", 9.0, "x")), CHARS)
-    ours = [(r.page, r.text, r.top, r.font, r["size"]) for r in G.column_lines(chars, None).orderBy("page", "line").collect()]
-    assert ours == [(r.page, r.text, r.top, r.font, r["size"]) for r in G.text_lines(chars).orderBy("page", "line").collect()]
+    assert [(r.page, r.line, r.text, r.top, r.font, r["size"]) for r in G.text_lines(chars).orderBy("page", "line").collect()] == [(1, 0, "one line", 100.0, "A", 9.0), (1, 1, "and  another", 112.0, "B", 8.0), (2, 0, "x", 90.0, "A", 9.0)]
 
 
 def test_two_documents_of_a_file_with_their_metadata(spark):
