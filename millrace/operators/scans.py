@@ -94,9 +94,12 @@ class Chunks:
 
 
 def indexed(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str = "index_100") -> DataFrame:
-    """``value`` relative to the key's first in ``order``, which is 100; the first is an aggregate, joined back."""
+    """``value`` relative to the key's first in ``order``, which is 100; the first is an aggregate, joined back.
+
+    Both sides read one exchange where ``df`` has one by the keys; Spark chooses the join by the sizes it sees.
+    """
     base = df.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min_by(value, order).alias("_base"))
-    met = df.join(small_side(base), null_safe([F.col(k) for k in keys], [F.col(f"_{k}") for k in keys]))
+    met = df.join(base, null_safe([F.col(k) for k in keys], [F.col(f"_{k}") for k in keys]))
     return met.withColumn(name, F.round(F.lit(100.0) * F.col(value) / F.nullif(F.col("_base"), F.lit(0.0)), 2)).drop("_base", *(f"_{k}" for k in keys))
 
 
@@ -119,7 +122,7 @@ def gap_segments(df: DataFrame, key: str, us: str, then: str, factor: float, *,
     """``paragraph``: how many gaps of over ``factor`` times the key's median gap there were up to the row."""
     chunks = Chunks(df, [key], [us, then], large=large)
     gaps = chunks.lagged(chunks.rows, us, "_before").withColumn("_gap", F.col(us) - F.col("_before"))
-    typical = exact_quantile(gaps, [key], "_gap", small=large).select(F.col(key).alias("_typical_of"), F.col("quantile").alias("_typical"))
+    typical = exact_quantile(gaps, [key], "_gap", small=large if chunks.count > 1 else None).select(F.col(key).alias("_typical_of"), F.col("quantile").alias("_typical"))
     met = gaps.join(small_side(typical), F.col(key).eqNullSafe(F.col("_typical_of")))
     wide = F.when(F.col("_gap") > factor * F.col("_typical"), 1).otherwise(0)
     return chunks.done(chunks.running_sum(met, wide, "paragraph").drop("_before", "_gap", "_typical_of", "_typical"))

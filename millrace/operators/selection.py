@@ -70,17 +70,18 @@ def selected(df: DataFrame, keys: Sequence[str], value: str, q: float, groups: D
     return found.join(small_side(named), null_safe([F.col(k) for k in keys], [F.col(f"_{k}") for k in keys])).select(*keys, between.alias("quantile"))
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, *, small: int = SMALL, **aggregates: Column) -> DataFrame:
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float = 0.5, *, small: int | None = SMALL, **aggregates: Column) -> DataFrame:
     """keys, ``quantile`` (continuous, exact) of ``value``, and further aggregates a group.
 
     Null values do not count, a group without others has a null quantile; null keys are a group; NaN is
-    the largest value.
+    the largest value. ``small`` is the size up to which a group is aggregated as it is; None if all are known
+    to be small.
     """
     sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
-    large = sizes.filter(F.col("n") > small)
+    large = sizes.filter(F.col("n") > (small or 0))
     others = [a.alias(name) for name, a in aggregates.items()]
     whole = F.percentile(F.col(value).cast("double"), q).alias("quantile")
-    if not large.limit(1).count():
+    if small is None or not large.limit(1).count():
         return df.groupBy(*keys).agg(whole, *others)
     groups = evaluated_once(large, shared_folder(df.sparkSession, "groups"))
     by_selection = selected(df, keys, value, q, groups)

@@ -13,7 +13,6 @@ from millrace.registry import Tables, query
 @query(
     "join_1_inner_lookup",
     "JOIN-1",
-    "SRC-26",
     sql="""SELECT o_orderkey, d.description FROM orders JOIN (VALUES ('F','Finished'),('O','Open'),('Unknown','Unknown')) d(code, description)
   ON coalesce(nullif(o_orderstatus, 'P'), 'Unknown') = d.code""",
 )
@@ -152,7 +151,7 @@ def lateral_series(t: Tables) -> DataFrame:
     return t.nation.filter("n_regionkey >= 1").select("n_nationkey", F.explode(F.sequence(F.lit(1), F.col("n_regionkey"))).alias("i"))
 
 
-@query("join_18_unnest_items", "JOIN-18", "STR-11", sql="SELECT lower(theme) AS theme, round(avg(p_retailprice), 4)::DOUBLE AS tone, count(*)::BIGINT AS n FROM (SELECT p_retailprice, unnest(string_split(p_name, ' ')) AS theme FROM part) WHERE trim(theme) <> '' GROUP BY 1")
+@query("join_18_unnest_items", "JOIN-18", sql="SELECT lower(theme) AS theme, round(avg(p_retailprice), 4)::DOUBLE AS tone, count(*)::BIGINT AS n FROM (SELECT p_retailprice, unnest(string_split(p_name, ' ')) AS theme FROM part) WHERE trim(theme) <> '' GROUP BY 1")
 def unnest_items(t: Tables) -> DataFrame:
     exploded = t.part.select("p_retailprice", F.explode(delimited(F.col("p_name"), " ")).alias("theme"))
     return exploded.groupBy(F.lower("theme").alias("theme")).agg(F.round(F.avg("p_retailprice"), 4).alias("tone"), F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from millrace.session import shared_folder
 from millrace.sources.sinks import evaluated_once, insert_through_staging, merge_into, merge_nested, monthly, write_clustered, write_parquet
 
 
-@query("snk_1_overwrite", "SNK-1", "SNK-3", "SNK-17", sql="SELECT n_nationkey, n_name FROM nation")
+@query("snk_1_overwrite", "SNK-1", "SNK-3", sql="SELECT n_nationkey, n_name FROM nation")
 def overwrite(t: Tables) -> DataFrame:
     folder = shared_folder(t.spark, "sink")
     for _ in range(2):
