@@ -20,7 +20,7 @@ TO_ITEM, TO_ITEM_PDF, TO_ISSUE_PDF = ("Ir a la disposición", "Ir al artículo")
 def layout(e: Column) -> Column:
     """current, early, pdf_only or null, from the most specific to the least."""
     content = E.first(e, lambda x: E.is_a(x, "div", CONTENT))
-    pdf = F.exists(e, lambda x: E.inside(x, content) & (x["tag"] == "a") & F.coalesce(x["href"].endswith(".pdf"), F.lit(False)))
+    pdf = E.let(content, lambda box: F.exists(E.descendants(e, box), lambda x: (x["tag"] == "a") & F.coalesce(x["href"].endswith(".pdf"), F.lit(False))))
     return F.when(F.exists(e, lambda x: E.is_a(x, "li", CURRENT_ITEM)), "current").when(F.exists(e, lambda x: E.is_a(x, "ul", EARLY_LIST)), "early").when(pdf, "pdf_only")
 
 
@@ -45,37 +45,40 @@ def item_number(url: Column) -> Column:
 def parsed_issues(pages: DataFrame, *, html: str = "html", base: str) -> DataFrame:
     """``pages`` without ``html``, with layout, year, issue, title, url, summary (url, signature) and dispositions.
 
-    An unknown layout gives null throughout. Links are made absolute against ``base``.
+    An unknown layout gives null throughout. Links are made absolute against ``base``. An item's headings are
+    those before its list; they and its own elements are found by position, so that an issue of any length is
+    read in proportion to it.
     """
-    page = pages.withColumn("e", E.elements(F.col(html), base)).withColumn("layout", layout(F.col("e"))).withColumn("n", issue_number(F.col("e")))
-    content = E.first(F.col("e"), lambda x: E.is_a(x, "div", CONTENT))
-    wrapper = E.first(F.col("e"), lambda x: E.inside(x, F.col("content")) & E.is_a(x, "div") & (x["id"] == WRAPPER))
-    page = page.withColumn("content", content)
-    page = page.withColumn("frame", F.when(F.col("layout") == "current", F.coalesce(wrapper, F.col("content"))).otherwise(F.col("content")))
-    e, frame, current = F.col("e"), F.col("frame"), F.col("layout") == "current"
-    child = lambda x: x["up"] == frame["pos"]
+    marks = (("h4", None), ("h3", SUBSECTION), ("h5", None))
+    page = pages.withColumn("e", E.elements(F.col(html), base, marks)).withColumn("layout", layout(F.col("e"))).withColumn("n", issue_number(F.col("e")))
+    page = page.withColumn("content", E.first(F.col("e"), lambda x: E.is_a(x, "div", CONTENT)))
+    e, content, current = F.col("e"), F.col("content"), F.col("layout") == "current"
+    in_content = lambda found: E.let(content, lambda box: found(E.descendants(e, box)))
 
     def items() -> Column:
-        lists = E.some(e, lambda x: child(x) & (x["tag"] == "ul") & (current | F.array_contains(x["classes"], EARLY_LIST)))
-        listed = lambda x: F.exists(lists, lambda u: E.inside(x, u))
+        wrapper = in_content(lambda own: E.first(own, lambda x: E.is_a(x, "div") & (x["id"] == WRAPPER)))
+        frame = F.when(current, F.coalesce(wrapper, content)).otherwise(content)
         wanted = lambda x: (x["tag"] == "li") & F.array_contains(x["classes"], F.when(current, CURRENT_ITEM).otherwise(EARLY_ITEM))
-        return E.some(e, lambda x: wanted(x) & listed(x))
-
-    def disposition(li: Column) -> Column:
-        own = E.some(e, lambda x: E.inside(x, li))
-        heads = E.some(e, lambda x: child(x) & (x["pos"] < li["pos"]))
-        at = lambda x: F.coalesce(x["pos"], F.lit(-1))
-        section = E.last(heads, lambda x: x["tag"] == "h4")
-        sub = E.last(heads, lambda x: E.is_a(x, "h3", SUBSECTION) & current & (x["pos"] > at(section)))
-        organization = E.last(heads, lambda x: (x["tag"] == "h5") & (x["pos"] > F.greatest(at(section), at(sub))))
+        lists = E.let(frame, lambda box: E.some(e, lambda x: (x["up"] == box["pos"]) & (x["tag"] == "ul") & (current | F.array_contains(x["classes"], EARLY_LIST))))
+        return F.flatten(F.transform(lists, lambda ul: F.coalesce(F.transform(E.some(E.descendants(e, ul), wanted), lambda li: item(ul, li)), F.array())))
+
+    def item(ul: Column, li: Column) -> Column:
+        code = lambda own: E.first(own, lambda x: E.is_a(x, "div", ITEM_CODE))
+        return E.let(E.descendants(e, li), lambda own: E.let(code(own), lambda code: E.let(E.some(own, lambda x: E.inside(x, code)), lambda of_code: disposition(ul, li, own, code, of_code))))
+
+    def disposition(ul: Column, li: Column, own: Column, code: Column, of_code: Column) -> Column:
+        pos = lambda x: F.coalesce(x["pos"], F.lit(-1))
+        head = lambda n: E.at(e, F.get(ul["before"], F.lit(n)))
+        section = head(0)
+        sub = F.when(current & (head(1)["pos"] > pos(section)), head(1))
+        organization = F.when(head(2)["pos"] > F.greatest(pos(section), pos(sub)), head(2))
         links = E.some(own, lambda x: (x["tag"] == "a") & (x["up"] == li["pos"]))
         words = F.when(current, F.get(links, F.lit(1))["text"]).otherwise(E.first(own, lambda x: E.is_a(x, "a", EARLY_TEXT))["text"])
         summary = F.trim(F.concat_ws(" ", F.coalesce(E.first(own, lambda x: x["tag"] == "b")["text"], F.lit("")), F.coalesce(words, F.lit(""))))
-        data, code = E.first(own, lambda x: E.is_a(x, "div", ITEM_DATA)), E.first(own, lambda x: E.is_a(x, "div", ITEM_CODE))
-        about = F.trim(F.regexp_replace(F.replace(data["text"], F.coalesce(E.first(own, lambda x: E.is_a(x, "div", ITEM_CODE) & E.inside(x, data))["text"], F.lit("")), F.lit("")), r"\s+", " "))
+        code_in = lambda data: F.coalesce(E.first(own, lambda x: E.is_a(x, "div", ITEM_CODE) & E.inside(x, data))["text"], F.lit(""))
+        about = E.let(E.first(own, lambda x: E.is_a(x, "div", ITEM_DATA)), lambda data: F.trim(F.regexp_replace(F.replace(data["text"], code_in(data), F.lit("")), r"\s+", " ")))
         coded = current & code.isNotNull()
         link = lambda within, *titles: E.absolute(E.first(within, lambda x: E.titled(x, *titles))["href"], base)
-        of_code = E.some(own, lambda x: E.inside(x, code))
         html_url = F.when(coded, link(of_code, PREVIEW)).otherwise(link(own, *TO_ITEM))
         return F.struct(
             item_number(html_url).alias("disposition"),
@@ -90,16 +93,16 @@ def parsed_issues(pages: DataFrame, *, html: str = "html", base: str) -> DataFra
             F.when(coded, link(of_code, SIGNED)).alias("signature"),
         )
 
-    note = E.first(e, lambda x: E.inside(x, F.col("content")) & E.is_a(x, "p", EARLY_ITEM))
-    of_note = E.some(e, lambda x: E.inside(x, note))
-    mark = E.first(of_note, lambda x: E.is_a(x, "span", ITEM_CODE))
+    page = page.withColumn("note", in_content(lambda own: E.first(own, lambda x: E.is_a(x, "p", EARLY_ITEM))))
+    of_note = lambda found: E.let(E.descendants(e, F.col("note")), found)
+    mark = lambda own: E.first(own, lambda x: E.is_a(x, "span", ITEM_CODE))
     href = lambda x: E.absolute(x["href"], base)
     summary_url = (
-        F.when(current, href(E.first(of_note, lambda x: E.titled(x, ISSUE_AS_PDF))))
+        F.when(current, href(of_note(lambda own: E.first(own, lambda x: E.titled(x, ISSUE_AS_PDF)))))
         .when(F.col("layout") == "early", href(E.first(e, lambda x: E.titled(x, TO_ISSUE_PDF))))
         .when(F.col("layout") == "pdf_only", href(E.first(e, lambda x: (x["tag"] == "a") & F.coalesce(x["href"].endswith(".pdf"), F.lit(False)))))
     )
-    signature = F.when(current, href(E.first(of_note, lambda x: E.inside(x, mark) & E.titled(x, SIGNED))))
+    signature = F.when(current, href(of_note(lambda own: E.let(mark(own), lambda box: E.first(own, lambda x: E.inside(x, box) & E.titled(x, SIGNED))))))
     url = F.concat(F.lit(f"{base.rstrip('/')}/"), F.col("n.year").cast("string"), F.lit("/"), F.lpad(F.col("n.issue").cast("string"), 3, "0"), F.lit("/"))
     known = F.col("layout").isNotNull()
     return page.select(
@@ -110,7 +113,7 @@ def parsed_issues(pages: DataFrame, *, html: str = "html", base: str) -> DataFra
         F.when(known, F.coalesce(E.first(e, lambda x: x["tag"] == "h2")["text"], F.lit(""))).alias("title"),
         F.when(known, url).alias("url"),
         F.when(known, F.struct(summary_url.alias("url"), signature.alias("signature"))).alias("summary"),
-        F.when(F.col("layout").isin("current", "early"), F.transform(items(), disposition)).when(known, F.array()).alias("dispositions"),
+        F.when(F.col("layout").isin("current", "early"), items()).when(known, F.array()).alias("dispositions"),
     )
 
 

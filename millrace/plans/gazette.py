@@ -59,7 +59,8 @@ def issues(t: Tables) -> DataFrame:
     listed = t.nation.join(t.supplier, F.col("s_nationkey") == n).groupBy("n_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", item.alias("li")))).alias("own"))
     pages = listed.withColumn("items", F.array_join(F.transform("own", lambda x: F.coalesce(x["li"], F.lit(""))), "\n"))
     html = F.when(n % 4 == 0, _text(CURRENT_PAGE, **s)).when(n % 4 == 1, _text(EARLY_PAGE, **s)).when(n % 4 == 2, _text(PDF_PAGE, **s)).otherwise("<p>Nothing</p>")
-    read = G.parsed_issues(pages.select(n.alias("page"), html.alias("html")), base=SITE)
+    dealt = pages.select(n.alias("page"), html.alias("html")).repartition(t.spark.sparkContext.defaultParallelism, "page")  # few pages, each of them long
+    read = G.parsed_issues(dealt, base=SITE)
     return read.select("page", "layout", "year", "issue", "title", "url", F.col("summary.url").alias("summary_url"), F.col("summary.signature").alias("summary_signature"), F.inline_outer("dispositions"))
 
 
