@@ -384,23 +384,24 @@ def printed_summary(lines: DataFrame) -> DataFrame:
     )
     named = lines.withColumn("kind", kind).withColumn("heading", F.when(F.col("kind") == "section", F.trim(F.regexp_replace(respaced(text), r"\s+", " "))).when(F.col("kind").isin("subsection", "organization"), respaced(clean)))
     known = F.collect_list(F.when(F.col("kind") == "section", F.col("heading"))).over(earlier)
-    again = (F.col("kind") == "section") & F.exists(known, lambda s: s.startswith(F.col("heading")) | F.col("heading").startswith(s))
-    read = named.withColumn("over", F.max(again.cast("int")).over(so_far)).filter("over = 0")
-
     closes = F.col("kind").isin("page", "section", "subsection", "organization")
-    section_no = F.sum((F.col("kind") == "section").cast("int")).over(so_far)
-    read = read.withColumn("group", F.coalesce(F.sum(closes.cast("int")).over(earlier), F.lit(0))).withColumn("section_no", section_no)
-    of_section = Window.partitionBy("document", "section_no").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    carried = lambda name: F.last(F.when(F.col("kind") == name, F.col("heading")), ignorenulls=True).over(of_section)
+    # All that is carried goes along one order of the lines, so that they are sorted once; a section forgets the headings below it.
+    last_of = lambda *kinds: F.last(F.when((F.col("kind") == "section") | (F.col("kind").isin(*kinds) & F.col("heading").isNotNull()), F.struct("kind", "heading")), ignorenulls=True).over(so_far)
+    below = lambda name: F.when(F.col(f"{name}.kind") == name, F.col(f"{name}.heading"))
+    read = named.withColumns({"known": known, "group": F.coalesce(F.sum(closes.cast("int")).over(earlier), F.lit(0)), "section": F.last(F.when(F.col("kind") == "section", F.col("heading")), ignorenulls=True).over(so_far), "subsection": last_of("subsection"), "organization": last_of("organization")})
+    again = (F.col("kind") == "section") & F.exists("known", lambda s: s.startswith(F.col("heading")) | F.col("heading").startswith(s))
+    read = read.withColumn("over", F.max(again.cast("int")).over(so_far)).filter("over = 0")
+
     said = F.when(F.col("kind") == "text", text).when(F.col("kind") == "page", F.nullif(F.trim(F.regexp_replace(text, PAGE_REFERENCE, "")), F.lit("")))
-    read = read.select("document", "line", "group", "kind", said.alias("said"), F.regexp_extract(text, PAGE_REFERENCE, 1).try_cast("int").alias("page_no"), carried("section").alias("section"), carried("subsection").alias("subsection"), carried("organization").alias("organization"))
+    page_no = F.when(F.col("kind") == "page", F.regexp_extract(text, PAGE_REFERENCE, 1).try_cast("int"))  # a cast that fails costs an exception
     spoken = F.col("said").isNotNull()
+    read = read.select("document", "line", "group", "kind", said.alias("said"), page_no.alias("page_no"), "section", below("subsection").alias("subsection"), below("organization").alias("organization"))
     items = read.groupBy("document", "group").agg(
-        F.array_sort(F.collect_list(F.when(spoken, F.struct("line", "said")))).alias("parts"),
-        F.bool_or(F.col("kind").isin("page", "section", "subsection", "organization")).alias("closed"),
-        F.max(F.when(F.col("kind") == "page", F.col("page_no"))).alias("start_page"),
-        *(F.max_by(c, F.when(spoken, F.col("line"))).alias(c) for c in ("section", "subsection", "organization")),
+        F.array_sort(F.collect_list(F.when(spoken, F.struct("line", "said", "section", "subsection", "organization")))).alias("parts"),
+        F.bool_or(closes).alias("closed"),
+        F.max("page_no").alias("start_page"),
     )
+    items = items.withColumn("end", F.try_element_at("parts", F.lit(-1))).select("document", "group", "closed", "start_page", "parts", "end.section", "end.subsection", "end.organization")
     summary = F.nullif(rejoined(F.array_join(F.transform("parts", lambda p: p["said"]), " ")), F.lit(""))
     done = items.filter(F.coalesce("closed", F.lit(False)) & (F.size("parts") > 0))
     nth = F.row_number().over(Window.partitionBy("document").orderBy("group"))

@@ -211,22 +211,22 @@ FROM (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey O
 )
 def printed_summary(t: Tables) -> DataFrame:
     """Lines of printed summaries: headings, hyphenated texts, page references, a heading instead of one, a repeated section."""
-    items = numbered(t.lineitem, ["l_orderkey"], [F.asc("l_linenumber"), F.asc("l_partkey")], "k").filter("k <= 4")
-    line = lambda at, font, text: F.struct(F.lit(at).alias("at"), F.lit(font).alias("font"), text.alias("text"))
+    listed = t.lineitem.select(F.col("l_orderkey").cast("string").alias("document"), "l_linenumber", "l_partkey")  # keyed as the lines are: one shuffle, of items
+    items = numbered(listed, ["document"], [F.asc("l_linenumber"), F.asc("l_partkey")], "k").filter("k <= 4")
+    k, document = F.col("k"), F.col("document")
+    line = lambda at, font, text: F.struct(at.alias("line"), F.lit(font).alias("font"), text.alias("text"))
     of_item = F.array(
-        line(0, "Times-Roman", F.lit("Resolución nú-")),
-        line(1, "Times-Roman", F.concat(F.lit("mero  "), F.col("l_partkey").cast("string"), F.when(F.col("k") == 3, "").otherwise(F.concat(F.lit(" Página "), F.col("k").cast("string"))))),
-        line(2, "Times-Bold", F.concat(F.lit("Org "), F.col("l_orderkey").cast("string"))),
+        line(k * 10, "Times-Roman", F.lit("Resolución nú-")),
+        line(k * 10 + 1, "Times-Roman", F.concat(F.lit("mero  "), F.col("l_partkey").cast("string"), F.when(k == 3, "").otherwise(F.concat(F.lit(" Página "), k.cast("string"))))),
+        line(k * 10 + 2, "Times-Bold", F.concat(F.lit("Org "), document)),
     )
     ends = F.array(
-        line(-2, "Times-Bold", F.lit("I.Disposiciones generales")),
-        line(-1, "Times-Italic", F.concat(F.lit("Gerencia Forestalde "), F.col("l_orderkey").cast("string"))),
-        line(1000, "Times-Bold", F.lit("II. Otras")),
-        line(1001, "Times-Roman", F.lit("never closed")),
-        line(1002, "Times-Bold", F.lit("I. Disposiciones generales y más")),
-        line(1003, "Times-Roman", F.lit("after the end Página 9")),
+        line(F.lit(-2), "Times-Bold", F.lit("I.Disposiciones generales")),
+        line(F.lit(-1), "Times-Italic", F.concat(F.lit("Gerencia Forestalde "), document)),
+        line(F.lit(1000), "Times-Bold", F.lit("II. Otras")),
+        line(F.lit(1001), "Times-Roman", F.lit("never closed")),
+        line(F.lit(1002), "Times-Bold", F.lit("I. Disposiciones generales y más")),
+        line(F.lit(1003), "Times-Roman", F.lit("after the end Página 9")),
     )
-    body = items.select("l_orderkey", (F.col("k") * 10).alias("base"), F.inline(of_item))
-    frame = items.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("base"), F.inline(ends))
-    lines = body.unionByName(frame).select(F.col("l_orderkey").cast("string").alias("document"), (F.col("base") + F.col("at")).alias("line"), "text", "font")
+    lines = items.select("document", F.inline(F.when(k == 1, F.concat(of_item, ends)).otherwise(of_item)))
     return G.printed_summary(lines)

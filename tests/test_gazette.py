@@ -1,9 +1,10 @@
-"""Issue pages: headings and items by position, pages of any length."""
+"""Issue pages: headings and items by position, pages of any length; the plan of printed summaries."""
 
 from __future__ import annotations
 
 import time
 
+from millrace.catalog import QUERIES
 from millrace.functions.elements import elements_of
 from millrace.operators import gazette as G
 
@@ -23,3 +24,10 @@ def test_an_issue_is_read_in_proportion_to_its_length(spark):
     (row,) = G.parsed_issues(pages, base="https://x.org").collect()
     assert time.monotonic() - start < 90
     assert [(d.disposition, d.section, d.organization, d.identifier, d.metadata) for d in row.dispositions] == [(n, f"Parte {n // 3 // 2 * 2}", f"Org {n // 3}", f"ID-{n}", "About") for n in range(1200)]
+
+
+def test_a_printed_summary_shuffles_its_items_once(spark, sf):
+    """Lines are made from items that lie by document already, and are put in order once for all that is carried along them."""
+    plan = QUERIES["sup_7_printed_summary"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1
+    assert plan.count("Sort [document") == 4  # by number in a line (twice, for the first four), by line, by group
