@@ -317,6 +317,34 @@ def test_quality_of_odd_labels(spark):
     assert all(r.score == pytest.approx(quality.CUT) for r in quality.scored(docs, quality.train(docs, odd.filter("quality = 1"))).collect())
 
 
+def test_quality_learns_from_every_label(spark):
+    """Mean, pairs and threshold are those of all labelled documents outside the held-out fold, in one block or in many."""
+    ids = [i for i in range(16_000) if zlib.crc32(str(i).encode()) % 5]
+    text = lambda i: "A b, " * (i * 7 % 11) + "xyz" * (i % 5) + "!" * (i % 3)
+    docs = spark.createDataFrame([(i, text(i)) for i in range(16_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 > 0)) for i in range(16_000)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    x, good = quality.features([text(i) for i in ids]), np.array([i % 4 > 0 for i in ids])
+    assert len(ids) > 12_000 and np.allclose(model.mean, x.mean(0), atol=1e-12) and np.allclose(model.scale[x.std(0) > 1e-9], x.std(0)[x.std(0) > 1e-9])
+    assert model.threshold == pytest.approx(np.quantile((x - model.mean) / model.scale @ model.weights, (~good).mean()), abs=1e-9)
+
+    few = docs.filter("doc_id < 400")
+    alone = quality.train(few, labels)  # one block: all pairs
+    z, kind = (x[: sum(i < 400 for i in ids)] - alone.mean) / alone.scale, good[: sum(i < 400 for i in ids)]
+    pairs = (z[kind][:, None, :] - z[~kind][None, :, :]).reshape(-1, z.shape[1])
+    miss = 1 / (1 + np.exp(pairs @ alone.weights))
+    assert np.abs(quality.PAIRS_A_POOR / kind.sum() * pairs.T @ miss - quality.RIDGE * alone.weights).max() < 1e-5
+
+    rows = spark.createDataFrame([(i, [float(i)] * quality.N_FEATURES, i % 10 > 0) for i in range(500)], "doc_id long, x array<double>, good boolean")
+    blocks = [m for r in quality._blocks(rows, 450, 50, 32).toPandas().to_dict("records") for m in quality._matrices({k: [v] for k, v in r.items()})]
+    parts = {}
+    for of_block, kinds, share in blocks:
+        assert len(kinds) < 120 and kinds.any() and not kinds.all()
+        for i, part in zip(of_block[:, 0], share, strict=True):
+            parts[i] = parts.get(i, 0) + part
+    assert len(blocks) == 15 and len(parts) == 500 and all(v == pytest.approx(1) for v in parts.values())
+
+
 # --- decontamination ---------------------------------------------------------------------------
 
 
